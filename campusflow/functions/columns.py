@@ -223,7 +223,7 @@ def parse_date(col, fmt: str = "YYYY-MM-DD") -> Column:
         return F.regexp_extract(F.get(parts, order.index(tok)), r"^\s*(\d+)", 1)
 
     iso = F.concat_ws("-", field("YYYY"), field("MM"), field("DD"))
-    return F.try_to_date(iso, F.lit("y-M-d"))
+    return F.try_to_date(iso, "y-M-d")
 
 
 def format_file_size(col) -> Column:

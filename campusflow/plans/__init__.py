@@ -1,4 +1,4 @@
 """Query catalogue: importing this package registers every named query."""
 
-from campusflow.plans import dashboard, listings, series  # noqa: F401
+from campusflow.plans import dashboard, listings, series, text  # noqa: F401
 from campusflow.plans.registry import ORACLES, QUERIES  # noqa: F401
