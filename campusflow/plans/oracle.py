@@ -86,6 +86,8 @@ screenshots AS (
 def with_canonical(sql: str) -> str:
     """Prefix a query over the canonical tables with their CTE definitions."""
     body = sql.strip()
+    if body[:14].upper() == "WITH RECURSIVE":
+        return "WITH RECURSIVE " + CANONICAL_CTES.strip() + ",\n" + body[14:].lstrip()
     if body[:4].upper() == "WITH":
         return "WITH " + CANONICAL_CTES.strip() + ",\n" + body[4:].lstrip()
     return "WITH " + CANONICAL_CTES.strip() + "\n" + body
