@@ -16,7 +16,7 @@ _PHONE_RUN = r"\+?[0-9][0-9 ()-]{6,}[0-9]"
 
 
 def _contacts(spark, sf_dir):
-    d = Academy(spark, sf_dir).raw("documents")
+    d = Academy(spark, sf_dir).text("documents", "doc_id", "source", "text")
     return d.select("doc_id", "source",
                     F.regexp_extract("text", _EMAIL_RUN, 0).alias("email"),
                     F.regexp_extract("text", _PHONE_RUN, 0).alias("phone"))
@@ -89,7 +89,7 @@ FROM documents
 """)
 def q_clean_documents(spark, sf_dir):
     """Whole-text cleaning of every document; long outputs compared by digest."""
-    d = Academy(spark, sf_dir).raw("documents")
+    d = Academy(spark, sf_dir).text("documents", "doc_id", "text")
     t = TJ.clean_text_columns(d, ["text"], keep=("doc_id", "text"))
     return t.select("doc_id", F.md5("text_clean").alias("text_clean_md5"),
                     F.md5("text_slug").alias("text_slug_md5"),
@@ -111,7 +111,7 @@ SELECT conv_id, turn, role, coalesce({_TITLE_SQL.format(c='text')}, '') AS text_
 FROM conversations
 """)
 def q_title_case_conversations(spark, sf_dir):
-    c = Academy(spark, sf_dir).raw("conversations")
+    c = Academy(spark, sf_dir).text("conversations", "conv_id", "turn", "role", "text")
     return c.select("conv_id", "turn", "role", C.title_case("text").alias("text_title"),
                     C.slugify("text").alias("text_slug"))
 

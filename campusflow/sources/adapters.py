@@ -15,6 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from campusflow.operators.layout import spread
 from campusflow.sources.tables import read_test_table
 
 
@@ -28,6 +29,11 @@ class Academy:
     def raw(self, name: str) -> DataFrame:
         return read_test_table(self.spark, self.sf_dir, name)
 
+    def text(self, name: str, *cols: str) -> DataFrame:
+        """A text table pruned to ``cols`` and spread over the cores for regex-heavy work."""
+        df = self.raw(name)
+        return spread(df.select(*cols) if cols else df)
+
     @property
     def students(self) -> DataFrame:
         return students_from_customer(self.raw("customer"))
