@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from campusflow.operators.throttle import throttle_batch
 from campusflow.plans.changes import _form
 from campusflow.plans.registry import query
 from campusflow.session import checkpoint_dir
@@ -81,7 +82,7 @@ def q_live_stats_stream(spark, sf_dir):
     return t.select(*_ntz("window_start", "window_end"), "event_type", "events", "value_sum")
 
 
-@query("throttle_events", """
+_THROTTLE_SQL = """
 WITH RECURSIVE t(user_id, ts) AS (
   SELECT user_id, min(ts) FROM events GROUP BY user_id
   UNION ALL
@@ -90,7 +91,19 @@ WITH RECURSIVE t(user_id, ts) AS (
     WHERE e.user_id = t.user_id AND e.ts >= t.ts + INTERVAL 6 HOUR GROUP BY e.user_id) n)
 SELECT t.user_id, t.ts, e.event_id, e.event_type
 FROM t JOIN events e ON e.user_id = t.user_id AND e.ts = t.ts
-""")
+"""
+
+
+@query("throttle_batch", _THROTTLE_SQL)
+def q_throttle_batch(spark, sf_dir):
+    """Per user, an event then silence for 6 hours: the skew-proof batch job."""
+    checkpoint_dir(spark, allow_local=True)
+    ev = Academy(spark, sf_dir).raw("events")
+    out = throttle_batch(ev, "user_id", limit_seconds=6 * 3600)
+    return out.select("user_id", F.col("ts").cast("timestamp_ntz").alias("ts"), "event_id", "event_type")
+
+
+@query("throttle_events", _THROTTLE_SQL)
 def q_throttle_events(spark, sf_dir):
     """Per user, an event then silence for 6 hours (greedy), from the event stream."""
     out = S.throttle_events(_events_stream(spark, sf_dir), "user_id", limit_seconds=6 * 3600,

@@ -9,7 +9,8 @@ QUERIES = entry.queries()
 # queries whose builder runs a stream or a write before returning: their plan is a scan of the result
 SIDE_EFFECT = {"debounce_stream", "live_stats_stream", "throttle_events", "stream_audit", "stream_upsert",
                "stream_admissions", "export_import_csv", "import_csv_rejects", "export_json",
-               "export_snapshot"}
+               "export_snapshot", "throttle_batch", "upsert_settings", "admit_students",
+               "admit_students_enrollments"}
 
 
 def plan(df):

@@ -99,3 +99,21 @@ def test_live_stats_stream_equals_batch(spark, sf_small):
     a = sorted(map(tuple, q["live_stats"](spark, sf_small).collect()))
     b = sorted(map(tuple, q["live_stats_stream"](spark, sf_small).collect()))
     assert a == b
+
+
+def test_throttle_batch_fixture_brute_force_and_hot_key(spark, sf_small):
+    from campusflow.operators.throttle import throttle_batch
+    base = dt.datetime(2024, 1, 1)
+    rows = [(i, "u", base + dt.timedelta(seconds=s)) for i, s in enumerate([0, 4, 5, 9, 10])]
+    df = spark.createDataFrame(rows, "event_id long, user string, ts timestamp")
+    assert sorted(r.event_id for r in throttle_batch(df, "user", limit_seconds=5).collect()) == [0, 2, 4]
+    ev = spark.read.parquet(f"{sf_small}/events.parquet")
+    rows = [(r.event_id, r.user_id, r.ts) for r in ev.select("event_id", "user_id", "ts").collect()]
+    for parts in (None, 7):
+        got = throttle_batch(ev, "user_id", limit_seconds=6 * 3600, num_partitions=parts)
+        assert sorted(r.event_id for r in got.collect()) == _brute_throttle(rows, 6 * 3600)
+    # one key holding every row: the work still spreads over range partitions
+    hot = ev.withColumn("user_id", F.lit(1))
+    rows = [(r.event_id, 1, r.ts) for r in ev.select("event_id", "ts").collect()]
+    got = throttle_batch(hot, "user_id", limit_seconds=600, num_partitions=8)
+    assert sorted(r.event_id for r in got.collect()) == _brute_throttle(rows, 600)
