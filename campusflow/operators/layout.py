@@ -17,3 +17,16 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     if df.rdd.getNumPartitions() >= target:
         return df
     return df.repartition(target)
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Compute a small frame once when several consumers read it (a top-k feeding lookups).
+
+    With a checkpoint folder configured (``spark.checkpoint.dir``) the rows are
+    written there (reliable: survives lost executors and cuts lineage); without
+    one the frame is cached and recomputed from lineage if a block is lost.
+    """
+    spark = df.sparkSession
+    if spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir():
+        return df.checkpoint(eager=True)
+    return df.cache()

@@ -3,7 +3,7 @@
 Join strategy is left to Catalyst/AQE: dimension sides (courses, students)
 grow with the data, so nothing is hinted; AQE turns a join into a broadcast
 only when the measured shuffle size is under ``autoBroadcastJoinThreshold``.
-The one explicit ``broadcast`` is of a top-k result, bounded by ``n``.
+The one explicit ``broadcast`` is of the keys of a top-k result, bounded by ``n``.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from campusflow.functions import columns as C
+from campusflow.operators.layout import materialize
 
 STUDENT_LIST_COLS = ["id", "student_id", "name", "email", "phone", "course_name",
                      "admission_date", "status"]
@@ -120,14 +121,15 @@ def recent_admissions(enrollments: DataFrame, students: DataFrame, courses: Data
                       n: int = 5) -> DataFrame:
     """Newest ``n`` enrollments with student name/email and course name.
 
-    The top-``n`` is cut first (one ``TakeOrderedAndProject`` over enrollments),
-    then only the matching students and courses are fetched.  An enrollment
-    whose student is missing shows 'N/A' instead of vanishing.
+    The top-``n`` is cut first (one ``TakeOrderedAndProject`` over enrollments)
+    and materialised once, then only the matching students and courses are
+    fetched.  An enrollment whose student is missing shows 'N/A' instead of
+    vanishing.
     """
     order = [F.col("enrollment_date").desc_nulls_last(), F.col("id").desc(),
              F.col("student_id").asc(), F.col("course_id").asc()]
-    top = (enrollments.select("id", "student_id", "course_id", "enrollment_date", "status")
-           .orderBy(*order).limit(n))
+    top = materialize(enrollments.select("id", "student_id", "course_id", "enrollment_date", "status")
+                      .orderBy(*order).limit(n))
     s = _semi_lookup(students.select("id", "name", "email"), "id",
                      top.select(F.col("student_id").alias("_k")).distinct())
     s = s.select(F.col("id").alias("_sid"), "name", "email")
