@@ -53,7 +53,10 @@ def filter_payments(df: DataFrame, status: str = "", date_from=None) -> DataFram
     if status:
         df = df.filter(F.col("payment_status") == F.lit(status))
     if date_from:
-        df = df.filter(F.col("payment_date") >= C._date_lit(date_from))
+        day = C._date_lit(date_from)
+        df = df.filter(F.col("payment_date") >= day)
+        if "payment_month" in df.columns:  # month-partitioned storage: prune directories too
+            df = df.filter(F.col("payment_month") >= F.trunc(day, "MM"))
     return df
 
 

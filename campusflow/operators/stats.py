@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from campusflow.functions.columns import _date_lit
 from campusflow.schemas import MONEY_SUM
+from campusflow.sources.store import month_filter
 
 _COUNT_COLS = ("total_students", "total_courses", "total_payments")
 _MONEY_COLS = ("total_revenue", "pending_fees", "overdue_fees", "monthly_revenue")
@@ -76,7 +77,7 @@ def monthly_revenue(payments: DataFrame, as_of) -> DataFrame:
     predicate, so it reaches the scan (and prunes partitions when payments are
     stored partitioned by month)."""
     lo, hi = month_bounds(as_of)
-    return (payments.filter((F.col("payment_date") >= lo) & (F.col("payment_date") < hi))
+    return (month_filter(payments, "payment_date", lo, hi)
             .agg(F.coalesce(_money_sum(F.col("amount")), F.lit(0).cast(MONEY_SUM))
                  .alias("monthly_revenue"),
                  F.count(F.lit(1)).alias("payments_in_month")))

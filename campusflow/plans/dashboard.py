@@ -42,3 +42,22 @@ WHERE payment_date >= date_trunc('month', DATE '{AS_OF_SALES[:10]}')
 """)
 def q_monthly_revenue(spark, sf_dir):
     return stats.monthly_revenue(Academy(spark, sf_dir).payments, AS_OF_SALES)
+
+
+@query("monthly_revenue_pruned", f"""
+SELECT CAST(coalesce(sum(amount), 0) AS DECIMAL(18,2)) AS monthly_revenue,
+       count(*) AS payments_in_month
+FROM payments
+WHERE payment_date >= date_trunc('month', DATE '{AS_OF_SALES[:10]}')
+  AND payment_date < date_trunc('month', DATE '{AS_OF_SALES[:10]}') + INTERVAL 1 MONTH
+""")
+def q_monthly_revenue_pruned(spark, sf_dir):
+    """Monthly revenue over payments stored partitioned by month: one directory is read."""
+    import uuid
+
+    from campusflow.session import checkpoint_dir
+    from campusflow.sources.store import write_by_month
+    from campusflow.sources.tables import scan_table
+    path = f"{checkpoint_dir(spark, allow_local=True).rstrip('/')}/payments-by-month-{uuid.uuid4().hex}"
+    write_by_month(Academy(spark, sf_dir).payments, path, "payment_date")
+    return stats.monthly_revenue(scan_table(spark, path), AS_OF_SALES)

@@ -139,3 +139,31 @@ FROM screenshots WHERE verification_status = 'pending' GROUP BY screenshot_type
 """)
 def q_screenshot_review(spark, sf_dir):
     return R.screenshot_review(Academy(spark, sf_dir).screenshots, "2024-02-01 00:00:00")
+
+
+@query("student_stats_bucketed", """
+SELECT s.id, s.student_id, s.name, coalesce(e.courses, 0) AS courses,
+       CAST(coalesce(p.paid, 0) AS DECIMAL(18,2)) AS total_paid,
+       CAST(coalesce(p.due, 0) AS DECIMAL(18,2)) AS total_due,
+       CASE WHEN e.pn > 0 THEN CAST(e.ps AS DOUBLE) / e.pn END AS mean_progress
+FROM students s
+LEFT JOIN (SELECT student_id, count(*) AS courses, sum(progress) AS ps, count(progress) AS pn
+           FROM enrollments GROUP BY student_id) e ON s.id = e.student_id
+LEFT JOIN (SELECT student_id, sum(amount) FILTER (WHERE payment_status = 'paid') AS paid,
+                  sum(amount) FILTER (WHERE payment_status <> 'paid') AS due
+           FROM payments GROUP BY student_id) p ON s.id = p.student_id
+""")
+def q_student_stats_bucketed(spark, sf_dir):
+    """student_stats over tables bucketed on the student key: no exchange before the joins."""
+    import uuid
+
+    from campusflow.session import checkpoint_dir
+    from campusflow.sources.store import write_bucketed
+    a = Academy(spark, sf_dir)
+    tag = uuid.uuid4().hex[:12]
+    root = f"{checkpoint_dir(spark, allow_local=True).rstrip('/')}/bucketed-{tag}"
+    n = 8
+    s = write_bucketed(a.students, f"cf_students_{tag}", f"{root}/students", "id", n)
+    e = write_bucketed(a.enrollments, f"cf_enrollments_{tag}", f"{root}/enrollments", "student_id", n)
+    p = write_bucketed(a.payments, f"cf_payments_{tag}", f"{root}/payments", "student_id", n)
+    return R.student_stats(s, e, p)

@@ -10,7 +10,7 @@ QUERIES = entry.queries()
 SIDE_EFFECT = {"debounce_stream", "live_stats_stream", "throttle_events", "stream_audit", "stream_upsert",
                "stream_admissions", "export_import_csv", "import_csv_rejects", "export_json",
                "export_snapshot", "throttle_batch", "upsert_settings", "admit_students",
-               "admit_students_enrollments"}
+               "admit_students_enrollments", "monthly_revenue_pruned", "student_stats_bucketed"}
 
 
 def plan(df):
@@ -52,3 +52,14 @@ def test_top_k_is_take_ordered(spark, name):
 
 def test_keep_last_n_limits_before_shuffle(spark):
     assert "WindowGroupLimit" in plan(QUERIES["keep_last_n"](spark, SF))
+
+
+def test_month_partitions_are_pruned(spark):
+    p = plan(QUERIES["monthly_revenue_pruned"](spark, SF))
+    assert "PartitionFilters: [isnotnull(payment_month" in p and "(payment_month" in p.split("PartitionFilters")[1]
+
+
+def test_bucketed_aggregates_skip_the_exchange(spark):
+    p = plan(QUERIES["student_stats_bucketed"](spark, SF))
+    assert p.count("Bucketed: true") == 2
+    assert "Exchange hashpartitioning(student_id" not in p
