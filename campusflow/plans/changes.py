@@ -174,3 +174,18 @@ def q_admit_students_enrollments(spark, sf_dir):
     a = Academy(spark, sf_dir)
     existing = a.students.filter(F.col("admission_date") < F.lit("2024-07-01").cast("date"))
     return Ch.admit_students(existing, _form(a), as_of="2024-07-01 09:00:00")["enrollments"]
+
+
+@query("append_keep_last_n", """
+SELECT id, user_id, "timestamp", action FROM (
+  SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY "timestamp" DESC, id DESC) AS rn
+  FROM audit_log) WHERE rn <= 10
+""")
+def q_append_keep_last_n(spark, sf_dir):
+    """The log kept to 10 per user before Jan 15, then the later entries appended and trimmed:
+    equal to trimming the whole log at once."""
+    log = Academy(spark, sf_dir).audit_log.select("id", "user_id", "timestamp", "action")
+    split = F.to_timestamp(F.lit(_SPLIT_TS))
+    kept = Ch.keep_last_n(log.filter(F.col("timestamp") < split), "user_id", "timestamp", "id", 10)
+    out = Ch.append_keep_last_n(kept, log.filter(F.col("timestamp") >= split), "user_id", "timestamp", "id", 10)
+    return out.select("id", "user_id", *_ntz("timestamp"), "action")

@@ -160,3 +160,21 @@ def q_stream_admissions(spark, sf_dir):
                         students.student_id == F.col("_c"), "left_anti")
     return new.select("id", "student_id", "name", "email", "phone", "address", "course_id",
                       "admission_date", "status")
+
+
+@query("debounce_first", """
+WITH e AS (SELECT user_id, ts, event_id, event_type,
+                  lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS prev FROM events),
+b AS (SELECT *, sum(CASE WHEN prev IS NULL OR ts - prev > INTERVAL 5 MINUTE THEN 1 ELSE 0 END)
+                  OVER (PARTITION BY user_id ORDER BY ts, event_id
+                        ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS burst FROM e)
+SELECT user_id, min(ts) AS burst_start, max(ts) AS burst_end, count(*) AS events,
+       arg_min(event_id, ts) AS first_event_id, arg_min(event_type, ts) AS first_event_type
+FROM b GROUP BY user_id, burst
+""")
+def q_debounce_first(spark, sf_dir):
+    """Leading-edge debounce: bursts at 5 minutes, the first event kept."""
+    d = S.debounce_events(Academy(spark, sf_dir).raw("events"), "user_id", wait="5 minutes", keep="first",
+                          payload=("event_type",))
+    return d.select("user_id", *_ntz("burst_start", "burst_end"), "events", "first_event_id",
+                    "first_event_type")

@@ -233,3 +233,28 @@ def q_admission_code(spark, sf_dir):
     c = Academy(spark, sf_dir).raw("customer")
     return c.select(F.col("c_custkey").alias("id"), C.admission_code("c_custkey").alias("code"),
                     C.capitalize(F.lower("c_mktsegment")).alias("segment"))
+
+
+@query("sanitize_emails", f"""
+SELECT doc_id, email,
+       CASE WHEN regexp_matches(e, '^[^@]+@[^@]+\\.[^@]+$') THEN e ELSE '' END AS email_clean
+FROM (SELECT doc_id, regexp_extract(text, '{_EMAIL_RUN}', 0) AS email,
+             regexp_replace(lower(trim(regexp_extract(text, '{_EMAIL_RUN}', 0))),
+                            '[^a-z0-9.!#$%&''*+/=?^_`{{|}}~@-]', '', 'g') AS e
+      FROM documents)
+""")
+def q_sanitize_emails(spark, sf_dir):
+    c = _contacts(spark, sf_dir)
+    return c.select("doc_id", "email", C.sanitize_email("email").alias("email_clean"))
+
+
+@query("search_documents", """
+SELECT doc_id, lang, source, n_chars FROM documents
+WHERE contains(lower(concat_ws(chr(10), text, lang, source)), 'example.com')
+""")
+def q_search_documents(spark, sf_dir):
+    """Whole-text search over every document (literal, case-insensitive)."""
+    from campusflow.operators.search import search_rows
+    d = Academy(spark, sf_dir).text("documents", "doc_id", "text", "lang", "source", "n_chars")
+    return search_rows(d, "Example.COM", ["text", "lang", "source"]).select("doc_id", "lang", "source",
+                                                                            "n_chars")
