@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from campusflow.operators.bursts import debounce_batch
 from campusflow.operators.throttle import throttle_batch
 from campusflow.plans.changes import _form
 from campusflow.plans.registry import query
@@ -41,16 +42,14 @@ FROM b GROUP BY user_id, burst
 """
 
 
-def _debounce(df):
-    d = S.debounce_events(df, "user_id", wait="30 minutes", keep="last", payload=("value",),
-                          watermark="1 hour")
-    return d.select("user_id", *_ntz("burst_start", "burst_end"), "events", "last_event_id", "last_value")
-
-
 @query("debounce_events", _DEBOUNCE_SQL)
 def q_debounce_events(spark, sf_dir):
-    """Per-user bursts of events no more than 30 minutes apart, the last event kept."""
-    return _debounce(Academy(spark, sf_dir).raw("events"))
+    """Per-user bursts of events no more than 30 minutes apart, the last event kept
+    (the skew-proof batch job; the stream below uses session windows)."""
+    checkpoint_dir(spark, allow_local=True)
+    d = debounce_batch(Academy(spark, sf_dir).raw("events"), "user_id", wait_seconds=1800, keep="last",
+                       payload=("value",))
+    return d.select("user_id", *_ntz("burst_start", "burst_end"), "events", "last_event_id", "last_value")
 
 
 @query("debounce_stream", _DEBOUNCE_SQL)
@@ -174,7 +173,8 @@ FROM b GROUP BY user_id, burst
 """)
 def q_debounce_first(spark, sf_dir):
     """Leading-edge debounce: bursts at 5 minutes, the first event kept."""
-    d = S.debounce_events(Academy(spark, sf_dir).raw("events"), "user_id", wait="5 minutes", keep="first",
-                          payload=("event_type",))
+    checkpoint_dir(spark, allow_local=True)
+    d = debounce_batch(Academy(spark, sf_dir).raw("events"), "user_id", wait_seconds=300, keep="first",
+                       payload=("event_type",))
     return d.select("user_id", *_ntz("burst_start", "burst_end"), "events", "first_event_id",
                     "first_event_type")

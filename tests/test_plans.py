@@ -10,7 +10,8 @@ QUERIES = entry.queries()
 SIDE_EFFECT = {"debounce_stream", "live_stats_stream", "throttle_events", "stream_audit", "stream_upsert",
                "stream_admissions", "export_import_csv", "import_csv_rejects", "export_json",
                "export_snapshot", "throttle_batch", "upsert_settings", "admit_students",
-               "admit_students_enrollments", "monthly_revenue_pruned", "student_stats_bucketed"}
+               "admit_students_enrollments", "monthly_revenue_pruned", "student_stats_bucketed",
+               "debounce_events", "debounce_first"}
 
 
 def plan(df):

@@ -117,3 +117,17 @@ def test_throttle_batch_fixture_brute_force_and_hot_key(spark, sf_small):
     rows = [(r.event_id, 1, r.ts) for r in ev.select("event_id", "ts").collect()]
     got = throttle_batch(hot, "user_id", limit_seconds=600, num_partitions=8)
     assert sorted(r.event_id for r in got.collect()) == _brute_throttle(rows, 600)
+
+
+def test_debounce_batch_equals_session_windows_on_a_hot_key(spark, sf_small):
+    from campusflow.operators.bursts import debounce_batch
+    base = dt.datetime(2024, 1, 1)
+    rows = [(i, "u", base + dt.timedelta(seconds=s)) for i, s in enumerate([0, 4, 9, 15])]
+    df = spark.createDataFrame(rows, "event_id long, user string, ts timestamp")
+    assert sorted((r.events, r.last_event_id) for r in debounce_batch(df, "user", wait_seconds=5).collect()) \
+        == [(1, 3), (3, 2)]
+    ev = spark.read.parquet(f"{sf_small}/events.parquet")
+    for data, wait, parts in [(ev, 1800, 5), (ev.withColumn("user_id", F.lit(7)), 120, 9)]:
+        a = debounce_batch(data, "user_id", wait_seconds=wait, payload=("value",), num_partitions=parts)
+        b = S.debounce_events(data, "user_id", wait=f"{wait} seconds", payload=("value",))
+        assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
