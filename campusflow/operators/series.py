@@ -25,8 +25,9 @@ def revenue_by_month(payments: DataFrame) -> DataFrame:
 def month_spine(anchor: DataFrame, as_of, period: int) -> DataFrame:
     """``period`` month starts ending at the month of ``as_of`` (one row per month).
 
-    Built from a single aggregate row of ``anchor`` so the plan stays rooted in
-    the queried table; its size is ``period`` by construction.
+    Built from a single aggregate row of ``anchor`` (pass a small frame, such as
+    the monthly counts, so no large table is scanned for it); its size is
+    ``period`` by construction.
     """
     end = F.trunc(C._date_lit(as_of), "MM")
     start = F.add_months(end, -(period - 1))
@@ -44,7 +45,7 @@ def enrollments_by_month(enrollments: DataFrame, as_of, period: int = 12) -> Dat
               .filter((F.col("enrollment_date") >= start) & (F.col("enrollment_date") < F.add_months(end, 1)))
               .groupBy(F.trunc("enrollment_date", "MM").alias("_m"))
               .agg(F.count(F.lit(1)).alias("_n")))
-    spine = month_spine(enrollments, as_of, period)
+    spine = month_spine(counts, as_of, period)
     # both sides hold at most ``period`` rows
     j = spine.join(F.broadcast(counts), spine.month == counts._m, "left")
     return j.select("month", F.date_format("month", "yyyy-MM").alias("label"),
