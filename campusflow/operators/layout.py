@@ -20,13 +20,12 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Compute a small frame once when several consumers read it (a top-k feeding lookups).
+    """Compute a small derived frame once when several consumers read it (a top-k feeding
+    lookups, per-course counts feeding a top-k and a relabelling).
 
-    With a checkpoint folder configured (``spark.checkpoint.dir``) the rows are
-    written there (reliable: survives lost executors and cuts lineage); without
-    one the frame is cached and recomputed from lineage if a block is lost.
+    Cached, so AQE plans it as one table-cache stage per query; a lost block is
+    recomputed from lineage, which is deterministic here (an aggregate or an
+    ordered top-k).  Jobs whose passes must see identical rows (dense ids, the
+    throttle and debounce scans) checkpoint instead.
     """
-    spark = df.sparkSession
-    if spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir():
-        return df.checkpoint(eager=True)
     return df.cache()

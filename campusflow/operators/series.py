@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from campusflow.functions import columns as C
+from campusflow.operators.layout import materialize
 from campusflow.schemas import MONEY_SUM
 
 
@@ -55,10 +56,11 @@ def enrollments_by_month(enrollments: DataFrame, as_of, period: int = 12) -> Dat
 def enrollment_distribution(enrollments: DataFrame, courses: DataFrame, top: int = 4) -> DataFrame:
     """Share of enrollments per course: the ``top`` courses by count, the rest as 'Other'.
 
-    Counts per course (partial agg) -> top-k via TakeOrderedAndProject ->
-    the k winners (bounded by ``top``) are broadcast back onto the counts.
+    Counts per course (partial agg, materialised once: both the top-k and the
+    relabelling read them) -> top-k via TakeOrderedAndProject -> the k winners
+    (bounded by ``top``) are broadcast back onto the counts.
     """
-    counts = enrollments.groupBy("course_id").agg(F.count(F.lit(1)).alias("n"))
+    counts = materialize(enrollments.groupBy("course_id").agg(F.count(F.lit(1)).alias("n")))
     winners = (counts.orderBy(F.col("n").desc(), F.col("course_id").asc_nulls_last()).limit(top)
                .select(F.col("course_id").alias("_w"), F.col("n").alias("_wn")))
     ranked = winners.select("_w", F.row_number().over(
