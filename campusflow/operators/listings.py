@@ -92,7 +92,8 @@ def page_rows(df: DataFrame, order_by, page: int = 1, per_page: int = 20) -> Dat
     top = df.orderBy(*order_by).offset(skip).limit(per_page) if skip else \
         df.orderBy(*order_by).limit(per_page)
     # numbering the <= per_page rows left; the unpartitioned window is bounded by per_page
-    return top.withColumn("row_no", F.row_number().over(Window.orderBy(*order_by)) + F.lit(skip))
+    return top.withColumn("row_no", (F.row_number().over(Window.orderBy(*order_by)) + F.lit(skip))
+                          .cast("bigint"))
 
 
 def page_after(df: DataFrame, key: str, tiebreak: str, last_key, last_tiebreak,
@@ -139,7 +140,7 @@ def recent_admissions(enrollments: DataFrame, students: DataFrame, courses: Data
     j = (top.join(s, top.student_id == s._sid, "left").join(c, top.course_id == c._cid, "left"))
     return j.select(
         # numbering the <= n rows left; the unpartitioned window is bounded by n
-        F.row_number().over(Window.orderBy(*order)).alias("row_no"),
+        F.row_number().over(Window.orderBy(*order)).cast("bigint").alias("row_no"),
         F.col("id").alias("enrollment_id"),
         C.default_value("name", C.NOT_AVAILABLE).alias("student_name"),
         C.default_value("email", C.NOT_AVAILABLE).alias("email"),
@@ -156,7 +157,7 @@ def upcoming_courses(courses: DataFrame, as_of, n: int = 5) -> DataFrame:
     top = (courses.select("id", "course_name", "description", "start_date")
            .filter(F.col("start_date") >= day).orderBy(*order).limit(n))
     return top.select(
-        F.row_number().over(Window.orderBy(*order)).alias("row_no"),
+        F.row_number().over(Window.orderBy(*order)).cast("bigint").alias("row_no"),
         "id", "course_name",
         C.default_value("description", C.NO_DESCRIPTION).alias("description"),
         C.format_date_short("start_date").alias("start_date"),

@@ -66,7 +66,7 @@ def enrollment_distribution(enrollments: DataFrame, courses: DataFrame, top: int
     ranked = winners.select("_w", F.row_number().over(
         Window.orderBy(F.col("_wn").desc(), F.col("_w").asc_nulls_last())).alias("_rank"))
     tagged = counts.join(F.broadcast(ranked), counts.course_id.eqNullSafe(ranked._w), "left")
-    grouped = (tagged.groupBy(F.coalesce("_rank", F.lit(top + 1)).alias("rank"))
+    grouped = (tagged.groupBy(F.coalesce("_rank", F.lit(top + 1)).cast("bigint").alias("rank"))
                .agg(F.max(F.when(F.col("_rank").isNotNull(), F.col("course_id"))).alias("course_id"),
                     F.sum("n").alias("enrollments")))
     names = courses.select(F.col("id").alias("_cid"), "course_name")

@@ -57,7 +57,8 @@ def q_import_csv_rejects(spark, sf_dir):
     Fs.export_csv(raw, path)
     schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_chars", T.LongType())])
     _, rejected = Fs.import_csv(spark, path, schema)
-    return rejected.select("doc_id", F.array_join("errors", "; ").alias("error_text"))
+    return rejected.select(F.col("doc_id").cast("bigint").alias("doc_id"),
+                           F.array_join("errors", "; ").alias("error_text"))
 
 
 @query("export_json", """

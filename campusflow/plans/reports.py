@@ -126,7 +126,8 @@ def q_recent_activity(spark, sf_dir):
 
 
 @query("screenshot_review", """
-SELECT screenshot_type, count(*) AS files, sum(file_size) AS total_bytes, min(upload_date) AS oldest_upload,
+SELECT screenshot_type, count(*) AS files, CAST(sum(file_size) AS BIGINT) AS total_bytes,
+       min(upload_date) AS oldest_upload,
        CAST(DATE '2024-02-01' - CAST(min(upload_date) AS DATE) AS INTEGER) AS max_age_days,
        CASE WHEN sum(file_size) < 1024 THEN CAST(sum(file_size) AS VARCHAR) || ' Bytes'
             WHEN sum(file_size) < 1048576

@@ -54,7 +54,7 @@ FROM checked
 """)
 def q_validate_rows(spark, sf_dir):
     v = _validated(spark, sf_dir)
-    return v.select("doc_id", "email", "phone", "is_valid", F.size("errors").alias("n_errors"),
+    return v.select("doc_id", "email", "phone", "is_valid", F.size("errors").cast("bigint").alias("n_errors"),
                     F.array_join("errors", "; ").alias("error_text"))
 
 
@@ -95,7 +95,7 @@ def q_clean_documents(spark, sf_dir):
                     F.md5("text_slug").alias("text_slug_md5"),
                     F.md5("text_capitalized").alias("text_capitalized_md5"),
                     "text_preview", F.md5("text_html").alias("text_html_md5"),
-                    F.length("text").alias("n_chars"))
+                    F.length("text").cast("bigint").alias("n_chars"))
 
 
 _TITLE_SQL = """list_aggregate(list_transform(regexp_extract_all({c}, '(\\s+|\\S+)', 1),
