@@ -83,16 +83,26 @@ def stream_admissions(forms: DataFrame, students_path: str, enrollments_path: st
 
 # ---- settings upserts -------------------------------------------------------------------
 
+def _latest_version(spark: SparkSession, settings_root: str, below: int | None = None):
+    """Newest version number present (below ``below``), or None; one number to the driver."""
+    try:
+        v = spark.read.parquet(settings_root).select("version")
+    except Exception:  # nothing written yet
+        return None
+    if below is not None:
+        v = v.filter(F.col("version") < below)
+    return v.agg(F.max("version")).first()[0]
+
+
 def upsert_batch(spark: SparkSession, batch: DataFrame, settings_root: str, batch_id: int) -> None:
     """Apply one batch of changes on top of the newest version below ``batch_id`` and write
-    version ``batch_id`` (dynamic partition overwrite: a replay rewrites the same version)."""
-    try:
-        versions = spark.read.parquet(settings_root)
-        prev = versions.filter(F.col("version") < batch_id)
-        latest = prev.agg(F.max("version").alias("v"))
-        current = prev.join(latest, prev.version == latest.v, "left_semi").drop("version")
-    except Exception:  # no version yet
+    version ``batch_id`` (dynamic partition overwrite: a replay rewrites the same version).
+    Only the previous version's directory is read (partition pruning on a literal)."""
+    prev = _latest_version(spark, settings_root, below=batch_id)
+    if prev is None:
         current = spark.createDataFrame([], SETTINGS)
+    else:
+        current = spark.read.parquet(settings_root).filter(F.col("version") == F.lit(prev)).drop("version")
     new = Ch.upsert_settings(current.select(*SETTINGS.fieldNames()), batch)
     (new.withColumn("version", F.lit(batch_id).cast("bigint"))
      .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
@@ -100,9 +110,8 @@ def upsert_batch(spark: SparkSession, batch: DataFrame, settings_root: str, batc
 
 
 def latest_settings(spark: SparkSession, settings_root: str) -> DataFrame:
-    v = spark.read.parquet(settings_root)
-    latest = v.agg(F.max("version").alias("_v"))
-    return v.join(latest, v.version == latest._v, "left_semi").drop("version")
+    v = _latest_version(spark, settings_root)
+    return spark.read.parquet(settings_root).filter(F.col("version") == F.lit(v)).drop("version")
 
 
 def stream_upsert(changes: DataFrame, settings_root: str, checkpoint: str):
