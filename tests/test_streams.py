@@ -131,3 +131,25 @@ def test_debounce_batch_equals_session_windows_on_a_hot_key(spark, sf_small):
         a = debounce_batch(data, "user_id", wait_seconds=wait, payload=("value",), num_partitions=parts)
         b = S.debounce_events(data, "user_id", wait=f"{wait} seconds", payload=("value",))
         assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
+
+
+def test_stream_upsert_over_several_micro_batches(spark, sf_small, tmp_path):
+    """Versions chain batch to batch: final values and update stamps equal one upsert of all."""
+    from campusflow.operators import changes as Ch
+    from campusflow.sources.adapters import Academy
+    ch = Academy(spark, sf_small).setting_changes
+    src = str(tmp_path / "changes")
+    bounds = ["2024-01-01", "2024-01-11", "2024-01-21", "2024-02-01"]
+    for lo, hi in zip(bounds, bounds[1:]):  # three files, one per micro-batch, covering every change
+        part = ch.filter((F.col("changed_at") >= F.lit(lo).cast("timestamp"))
+                         & (F.col("changed_at") < F.lit(hi).cast("timestamp")))
+        part.coalesce(1).write.mode("append").parquet(src)
+    assert spark.read.parquet(src).count() == ch.count()
+    stream = spark.readStream.schema(ch.schema).option("maxFilesPerTrigger", 1).parquet(src)
+    root = _scratch(spark, "settings")
+    J.stream_upsert(stream, root, _scratch(spark, "ck")).awaitTermination()
+    assert spark.read.parquet(root).select("version").distinct().count() == 3
+    got = {r.setting_key: (r.setting_value, r.updated_at) for r in J.latest_settings(spark, root).collect()}
+    want = {r.setting_key: (r.setting_value, r.updated_at)
+            for r in Ch.upsert_settings(Ch.empty_settings(spark), ch).collect()}
+    assert got == want
