@@ -12,6 +12,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from campusflow.operators import changes as Ch
 from campusflow.schemas import ENROLLMENTS, SETTINGS, STUDENTS
@@ -38,10 +39,18 @@ def run_to_memory(df: DataFrame, checkpoint: str, mode: str = "append") -> DataF
 
 # ---- admissions -------------------------------------------------------------------------
 
+def init_table(spark: SparkSession, path: str, schema, partition_by: str | None = None) -> None:
+    """Create an empty table at ``path`` unless one exists (``mode('ignore')``)."""
+    w = spark.createDataFrame([], schema).write.mode("ignore")
+    if partition_by:
+        w = w.partitionBy(partition_by)
+    w.parquet(path)
+
+
 def _read_or_empty(spark: SparkSession, path: str, schema) -> DataFrame:
     try:
         return spark.read.schema(schema).parquet(path)
-    except Exception:  # first batch: the table does not exist yet
+    except Exception:  # table not created: treat as empty
         return spark.createDataFrame([], schema)
 
 
@@ -76,6 +85,8 @@ def stream_admissions(forms: DataFrame, students_path: str, enrollments_path: st
     if watermark and event_time:
         df = df.withWatermark(event_time, watermark).dropDuplicatesWithinWatermark(["student_id"])
     spark = forms.sparkSession
+    init_table(spark, students_path, STUDENTS)
+    init_table(spark, enrollments_path, ENROLLMENTS)
     return (df.writeStream.option("checkpointLocation", checkpoint)
             .foreachBatch(lambda b, _id: admit_batch(spark, b, students_path, enrollments_path, as_of))
             .trigger(availableNow=True).start())
@@ -83,10 +94,13 @@ def stream_admissions(forms: DataFrame, students_path: str, enrollments_path: st
 
 # ---- settings upserts -------------------------------------------------------------------
 
+_VERSIONED = T.StructType(SETTINGS.fields + [T.StructField("version", T.LongType())])
+
+
 def _latest_version(spark: SparkSession, settings_root: str, below: int | None = None):
     """Newest version number present (below ``below``), or None; one number to the driver."""
     try:
-        v = spark.read.parquet(settings_root).select("version")
+        v = spark.read.schema(_VERSIONED).parquet(settings_root).select("version")
     except Exception:  # nothing written yet
         return None
     if below is not None:
@@ -116,6 +130,7 @@ def latest_settings(spark: SparkSession, settings_root: str) -> DataFrame:
 
 def stream_upsert(changes: DataFrame, settings_root: str, checkpoint: str):
     spark = changes.sparkSession
+    init_table(spark, settings_root, _VERSIONED, partition_by="version")
     return (changes.writeStream.option("checkpointLocation", checkpoint)
             .foreachBatch(lambda b, bid: upsert_batch(spark, b, settings_root, bid))
             .trigger(availableNow=True).start())
