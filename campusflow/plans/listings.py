@@ -18,8 +18,18 @@ FROM students s LEFT JOIN courses c ON s.course_id = c.id
 """
 
 
-@query("students_with_course", f"SELECT * FROM ({_STUDENT_LISTING_SQL})")
+@query("students_with_course", """
+SELECT s.*, coalesce(nullif(c.course_name, ''), 'N/A') AS course_name
+FROM students s LEFT JOIN courses c ON s.course_id = c.id
+""")
 def q_students_with_course(spark, sf_dir):
+    a = Academy(spark, sf_dir)
+    return Lst.students_with_course(a.students, a.courses)
+
+
+@query("list_students", f"SELECT * FROM ({_STUDENT_LISTING_SQL})")
+def q_list_students(spark, sf_dir):
+    """The students listing, newest first (the order is checked in tests)."""
     a = Academy(spark, sf_dir)
     return Lst.list_students(a.students, a.courses)
 
@@ -39,12 +49,22 @@ def q_payments_with_names(spark, sf_dir):
 
 
 @query("courses_with_enrollment_count", """
+SELECT c.*, coalesce(n.n, 0) AS enrolled_students
+FROM courses c LEFT JOIN (SELECT course_id, count(*) AS n FROM enrollments GROUP BY course_id) n
+  ON c.id = n.course_id
+""")
+def q_courses_with_enrollment_count(spark, sf_dir):
+    a = Academy(spark, sf_dir)
+    return Lst.courses_with_enrollment_count(a.courses, a.enrollments)
+
+
+@query("list_courses", """
 SELECT c.id, c.course_code, c.course_name, c.instructor, c.duration_weeks, c.price,
        coalesce(n.n, 0) AS enrolled_students, c.status, c.created_at
 FROM courses c LEFT JOIN (SELECT course_id, count(*) AS n FROM enrollments GROUP BY course_id) n
   ON c.id = n.course_id
 """)
-def q_courses_with_enrollment_count(spark, sf_dir):
+def q_list_courses(spark, sf_dir):
     a = Academy(spark, sf_dir)
     return Lst.list_courses(a.courses, a.enrollments)
 

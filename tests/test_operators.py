@@ -107,3 +107,14 @@ def test_drop_dataset_needs_confirm(spark):
         Ch.drop_dataset(spark, ["nope"])
     spark.range(3).write.mode("overwrite").saveAsTable("cf_tmp_drop")
     assert Ch.drop_dataset(spark, ["cf_tmp_drop", "cf_missing"], confirm=True) == ["cf_tmp_drop"]
+
+
+def test_listings_are_ordered(spark, sf_small):
+    import __spark_entry__ as entry
+    q = entry.queries()
+    rows = q["list_students"](spark, sf_small).collect()
+    keys = [(r.created_at, r.id) for r in rows]
+    assert keys == sorted(keys, reverse=True) and len(keys) == 150
+    rows = q["list_payments"](spark, sf_small).collect()
+    keys = [(r.payment_date, r.id) for r in rows]
+    assert keys == sorted(keys, reverse=True)
