@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from campusflow.functions import columns as C
 from campusflow.operators import listings as Lst
 from campusflow.operators import search as S
-from campusflow.plans.registry import AS_OF_COURSES, AS_OF_SALES, query
+from campusflow.plans.registry import AS_OF_COURSES, query
 from campusflow.sources.adapters import Academy
 
 _STUDENT_LISTING_SQL = """

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
 
 from campusflow.operators import series as Sr
 from campusflow.plans.registry import AS_OF_SALES, query
