@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-
 from campusflow.operators import series as Sr
 from campusflow.plans.registry import AS_OF_SALES, query
 from campusflow.sources.adapters import Academy
