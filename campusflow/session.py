@@ -58,6 +58,7 @@ def checkpoint_dir(spark: SparkSession, allow_local: bool = False) -> str:
     if not allow_local:
         raise RuntimeError("spark.checkpoint.dir is not set; configure a shared folder")
     d = tempfile.mkdtemp(prefix="campusflow-ckpt-")
-    spark.conf.set("spark.checkpoint.dir", d)
+    # spark.checkpoint.dir is a core setting (read-only at run time); register the folder
+    # with the context instead, which is what checkpoint() uses
     spark.sparkContext.setCheckpointDir(d)
-    return d
+    return spark.sparkContext.getCheckpointDir() or d
