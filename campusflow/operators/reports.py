@@ -109,14 +109,18 @@ def certificates_due(enrollments: DataFrame, students: DataFrame, courses: DataF
 
 
 def balance_due(enrollments: DataFrame, courses: DataFrame, payments: DataFrame) -> DataFrame:
-    """Per (student, course) enrolled: course price minus paid payments, never below 0."""
+    """Per (student, course) enrolled: course price minus paid payments, never below 0.
+
+    The distinct pairs and the paid sums are both hash-partitioned on
+    (student_id, course_id), so they join without another exchange; only
+    the course prices are joined on a different key.
+    """
     pairs = enrollments.select("student_id", "course_id").distinct()
     paid = (payments.filter(F.col("payment_status") == "paid")
-            .groupBy(F.col("student_id").alias("_ps"), F.col("course_id").alias("_pc"))
-            .agg(F.sum("amount").alias("_paid")))
+            .groupBy("student_id", "course_id").agg(F.sum("amount").alias("_paid")))
     c = courses.select(F.col("id").alias("_cid"), "price")
-    j = (pairs.join(c, pairs.course_id == c._cid, "left")
-         .join(paid, (pairs.student_id == paid._ps) & (pairs.course_id == paid._pc), "left"))
+    j = (pairs.join(paid, ["student_id", "course_id"], "left")
+         .join(c, F.col("course_id") == c._cid, "left"))
     paid_amt = F.coalesce(F.col("_paid").cast(MONEY_SUM), _zero_m())
     price = F.coalesce(F.col("price").cast(MONEY_SUM), _zero_m())
     return j.select("student_id", "course_id", price.alias("price"), paid_amt.alias("paid"),
