@@ -272,3 +272,19 @@ def q_sort_mixed(spark, sf_dir):
 def q_sort_rows(spark, sf_dir):
     s = Academy(spark, sf_dir).students.select("id", "name", "admission_date")
     return S.sort_rows(s, "admission_date", "desc", "id")
+
+
+@query("students_search_page", f"""
+SELECT *, row_number() OVER (ORDER BY created_at DESC NULLS LAST, id DESC) AS row_no
+FROM ({_STUDENT_LISTING_SQL})
+WHERE status = 'active'
+  AND contains(lower(concat_ws(chr(10), student_id, name, email, phone, course_name,
+                               CAST(admission_date AS VARCHAR), status)), 'customer#00000')
+ORDER BY created_at DESC NULLS LAST, id DESC LIMIT 20
+""")
+def q_students_search_page(spark, sf_dir):
+    """The list screen in one plan: filter -> search -> first page, newest first."""
+    a = Academy(spark, sf_dir)
+    listing = Lst.students_with_course(a.students, a.courses).select(*Lst.STUDENT_LIST_COLS, "created_at")
+    found = S.search_students(S.filter_students(listing, status="active"), "Customer#00000")
+    return Lst.page_rows(found, [F.col("created_at").desc_nulls_last(), F.col("id").desc()], page=1, per_page=20)
