@@ -146,12 +146,15 @@ fresh AS (SELECT * FROM valid WHERE student_id NOT IN (SELECT student_id FROM ex
 """
 
 
-@query("admit_students", f"""
+ADMIT_SQL = f"""
 WITH {_FORM_SQL}, {_CLEAN_SQL}
 SELECT (SELECT max(id) FROM existing) + row_number() OVER (ORDER BY student_id) AS id,
        student_id, name, email, phone, address, course_id, admission_date, 'active' AS status
 FROM fresh
-""")
+"""
+
+
+@query("admit_students", ADMIT_SQL)
 def q_admit_students(spark, sf_dir):
     """Every customer submits an admission form; those admitted before July are already
     students, rows with a bad phone are rejected; the rest become new students."""

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from campusflow.operators.bursts import debounce_batch
 from campusflow.operators.throttle import throttle_batch
-from campusflow.plans.changes import _form
+from campusflow.plans.changes import ADMIT_SQL, _form
 from campusflow.plans.registry import query
 from campusflow.session import checkpoint_dir
 from campusflow.sources.adapters import Academy
@@ -140,10 +140,10 @@ def q_stream_upsert(spark, sf_dir):
                                                  *_ntz("created_at", "updated_at"))
 
 
-@query("stream_admissions", None)
+@query("stream_admissions", ADMIT_SQL)
 def q_stream_admissions(spark, sf_dir):
-    """Admission forms arriving as files; new students come back from the written table.
-    (Same rows as ``admit_students``; checked against it in tests.)"""
+    """Admission forms arriving as files; new students come back from the written table
+    (the same rows as ``admit_students``, hence the same oracle)."""
     a = Academy(spark, sf_dir)
     students_path, enr_path = _scratch(spark, "students"), _scratch(spark, "enrollments")
     forms_path = _scratch(spark, "forms")
