@@ -118,3 +118,47 @@ def test_listings_are_ordered(spark, sf_small):
     rows = q["list_payments"](spark, sf_small).collect()
     keys = [(r.payment_date, r.id) for r in rows]
     assert keys == sorted(keys, reverse=True)
+
+
+def test_filter_sentinels_and_lookup(spark):
+    from campusflow.operators import search as S
+    df = spark.createDataFrame([(1, 5, "active"), (2, 5, "inactive"), (3, 6, "active")],
+                               "id long, course_id long, status string")
+    assert S.filter_students(df).count() == 3                      # 0 / '' mean "any"
+    assert [r.id for r in S.filter_students(df, course_id=5).orderBy("id").collect()] == [1, 2]
+    assert [r.id for r in S.filter_students(df, 5, "active").collect()] == [1]
+    assert [r.id for r in Lst.lookup_by_id(df, 3).collect()] == [3]
+
+
+def test_update_rows_keeps_old_on_null(spark):
+    df = spark.createDataFrame([(1, "a", 10), (2, "b", 20)], "id long, name string, n int")
+    ch = spark.createDataFrame([(1, None, 11), (3, "z", 30)], "id long, name string, n long")
+    got = {r.id: (r.name, r.n) for r in Ch.update_rows(df, ch).collect()}
+    assert got == {1: ("a", 11), 2: ("b", 20)}                     # unknown id 3 is not inserted
+
+
+def test_delete_by_ids_ignores_null_ids(spark):
+    df = spark.createDataFrame([(1,), (2,), (None,)], "id long")
+    ids = spark.createDataFrame([(2,), (None,)], "id long")
+    assert sorted(str(r.id) for r in Lst.delete_by_ids(df, ids).collect()) == ["1", "None"]
+
+
+def test_distribution_without_other_and_zero_filled_months(spark):
+    from campusflow.operators import series as Sr
+    e = spark.createDataFrame([(1, dt.date(2024, 1, 5)), (1, dt.date(2024, 3, 2)), (2, dt.date(2024, 3, 9))],
+                              "course_id long, enrollment_date date")
+    c = spark.createDataFrame([(1, "One"), (2, "")], "id long, course_name string")
+    dist = {r.label: (r.rank, r.enrollments) for r in Sr.enrollment_distribution(e, c, top=4).collect()}
+    assert dist == {"One": (1, 2), "N/A": (2, 1)}                  # no 'Other' row with 2 courses
+    months = [(r.label, r.enrollments) for r in
+              Sr.enrollments_by_month(e, "2024-03-20 10:00:00", period=4).orderBy("month").collect()]
+    assert months == [("2023-12", 0), ("2024-01", 1), ("2024-02", 0), ("2024-03", 2)]
+
+
+def test_keyset_pages_ascending(spark):
+    df = spark.range(1, 31).select(F.col("id"), (F.col("id") % 3).alias("k"))
+    first = Lst.page_after(df, "k", "id", -1, 0, per_page=7, descending=False).collect()
+    last = first[-1]
+    second = Lst.page_after(df, "k", "id", last.k, last.id, per_page=7, descending=False).collect()
+    every = sorted(df.collect(), key=lambda r: (r.k, r.id))
+    assert [r.id for r in first + second] == [r.id for r in every[:14]]
