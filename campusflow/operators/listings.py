@@ -177,26 +177,45 @@ def delete_by_ids(df: DataFrame, ids: DataFrame, key: str = "id", ids_key: str |
     return df.join(victims, df[key] == victims._victim, "left_anti")
 
 
+# relationship -> (child column, parent table)
+ORPHAN_RELATIONSHIPS = {
+    "payments.student_id": ("payments", "student_id", "students"),
+    "payments.course_id": ("payments", "course_id", "courses"),
+    "enrollments.student_id": ("enrollments", "student_id", "students"),
+    "enrollments.course_id": ("enrollments", "course_id", "courses"),
+    "students.course_id": ("students", "course_id", "courses"),
+}
+
+
 def orphan_check(payments: DataFrame, enrollments: DataFrame, students: DataFrame,
                  courses: DataFrame) -> DataFrame:
     """Rows per relationship whose parent is missing: (relationship, orphans).
 
-    NULL foreign keys are not orphans.  Each child side is first reduced to
-    (key, rows) with a partial aggregate, so a hot foreign key is one row in
-    the anti join; every relationship appears, with 0 when clean.
+    One pass per table: every child row is stacked into (relationship, key)
+    pairs and pre-aggregated (a hot key is one row), parents are stacked into
+    (relationship, id), and a single anti join finds the orphans.  NULL keys are
+    not orphans; every relationship appears, with 0 when clean.
     """
-    sid = students.select(F.col("id").alias("_pk"))
-    cid = courses.select(F.col("id").alias("_pk"))
-
-    def orphans(child, fk, parent, label):
-        keys = (child.filter(F.col(fk).isNotNull())
-                .groupBy(F.col(fk).alias("_fk")).agg(F.count(F.lit(1)).alias("_n")))
-        return (keys.join(parent, keys._fk == parent._pk, "left_anti")
-                .agg(F.coalesce(F.sum("_n"), F.lit(0)).cast("bigint").alias("orphans"))
-                .select(F.lit(label).alias("relationship"), "orphans"))
-
-    return (orphans(payments, "student_id", sid, "payments.student_id")
-            .unionByName(orphans(payments, "course_id", cid, "payments.course_id"))
-            .unionByName(orphans(enrollments, "student_id", sid, "enrollments.student_id"))
-            .unionByName(orphans(enrollments, "course_id", cid, "enrollments.course_id"))
-            .unionByName(orphans(students, "course_id", cid, "students.course_id")))
+    tables = {"payments": payments, "enrollments": enrollments, "students": students, "courses": courses}
+
+    def stacked(table, pairs, value_name):
+        arr = F.array(*[F.struct(F.lit(rel).alias("rel"), F.col(col).alias(value_name)) for rel, col in pairs])
+        return tables[table].select(F.explode(arr).alias("_x")).select("_x.rel", f"_x.{value_name}")
+
+    children, parents = None, None
+    for table in ("payments", "enrollments", "students"):
+        pairs = [(rel, col) for rel, (t, col, _) in ORPHAN_RELATIONSHIPS.items() if t == table]
+        part = stacked(table, pairs, "fk")
+        children = part if children is None else children.unionByName(part)
+    for table in ("students", "courses"):
+        pairs = [(rel, "id") for rel, (_, _, parent) in ORPHAN_RELATIONSHIPS.items() if parent == table]
+        part = stacked(table, pairs, "pk").withColumnRenamed("rel", "prel")
+        parents = part if parents is None else parents.unionByName(part)
+    keys = (children.filter(F.col("fk").isNotNull())
+            .groupBy("rel", "fk").agg(F.count(F.lit(1)).alias("_n")))
+    found = (keys.join(parents, (keys.rel == parents.prel) & (keys.fk == parents.pk), "left_anti")
+             .groupBy("rel").agg(F.sum("_n").alias("_n")))
+    spark = payments.sparkSession
+    zeros = spark.createDataFrame([(rel, 0) for rel in ORPHAN_RELATIONSHIPS], "rel string, _n bigint")
+    return (found.unionByName(zeros).groupBy(F.col("rel").alias("relationship"))
+            .agg(F.sum("_n").cast("bigint").alias("orphans")))

@@ -42,10 +42,12 @@ def enrollments_by_month(enrollments: DataFrame, as_of, period: int = 12) -> Dat
         raise ValueError("period must be positive")
     end = F.trunc(C._date_lit(as_of), "MM")
     start = F.add_months(end, -(period - 1))
-    counts = (enrollments
-              .filter((F.col("enrollment_date") >= start) & (F.col("enrollment_date") < F.add_months(end, 1)))
-              .groupBy(F.trunc("enrollment_date", "MM").alias("_m"))
-              .agg(F.count(F.lit(1)).alias("_n")))
+    # read twice (calendar anchor and join): cached, so the enrollments are scanned once
+    counts = materialize(enrollments
+                         .filter((F.col("enrollment_date") >= start)
+                                 & (F.col("enrollment_date") < F.add_months(end, 1)))
+                         .groupBy(F.trunc("enrollment_date", "MM").alias("_m"))
+                         .agg(F.count(F.lit(1)).alias("_n")))
     spine = month_spine(counts, as_of, period)
     # both sides hold at most ``period`` rows
     j = spine.join(F.broadcast(counts), spine.month == counts._m, "left")

@@ -162,3 +162,14 @@ def test_keyset_pages_ascending(spark):
     second = Lst.page_after(df, "k", "id", last.k, last.id, per_page=7, descending=False).collect()
     every = sorted(df.collect(), key=lambda r: (r.k, r.id))
     assert [r.id for r in first + second] == [r.id for r in every[:14]]
+
+
+def test_orphan_check_fixture(spark):
+    st = spark.createDataFrame([(1, 5), (2, 99), (3, None)], "id long, course_id long")
+    co = spark.createDataFrame([(5,)], "id long")
+    pay = spark.createDataFrame([(10, 1, 5), (11, 7, 5), (12, 7, 6), (13, None, None)],
+                                "id long, student_id long, course_id long")
+    en = spark.createDataFrame([(20, 2, 5)], "id long, student_id long, course_id long")
+    got = dict(tuple(r) for r in Lst.orphan_check(pay, en, st, co).collect())
+    assert got == {"payments.student_id": 2, "payments.course_id": 1, "enrollments.student_id": 0,
+                   "enrollments.course_id": 0, "students.course_id": 1}
