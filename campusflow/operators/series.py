@@ -87,7 +87,9 @@ def group_rows(df: DataFrame, key: str, order_by, num_partitions: int | None = N
     are contiguous and ordered by ``order_by``.
 
     Range partitioning on (key, order_by) lets one hot group span several
-    partitions; no group is ever gathered into one task or one array.
+    partitions; no group is ever gathered into one task or one array.  The
+    sizes come from a partial aggregate joined back on the key (``df`` is read
+    twice; AQE splits a hot key's side of that join).
     """
     order_cols = [order_by] if isinstance(order_by, str) else list(order_by)
     sizes = df.groupBy(F.col(key).alias("_gk")).agg(F.count(F.lit(1)).alias("group_size"))

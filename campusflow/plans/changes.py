@@ -81,21 +81,18 @@ def q_purge_prefix(spark, sf_dir):
 
 
 @query("update_rows", """
-SELECT c.id, CASE WHEN p.p_size > 40 THEN CAST(round(c.price * 1.1, 2) AS DECIMAL(10,2)) ELSE c.price END
+SELECT id, CASE WHEN duration_weeks > 40 THEN CAST(round(price * 1.1, 2) AS DECIMAL(10,2)) ELSE price END
          AS price,
-       c.status
-FROM courses c JOIN part p ON c.id = p.p_partkey
+       status
+FROM courses
 """)
 def q_update_rows(spark, sf_dir):
-    """Raise the price of long courses by 10% (changes derived from the part table)."""
-    a = Academy(spark, sf_dir)
-    courses = a.courses.select("id", "price", "status")
-    part = a.raw("part")
-    changes = (part.filter(F.col("p_size") > 40)
-               .join(courses, part.p_partkey == courses.id)
+    """Raise the price of long courses by 10%: the change set is derived from the courses."""
+    courses = Academy(spark, sf_dir).courses.select("id", "price", "status", "duration_weeks")
+    changes = (courses.filter(F.col("duration_weeks") > 40)
                .select("id", F.round(F.col("price") * F.lit(1.1).cast("decimal(2,1)"), 2)
                        .cast("decimal(10,2)").alias("price")))
-    return Ch.update_rows(courses, changes, "id")
+    return Ch.update_rows(courses.drop("duration_weeks"), changes, "id")
 
 
 _FORM_SQL = """
