@@ -49,7 +49,8 @@ enrollments AS (
          CASE WHEN l_returnflag = 'A' THEN 'https://academy.example.edu/cert/'
               || CAST(l_orderkey AS VARCHAR) || '-' || CAST(l_linenumber AS VARCHAR) END
            AS certificate_url
-  FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+  FROM lineitem LEFT JOIN (SELECT o_orderkey, max(o_custkey) AS o_custkey FROM orders GROUP BY o_orderkey) o
+    ON l_orderkey = o.o_orderkey),
 payments AS (
   SELECT o_orderkey AS id, o_custkey AS student_id, fl.first_partkey AS course_id,
          CAST(o_totalprice AS DECIMAL(12,2)) AS amount,
