@@ -13,8 +13,12 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     many splits already have enough partitions and this is a no-op.  The
     partition count comes from the plan, no job runs.
     """
-    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= target:
+    try:
+        target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+        current = df.rdd.getNumPartitions()
+    except Exception:  # no RDD access (e.g. a Spark Connect session): leave it to the planner
+        return df
+    if current >= target:
         return df
     return df.repartition(target)
 

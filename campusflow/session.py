@@ -52,7 +52,12 @@ def checkpoint_dir(spark: SparkSession, allow_local: bool = False) -> str:
     Read from ``spark.checkpoint.dir``; only when it is unset *and* the caller
     allows it (tests) is a private temporary folder created and registered.
     """
-    d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    d = spark.conf.get("spark.checkpoint.dir", None)
+    if not d:
+        try:
+            d = spark.sparkContext.getCheckpointDir()
+        except Exception:  # no SparkContext on this client (Spark Connect): the server decides
+            d = None
     if d:
         return d
     if not allow_local:
