@@ -1,7 +1,8 @@
 """Event operators that run unchanged on batch and streaming DataFrames.
 
 * ``debounce_events`` - bursts separated by more than ``wait`` collapse to one row
-  (``session_window``; a new burst starts when the gap exceeds ``wait``).
+  (``session_window``; a new burst starts when the gap exceeds ``wait``); the
+  skew-proof batch twin is ``campusflow.operators.bursts.debounce_batch``.
 * ``live_stats``      - tumbling-window counts and sums (``window``).
 * ``throttle_events`` - greedy "emit, then ignore the key for ``limit``":
   ``applyInPandasWithState`` with the last emitted time as the key's state.
@@ -34,10 +35,12 @@ def debounce_events(events: DataFrame, key: str, ts: str = "ts", wait: str = "5
                     keep: str = "last", tiebreak: str = "event_id", payload=(),
                     watermark: str | None = None) -> DataFrame:
     """One row per burst: key, burst_start, burst_end, events and the kept (last or first)
-    event's ``tiebreak`` and ``payload`` columns.
+    event's ``tiebreak`` and ``payload`` columns, with ``session_window``.
 
-    The aggregate is algebraic; Spark merges sessions inside each map partition
-    before the shuffle, so a busy key ships partial sessions, not raw events.
+    Meant for streams: state per key lives in the state store and a key's rows
+    of one micro-batch are merged in one task, so the trigger size bounds the
+    work per key.  For batches use ``campusflow.operators.bursts.debounce_batch``,
+    which spreads a hot key over range partitions instead of hashing it.
     """
     e = _maybe_watermark(event_time(events, ts), ts, watermark)
     pick = F.max_by if keep == "last" else F.min_by
