@@ -29,6 +29,8 @@ NO_DESCRIPTION = "No description available"
 SIZE_UNITS = ["Bytes", "KB", "MB", "GB"]
 # Start-date buckets: more than 7 days away, more than 0 days away, otherwise.
 BUCKET_UPCOMING, BUCKET_SOON, BUCKET_STARTED = "Upcoming", "Starting Soon", "Started"
+# Status labels: the stored value 'active' shows as Active, anything else as Inactive.
+STATUS_ACTIVE, LABEL_ACTIVE, LABEL_INACTIVE = "active", "Active", "Inactive"
 # --------------------------------------------------------------------------------
 
 
@@ -66,7 +68,7 @@ def default_value(col, fallback) -> Column:
 
 def status_label(col) -> Column:
     """``active`` -> Active; anything else, NULL included, -> Inactive."""
-    return F.when(_c(col) == "active", F.lit("Active")).otherwise(F.lit("Inactive"))
+    return F.when(_c(col) == STATUS_ACTIVE, F.lit(LABEL_ACTIVE)).otherwise(F.lit(LABEL_INACTIVE))
 
 
 def days_until(start_col, as_of) -> Column:
