@@ -31,8 +31,8 @@ def _scan_partition(wait_us: int):
         for pdf in batches:
             if not len(pdf):
                 continue
-            keys = pdf["k"].to_numpy()
-            t = pdf["t"].to_numpy(dtype=np.int64)
+            keys = pdf["_bk"].to_numpy()
+            t = pdf["_bt"].to_numpy(dtype=np.int64)
             n = len(pdf)
             new = np.empty(n, dtype=bool)
             first_of_partition = state["key"] is None
@@ -50,7 +50,7 @@ def _scan_partition(wait_us: int):
             start = np.where(idx >= 0, t[np.maximum(idx, 0)],
                              state["start"] if state["start"] is not None else 0)
             leading = np.logical_and(state["leading"], ~seen)
-            yield pdf.assign(start=start.astype(np.int64), leading=leading)
+            yield pdf.assign(_bstart=start.astype(np.int64), _blead=leading)
             state = {"key": keys[-1], "t": int(t[-1]), "start": int(start[-1]), "leading": bool(leading[-1])}
 
     return scan
@@ -60,33 +60,33 @@ def burst_starts(events: DataFrame, key: str, t_us: str, tiebreak: str, wait_us:
                  num_partitions: int | None = None) -> DataFrame:
     """``events`` plus ``_burst_start`` (epoch micros of the first event of the row's burst)."""
     parts = [num_partitions] if num_partitions else []
-    ordered = (events.withColumn("k", F.col(key)).withColumn("t", F.col(t_us))
-               .repartitionByRange(*parts, "k", "t", tiebreak)
-               .sortWithinPartitions("k", "t", tiebreak)
-               .withColumn("pid", F.spark_partition_id())
+    ordered = (events.withColumn("_bk", F.col(key)).withColumn("_bt", F.col(t_us))
+               .repartitionByRange(*parts, "_bk", "_bt", tiebreak)
+               .sortWithinPartitions("_bk", "_bt", tiebreak)
+               .withColumn("_bpid", F.spark_partition_id())
                .checkpoint(eager=True))
-    schema = T.StructType(ordered.schema.fields + [T.StructField("start", T.LongType()),
-                                                   T.StructField("leading", T.BooleanType())])
+    schema = T.StructType(ordered.schema.fields + [T.StructField("_bstart", T.LongType()),
+                                                   T.StructField("_blead", T.BooleanType())])
     scanned = ordered.mapInPandas(_scan_partition(wait_us), schema)
     # one row per non-empty partition: first row, last row, last start found inside it
-    w_first = F.struct("t", tiebreak)
-    summary = (scanned.groupBy("pid").agg(
-        F.min_by(F.struct("k", "t"), F.struct("k", w_first)).alias("first"),
-        F.max_by(F.struct("k", "t"), F.struct("k", w_first)).alias("last"),
-        F.max_by(F.when(~F.col("leading"), F.col("start")), F.struct("k", w_first)).alias("inner_last")))
-    by_pid = Window.orderBy("pid")
+    w_first = F.struct("_bt", tiebreak)
+    summary = (scanned.groupBy("_bpid").agg(
+        F.min_by(F.struct(F.col("_bk").alias("k"), F.col("_bt").alias("t")), F.struct("_bk", w_first)).alias("first"),
+        F.max_by(F.struct(F.col("_bk").alias("k"), F.col("_bt").alias("t")), F.struct("_bk", w_first)).alias("last"),
+        F.max_by(F.when(~F.col("_blead"), F.col("_bstart")), F.struct("_bk", w_first)).alias("inner_last")))
+    by_pid = Window.orderBy("_bpid")
     prev_last = F.lag("last").over(by_pid)
     first_is_new = (prev_last.isNull() | (prev_last["k"] != F.col("first.k")) |
                     ((F.col("first.t") - prev_last["t"]) > F.lit(wait_us)))
-    s = summary.select("pid", "first", "inner_last", first_is_new.alias("first_is_new"))
+    s = summary.select("_bpid", "first", "inner_last", first_is_new.alias("first_is_new"))
     x = F.coalesce(F.col("inner_last"), F.when(F.col("first_is_new"), F.col("first.t")))
     s = s.withColumn("x", x)
     carried = F.last("x", ignorenulls=True).over(by_pid.rowsBetween(Window.unboundedPreceding, -1))
-    s = s.select("pid", F.when(F.col("first_is_new"), F.col("first.t")).otherwise(carried).alias("lead_start"))
+    s = s.select("_bpid", F.when(F.col("first_is_new"), F.col("first.t")).otherwise(carried).alias("_blead_start"))
     # the summary has one row per partition: a bounded broadcast
-    j = scanned.join(F.broadcast(s), "pid", "left")
-    return j.withColumn("_burst_start", F.when(F.col("leading"), F.col("lead_start")).otherwise(F.col("start"))) \
-        .drop("k", "t", "pid", "start", "leading", "lead_start")
+    j = scanned.join(F.broadcast(s), "_bpid", "left")
+    return j.withColumn("_burst_start", F.when(F.col("_blead"), F.col("_blead_start")).otherwise(F.col("_bstart"))) \
+        .drop("_bk", "_bt", "_bpid", "_bstart", "_blead", "_blead_start")
 
 
 def debounce_batch(events: DataFrame, key: str, ts: str = "ts", wait_seconds: float = 5.0,

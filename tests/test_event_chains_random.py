@@ -54,3 +54,12 @@ def test_debounce_random(spark, seed, wait, parts):
     got = sorted((r.user, r.burst_start, r.burst_end, r.events, r.last_event_id)
                  for r in debounce_batch(df, "user", wait_seconds=wait, num_partitions=parts).collect())
     assert got == brute_bursts(rows, wait)
+
+
+def test_debounce_keeps_user_columns_named_like_helpers(spark):
+    rows = [(i, "u", BASE + dt.timedelta(seconds=s), f"k{i}", i * 10, i % 2 == 0)
+            for i, s in enumerate([0, 3, 20, 22])]
+    df = spark.createDataFrame(rows, "event_id long, user string, ts timestamp, k string, t long, start boolean")
+    got = sorted((r.last_event_id, r.last_k, r.last_t, r.last_start)
+                 for r in debounce_batch(df, "user", wait_seconds=5, payload=("k", "t", "start")).collect())
+    assert got == [(1, "k1", 10, False), (3, "k3", 30, False)]
