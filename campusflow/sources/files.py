@@ -29,18 +29,20 @@ def export_csv(df: DataFrame, path: str, header: bool = True, null_value: str |
 
 
 def import_csv(spark: SparkSession, path: str, schema: T.StructType, header: bool = True,
-               null_value: str | None = None, required=(), email=(), phone=()
-               ) -> tuple[DataFrame, DataFrame]:
+               null_value: str | None = None, required=(), email=(), phone=(),
+               multi_line: bool = False) -> tuple[DataFrame, DataFrame]:
     """Load CSV into ``schema`` -> (good typed rows, rejected raw rows with ``errors``).
 
     Every field is read as text and converted with ``try_cast``, so a value
     that does not fit its type is reported by name (``n_chars: not bigint``)
     instead of vanishing; CSV column pruning cannot skip the check.  The
-    typed rows then go through ``validate_rows``.
+    typed rows then go through ``validate_rows``.  ``multi_line`` reads quoted
+    values that contain line breaks; it makes every file a single split, so it
+    is off unless the data needs it.
     """
     text_schema = T.StructType([T.StructField(f.name, T.StringType(), True) for f in schema.fields])
     r = (spark.read.schema(text_schema).option("header", header).option("mode", "PERMISSIVE")
-         .option("escape", '"').option("multiLine", True))
+         .option("escape", '"').option("multiLine", multi_line))
     if null_value is not None:
         r = r.option("nullValue", null_value)
     raw = r.csv(path)

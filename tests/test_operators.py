@@ -71,11 +71,11 @@ def test_assign_ids_dense(spark):
 def test_csv_round_trip(spark, tmp_path):
     df = spark.createDataFrame([(1, 'a"b,c'), (2, "line\nbreak"), (3, None), (4, "")], "id long, v string")
     Fs.export_csv(df, str(tmp_path / "plain"))
-    good, bad = Fs.import_csv(spark, str(tmp_path / "plain"), df.schema)
+    good, bad = Fs.import_csv(spark, str(tmp_path / "plain"), df.schema, multi_line=True)
     got = {r.id: r.v for r in good.collect()}
     assert got == {1: 'a"b,c', 2: "line\nbreak", 3: None, 4: None} and bad.count() == 0
     Fs.export_csv(df, str(tmp_path / "marked"), null_value="\\N")
-    good, _ = Fs.import_csv(spark, str(tmp_path / "marked"), df.schema, null_value="\\N")
+    good, _ = Fs.import_csv(spark, str(tmp_path / "marked"), df.schema, null_value="\\N", multi_line=True)
     assert {r.id: r.v for r in good.collect()} == {1: 'a"b,c', 2: "line\nbreak", 3: None, 4: ""}
 
 
