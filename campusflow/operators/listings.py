@@ -23,6 +23,7 @@ PAYMENT_LIST_COLS = ["id", "student_name", "course_name", "amount", "payment_dat
 
 
 def select_columns(df: DataFrame, cols) -> DataFrame:
+    """The fixed column list of a listing (Catalyst prunes everything else from the scans)."""
     return df.select(*cols)
 
 
@@ -63,19 +64,18 @@ def courses_with_enrollment_count(courses: DataFrame, enrollments: DataFrame) ->
 
 def list_students(students: DataFrame, courses: DataFrame) -> DataFrame:
     """Students listing, newest first (``created_at`` DESC, NULLs last, then id)."""
-    return (students_with_course(students, courses).select(*STUDENT_LIST_COLS, "created_at")
+    return (select_columns(students_with_course(students, courses), STUDENT_LIST_COLS + ["created_at"])
             .orderBy(F.col("created_at").desc_nulls_last(), F.col("id").desc()))
 
 
 def list_courses(courses: DataFrame, enrollments: DataFrame) -> DataFrame:
-    return (courses_with_enrollment_count(courses, enrollments)
-            .select(*COURSE_LIST_COLS, "created_at")
+    listing = courses_with_enrollment_count(courses, enrollments)
+    return (select_columns(listing, COURSE_LIST_COLS + ["created_at"])
             .orderBy(F.col("created_at").desc_nulls_last(), F.col("id").desc()))
 
 
 def list_payments(payments: DataFrame, students: DataFrame, courses: DataFrame) -> DataFrame:
-    return (payments_with_names(payments, students, courses)
-            .select(*PAYMENT_LIST_COLS)
+    return (select_columns(payments_with_names(payments, students, courses), PAYMENT_LIST_COLS)
             .orderBy(F.col("payment_date").desc_nulls_last(), F.col("id").desc()))
 
 

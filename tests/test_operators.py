@@ -173,3 +173,15 @@ def test_orphan_check_fixture(spark):
     got = dict(tuple(r) for r in Lst.orphan_check(pay, en, st, co).collect())
     assert got == {"payments.student_id": 2, "payments.course_id": 1, "enrollments.student_id": 0,
                    "enrollments.course_id": 0, "students.course_id": 1}
+
+
+def test_admissions_into_an_empty_academy(spark, sf_small):
+    """Starting from no students, every valid form is admitted with ids 1..n in code order."""
+    from campusflow.plans.changes import _form
+    from campusflow.sources.adapters import Academy
+    out = Ch.admit_students(Ch.empty_students(spark), _form(Academy(spark, sf_small)), "2024-07-01 09:00:00")
+    rows = out["students"].orderBy("student_id").collect()
+    rejected = out["rejected"].count()
+    assert [r.id for r in rows] == list(range(1, len(rows) + 1))
+    assert len(rows) + rejected == 150 and rejected > 0
+    assert out["enrollments"].count() == len(rows)
