@@ -4,10 +4,11 @@
 events cross the shuffle hashed by key and one hot key is merged in one
 task.  Here nothing is partitioned by key:
 
-1. events are range-partitioned and sorted on (key, ts, tiebreak) and
-   checkpointed (a hot key spans many partitions);
+1. events are range-partitioned and sorted on (key, ts, tiebreak) (a hot key
+   spans many partitions);
 2. a vectorised scan per partition marks burst starts and gives every row the
-   start of its burst, treating the partition's first row as a start;
+   start of its burst, treating the partition's first row as a start; its
+   output is checkpointed once;
 3. a table with one row per partition decides whether that first row really
    starts a burst (key change or gap > wait from the previous partition's last
    row) and, if not, which earlier start the leading rows belong to;
@@ -63,11 +64,12 @@ def burst_starts(events: DataFrame, key: str, t_us: str, tiebreak: str, wait_us:
     ordered = (events.withColumn("_bk", F.col(key)).withColumn("_bt", F.col(t_us))
                .repartitionByRange(*parts, "_bk", "_bt", tiebreak)
                .sortWithinPartitions("_bk", "_bt", tiebreak)
-               .withColumn("_bpid", F.spark_partition_id())
-               .checkpoint(eager=True))
+               .withColumn("_bpid", F.spark_partition_id()))
     schema = T.StructType(ordered.schema.fields + [T.StructField("_bstart", T.LongType()),
                                                    T.StructField("_blead", T.BooleanType())])
-    scanned = ordered.mapInPandas(_scan_partition(wait_us), schema)
+    # the scan runs in the same stage as the sort, so partition ids and row order match what
+    # it saw; checkpointing its output lets the summary and the join read one materialisation
+    scanned = ordered.mapInPandas(_scan_partition(wait_us), schema).checkpoint(eager=True)
     # one row per non-empty partition: first row, last row, last start found inside it
     w_first = F.struct("_bt", tiebreak)
     summary = (scanned.groupBy("_bpid").agg(

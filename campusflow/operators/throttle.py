@@ -8,7 +8,7 @@ rows, so nothing here groups by key:
    are range-partitioned and sorted on (key, time) - a hot key spans many
    partitions - and a vectorised forward scan per partition answers each
    probe.  Probes left open at a partition's end take the first event of the
-   next partition holding events (a table with one row per partition).
+   next partition holding events (the scan's one marker row per partition).
 2. pointer doubling.  The emitted events are the chain root, next(root),
    next(next(root)), ... from each key's first event.  With jump tables
    J_{k+1} = J_k o J_k the reached set doubles its chain length per round:
@@ -30,13 +30,18 @@ from pyspark.sql import types as T
 
 
 def _probe_scan(key_type: T.DataType):
-    out = T.StructType([T.StructField("src", T.LongType()), T.StructField("nxt", T.LongType()),
-                        T.StructField("open", T.BooleanType()), T.StructField("pid", T.IntegerType()),
-                        T.StructField("k", key_type)])
+    """Per partition: the answer to every probe, plus one marker row (``row`` = 1) holding the
+    partition's first event, for the probes of earlier partitions left open."""
+    out = T.StructType([T.StructField("row", T.IntegerType()), T.StructField("src", T.LongType()),
+                        T.StructField("nxt", T.LongType()), T.StructField("open", T.BooleanType()),
+                        T.StructField("pid", T.IntegerType()), T.StructField("k", key_type)])
+
+    def answers(src, nxt, is_open, pid, keys):
+        return pd.DataFrame({"row": 0, "src": src, "nxt": nxt, "open": is_open, "pid": pid, "k": keys})
 
     def scan(batches):
         pending = None  # probes still waiting for an event (end of previous batch)
-        pid = None
+        pid, first = None, None
         for pdf in batches:
             if not len(pdf):
                 continue
@@ -48,30 +53,31 @@ def _probe_scan(key_type: T.DataType):
             nxt_pos = np.minimum.accumulate(pos[::-1])[::-1]
             keys = pdf["k"].to_numpy()
             ids = pdf["id"].to_numpy()
-            first_ev = nxt_pos[0] if n else n
-            if pending is not None and len(pending):
-                if first_ev < n:
-                    same = pending["k"].to_numpy() == keys[first_ev]
-                    yield pd.DataFrame({"src": pending["src"].to_numpy(),
-                                        "nxt": np.where(same, ids[first_ev], -1),
-                                        "open": False, "pid": pid, "k": pending["k"].to_numpy()})
-                    pending = None
+            first_ev = nxt_pos[0]
+            if first is None and first_ev < n:
+                first = (keys[first_ev], int(ids[first_ev]))
+            if pending is not None and len(pending) and first_ev < n:
+                same = pending["k"].to_numpy() == keys[first_ev]
+                yield answers(pending["src"].to_numpy(), np.where(same, ids[first_ev], -1), False, pid,
+                              pending["k"].to_numpy())
+                pending = None
             probe = ~is_event
-            has = nxt_pos < n
-            ok = probe & has
+            ok = probe & (nxt_pos < n)
             tgt = nxt_pos[ok]
-            same = keys[ok] == keys[tgt]
-            done = pd.DataFrame({"src": ids[ok], "nxt": np.where(same, ids[tgt], -1), "open": False,
-                                 "pid": pid, "k": keys[ok]})
-            if len(done):
-                yield done
-            tail = probe & ~has
+            if ok.any():
+                yield answers(ids[ok], np.where(keys[ok] == keys[tgt], ids[tgt], -1), False, pid, keys[ok])
+            tail = probe & (nxt_pos >= n)
             if tail.any():
                 t = pd.DataFrame({"src": ids[tail], "k": keys[tail]})
                 pending = t if pending is None else pd.concat([pending, t], ignore_index=True)
+        if pid is None:
+            return
         if pending is not None and len(pending):
-            yield pd.DataFrame({"src": pending["src"].to_numpy(), "nxt": -1, "open": True, "pid": pid,
-                                "k": pending["k"].to_numpy()})
+            yield answers(pending["src"].to_numpy(), -1, True, pid, pending["k"].to_numpy())
+        marker = pd.DataFrame({"row": [1], "src": [-1], "nxt": [first[1] if first else -1],
+                               "open": [False], "pid": [pid]})
+        marker["k"] = pd.Series([first[0] if first else None], dtype=object)
+        yield marker
 
     return scan, out
 
@@ -85,20 +91,20 @@ def successor_links(events: DataFrame, key: str, t_us: str, tiebreak: str, limit
     parts = [num_partitions] if num_partitions else []
     ordered = (rows.repartitionByRange(*parts, "k", "t", "kind", "id")
                .sortWithinPartitions("k", "t", "kind", "id")
-               .withColumn("pid", F.spark_partition_id())
-               .checkpoint(eager=True))
+               .withColumn("pid", F.spark_partition_id()))
     scan, schema = _probe_scan(ordered.schema["k"].dataType)
-    answers = ordered.mapInPandas(scan, schema)
-    # first event of every partition, and for each partition the first event of any later one
-    firsts = (ordered.filter(F.col("kind") == 1).groupBy("pid")
-              .agg(F.min_by(F.struct("k", "id"), F.struct("k", "t", "kind", "id")).alias("ev")))
-    pids = ordered.select("pid").distinct()
-    later = pids.join(firsts, "pid", "left").select(
-        "pid", F.first("ev", ignorenulls=True).over(   # one row per partition
-            Window.orderBy("pid").rowsBetween(1, Window.unboundedFollowing)).alias("later"))
-    closed = answers.filter(~F.col("open")).select(
+    # the scan runs in the sort's stage (partition ids match what it saw); one checkpoint of its
+    # output serves the answers and the per-partition markers
+    out = ordered.mapInPandas(scan, schema).checkpoint(eager=True)
+    marks = out.filter(F.col("row") == 1).select(
+        "pid", F.when(F.col("nxt") >= 0, F.struct("k", F.col("nxt").alias("id"))).alias("ev"))
+    # for each partition, the first event of any later partition (one row per partition)
+    later = marks.select("pid", F.first("ev", ignorenulls=True).over(
+        Window.orderBy("pid").rowsBetween(1, Window.unboundedFollowing)).alias("later"))
+    answered = out.filter(F.col("row") == 0)
+    closed = answered.filter(~F.col("open")).select(
         F.col("src").alias("id"), F.when(F.col("nxt") >= 0, F.col("nxt")).alias("nxt"))
-    opened = answers.filter(F.col("open")).join(F.broadcast(later), "pid", "left").select(
+    opened = answered.filter(F.col("open")).join(F.broadcast(later), "pid", "left").select(
         F.col("src").alias("id"),
         F.when(F.col("later.k") == F.col("k"), F.col("later.id")).alias("nxt"))
     return closed.unionByName(opened)
