@@ -128,6 +128,8 @@ def upsert_settings(current: DataFrame, changes: DataFrame) -> DataFrame:
         F.when(changed, F.col("_c.setting_value")).otherwise(F.col("_v")).alias("setting_value"),
         F.coalesce("_created", "_c.changed_at").alias("created_at"),
         F.when(changed, F.col("_c.changed_at")).otherwise(F.col("_updated")).alias("updated_at"))
+    # read twice (kept rows, new keys): checkpoint the joined table once instead of joining twice
+    merged = merged.checkpoint(eager=True)
     kept = merged.filter(F.col("_id").isNotNull()).withColumnRenamed("_id", "id")
     new = assign_ids(merged.filter(F.col("_id").isNull()).drop("_id"), ["setting_key"],
                      base=current.select("id"))
