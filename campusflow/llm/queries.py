@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from campusflow.llm import host_rules
+from campusflow.llm import host_rules, ngram_join
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -28,3 +28,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 @query("op8_host_rules")
 def op8(spark, sf_dir):
     return host_rules.judge(table(spark, sf_dir, "documents"))
+
+
+@query("op9_ngram_jaccard_join")
+def op9(spark, sf_dir):
+    return ngram_join.similar_classes(table(spark, sf_dir, "documents"))
