@@ -148,6 +148,17 @@ def set_ids(shingles: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return out
 
 
+def pieces(batches: Iterable[pa.RecordBatch], column: str, size: int = 1 << 21) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of about ``size`` bytes of a text column, so that what is computed per byte stays small."""
+    for batch in batches:
+        lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        slot = (np.cumsum(lengths, dtype=np.int64) - lengths) // size
+        cuts = [0, *(np.flatnonzero(np.diff(slot)) + 1).tolist(), batch.num_rows]
+        for low, high in zip(cuts, cuts[1:]):
+            if high > low:
+                yield batch.slice(low, high - low)
+
+
 def binary_column(rows: np.ndarray) -> pa.Array:
     """One binary value per row of a 2-d array."""
     data = np.ascontiguousarray(rows).view(np.uint8).reshape(len(rows), -1)

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from campusflow.llm.near import (band_keys, binary_column, candidate_components, choose_bands, list_column,
-                                 min_hashes, set_ids, verified_links, word_shingles)
+                                 min_hashes, pieces, set_ids, verified_links, word_shingles)
 from campusflow.llm.shared import connected_components, persisted
 
 #: Words in an n-gram and the similarity of a link.
@@ -28,7 +28,7 @@ SKETCH = 128
 
 def _signatures(words: int, rows: int, bands: int):
     def sign(batches):
-        for batch in batches:
+        for batch in pieces(batches, "text"):
             ids, texts = batch.column("doc_id"), batch.column("text")
             # rows without a number take no part
             hashes, counts = word_shingles(pc.if_else(ids.is_null(), pa.scalar(None, texts.type), texts), words)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from campusflow.llm import host_rules, ngram_join
+from campusflow.llm import host_rules, line_dedup, ngram_join
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -33,3 +33,8 @@ def op8(spark, sf_dir):
 @query("op9_ngram_jaccard_join")
 def op9(spark, sf_dir):
     return ngram_join.similar_classes(table(spark, sf_dir, "documents"))
+
+
+@query("op4_fuzzy_line_dedup")
+def op4(spark, sf_dir):
+    return line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
