@@ -15,7 +15,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from campusflow.llm.shared import SPACES, let, persisted
+from campusflow.llm.shared import SPACES, free_name, let, persisted
 
 #: Characters that count as symbols.
 SYMBOLS = "#*$%&|<>"
@@ -125,7 +125,7 @@ def failing_hosts(verdicts: DataFrame, host: str, failed: str, max_host_rate: fl
              .agg(F.count("*").alias("n"), F.sum(F.col(failed).cast("long")).alias("failed")))
     alpha, beta = beta_prior(rates)
     rate = (F.col("failed") + F.lit(alpha)) / (F.col("n") + F.lit(alpha + beta))
-    return rates.select("bad_host", rate.alias("host_rate")).filter(F.col("host_rate") > max_host_rate)
+    return persisted(rates.select("bad_host", rate.alias("host_rate")).filter(F.col("host_rate") > max_host_rate))
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source",
@@ -151,14 +151,9 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_
 def keep_documents(docs: DataFrame, text_col: str = "text", host_col: str = "source",
                    max_host_rate: float = 0.5) -> DataFrame:
     """The rows of ``docs`` that ``judge`` keeps, with all their columns."""
-    mark, host = _free_name(docs, "failed"), F.col(host_col)
+    mark, host = free_name(docs, "failed"), F.col(host_col)
     marked = persisted(docs.withColumn(mark, failed_text(F.col(text_col))))
     hosts = failing_hosts(marked, host_col, mark, max_host_rate)
     kept = marked.filter(~F.col(mark)).drop(mark)
     return kept.join(hosts.select(F.col("bad_host").alias(mark)), host == F.col(mark), "left_anti")
 
-
-def _free_name(docs: DataFrame, name: str) -> str:
-    while name in docs.columns:
-        name = "_" + name
-    return name

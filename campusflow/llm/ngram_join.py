@@ -30,8 +30,7 @@ def _signatures(words: int, rows: int, bands: int):
     def sign(batches):
         for batch in pieces(batches, "text"):
             ids, texts = batch.column("doc_id"), batch.column("text")
-            # rows without a number take no part
-            hashes, counts = word_shingles(pc.if_else(ids.is_null(), pa.scalar(None, texts.type), texts), words)
+            hashes, counts = word_shingles(texts, words)
             keys, minima = set_ids(hashes, counts), min_hashes(hashes, counts, max(rows * bands, SKETCH))
             yield pa.RecordBatch.from_arrays(
                 [ids, pc.if_else(pa.array(counts == 0), pa.scalar(None, pa.binary()), binary_column(keys)), pa.array(keys[:, 0].view(np.int64)),
@@ -53,7 +52,8 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Repeated rows count as copies.  Other columns are ignored; an empty table gives no rows.
     """
     rows, bands = choose_bands(threshold, recall, MAX_HASHES)
-    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    number = F.col(id_col).cast("long")
+    d = docs.select(number.alias("doc_id"), F.when(number.isNotNull(), F.col(text_col)).alias("text"))
     signed = persisted(d.mapInArrow(_signatures(words, rows, bands), "doc_id long, id binary, node long, size long, "
                                     "bands array<long>, sketch binary"))
     filled = signed.filter(F.col("id").isNotNull())

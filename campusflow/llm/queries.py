@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from campusflow.llm import host_rules, line_dedup, ngram_join
+from campusflow.llm import host_rules, line_dedup, ngram_join, pii
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -38,3 +38,8 @@ def op9(spark, sf_dir):
 @query("op4_fuzzy_line_dedup")
 def op4(spark, sf_dir):
     return line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+
+
+@query("op10_pii_bootstrap")
+def op10(spark, sf_dir):
+    return pii.find_spans(table(spark, sf_dir, "documents"))

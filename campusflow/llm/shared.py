@@ -30,6 +30,32 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def free_name(docs: DataFrame, name: str) -> str:
+    """A column name that ``docs`` does not have."""
+    while name in docs.columns:
+        name = "_" + name
+    return name
+
+
+def running_sums(values: Column) -> Column:
+    """array<bigint>: inclusive running sums of an array, in blocks of about its root so that long ones stay cheap."""
+    def scan(a):
+        empty = F.struct(F.lit(0).cast("long").alias("sum"), F.array().cast("array<bigint>").alias("out"))
+        return F.aggregate(a, empty, lambda acc, x: F.struct(
+            (acc["sum"] + x).alias("sum"), F.concat(acc["out"], F.array(acc["sum"] + x)).alias("out")),
+            lambda acc: acc["out"])
+
+    def blocked(a):
+        width = F.ceil(F.sqrt(F.size(a))).cast("int")
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(a) - 1) / width).cast("int")),
+                             lambda b: scan(F.slice(a, b * width + 1, width)))
+        return let(blocks, lambda bs: let(scan(F.transform(bs, lambda b: F.element_at(b, -1))), lambda ends: F.flatten(
+            F.transform(bs, lambda b, i: F.transform(b, lambda x: x + F.when(
+                i == 0, F.lit(0).cast("long")).otherwise(F.get(ends, i - 1)))))))
+
+    return let(values, lambda a: F.when(F.size(a) == 0, F.array().cast("array<bigint>")).otherwise(blocked(a)))
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): distributed union-find over undirected edges by alternating large and
     small stars; the component is its smallest node.  Only nodes with an edge to another are returned.
