@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from campusflow.llm import host_rules, line_dedup, ngram_join, pii
+from campusflow.llm import host_rules, line_dedup, ngram_join, packing, pii
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -43,3 +44,8 @@ def op4(spark, sf_dir):
 @query("op10_pii_bootstrap")
 def op10(spark, sf_dir):
     return pii.find_spans(table(spark, sf_dir, "documents"))
+
+
+@query("op6_cost_balanced_packing")
+def op6(spark, sf_dir):
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
