@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from campusflow.llm import host_rules, line_dedup, ngram_join, packing, pii
+from campusflow.llm import host_rules, line_dedup, ngram_join, packing, pii, warc
+from campusflow.llm.shared import persisted, shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -49,3 +52,27 @@ def op10(spark, sf_dir):
 @query("op6_cost_balanced_packing")
 def op6(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query("op3_warc_splittable", """
+    WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+    d AS (SELECT page_id, strlen(h)::BIGINT AS payload_bytes, sha1(h) AS hex,
+                 min(page_id) OVER (PARTITION BY h) AS first FROM p),
+    five AS (SELECT page_id, payload_bytes, first, i,
+                    ('0x' || substr(hex, 1 + 5 * i::INT, 5))::BIGINT AS v FROM d, range(8) AS t(i)),
+    four AS (SELECT page_id, payload_bytes, first, i, string_agg(
+                 substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((v >> (5 * (3 - k))) & 31)::INT, 1), '' ORDER BY k) AS c
+             FROM five, range(4) AS t(k) GROUP BY ALL)
+    SELECT page_id, payload_bytes, string_agg(c, '' ORDER BY i) AS payload_digest,
+           CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+           CASE WHEN page_id != first THEN first END AS refers_to
+    FROM four GROUP BY page_id, payload_bytes, first""")
+def op3(spark, sf_dir):
+    path = f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
+    warc.write_warc(warc.records(table(spark, sf_dir, "pages")), path)
+    back = warc.read_warc(spark, path)
+    out = persisted(back.select(
+        warc.page_of(F.col("record_id")).alias("page_id"), "payload_bytes", "payload_digest", "record_type",
+        warc.page_of(F.col("refers_to")).alias("refers_to")))
+    warc.delete_archives(path)  # what the query returns is held by the checkpoint
+    return out
