@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from campusflow.llm import host_rules, line_dedup, ngram_join, packing, pii, warc
+from campusflow.llm import host_rules, line_dedup, ngram_join, packing, pii, url_filter, warc
 from campusflow.llm.shared import persisted, shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -76,3 +76,53 @@ def op3(spark, sf_dir):
         warc.page_of(F.col("refers_to")).alias("refers_to")))
     warc.delete_archives(path)  # what the query returns is held by the checkpoint
     return out
+
+
+@query("op5_url_language_model", """
+    WITH RECURSIVE u AS (
+        SELECT page_id, coalesce(CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) END, '') AS r
+        FROM pages),
+    pp AS (SELECT page_id, translate(regexp_extract(r, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                  'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(r, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+    rules(verdict, rh, rp) AS (VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'),
+        ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/')),
+    url AS (
+        SELECT d.host, d.path, arg_max(verdict, length(rh || rp)) AS verdict, arg_max(rh || rp, length(rh || rp)) AS rule,
+               substr(md5(d.host || d.path), 1, 1) IN ('0', '1', '2') AS held
+        FROM (SELECT DISTINCT host, path FROM pp) d LEFT JOIN rules
+          ON (d.host = rh OR ends_with(d.host, '.' || rh)) AND starts_with(d.path, rp) GROUP BY d.host, d.path),
+    padded AS (SELECT *, repeat(chr(2), 4) || host || path || chr(3) AS s FROM url),
+    spread AS (SELECT host, path, verdict, held, substr(s, i::INT, 5) AS gram
+               FROM (SELECT *, unnest(range(1, length(s) - 3)) AS i FROM padded)),
+    counts AS (SELECT gram, count(*) FILTER (verdict = 'allow') AS good, count(*) FILTER (verdict = 'block') AS bad
+               FROM spread WHERE verdict IS NOT NULL AND NOT held GROUP BY gram),
+    lev AS (SELECT k, substr(gram, 5 - k::INT) AS key, sum(good) AS good, sum(bad) AS bad
+            FROM counts, range(5) AS t(k) GROUP BY ALL),
+    ctx AS (SELECT k, substr(key, 1, k::INT) AS context, sum(good) AS ng, sum(bad) AS nb,
+                   count(*) FILTER (good > 0) AS tg, count(*) FILTER (bad > 0) AS tb FROM lev GROUP BY ALL),
+    judged AS (SELECT * FROM spread WHERE verdict IS NULL OR held),
+    prob(gram, k, pg, pb) AS (
+        SELECT gram, -1::BIGINT, 1.0::DOUBLE / 256, 1.0::DOUBLE / 256 FROM (SELECT DISTINCT gram FROM judged)
+        UNION ALL
+        SELECT p.gram, p.k + 1,
+               CASE WHEN coalesce(ng, 0) > 0 THEN (coalesce(l.good, 0) + tg * pg) / (ng + tg) ELSE pg END,
+               CASE WHEN coalesce(nb, 0) > 0 THEN (coalesce(l.bad, 0) + tb * pb) / (nb + tb) ELSE pb END
+        FROM prob p LEFT JOIN lev l ON l.k = p.k + 1 AND l.key = substr(p.gram, 5 - (p.k + 1)::INT)
+        LEFT JOIN ctx c ON c.k = p.k + 1 AND c.context = substr(p.gram, 5 - (p.k + 1)::INT, (p.k + 1)::INT)
+        WHERE p.k < 4),
+    score AS (SELECT host, path, verdict, round(avg(ln(pg) - ln(pb)), 9) AS score
+              FROM judged JOIN (SELECT * FROM prob WHERE k = 4) USING (gram) GROUP BY ALL),
+    bins AS (SELECT floor(greatest(-10, least(10, score)) * 100)::INT AS step,
+                    count(*) FILTER (verdict = 'allow') AS good, count(*) FILTER (verdict = 'block') AS bad
+             FROM score WHERE verdict IS NOT NULL GROUP BY ALL),
+    err AS (SELECT t.step, round(coalesce(sum(good) FILTER (b.step < t.step), 0) / sum(good)
+                   + (sum(bad) - coalesce(sum(bad) FILTER (b.step < t.step), 0)) / sum(bad), 12) AS e,
+                   sum(good) AS g, sum(bad) AS b
+            FROM range(-1000, 1002) AS t(step), bins b GROUP BY t.step),
+    lim AS (SELECT coalesce((SELECT step / 100.0::DOUBLE FROM err WHERE g > 0 AND b > 0
+                             ORDER BY e, abs(step), step LIMIT 1), 0.0) AS lim)
+    SELECT page_id, pp.host, pp.path, rule,
+           coalesce(url.verdict, CASE WHEN score >= lim THEN 'allow' ELSE 'block' END) AS verdict
+    FROM pp JOIN url USING (host, path) LEFT JOIN score s ON s.host = pp.host AND s.path = pp.path, lim""")
+def op5(spark, sf_dir):
+    return url_filter.judge(table(spark, sf_dir, "pages"))
