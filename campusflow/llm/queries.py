@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from campusflow.llm import host_rules, line_dedup, ngram_join, packing, pii, url_filter, warc
+from campusflow.llm import host_rules, line_dedup, ngram_join, packing, pii, quality_classifier, url_filter, warc
 from campusflow.llm.shared import persisted, shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -126,3 +126,9 @@ def op3(spark, sf_dir):
     FROM pp JOIN url USING (host, path) LEFT JOIN score s ON s.host = pp.host AND s.path = pp.path, lim""")
 def op5(spark, sf_dir):
     return url_filter.judge(table(spark, sf_dir, "pages"))
+
+
+@query("op7_rule_ensemble")
+def op7(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return quality_classifier.score(docs, quality_classifier.train(docs, table(spark, sf_dir, "labels")))
