@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from campusflow.llm import host_rules, line_dedup, ngram_join, packing, pii, quality_classifier, url_filter, warc
+from campusflow.llm import ann, host_rules, line_dedup, ngram_join, packing, pii, quality_classifier, url_filter, warc
 from campusflow.llm.shared import persisted, shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -132,3 +132,8 @@ def op5(spark, sf_dir):
 def op7(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return quality_classifier.score(docs, quality_classifier.train(docs, table(spark, sf_dir, "labels")))
+
+
+@query("op1_multiprobe_lsh")
+def op1(spark, sf_dir):
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
