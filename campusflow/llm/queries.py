@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from campusflow.llm import ann, host_rules, line_dedup, ngram_join, packing, pii, quality_classifier, url_filter, warc
+from campusflow.llm import ann, host_rules, line_dedup, ngram_join, packing, pieces, pii, quality_classifier, url_filter, warc
 from campusflow.llm.shared import persisted, shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -137,3 +137,8 @@ def op7(spark, sf_dir):
 @query("op1_multiprobe_lsh")
 def op1(spark, sf_dir):
     return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+@query("op2_shared_prefix_viterbi")
+def op2(spark, sf_dir):
+    return pieces.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
