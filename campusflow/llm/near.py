@@ -52,6 +52,15 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U64(31))
 
 
+def mix32(x: np.ndarray) -> np.ndarray:
+    """A 32-bit finaliser of the same kind, in place."""
+    for shift, factor in ((16, 0x7FEB352D), (15, 0x846CA68B)):
+        x ^= x >> np.uint32(shift)
+        x *= np.uint32(factor)
+    x ^= x >> np.uint32(16)
+    return x
+
+
 def seeds(n: int, salt: int) -> np.ndarray:
     return mix64((np.arange(1, n + 1, dtype=np.uint64) + _U64(salt << 32)) * _U64(0x9E3779B97F4A7C15))
 
@@ -85,30 +94,43 @@ def word_shingles(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
     return mix64(chain + length.astype(np.uint64)), counts
 
 
-def char_shingles(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, counts): the hashed n-byte windows of each text's UTF-8; a shorter text is one shingle, an empty one none."""
+def char_shingles(texts: pa.Array, n: int, kind=np.uint64) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, counts): the hashed n-byte windows of each text's UTF-8; a shorter text is one shingle, an empty one none.
+
+    ``n`` is a power of two: windows double in length.  Signatures do with ``np.uint32`` hashes, which are cheaper.
+    """
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
     offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset: texts.offset + len(texts) + 1]
     data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0]: offsets[-1]]
-    sizes = np.diff(offsets)
+    offsets, sizes = offsets - offsets[0], np.diff(offsets)
     counts = np.where(sizes >= n, sizes - n + 1, np.minimum(sizes, 1))
-    padded = np.concatenate([data, np.zeros(n, np.uint8)])
-    rolled = np.zeros(len(data), np.uint64)
-    for k in range(n):
-        rolled = rolled * _U64(257) + padded[k: k + len(data)]
-    at = np.repeat(offsets[:-1] - offsets[0] - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
-    hashes = rolled[at]
-    for i in np.flatnonzero((sizes > 0) & (sizes < n)):  # shorter texts: their own bytes only
+    rolled, width = np.concatenate([data, np.zeros(n, np.uint8)]).astype(kind), 1
+    while width < n:
+        rolled[:-width] = rolled[:-width] * kind(pow(0x01000193, width, 1 << 32)) + rolled[width:]
+        width *= 2
+    valid = np.ones(len(data), bool)
+    for back in range(1, n):  # starts too close to their text's end
+        at = offsets[1:] - back
+        valid[at[(sizes >= back) & ((sizes >= n) | (back < sizes))]] = False
+    hashes = rolled[: len(data)][valid]
+    short = np.flatnonzero((sizes > 0) & (sizes < n))
+    firsts = (np.cumsum(counts) - counts)[short]
+    for i, place in zip(short.tolist(), firsts.tolist()):  # shorter texts: their own bytes only
         value = int(sizes[i])
-        for byte in data[offsets[i] - offsets[0]: offsets[i + 1] - offsets[0]].tolist():
+        for byte in data[offsets[i]: offsets[i + 1]].tolist():
             value = value * 1009 + byte + 1
-        hashes[counts[:i].sum()] = value % (1 << 64)
-    return mix64(hashes + _U64(1)), counts
+        hashes[place] = value % (1 << 8 * hashes.itemsize)
+    return (mix64 if kind is np.uint64 else mix32)(hashes + kind(1)), counts
+
+
+def text_ids(texts: pa.Array) -> np.ndarray:
+    """(texts, 2) uint64: a 128-bit id of each text as it is."""
+    return np.column_stack([hash_strings(texts), hash_strings(texts, "6543210987654321")])
 
 
 def min_hashes(shingles: np.ndarray, counts: np.ndarray, n_hashes: int) -> np.ndarray:
     """(texts, n_hashes) uint32 minima; texts without shingles keep the largest value."""
-    x = (shingles >> _U64(32)).astype(np.uint32)
+    x = shingles if shingles.dtype == np.uint32 else (shingles >> _U64(32)).astype(np.uint32)
     filled = np.flatnonzero(counts)
     starts = (np.cumsum(counts) - counts)[filled]
     out = np.full((n_hashes, len(filled)), 0xFFFFFFFF, np.uint32)
@@ -143,12 +165,13 @@ def set_ids(shingles: np.ndarray, counts: np.ndarray) -> np.ndarray:
     filled = np.flatnonzero(counts)
     if len(filled):
         starts = (np.cumsum(counts) - counts)[filled]
-        for k, salt in enumerate(seeds(2, 4)):
-            out[filled, k] = np.add.reduceat(mix64(shingles ^ salt), starts)
+        # the shingles are well mixed: two sums of them, one of a product that is no linear function of the other
+        out[filled, 0] = np.add.reduceat(shingles, starts)
+        out[filled, 1] = np.add.reduceat((shingles ^ (shingles >> _U64(32))) * (shingles | _U64(1)), starts)
     return out
 
 
-def pieces(batches: Iterable[pa.RecordBatch], column: str, size: int = 1 << 21) -> Iterator[pa.RecordBatch]:
+def pieces(batches: Iterable[pa.RecordBatch], column: str, size: int = 1 << 18) -> Iterator[pa.RecordBatch]:
     """The batches in slices of about ``size`` bytes of a text column, so that what is computed per byte stays small."""
     for batch in batches:
         lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
@@ -161,9 +184,10 @@ def pieces(batches: Iterable[pa.RecordBatch], column: str, size: int = 1 << 21)
 
 def binary_column(rows: np.ndarray) -> pa.Array:
     """One binary value per row of a 2-d array."""
+    if not len(rows):
+        return pa.array([], pa.binary())
     data = np.ascontiguousarray(rows).view(np.uint8).reshape(len(rows), -1)
-    kind = pa.binary(data.shape[1] if len(rows) else 1)
-    return pa.FixedSizeBinaryArray.from_buffers(kind, len(rows), [None, pa.py_buffer(data.tobytes())]).cast(pa.binary())
+    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(data.shape[1]), len(rows), [None, pa.py_buffer(data.tobytes())]).cast(pa.binary())
 
 
 def list_column(rows: np.ndarray) -> pa.Array:
@@ -239,9 +263,11 @@ def candidate_components(signatures: DataFrame, threshold: float, sketch_size: i
     shared = persisted(entries.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"),
                                                   F.count("*").alias("n")).filter("low != high")
                        .select(F.col("key").alias("k"), "low", "n"))
-    members = persisted(entries.join(shared, F.col("key") == F.col("k")).select("key", "node", "low", "n"))
+    members = persisted(entries.join(shared, F.col("key") == F.col("k")).select("key", "node", "low", "n").distinct())
     large = members.filter(F.col("n") > BUCKET_LIMIT).select(F.col("node").alias("a"), F.col("low").alias("b"))
-    sketches = signatures.select(F.col("node").alias("s"), "sketch")
+    wanted = members.select(F.col("node").alias("w")).distinct()
+    sketches = (signatures.select(F.col("node").alias("s"), "sketch").join(wanted, F.col("s") == F.col("w"), "left_semi")
+                .groupBy("s").agg(F.min("sketch").alias("sketch")))
     small = (members.filter(F.col("n") <= BUCKET_LIMIT).join(sketches, F.col("node") == F.col("s"))
              .select("key", "node", "sketch").repartition("key").sortWithinPartitions("key"))
     edges = small.mapInArrow(_bucket_edges(sketch_limit(threshold, sketch_size)), "a long, b long")
@@ -268,13 +294,14 @@ def _intersections(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _verify(shingler: Callable[[pa.Array], tuple[np.ndarray, np.ndarray]], threshold: float) -> Callable:
+def _verify(shingler: Callable[[pa.Array], tuple[np.ndarray, np.ndarray]], threshold: float,
+            identify: Callable | None) -> Callable:
     def links(batches):
         for group in sorted_groups(batches, ["component", "lo", "hi"]):
             texts = group["payload"].combine_chunks()
             texts = texts if isinstance(texts, pa.Array) else pa.chunked_array(texts).combine_chunks()
             hashes, counts = shingler(texts)
-            keys = set_ids(hashes, counts)
+            keys = identify(texts) if identify else set_ids(hashes, counts)
             ids = [k.tobytes() for k in keys]
             expected = group["id"].to_pylist()
             row = {}
@@ -312,9 +339,11 @@ def _verify(shingler: Callable[[pa.Array], tuple[np.ndarray, np.ndarray]], thres
 
 
 def verified_links(members: DataFrame, payloads: DataFrame, join_on: str, shingler: Callable,
-                   threshold: float) -> DataFrame:
+                   threshold: float, identify: Callable | None = None) -> DataFrame:
     """Links of at least ``threshold`` Jaccard within each component.
 
+    An id is what ``identify`` gives for the payload, or else the id of its bag of shingles.
+
     ``members``: component, id (binary), ``join_on``, weight, size (characters); ``payloads``: ``join_on``
     and payload (text).  Returns (id, other, links), persisted: rows with a null ``other`` hold the summed
     weights of an id's partners in one group, the rest are edges of a spanning forest.
@@ -332,4 +361,4 @@ def verified_links(members: DataFrame, payloads: DataFrame, join_on: str, shingl
             .select("component", F.least("block", "partner").alias("lo"), F.greatest("block", "partner").alias("hi"),
                     "block", "id", "weight", "payload"))
     grouped = rows.repartition("component", "lo", "hi").sortWithinPartitions("component", "lo", "hi")
-    return persisted(grouped.mapInArrow(_verify(shingler, threshold), "id binary, other binary, links long"))
+    return persisted(grouped.mapInArrow(_verify(shingler, threshold, identify), "id binary, other binary, links long"))

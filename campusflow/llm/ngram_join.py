@@ -33,7 +33,7 @@ def _signatures(words: int, rows: int, bands: int):
             hashes, counts = word_shingles(texts, words)
             keys, minima = set_ids(hashes, counts), min_hashes(hashes, counts, max(rows * bands, SKETCH))
             yield pa.RecordBatch.from_arrays(
-                [ids, pc.if_else(pa.array(counts == 0), pa.scalar(None, pa.binary()), binary_column(keys)), pa.array(keys[:, 0].view(np.int64)),
+                [ids, pc.if_else(pa.array(counts == 0), pa.scalar(None, pa.binary()), binary_column(keys)), pa.array(np.ascontiguousarray(keys[:, 0]).view(np.int64)),
                  pa.array(counts.astype(np.int64)),
                  list_column(band_keys(minima, rows, bands)),
                  binary_column(minima[:, :SKETCH].astype(np.uint8))],

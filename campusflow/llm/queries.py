@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from campusflow.llm import ann, host_rules, line_dedup, ngram_join, packing, pieces, pii, quality_classifier, url_filter, warc
-from campusflow.llm.shared import persisted, shared_folder
+from campusflow.llm.shared import persisted
+from campusflow.session import checkpoint_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -68,7 +69,7 @@ def op6(spark, sf_dir):
            CASE WHEN page_id != first THEN first END AS refers_to
     FROM four GROUP BY page_id, payload_bytes, first""")
 def op3(spark, sf_dir):
-    path = f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
+    path = f"{checkpoint_dir(spark)}/warc-{uuid.uuid4().hex}"
     warc.write_warc(warc.records(table(spark, sf_dir, "pages")), path)
     back = warc.read_warc(spark, path)
     out = persisted(back.select(

@@ -2,26 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from campusflow.session import checkpoint_dir
+
 #: The white space that separates words: space and U+0009 to U+000D.
 SPACES = " \t\n\x0b\x0c\r"
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; where it is unset, a folder in the warehouse, which is shared as well."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder
-
-
 def persisted(df: DataFrame) -> DataFrame:
     """``df`` computed once and read back from the shared folder; survives the loss of executors."""
-    shared_folder(df.sparkSession)
+    checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -61,26 +53,28 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     small stars; the component is its smallest node.  Only nodes with an edge to another are returned.
 
     Each round is two aggregations with map-side combine and two joins whose inputs are both plain
-    shuffles, so that AQE splits the rows of a hub.  The edge list is checkpointed each round, and
-    one row (count and checksum) tells whether it still changes.
+    shuffles, so that AQE splits the rows of a hub.  The edge list is checkpointed each round, and one row
+    of counts tells whether every node already points at a root.
     """
-    e = persisted(edges.select(F.col(a).alias("u"), F.col(b).alias("v"))
+    e = persisted(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
                   .filter("u is not null and v is not null and u != v").distinct())
-    before = None
-    while True:
+    while not _is_star_forest(e):
         sym = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         lowest = persisted(sym.groupBy("u").agg(F.min("v").alias("m"))
                            .select(F.col("u").alias("c"), F.least("u", "m").alias("m")))
-        large = (sym.join(lowest, F.col("u") == F.col("c")).filter("v > u")
-                 .select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
-        large = persisted(large)
+        large = persisted(sym.join(lowest, F.col("u") == F.col("c")).filter("v > u")
+                          .select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
         lowest = persisted(large.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "c"))
         small = (large.join(lowest, F.col("u") == F.col("c")).filter("v != m")
                  .select(F.col("v").alias("u"), F.col("m").alias("v")))
         e = persisted(small.unionByName(lowest.select(F.col("c").alias("u"), F.col("m").alias("v"))).distinct())
-        now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if now == before:
-            break
-        before = now
     roots = e.select(F.col("v").alias("node")).distinct().withColumn("component", F.col("node"))
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
+
+
+def _is_star_forest(edges: DataFrame) -> bool:
+    """Whether each u has one v, and no v is a u of another edge; edges go from larger to smaller nodes."""
+    ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("points"), F.lit(0).alias("root")).unionByName(
+        edges.select(F.col("v").alias("x"), F.lit(0).alias("points"), F.lit(1).alias("root")))
+    each = ends.groupBy("x").agg(F.sum("points").alias("points"), F.max("root").alias("root"))
+    return not each.filter((F.col("points") > 1) | ((F.col("points") > 0) & (F.col("root") > 0))).limit(1).count()

@@ -130,7 +130,8 @@ def test_line_dedup_query(spark, sf_small, docs):
 
 def test_line_dedup_edges(spark):
     assert line_dedup.dedup_lines(frame(spark, [])).count() == 0
-    line = "a line of text that is long enough to differ in a single place only, as they do"
+    line = ("a line of text that is long enough to differ in a single place only, as near copies of a line do "
+            "when someone has edited one word of it by hand")
     rows = [(3, line + "\n\nshort\nshort"), (1, line.replace("single", "simple") + "\n" + "q" * 50_000),
             (2, "short\n \nother"), (4, None), (5, ""), (None, line), (2, "short\n \nother"), (6, "é😀\nsho"), (7, "é😀")]
     out = line_dedup.dedup_lines(frame(spark, rows))

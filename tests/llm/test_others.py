@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from sentencepiece import SentencePieceProcessor
 
 from campusflow.llm import ann, pieces, quality_classifier, queries, url_filter, warc
-from campusflow.llm.shared import connected_components, running_sums, shared_folder
+from campusflow.llm.shared import connected_components, running_sums
+from campusflow.session import checkpoint_dir
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
@@ -143,7 +144,7 @@ def test_pieces_edges(spark):
 # --- archives
 
 def rows_of(spark, pages, split, **options):
-    path = f"{shared_folder(spark)}/test-warc-{random.getrandbits(60)}"
+    path = f"{checkpoint_dir(spark)}/test-warc-{random.getrandbits(60)}"
     warc.write_warc(warc.records(pages), path, **options)
     rows = warc.read_warc(spark, path, splitbytes=split).collect()
     warc.delete_archives(path)
