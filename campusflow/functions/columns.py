@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 EMAIL_PATTERN = r"^[^\s@]+@[^\s@]+\.[^\s@]+$"
 PHONE_PATTERN = r"^[\+]?[1-9][\d]{0,15}$"
 PHONE_STRIP = r"[\s\-\(\)]"
+BLANK_ENDS = r"^\s+|\s+$"
 # Validation messages.
 MSG_REQUIRED = " is required"
 MSG_EMAIL = "Invalid email address"
@@ -85,7 +86,9 @@ def course_start_bucket(start_col, as_of) -> Column:
 
 
 def admission_code(id_col, prefix: str = "STU", width: int = 6) -> Column:
-    return F.concat(F.lit(prefix), F.lpad(_c(id_col).cast("string"), width, "0"))
+    """``STU000123``; ids of more digits than ``width`` keep them all."""
+    text = _c(id_col).cast("string")
+    return F.concat(F.lit(prefix), F.lpad(text, F.greatest(F.length(text), F.lit(width)), F.lit("0")))
 
 
 def to_int(col) -> Column:
@@ -170,8 +173,8 @@ def mixed_sort_key(col) -> Column:
 # ---- formats ------------------------------------------------------------------------
 
 def format_currency(col, symbol: str = "$") -> Column:
-    """``-$1,234.50``; rounding half-up to cents; NULL -> ``$0.00``."""
-    v = F.round(_c(col).cast("decimal(38,4)"), 2)
+    """``-$1,234.50``; rounding half-up to cents; NULL and text that is no number -> ``$0.00``."""
+    v = F.round(_c(col).try_cast("decimal(38,4)"), 2)
     body = F.concat(F.lit(symbol), F.format_number(F.abs(v), 2))
     return (F.when(v.isNull(), F.lit(symbol + "0.00"))
             .when(v < 0, F.concat(F.lit("-"), body))
@@ -343,7 +346,7 @@ def validation_errors(required=(), email=(), phone=()) -> Column:
     cols = list(dict.fromkeys(list(required) + list(email) + list(phone)))
     checks = []
     for name in cols:
-        v = F.trim(F.coalesce(F.col(name).cast("string"), F.lit("")))
+        v = F.regexp_replace(F.coalesce(F.col(name).cast("string"), F.lit("")), BLANK_ENDS, "")
         if name in required:
             checks.append(F.when(v == "", F.lit(name + MSG_REQUIRED)))
         if name in email:

@@ -23,12 +23,19 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from campusflow.session import checkpoint_dir
+
+
+def text_key(key: str):
+    """``key`` as text with a value of its own for NULL, so that the scans compare it as it is."""
+    return F.coalesce(F.concat(F.lit("="), F.col(key).cast("string")), F.lit(""))
+
 
 def _scan_partition(wait_us: int):
     """Per partition: burst start of every row, and whether the row belongs to the
     partition's leading burst (the one that may continue from earlier partitions)."""
     def scan(batches):
-        state = {"key": None, "t": None, "start": None, "leading": True}
+        state = {"begun": False, "key": None, "t": None, "start": None, "leading": True}
         for pdf in batches:
             if not len(pdf):
                 continue
@@ -36,7 +43,7 @@ def _scan_partition(wait_us: int):
             t = pdf["_bt"].to_numpy(dtype=np.int64)
             n = len(pdf)
             new = np.empty(n, dtype=bool)
-            first_of_partition = state["key"] is None
+            first_of_partition = not state["begun"]
             if first_of_partition:
                 new[0] = True
             else:
@@ -52,7 +59,7 @@ def _scan_partition(wait_us: int):
                              state["start"] if state["start"] is not None else 0)
             leading = np.logical_and(state["leading"], ~seen)
             yield pdf.assign(_bstart=start.astype(np.int64), _blead=leading)
-            state = {"key": keys[-1], "t": int(t[-1]), "start": int(start[-1]), "leading": bool(leading[-1])}
+            state = {"begun": True, "key": keys[-1], "t": int(t[-1]), "start": int(start[-1]), "leading": bool(leading[-1])}
 
     return scan
 
@@ -61,7 +68,7 @@ def burst_starts(events: DataFrame, key: str, t_us: str, tiebreak: str, wait_us:
                  num_partitions: int | None = None) -> DataFrame:
     """``events`` plus ``_burst_start`` (epoch micros of the first event of the row's burst)."""
     parts = [num_partitions] if num_partitions else []
-    ordered = (events.withColumn("_bk", F.col(key)).withColumn("_bt", F.col(t_us))
+    ordered = (events.withColumn("_bk", text_key(key)).withColumn("_bt", F.col(t_us))
                .repartitionByRange(*parts, "_bk", "_bt", tiebreak)
                .sortWithinPartitions("_bk", "_bt", tiebreak)
                .withColumn("_bpid", F.spark_partition_id()))
@@ -95,8 +102,14 @@ def debounce_batch(events: DataFrame, key: str, ts: str = "ts", wait_seconds: fl
                    keep: str = "last", tiebreak: str = "event_id", payload=(),
                    num_partitions: int | None = None) -> DataFrame:
     """One row per burst: key, burst_start, burst_end, events, and the kept event's
-    ``tiebreak`` and ``payload`` (``keep`` = 'last' or 'first')."""
+    ``tiebreak`` and ``payload`` (``keep`` = 'last' or 'first').
+
+    Events without a time are left out, as in a stream; those without a key
+    share one key.
+    """
     wait_us = int(wait_seconds * 1_000_000)
+    checkpoint_dir(events.sparkSession)
+    events = events.filter(F.col(ts).isNotNull())
     e = events.withColumn(ts, F.col(ts).cast("timestamp")).withColumn("_t_us", F.unix_micros(F.col(ts)))
     b = burst_starts(e, key, "_t_us", tiebreak, wait_us, num_partitions)
     pick = F.max_by if keep == "last" else F.min_by

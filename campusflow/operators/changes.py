@@ -13,24 +13,34 @@ from pyspark.sql import functions as F
 from campusflow.functions import columns as C
 from campusflow.operators.quality import validate_rows
 from campusflow.schemas import SETTINGS, STUDENTS
+from campusflow.session import checkpoint_dir
 
 
 def assign_ids(df: DataFrame, order_cols, base: DataFrame | None = None, id_col: str = "id",
                checkpoint: bool = True) -> DataFrame:
     """Dense ids ``max_base + 1 ...`` in ``order_cols`` order, without a global window.
 
-    Rows are range-partitioned and sorted on ``order_cols``; each partition's
-    row count gives a running offset (one small row per partition, broadcast
-    back).  ``base`` is a one-column frame whose maximum is the last used id.
-    The numbered rows are checkpointed to the shared checkpoint folder first,
-    so the counts and the numbering see the same rows even after an executor
-    is lost.
+    Rows are range-partitioned and sorted on ``order_cols``, then numbered as
+    they lie.  ``base`` is a one-column frame whose maximum is the last used id.
     """
     order_cols = [order_cols] if isinstance(order_cols, str) else list(order_cols)
     ordered = df.repartitionByRange(*order_cols).sortWithinPartitions(*order_cols)
-    tagged = ordered.withColumn("_pid", F.spark_partition_id()).withColumn("_mono",
+    return number_rows(ordered, base, id_col, checkpoint)
+
+
+def number_rows(df: DataFrame, base: DataFrame | None = None, id_col: str = "position",
+                checkpoint: bool = True) -> DataFrame:
+    """Dense numbers in the order in which the rows of a sorted frame lie.
+
+    Each partition's row count gives a running offset (one small row per
+    partition, broadcast back).  The numbered rows are checkpointed to the
+    shared folder first, so the counts and the numbering see the same rows even
+    after an executor is lost.
+    """
+    tagged = df.withColumn("_pid", F.spark_partition_id()).withColumn("_mono",
                                                                           F.monotonically_increasing_id())
     if checkpoint:
+        checkpoint_dir(df.sparkSession)
         tagged = tagged.checkpoint(eager=True)
     counts = tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     if base is not None:
@@ -71,19 +81,18 @@ def admit_students(students: DataFrame, form: DataFrame, as_of, order_by: str =
     Returns ``students`` (the new rows), ``enrollments`` (one ``active``
     enrollment per new student, dated the admission date) and ``rejected``
     (rows failing validation, with ``errors``).  A code already present in
-    ``students`` is skipped, and within the batch the first row per code wins,
-    so re-running a batch admits nobody twice.
+    ``students`` is skipped.  Of several rows with a code in one batch the
+    first by ``order_by``, then by the other fields, wins, so re-running a
+    batch admits nobody twice and the outcome does not depend on the row order.
     """
     cleaned = validate_rows(clean_admissions(form), required=["student_id", "name", "email", "phone"],
                             email=["email"], phone=["phone"])
     rejected = cleaned.filter(~F.col("is_valid"))
     good = cleaned.filter(F.col("is_valid")).drop("errors", "is_valid")
     extra = [c for c in good.columns if c not in ADMISSION_FIELDS]
-    first = (good.groupBy("student_id")
-             .agg(F.min_by(F.struct(*[c for c in good.columns if c != "student_id"]),
-                           F.struct(*([order_by] if order_by != "student_id" else []), "name", "email"))
-                  .alias("_r"))
-             .select("student_id", "_r.*"))
+    order = dict.fromkeys([order_by, "name", "email", *ADMISSION_FIELDS])
+    rank = F.row_number().over(Window.partitionBy("student_id").orderBy(*[c for c in order if c != "student_id"]))
+    first = good.withColumn("_rn", rank).filter(F.col("_rn") == 1).drop("_rn")
     known = students.select(F.col("student_id").alias("_code"))
     fresh = first.join(known, first.student_id == known._code, "left_anti")
     numbered = assign_ids(fresh, ["student_id"], base=students.select("id"))
@@ -109,18 +118,19 @@ def empty_students(spark: SparkSession) -> DataFrame:
 def upsert_settings(current: DataFrame, changes: DataFrame) -> DataFrame:
     """Apply (setting_key, setting_value, changed_at, seq) changes to a settings table.
 
-    Per key the last change wins (``max_by`` on (changed_at, seq), a partial
-    aggregate).  Present keys get the new value and ``updated_at``, keeping
-    ``created_at``; new keys get both stamps and fresh ids; keys without a
-    change are unchanged.
+    Per key the last change by (changed_at, seq) wins.  Present keys get the
+    new value and ``updated_at``, keeping ``created_at``; new keys get both
+    stamps and fresh ids; keys without a change are unchanged.  NULL is a key
+    like any other.
     """
-    last = (changes.groupBy("setting_key")
-            .agg(F.max_by(F.struct("setting_value", "changed_at"), F.struct("changed_at", "seq"))
-                 .alias("_c")))
+    newest = Window.partitionBy("setting_key").orderBy(F.col("changed_at").desc_nulls_last(),
+                                                       F.col("seq").desc_nulls_last())
+    last = (changes.withColumn("_rn", F.row_number().over(newest)).filter(F.col("_rn") == 1)
+            .select("setting_key", F.struct("setting_value", "changed_at").alias("_c")))
     cur = current.select(F.col("id").alias("_id"), F.col("setting_key").alias("_k"),
                          F.col("setting_value").alias("_v"), F.col("created_at").alias("_created"),
                          F.col("updated_at").alias("_updated"))
-    j = cur.join(last, cur._k == last.setting_key, "full_outer")
+    j = cur.join(last, cur._k.eqNullSafe(last.setting_key), "full_outer")
     changed = F.col("_c").isNotNull()
     merged = j.select(
         "_id",
@@ -129,6 +139,7 @@ def upsert_settings(current: DataFrame, changes: DataFrame) -> DataFrame:
         F.coalesce("_created", "_c.changed_at").alias("created_at"),
         F.when(changed, F.col("_c.changed_at")).otherwise(F.col("_updated")).alias("updated_at"))
     # read twice (kept rows, new keys): checkpoint the joined table once instead of joining twice
+    checkpoint_dir(current.sparkSession)
     merged = merged.checkpoint(eager=True)
     kept = merged.filter(F.col("_id").isNotNull()).withColumnRenamed("_id", "id")
     new = assign_ids(merged.filter(F.col("_id").isNull()).drop("_id"), ["setting_key"],
@@ -142,12 +153,17 @@ def empty_settings(spark: SparkSession) -> DataFrame:
 
 # ---- edits, deletes, purges, retention ----------------------------------------------
 
-def update_rows(df: DataFrame, changes: DataFrame, key: str = "id") -> DataFrame:
+def update_rows(df: DataFrame, changes: DataFrame, key: str = "id", order_by=None) -> DataFrame:
     """Overwrite the columns present in ``changes`` for the rows whose ``key`` matches.
 
-    ``changes`` holds one row per key; a NULL in a change keeps the old value.
+    A NULL in a change keeps the old value.  Of several changes of a key the
+    last by ``order_by`` applies, all of it; without an order they are compared
+    by their values, so the outcome does not depend on the row order.
     """
     cols = [c for c in changes.columns if c != key and c in df.columns]
+    order = [order_by] if isinstance(order_by, str) else list(order_by or cols)
+    newest = Window.partitionBy(key).orderBy(*[F.col(c).desc_nulls_last() for c in order + cols])
+    changes = changes.withColumn("_rn", F.row_number().over(newest)).filter(F.col("_rn") == 1)
     ch = changes.select(F.col(key).alias("_key"), *[F.col(c).alias("_new_" + c) for c in cols])
     j = df.join(ch, df[key] == ch._key, "left")
     return j.select(*[F.coalesce(F.col("_new_" + c), F.col(c)).cast(df.schema[c].dataType).alias(c)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
+from campusflow.session import checkpoint_dir
+
 
 def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     """Round-robin ``df`` over at least ``min_partitions`` (default: the cluster's cores)
@@ -27,9 +29,8 @@ def materialize(df: DataFrame) -> DataFrame:
     """Compute a small derived frame once when several consumers read it (a top-k feeding
     lookups, per-course counts feeding a top-k and a relabelling).
 
-    Cached, so AQE plans it as one table-cache stage per query; a lost block is
-    recomputed from lineage, which is deterministic here (an aggregate or an
-    ordered top-k).  Jobs whose passes must see identical rows (dense ids, the
-    throttle and debounce scans) checkpoint instead.
+    Checkpointed to the shared folder: nothing stays in executor storage, and
+    Spark's cleaner removes the files once nobody refers to the frame.
     """
-    return df.cache()
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)

@@ -127,10 +127,13 @@ def recent_admissions(enrollments: DataFrame, students: DataFrame, courses: Data
     fetched.  An enrollment whose student is missing shows 'N/A' instead of
     vanishing.
     """
-    order = [F.col("enrollment_date").desc_nulls_last(), F.col("id").desc(),
-             F.col("student_id").asc(), F.col("course_id").asc()]
-    top = materialize(enrollments.select("id", "student_id", "course_id", "enrollment_date", "status")
-                      .orderBy(*order).limit(n))
+    order = [F.col("enrollment_date").desc_nulls_last(), F.col("id").desc(), F.col("course_id").asc()]
+    # the cut needs no student: where a source joins the student in, that join stays out of it
+    cut = materialize(enrollments.select("id", "course_id", "enrollment_date", "status").orderBy(*order).limit(n))
+    wanted = cut.select(F.col("id").alias("_k")).distinct()
+    owners = materialize(_semi_lookup(enrollments.select("id", "student_id"), "id", wanted)
+                         .groupBy(F.col("id").alias("_eid")).agg(F.min("student_id").alias("student_id")))
+    top = cut.join(owners, cut["id"] == owners["_eid"], "left").drop("_eid")
     s = _semi_lookup(students.select("id", "name", "email"), "id",
                      top.select(F.col("student_id").alias("_k")).distinct())
     s = s.select(F.col("id").alias("_sid"), "name", "email")
@@ -191,31 +194,18 @@ def orphan_check(payments: DataFrame, enrollments: DataFrame, students: DataFram
                  courses: DataFrame) -> DataFrame:
     """Rows per relationship whose parent is missing: (relationship, orphans).
 
-    One pass per table: every child row is stacked into (relationship, key)
-    pairs and pre-aggregated (a hot key is one row), parents are stacked into
-    (relationship, id), and a single anti join finds the orphans.  NULL keys are
-    not orphans; every relationship appears, with 0 when clean.
+    Per relationship the child table is reduced to one row per key (column
+    pruned, a hot key is one row) before the anti join with its parents.  NULL
+    keys are not orphans; every relationship appears, with 0 when clean.
     """
     tables = {"payments": payments, "enrollments": enrollments, "students": students, "courses": courses}
 
-    def stacked(table, pairs, value_name):
-        arr = F.array(*[F.struct(F.lit(rel).alias("rel"), F.col(col).alias(value_name)) for rel, col in pairs])
-        return tables[table].select(F.explode(arr).alias("_x")).select("_x.rel", f"_x.{value_name}")
-
-    children, parents = None, None
-    for table in ("payments", "enrollments", "students"):
-        pairs = [(rel, col) for rel, (t, col, _) in ORPHAN_RELATIONSHIPS.items() if t == table]
-        part = stacked(table, pairs, "fk")
-        children = part if children is None else children.unionByName(part)
-    for table in ("students", "courses"):
-        pairs = [(rel, "id") for rel, (_, _, parent) in ORPHAN_RELATIONSHIPS.items() if parent == table]
-        part = stacked(table, pairs, "pk").withColumnRenamed("rel", "prel")
-        parents = part if parents is None else parents.unionByName(part)
-    keys = (children.filter(F.col("fk").isNotNull())
-            .groupBy("rel", "fk").agg(F.count(F.lit(1)).alias("_n")))
-    found = (keys.join(parents, (keys.rel == parents.prel) & (keys.fk == parents.pk), "left_anti")
-             .groupBy("rel").agg(F.sum("_n").alias("_n")))
-    spark = payments.sparkSession
-    zeros = spark.createDataFrame([(rel, 0) for rel in ORPHAN_RELATIONSHIPS], "rel string, _n bigint")
-    return (found.unionByName(zeros).groupBy(F.col("rel").alias("relationship"))
-            .agg(F.sum("_n").cast("bigint").alias("orphans")))
+    found = None
+    for rel, (child, col, parent) in ORPHAN_RELATIONSHIPS.items():
+        keys = (tables[child].filter(F.col(col).isNotNull()).groupBy(F.col(col).alias("fk"))
+                .agg(F.count(F.lit(1)).alias("_n")))
+        ids = tables[parent].select(F.col("id").alias("pk"))
+        part = (keys.join(ids, keys.fk == ids.pk, "left_anti")
+                .agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("_n")).select(F.lit(rel).alias("rel"), "_n"))
+        found = part if found is None else found.unionByName(part)
+    return found.select(F.col("rel").alias("relationship"), F.col("_n").cast("bigint").alias("orphans"))

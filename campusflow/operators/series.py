@@ -102,13 +102,14 @@ def group_rows(df: DataFrame, key: str, order_by, num_partitions: int | None = N
 def unique_rows(df: DataFrame, keys, order_by) -> DataFrame:
     """One row per ``keys``: the first by ``order_by`` (``dropDuplicates`` keeps an arbitrary one).
 
-    ``min_by`` over a struct is a partial aggregate, so hot keys shrink map-side.
+    ``row_number() = 1`` plans a ``WindowGroupLimit`` before the shuffle, so a
+    hot key ships one row per map task and each side sorts once.
     """
     keys = [keys] if isinstance(keys, str) else list(keys)
     order_cols = [order_by] if isinstance(order_by, str) else list(order_by)
     rest = [c for c in df.columns if c not in keys]
-    best = F.min_by(F.struct(*[F.col(c) for c in rest]), F.struct(*[F.col(c) for c in order_cols]))
-    return df.groupBy(*keys).agg(best.alias("_row")).select(*keys, *[F.col("_row." + c).alias(c) for c in rest])
+    first = Window.partitionBy(*keys).orderBy(*order_cols)
+    return df.withColumn("_rn", F.row_number().over(first)).filter(F.col("_rn") == 1).select(*keys, *rest)
 
 
 def payment_summary(payments: DataFrame) -> DataFrame:

@@ -28,6 +28,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from campusflow.operators.bursts import text_key
+from campusflow.session import checkpoint_dir
+
 
 def _probe_scan(key_type: T.DataType):
     """Per partition: the answer to every probe, plus one marker row (``row`` = 1) holding the
@@ -85,7 +88,7 @@ def _probe_scan(key_type: T.DataType):
 def successor_links(events: DataFrame, key: str, t_us: str, tiebreak: str, limit_us: int,
                     num_partitions: int | None = None) -> DataFrame:
     """(id, nxt): for every event, the first event of its key at or after ``t + limit``."""
-    ev = events.select(F.col(key).alias("k"), F.col(t_us).alias("t"), F.col(tiebreak).alias("id"))
+    ev = events.select(text_key(key).alias("k"), F.col(t_us).alias("t"), F.col(tiebreak).alias("id"))
     rows = (ev.select("k", "t", F.lit(1).alias("kind"), "id")
             .unionByName(ev.select("k", (F.col("t") + F.lit(limit_us)).alias("t"), F.lit(0).alias("kind"), "id")))
     parts = [num_partitions] if num_partitions else []
@@ -115,7 +118,11 @@ def throttle_batch(events: DataFrame, key: str, ts: str = "ts", limit_seconds: f
     """The events a per-key throttle lets through (event-time order, ties by ``tiebreak``).
 
     ``tiebreak`` must be unique.  Exact on any key skew; see the module notes.
+    Events without a time are left out, as in a stream; those without a key
+    share one key.
     """
+    checkpoint_dir(events.sparkSession)
+    events = events.filter(F.col(ts).isNotNull())
     limit_us = int(limit_seconds * 1_000_000)
     if limit_us <= 0:
         return events

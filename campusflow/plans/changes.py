@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from campusflow.operators import changes as Ch
 from campusflow.plans.registry import query
 from campusflow.session import checkpoint_dir
+from campusflow.sources import files as Fs
 from campusflow.sources.adapters import Academy
 
 _SPLIT_TS = "2024-01-15 00:00:00"
@@ -43,7 +46,7 @@ FROM merged
 """)
 def q_upsert_settings(spark, sf_dir):
     """Two change batches (before / from Jan 15) applied to an empty settings table."""
-    checkpoint_dir(spark, allow_local=True)
+    checkpoint_dir(spark)
     ch = Academy(spark, sf_dir).setting_changes
     split = F.to_timestamp(F.lit(_SPLIT_TS))
     first = Ch.upsert_settings(Ch.empty_settings(spark), ch.filter(F.col("changed_at") < split))
@@ -97,11 +100,11 @@ def q_update_rows(spark, sf_dir):
 
 _FORM_SQL = """
 form AS (
-  SELECT 'STU' || lpad(CAST(c_custkey AS VARCHAR), 6, '0') AS student_id,
+  SELECT 'STU' || lpad(CAST(c_custkey AS VARCHAR), CAST(greatest(length(CAST(c_custkey AS VARCHAR)), 6) AS INTEGER), '0') AS student_id,
          '  ' || c_name || ' <b>new</b> ' AS name,
          upper(' ' || lower(replace(c_name, '#', '.')) || '@example.edu ') AS email,
          CASE WHEN c_acctbal < 0 THEN '0' || CAST(c_custkey AS VARCHAR)
-              ELSE '+1 (555) ' || lpad(CAST(c_custkey AS VARCHAR), 7, '0') END AS phone,
+              ELSE '+1 (555) ' || lpad(CAST(c_custkey AS VARCHAR), CAST(greatest(length(CAST(c_custkey AS VARCHAR)), 7) AS INTEGER), '0') END AS phone,
          c_mktsegment AS address,
          CAST(c_custkey % 200 AS VARCHAR) || 'x' AS course_id,
          strftime(DATE '2024-01-01' + CAST(c_custkey % 365 AS INTEGER), '%Y-%m-%d') AS admission_date
@@ -111,11 +114,11 @@ form AS (
 
 def _form(a):
     return a.raw("customer").selectExpr(
-        "concat('STU', lpad(CAST(c_custkey AS STRING), 6, '0')) AS student_id",
+        "concat('STU', lpad(CAST(c_custkey AS STRING), CAST(greatest(length(CAST(c_custkey AS STRING)), 6) AS INTEGER), '0')) AS student_id",
         "concat('  ', c_name, ' <b>new</b> ') AS name",
         "upper(concat(' ', lower(replace(c_name, '#', '.')), '@example.edu ')) AS email",
         "CASE WHEN c_acctbal < 0 THEN concat('0', CAST(c_custkey AS STRING))"
-        " ELSE concat('+1 (555) ', lpad(CAST(c_custkey AS STRING), 7, '0')) END AS phone",
+        " ELSE concat('+1 (555) ', lpad(CAST(c_custkey AS STRING), CAST(greatest(length(CAST(c_custkey AS STRING)), 7) AS INTEGER), '0')) END AS phone",
         "c_mktsegment AS address",
         "concat(CAST(c_custkey % 200 AS STRING), 'x') AS course_id",
         "date_format(date_add(DATE'2024-01-01', CAST(c_custkey % 365 AS INT)), 'yyyy-MM-dd')"
@@ -155,7 +158,7 @@ FROM fresh
 def q_admit_students(spark, sf_dir):
     """Every customer submits an admission form; those admitted before July are already
     students, rows with a bad phone are rejected; the rest become new students."""
-    checkpoint_dir(spark, allow_local=True)
+    checkpoint_dir(spark)
     a = Academy(spark, sf_dir)
     existing = a.students.filter(F.col("admission_date") < F.lit("2024-07-01").cast("date"))
     out = Ch.admit_students(existing, _form(a), as_of="2024-07-01 09:00:00")
@@ -163,14 +166,33 @@ def q_admit_students(spark, sf_dir):
                                   "admission_date", "status")
 
 
-@query("admit_students_enrollments", f"""
+ADMIT_ENROLLMENTS_SQL = f"""
 WITH {_FORM_SQL}, {_CLEAN_SQL}
 SELECT (SELECT max(id) FROM existing) + row_number() OVER (ORDER BY student_id) AS student_id,
        course_id, admission_date AS enrollment_date, 'active' AS status
 FROM fresh
-""")
+"""
+
+ADMIT_REJECTED_SQL = f"""
+WITH {_FORM_SQL}, {_CLEAN_SQL}
+SELECT student_id, name, phone, array_to_string(errors, '; ') AS error_text FROM (
+  SELECT *, list_filter([
+      CASE WHEN student_id = '' THEN 'student_id is required' END,
+      CASE WHEN name = '' THEN 'name is required' END,
+      CASE WHEN email = '' THEN 'email is required' END,
+      CASE WHEN email <> '' AND NOT regexp_full_match(email, '[^\\s@]+@[^\\s@]+\\.[^\\s@]+')
+           THEN 'Invalid email address' END,
+      CASE WHEN phone = '' THEN 'phone is required' END,
+      CASE WHEN phone <> '' AND NOT regexp_full_match(regexp_replace(phone, '[\\s\\-\\(\\)]', '', 'g'),
+                                                      '[\\+]?[1-9][\\d]{{0,15}}')
+           THEN 'Invalid phone number' END], lambda x: x IS NOT NULL) AS errors
+  FROM clean) WHERE len(errors) > 0
+"""
+
+
+@query("admit_students_enrollments", ADMIT_ENROLLMENTS_SQL)
 def q_admit_students_enrollments(spark, sf_dir):
-    checkpoint_dir(spark, allow_local=True)
+    checkpoint_dir(spark)
     a = Academy(spark, sf_dir)
     existing = a.students.filter(F.col("admission_date") < F.lit("2024-07-01").cast("date"))
     return Ch.admit_students(existing, _form(a), as_of="2024-07-01 09:00:00")["enrollments"]
@@ -189,3 +211,18 @@ def q_append_keep_last_n(spark, sf_dir):
     kept = Ch.keep_last_n(log.filter(F.col("timestamp") < split), "user_id", "timestamp", "id", 10)
     out = Ch.append_keep_last_n(kept, log.filter(F.col("timestamp") >= split), "user_id", "timestamp", "id", 10)
     return out.select("id", "user_id", *_ntz("timestamp"), "action")
+
+
+@query("import_admissions", ADMIT_SQL)
+def q_import_admissions(spark, sf_dir):
+    """The same forms uploaded as CSV: read as text, rows that do not fit the columns set aside, the
+    rest admitted."""
+    a = Academy(spark, sf_dir)
+    path = f"{checkpoint_dir(spark).rstrip('/')}/admissions-csv-{uuid.uuid4().hex}"
+    form = _form(a)
+    Fs.export_csv(form, path)
+    good, _ = Fs.import_csv(spark, path, form.schema)
+    existing = a.students.filter(F.col("admission_date") < F.lit("2024-07-01").cast("date"))
+    out = Ch.admit_students(existing, good, as_of="2024-07-01 09:00:00")
+    return out["students"].select("id", "student_id", "name", "email", "phone", "address", "course_id",
+                                  "admission_date", "status")

@@ -11,13 +11,13 @@ from campusflow.sources.adapters import Academy
 SELECT (SELECT count(*) FROM students) AS total_students,
        (SELECT count(*) FROM courses) AS total_courses,
        count(*) AS total_payments,
-       CAST(coalesce(sum(amount), 0) AS DECIMAL(18,2)) AS total_revenue,
-       CAST(coalesce(sum(amount) FILTER (WHERE payment_status = 'pending'), 0) AS DECIMAL(18,2))
+       CAST(coalesce(sum(amount), 0) AS DECIMAL(38,2)) AS total_revenue,
+       CAST(coalesce(sum(amount) FILTER (WHERE payment_status = 'pending'), 0) AS DECIMAL(38,2))
          AS pending_fees,
-       CAST(coalesce(sum(amount) FILTER (WHERE payment_status = 'overdue'), 0) AS DECIMAL(18,2))
+       CAST(coalesce(sum(amount) FILTER (WHERE payment_status = 'overdue'), 0) AS DECIMAL(38,2))
          AS overdue_fees,
        CAST(coalesce(sum(amount) FILTER (WHERE date_trunc('month', payment_date)
-            = date_trunc('month', DATE '{AS_OF_SALES[:10]}')), 0) AS DECIMAL(18,2)) AS monthly_revenue
+            = date_trunc('month', DATE '{AS_OF_SALES[:10]}')), 0) AS DECIMAL(38,2)) AS monthly_revenue
 FROM payments
 """)
 def q_dashboard_stats(spark, sf_dir):
@@ -26,7 +26,7 @@ def q_dashboard_stats(spark, sf_dir):
 
 
 @query("pending_fees", """
-SELECT CAST(coalesce(sum(amount), 0) AS DECIMAL(18,2)) AS pending_fees
+SELECT CAST(coalesce(sum(amount), 0) AS DECIMAL(38,2)) AS pending_fees
 FROM payments WHERE payment_status = 'pending'
 """)
 def q_pending_fees(spark, sf_dir):
@@ -34,7 +34,7 @@ def q_pending_fees(spark, sf_dir):
 
 
 @query("monthly_revenue", f"""
-SELECT CAST(coalesce(sum(amount), 0) AS DECIMAL(18,2)) AS monthly_revenue,
+SELECT CAST(coalesce(sum(amount), 0) AS DECIMAL(38,2)) AS monthly_revenue,
        count(*) AS payments_in_month
 FROM payments
 WHERE payment_date >= date_trunc('month', DATE '{AS_OF_SALES[:10]}')
@@ -45,7 +45,7 @@ def q_monthly_revenue(spark, sf_dir):
 
 
 @query("monthly_revenue_pruned", f"""
-SELECT CAST(coalesce(sum(amount), 0) AS DECIMAL(18,2)) AS monthly_revenue,
+SELECT CAST(coalesce(sum(amount), 0) AS DECIMAL(38,2)) AS monthly_revenue,
        count(*) AS payments_in_month
 FROM payments
 WHERE payment_date >= date_trunc('month', DATE '{AS_OF_SALES[:10]}')
@@ -58,6 +58,6 @@ def q_monthly_revenue_pruned(spark, sf_dir):
     from campusflow.session import checkpoint_dir
     from campusflow.sources.store import write_by_month
     from campusflow.sources.tables import scan_table
-    path = f"{checkpoint_dir(spark, allow_local=True).rstrip('/')}/payments-by-month-{uuid.uuid4().hex}"
+    path = f"{checkpoint_dir(spark).rstrip('/')}/payments-by-month-{uuid.uuid4().hex}"
     write_by_month(Academy(spark, sf_dir).payments, path, "payment_date")
     return stats.monthly_revenue(scan_table(spark, path), AS_OF_SALES)

@@ -17,7 +17,7 @@ from campusflow.sources.adapters import Academy
 
 
 def _scratch(spark, name):
-    return f"{checkpoint_dir(spark, allow_local=True).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 _PAYMENT_LISTING = T.StructType([

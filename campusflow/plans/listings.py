@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from campusflow.functions import columns as C
 from campusflow.operators import listings as Lst
 from campusflow.operators import search as S
+from campusflow.operators.changes import number_rows
 from campusflow.plans.registry import AS_OF_COURSES, query
 from campusflow.sources.adapters import Academy
 
@@ -27,11 +28,14 @@ def q_students_with_course(spark, sf_dir):
     return Lst.students_with_course(a.students, a.courses)
 
 
-@query("list_students", f"SELECT * FROM ({_STUDENT_LISTING_SQL})")
+@query("list_students", f"""
+SELECT *, row_number() OVER (ORDER BY created_at DESC NULLS LAST, id DESC) AS position
+FROM ({_STUDENT_LISTING_SQL})
+""")
 def q_list_students(spark, sf_dir):
-    """The students listing, newest first (the order is checked in tests)."""
+    """The students listing, newest first; ``position`` is where each row lies."""
     a = Academy(spark, sf_dir)
-    return Lst.list_students(a.students, a.courses)
+    return number_rows(Lst.list_students(a.students, a.courses))
 
 
 @query("payments_with_names", """
@@ -60,24 +64,26 @@ def q_courses_with_enrollment_count(spark, sf_dir):
 
 @query("list_courses", """
 SELECT c.id, c.course_code, c.course_name, c.instructor, c.duration_weeks, c.price,
-       coalesce(n.n, 0) AS enrolled_students, c.status, c.created_at
+       coalesce(n.n, 0) AS enrolled_students, c.status, c.created_at,
+       row_number() OVER (ORDER BY c.created_at DESC NULLS LAST, c.id DESC) AS position
 FROM courses c LEFT JOIN (SELECT course_id, count(*) AS n FROM enrollments GROUP BY course_id) n
   ON c.id = n.course_id
 """)
 def q_list_courses(spark, sf_dir):
     a = Academy(spark, sf_dir)
-    return Lst.list_courses(a.courses, a.enrollments)
+    return number_rows(Lst.list_courses(a.courses, a.enrollments))
 
 
 @query("list_payments", """
 SELECT p.id, coalesce(nullif(s.name, ''), 'N/A') AS student_name,
        coalesce(nullif(c.course_name, ''), 'N/A') AS course_name,
-       p.amount, p.payment_date, p.payment_method, p.payment_status, p.reference_number
+       p.amount, p.payment_date, p.payment_method, p.payment_status, p.reference_number,
+       row_number() OVER (ORDER BY p.payment_date DESC NULLS LAST, p.id DESC) AS position
 FROM payments p LEFT JOIN students s ON p.student_id = s.id LEFT JOIN courses c ON p.course_id = c.id
 """)
 def q_list_payments(spark, sf_dir):
     a = Academy(spark, sf_dir)
-    return Lst.list_payments(a.payments, a.students, a.courses)
+    return number_rows(Lst.list_payments(a.payments, a.students, a.courses))
 
 
 @query("students_page", f"""
@@ -254,24 +260,28 @@ def q_orphan_check(spark, sf_dir):
 
 
 @query("sort_mixed", """
+SELECT *, row_number() OVER (ORDER BY sort_key NULLS LAST, display NULLS LAST, id) AS position FROM (
 SELECT id, display, try_cast(nullif(regexp_extract(regexp_replace(display, '[^\\d.-]', '', 'g'),
                      '^(-?(?:\\d+\\.?\\d*|\\.\\d+))', 1), '') AS DOUBLE) AS sort_key
 FROM (SELECT id, CASE WHEN reference_number IS NULL THEN 'N/A'
-                      ELSE '$' || CAST(amount AS VARCHAR) END AS display FROM payments)
+                      ELSE '$' || CAST(amount AS VARCHAR) END AS display FROM payments))
 """)
 def q_sort_mixed(spark, sf_dir):
     """Mixed display column (money text and 'N/A') in mixed-sort order, with its numeric key."""
     p = Academy(spark, sf_dir).payments
     disp = p.select("id", F.when(F.col("reference_number").isNull(), F.lit("N/A"))
                     .otherwise(F.concat(F.lit("$"), F.col("amount").cast("string"))).alias("display"))
-    return S.sort_mixed(disp, "display").select("id", "display",
-                                                C.mixed_sort_key("display").alias("sort_key"))
+    ordered = number_rows(S.sort_mixed(disp, "display"))
+    return ordered.select("id", "display", C.mixed_sort_key("display").alias("sort_key"), "position")
 
 
-@query("sort_rows", "SELECT id, name, admission_date FROM students")
+@query("sort_rows", """
+SELECT id, name, admission_date, row_number() OVER (ORDER BY admission_date DESC NULLS LAST, id DESC) AS position
+FROM students
+""")
 def q_sort_rows(spark, sf_dir):
     s = Academy(spark, sf_dir).students.select("id", "name", "admission_date")
-    return S.sort_rows(s, "admission_date", "desc", "id")
+    return number_rows(S.sort_rows(s, "admission_date", "desc", "id"))
 
 
 @query("students_search_page", f"""

@@ -2,7 +2,7 @@
 
 ``CANONICAL_CTES`` re-states ``campusflow.sources.adapters`` in DuckDB SQL
 over the pre-registered test views; every oracle query is prefixed with it.
-Sums of money are cast to DECIMAL(18,2) and means are DOUBLE divisions of
+Sums of money are cast to DECIMAL(38,2) and means are DOUBLE divisions of
 exact sums, so both engines produce the same values bit for bit.
 """
 
@@ -11,7 +11,7 @@ from __future__ import annotations
 CANONICAL_CTES = """
 students AS (
   SELECT c_custkey AS id,
-         'STU' || lpad(CAST(c_custkey AS VARCHAR), 6, '0') AS student_id,
+         'STU' || lpad(CAST(c_custkey AS VARCHAR), CAST(greatest(length(CAST(c_custkey AS VARCHAR)), 6) AS INTEGER), '0') AS student_id,
          c_name AS name,
          lower(replace(c_name, '#', '.')) || '@example.edu' AS email,
          '+1 555 ' || lpad(CAST(c_custkey % 10000000 AS VARCHAR), 7, '0') AS phone,

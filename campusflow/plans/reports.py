@@ -13,8 +13,8 @@ _D = AS_OF_SALES[:10]
 
 @query("student_stats", """
 SELECT s.id, s.student_id, s.name, coalesce(e.courses, 0) AS courses,
-       CAST(coalesce(p.paid, 0) AS DECIMAL(18,2)) AS total_paid,
-       CAST(coalesce(p.due, 0) AS DECIMAL(18,2)) AS total_due,
+       CAST(coalesce(p.paid, 0) AS DECIMAL(38,2)) AS total_paid,
+       CAST(coalesce(p.due, 0) AS DECIMAL(38,2)) AS total_due,
        CASE WHEN e.pn > 0 THEN CAST(e.ps AS DOUBLE) / e.pn END AS mean_progress
 FROM students s
 LEFT JOIN (SELECT student_id, count(*) AS courses, sum(progress) AS ps, count(progress) AS pn
@@ -34,7 +34,7 @@ SELECT c.id, c.course_code, c.course_name, coalesce(e.enrolled, 0) AS enrolled,
        CASE WHEN coalesce(e.enrolled, 0) > 0 THEN CAST(e.completed AS DOUBLE) / e.enrolled END
          AS completion_rate,
        CASE WHEN e.pn > 0 THEN CAST(e.ps AS DOUBLE) / e.pn END AS mean_progress,
-       CAST(coalesce(p.rev, 0) AS DECIMAL(18,2)) AS revenue
+       CAST(coalesce(p.rev, 0) AS DECIMAL(38,2)) AS revenue
 FROM courses c
 LEFT JOIN (SELECT course_id, count(*) AS enrolled, count(*) FILTER (WHERE status = 'completed') AS completed,
                   sum(progress) AS ps, count(progress) AS pn FROM enrollments GROUP BY course_id) e
@@ -49,7 +49,7 @@ def q_course_performance(spark, sf_dir):
 def _period_sql(expr_e, expr_p, name):
     return f"""
 SELECT coalesce(e.k, p.k) AS {name}, coalesce(e.n, 0) AS enrollments, coalesce(p.n, 0) AS payments,
-       CAST(coalesce(p.rev, 0) AS DECIMAL(18,2)) AS revenue
+       CAST(coalesce(p.rev, 0) AS DECIMAL(38,2)) AS revenue
 FROM (SELECT {expr_e} AS k, count(*) AS n FROM enrollments GROUP BY 1) e
 FULL OUTER JOIN (SELECT {expr_p} AS k, count(*) AS n, sum(amount) AS rev FROM payments GROUP BY 1) p
   ON e.k = p.k
@@ -94,9 +94,9 @@ def q_certificates_due(spark, sf_dir):
 
 
 @query("balance_due", """
-SELECT e.student_id, e.course_id, CAST(coalesce(c.price, 0) AS DECIMAL(18,2)) AS price,
-       CAST(coalesce(p.paid, 0) AS DECIMAL(18,2)) AS paid,
-       CAST(greatest(coalesce(c.price, 0) - coalesce(p.paid, 0), 0) AS DECIMAL(18,2)) AS balance
+SELECT e.student_id, e.course_id, CAST(coalesce(c.price, 0) AS DECIMAL(38,2)) AS price,
+       CAST(coalesce(p.paid, 0) AS DECIMAL(38,2)) AS paid,
+       CAST(greatest(coalesce(c.price, 0) - coalesce(p.paid, 0), 0) AS DECIMAL(38,2)) AS balance
 FROM (SELECT DISTINCT student_id, course_id FROM enrollments) e
 LEFT JOIN courses c ON e.course_id = c.id
 LEFT JOIN (SELECT student_id, course_id, sum(amount) AS paid FROM payments WHERE payment_status = 'paid'
@@ -144,8 +144,8 @@ def q_screenshot_review(spark, sf_dir):
 
 @query("student_stats_bucketed", """
 SELECT s.id, s.student_id, s.name, coalesce(e.courses, 0) AS courses,
-       CAST(coalesce(p.paid, 0) AS DECIMAL(18,2)) AS total_paid,
-       CAST(coalesce(p.due, 0) AS DECIMAL(18,2)) AS total_due,
+       CAST(coalesce(p.paid, 0) AS DECIMAL(38,2)) AS total_paid,
+       CAST(coalesce(p.due, 0) AS DECIMAL(38,2)) AS total_due,
        CASE WHEN e.pn > 0 THEN CAST(e.ps AS DOUBLE) / e.pn END AS mean_progress
 FROM students s
 LEFT JOIN (SELECT student_id, count(*) AS courses, sum(progress) AS ps, count(progress) AS pn
@@ -158,13 +158,16 @@ def q_student_stats_bucketed(spark, sf_dir):
     """student_stats over tables bucketed on the student key: no exchange before the joins."""
     import uuid
 
-    from campusflow.session import checkpoint_dir
+    from campusflow.operators.layout import materialize
     from campusflow.sources.store import write_bucketed
     a = Academy(spark, sf_dir)
     tag = uuid.uuid4().hex[:12]
-    root = f"{checkpoint_dir(spark, allow_local=True).rstrip('/')}/bucketed-{tag}"
-    n = 8
-    s = write_bucketed(a.students, f"cf_students_{tag}", f"{root}/students", "id", n)
-    e = write_bucketed(a.enrollments, f"cf_enrollments_{tag}", f"{root}/enrollments", "student_id", n)
-    p = write_bucketed(a.payments, f"cf_payments_{tag}", f"{root}/payments", "student_id", n)
-    return R.student_stats(s, e, p)
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    names = {t: f"cf_{t}_{tag}" for t in ("students", "enrollments", "payments")}
+    s = write_bucketed(a.students, names["students"], "id", buckets)
+    e = write_bucketed(a.enrollments, names["enrollments"], "student_id", buckets)
+    p = write_bucketed(a.payments, names["payments"], "student_id", buckets)
+    out = materialize(R.student_stats(s, e, p))
+    for name in names.values():
+        spark.sql(f"DROP TABLE {name}")
+    return out

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from campusflow.operators import series as Sr
+from campusflow.operators.changes import number_rows
 from campusflow.plans.registry import AS_OF_SALES, query
 from campusflow.sources.adapters import Academy
 
@@ -12,7 +13,7 @@ _D = AS_OF_SALES[:10]
 @query("revenue_by_month", """
 SELECT CAST(date_trunc('month', payment_date) AS DATE) AS month,
        strftime(date_trunc('month', payment_date), '%Y-%m') AS label,
-       count(*) AS payments, CAST(sum(amount) AS DECIMAL(18,2)) AS revenue
+       count(*) AS payments, CAST(sum(amount) AS DECIMAL(38,2)) AS revenue
 FROM payments GROUP BY 1, 2
 """)
 def q_revenue_by_month(spark, sf_dir):
@@ -59,12 +60,13 @@ def q_enrollment_distribution(spark, sf_dir):
 
 
 @query("group_rows", """
-SELECT id, payment_status, payment_date, count(*) OVER (PARTITION BY payment_status) AS group_size
+SELECT id, payment_status, payment_date, count(*) OVER (PARTITION BY payment_status) AS group_size,
+       row_number() OVER (ORDER BY payment_status, payment_date, id) AS position
 FROM payments
 """)
 def q_group_rows(spark, sf_dir):
     p = Academy(spark, sf_dir).payments.select("id", "payment_status", "payment_date")
-    return Sr.group_rows(p, "payment_status", ["payment_date", "id"])
+    return number_rows(Sr.group_rows(p, "payment_status", ["payment_date", "id"]))
 
 
 @query("unique_rows", """
@@ -83,7 +85,7 @@ def q_unique_rows(spark, sf_dir):
 
 @query("payment_summary", """
 SELECT payment_status, payment_method, count(*) AS payments,
-       CAST(sum(amount) AS DECIMAL(18,2)) AS total_amount,
+       CAST(sum(amount) AS DECIMAL(38,2)) AS total_amount,
        CAST(sum(amount) AS DOUBLE) / count(amount) AS mean_amount
 FROM payments GROUP BY 1, 2
 """)

@@ -1,5 +1,6 @@
 """Registered streaming operators: each batch twin and its stream (drained with
-``availableNow`` into a memory table) share one oracle."""
+``availableNow`` into Parquet in the shared folder) share one oracle, cut to the groups that the
+watermark has closed where the stream aggregates."""
 
 from __future__ import annotations
 
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from campusflow.operators.bursts import debounce_batch
 from campusflow.operators.throttle import throttle_batch
-from campusflow.plans.changes import ADMIT_SQL, _form
+from campusflow.plans.changes import ADMIT_ENROLLMENTS_SQL, ADMIT_REJECTED_SQL, ADMIT_SQL, _form
 from campusflow.plans.registry import query
 from campusflow.session import checkpoint_dir
 from campusflow.sources.adapters import Academy
@@ -18,12 +19,13 @@ from campusflow.streaming import operators as S
 
 
 def _scratch(spark, name):
-    return f"{checkpoint_dir(spark, allow_local=True).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def _events_stream(spark, sf_dir):
     ev = Academy(spark, sf_dir).raw("events")
-    return J.file_stream(spark, sf_dir, ev.schema, glob="events.parquet")
+    # one file per trigger bounds what a key can bring to a task at once
+    return J.file_stream(spark, sf_dir, ev.schema, glob="events.parquet", max_files_per_trigger=1)
 
 
 def _ntz(*cols):
@@ -46,24 +48,25 @@ FROM b GROUP BY user_id, burst
 def q_debounce_events(spark, sf_dir):
     """Per-user bursts of events no more than 30 minutes apart, the last event kept
     (the skew-proof batch job; the stream below uses session windows)."""
-    checkpoint_dir(spark, allow_local=True)
+    checkpoint_dir(spark)
     d = debounce_batch(Academy(spark, sf_dir).raw("events"), "user_id", wait_seconds=1800, keep="last",
                        payload=("value",))
     return d.select("user_id", *_ntz("burst_start", "burst_end"), "events", "last_event_id", "last_value")
 
 
-@query("debounce_stream", _DEBOUNCE_SQL)
+@query("debounce_stream", f"""SELECT * FROM ({_DEBOUNCE_SQL})
+WHERE burst_end + INTERVAL 30 MINUTE <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR""")
 def q_debounce_stream(spark, sf_dir):
-    """The same bursts from the event stream (complete mode, so open sessions are included)."""
+    """The same bursts from the event stream: those that the watermark has closed."""
     out = S.debounce_events(_events_stream(spark, sf_dir), "user_id", wait="30 minutes", keep="last",
                             payload=("value",), watermark="1 hour")
-    t = J.run_to_memory(out, _scratch(spark, "ck-debounce"), mode="complete")
+    t = J.run_to_table(out, _scratch(spark, "debounce"), _scratch(spark, "ck-debounce"))
     return t.select("user_id", *_ntz("burst_start", "burst_end"), "events", "last_event_id", "last_value")
 
 
 _LIVE_SQL = """
 SELECT date_trunc('day', ts) AS window_start, date_trunc('day', ts) + INTERVAL 1 DAY AS window_end,
-       event_type, count(*) AS events, CAST(sum(CAST(value AS DECIMAL(18,2))) AS DECIMAL(18,2)) AS value_sum
+       event_type, count(*) AS events, CAST(sum(CAST(value AS DECIMAL(18,2))) AS DECIMAL(38,2)) AS value_sum
 FROM events GROUP BY ALL
 """
 
@@ -74,10 +77,11 @@ def q_live_stats(spark, sf_dir):
     return s.select(*_ntz("window_start", "window_end"), "event_type", "events", "value_sum")
 
 
-@query("live_stats_stream", _LIVE_SQL)
+@query("live_stats_stream", f"""SELECT * FROM ({_LIVE_SQL})
+WHERE window_end <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR""")
 def q_live_stats_stream(spark, sf_dir):
     out = S.live_stats(_events_stream(spark, sf_dir), every="1 day", watermark="1 hour")
-    t = J.run_to_memory(out, _scratch(spark, "ck-live"), mode="complete")
+    t = J.run_to_table(out, _scratch(spark, "live"), _scratch(spark, "ck-live"))
     return t.select(*_ntz("window_start", "window_end"), "event_type", "events", "value_sum")
 
 
@@ -96,7 +100,7 @@ FROM t JOIN events e ON e.user_id = t.user_id AND e.ts = t.ts
 @query("throttle_batch", _THROTTLE_SQL)
 def q_throttle_batch(spark, sf_dir):
     """Per user, an event then silence for 6 hours: the skew-proof batch job."""
-    checkpoint_dir(spark, allow_local=True)
+    checkpoint_dir(spark)
     ev = Academy(spark, sf_dir).raw("events")
     out = throttle_batch(ev, "user_id", limit_seconds=6 * 3600)
     return out.select("user_id", F.col("ts").cast("timestamp_ntz").alias("ts"), "event_id", "event_type")
@@ -107,7 +111,7 @@ def q_throttle_events(spark, sf_dir):
     """Per user, an event then silence for 6 hours (greedy), from the event stream."""
     out = S.throttle_events(_events_stream(spark, sf_dir), "user_id", limit_seconds=6 * 3600,
                             payload=("event_type",))
-    t = J.run_to_memory(out, _scratch(spark, "ck-throttle"), mode="append")
+    t = J.run_to_table(out, _scratch(spark, "throttle"), _scratch(spark, "ck-throttle"))
     return t.select("user_id", *_ntz("ts"), "event_id", "event_type")
 
 
@@ -140,27 +144,61 @@ def q_stream_upsert(spark, sf_dir):
                                                  *_ntz("created_at", "updated_at"))
 
 
-@query("stream_admissions", ADMIT_SQL)
-def q_stream_admissions(spark, sf_dir):
-    """Admission forms arriving as files; new students come back from the written table
-    (the same rows as ``admit_students``, hence the same oracle)."""
+def _admit_stream(spark, sf_dir):
+    """Admission forms arriving as files into a table of earlier students: the three output paths."""
     a = Academy(spark, sf_dir)
-    students_path, enr_path = _scratch(spark, "students"), _scratch(spark, "enrollments")
+    students, enrollments, rejected = (_scratch(spark, n) for n in ("students", "enrollments", "rejected"))
     forms_path = _scratch(spark, "forms")
     existing = a.students.filter(F.col("admission_date") < F.lit("2024-07-01").cast("date"))
-    existing.write.parquet(students_path)
+    existing.write.parquet(students)
     form = _form(a)
     form.write.parquet(forms_path)
     stream = J.file_stream(spark, forms_path, form.schema)
-    J.stream_admissions(stream, students_path, enr_path, _scratch(spark, "ck-admit"),
-                        as_of="2024-07-01 09:00:00").awaitTermination()
-    students = spark.read.parquet(students_path)
-    new = students.join(existing.select(F.col("student_id").alias("_c")),
-                        students.student_id == F.col("_c"), "left_anti")
+    J.stream_admissions(stream, students, enrollments, _scratch(spark, "ck-admit"), as_of="2024-07-01 09:00:00",
+                        rejected_path=rejected).awaitTermination()
+    return students, enrollments, rejected
+
+
+@query("stream_admissions", ADMIT_SQL)
+def q_stream_admissions(spark, sf_dir):
+    """The new students as stored by the stream (the same rows as ``admit_students``, hence the same oracle)."""
+    students, _, _ = _admit_stream(spark, sf_dir)
+    new = spark.read.parquet(students, mergeSchema=True).filter(F.col("admitted_in").isNotNull())
     return new.select("id", "student_id", "name", "email", "phone", "address", "course_id",
                       "admission_date", "status")
 
 
+@query("stream_admissions_enrollments", ADMIT_ENROLLMENTS_SQL)
+def q_stream_admissions_enrollments(spark, sf_dir):
+    _, enrollments, _ = _admit_stream(spark, sf_dir)
+    return spark.read.parquet(enrollments).select("student_id", "course_id", "enrollment_date", "status")
+
+
+@query("stream_admissions_rejected", ADMIT_REJECTED_SQL)
+def q_stream_admissions_rejected(spark, sf_dir):
+    _, _, rejected = _admit_stream(spark, sf_dir)
+    return spark.read.parquet(rejected).select("student_id", "name", "phone",
+                                               F.array_join("errors", "; ").alias("error_text"))
+
+
+@query("live_dashboard", """
+SELECT count(*) AS total_payments, CAST(coalesce(sum(amount), 0) AS DECIMAL(38,2)) AS total_revenue,
+       CAST(coalesce(sum(amount) FILTER (WHERE payment_status = 'pending'), 0) AS DECIMAL(38,2)) AS pending_fees,
+       CAST(coalesce(sum(amount) FILTER (WHERE payment_status = 'overdue'), 0) AS DECIMAL(38,2)) AS overdue_fees
+FROM payments
+""")
+def q_live_dashboard(spark, sf_dir):
+    """The dashboard's payment figures, kept by a stream of payments."""
+    orders = Academy(spark, sf_dir).raw("orders")
+    stream = J.file_stream(spark, sf_dir, orders.schema, glob="orders.parquet", max_files_per_trigger=1)
+    payments = stream.selectExpr(
+        "CAST(o_totalprice AS DECIMAL(12,2)) AS amount",
+        "CASE o_orderstatus WHEN 'F' THEN 'paid' WHEN 'O' THEN 'pending' ELSE 'overdue' END AS payment_status")
+    root = _scratch(spark, "figures")
+    J.stream_figures(payments, root, _scratch(spark, "ck-figures")).awaitTermination()
+    return J.live_figures(spark, root)
+
+
 @query("debounce_first", """
 WITH e AS (SELECT user_id, ts, event_id, event_type,
                   lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS prev FROM events),
@@ -173,7 +211,7 @@ FROM b GROUP BY user_id, burst
 """)
 def q_debounce_first(spark, sf_dir):
     """Leading-edge debounce: bursts at 5 minutes, the first event kept."""
-    checkpoint_dir(spark, allow_local=True)
+    checkpoint_dir(spark)
     d = debounce_batch(Academy(spark, sf_dir).raw("events"), "user_id", wait_seconds=300, keep="first",
                        payload=("event_type",))
     return d.select("user_id", *_ntz("burst_start", "burst_end"), "events", "first_event_id",

@@ -10,34 +10,40 @@ from campusflow.operators import text_jobs as TJ
 from campusflow.plans.registry import query
 from campusflow.sources.adapters import Academy
 
-# Contact fields pulled from document text: the first e-mail-like and phone-like runs.
+# Contact fields in document text: every e-mail-like and every phone-like run.
 _EMAIL_RUN = r"[^\s]*@[^\s]*"
 _PHONE_RUN = r"\+?[0-9][0-9 ()-]{6,}[0-9]"
 
 
 def _contacts(spark, sf_dir):
+    """One row per contact of a document, the n-th e-mail beside the n-th phone; one empty row without any."""
     d = Academy(spark, sf_dir).text("documents", "doc_id", "source", "text")
-    return d.select("doc_id", "source",
-                    F.regexp_extract("text", _EMAIL_RUN, 0).alias("email"),
-                    F.regexp_extract("text", _PHONE_RUN, 0).alias("phone"))
+    runs = d.select("doc_id", "source", F.arrays_zip(
+        F.regexp_extract_all("text", F.lit(_EMAIL_RUN), F.lit(0)).alias("email"),
+        F.regexp_extract_all("text", F.lit(_PHONE_RUN), F.lit(0)).alias("phone")).alias("runs"))
+    return runs.select("doc_id", "source", F.posexplode_outer("runs").alias("pos", "run")).select(
+        "doc_id", "source", (F.coalesce("pos", F.lit(0)) + 1).cast("bigint").alias("position"),
+        F.col("run.email").alias("email"), F.col("run.phone").alias("phone"))
 
 
+_TRIM = "regexp_replace(coalesce({}, ''), '^\\s+|\\s+$', '', 'g')"
 _CONTACTS_SQL = f"""
 contacts AS (
-  SELECT doc_id, source, regexp_extract(text, '{_EMAIL_RUN}', 0) AS email,
-         regexp_extract(text, '{_PHONE_RUN}', 0) AS phone FROM documents),
+  SELECT doc_id, source, i AS position, emails[i] AS email, phones[i] AS phone FROM (
+    SELECT *, unnest(range(1, greatest(len(emails), len(phones), 1) + 1)) AS i FROM (
+      SELECT doc_id, source, regexp_extract_all(text, '{_EMAIL_RUN}') AS emails,
+             regexp_extract_all(text, '{_PHONE_RUN}') AS phones FROM documents))),
 checked AS (
   SELECT *, list_filter([
-      CASE WHEN trim(coalesce(source, '')) = '' THEN 'source is required' END,
-      CASE WHEN trim(coalesce(email, '')) = '' THEN 'email is required' END,
-      CASE WHEN trim(coalesce(email, '')) <> ''
-            AND NOT regexp_full_match(trim(email), '[^\\s@]+@[^\\s@]+\\.[^\\s@]+')
+      CASE WHEN s = '' THEN 'source is required' END,
+      CASE WHEN e = '' THEN 'email is required' END,
+      CASE WHEN e <> '' AND NOT regexp_full_match(e, '[^\\s@]+@[^\\s@]+\\.[^\\s@]+')
            THEN 'Invalid email address' END,
-      CASE WHEN trim(coalesce(phone, '')) <> ''
-            AND NOT regexp_full_match(regexp_replace(trim(phone), '[\\s\\-\\(\\)]', '', 'g'),
-                                      '[\\+]?[1-9][\\d]{{0,15}}')
+      CASE WHEN p <> '' AND NOT regexp_full_match(regexp_replace(p, '[\\s\\-\\(\\)]', '', 'g'),
+                                                  '[\\+]?[1-9][\\d]{{0,15}}')
            THEN 'Invalid phone number' END], lambda x: x IS NOT NULL) AS errors
-  FROM contacts)
+  FROM (SELECT *, {_TRIM.format('source')} AS s, {_TRIM.format('email')} AS e, {_TRIM.format('phone')} AS p
+        FROM contacts))
 """
 
 
@@ -48,24 +54,29 @@ def _validated(spark, sf_dir):
 
 @query("validate_rows", f"""
 WITH {_CONTACTS_SQL}
-SELECT doc_id, email, phone, len(errors) = 0 AS is_valid, len(errors) AS n_errors,
+SELECT doc_id, position, email, phone, len(errors) = 0 AS is_valid, len(errors) AS n_errors,
        array_to_string(errors, '; ') AS error_text
 FROM checked
 """)
 def q_validate_rows(spark, sf_dir):
     v = _validated(spark, sf_dir)
-    return v.select("doc_id", "email", "phone", "is_valid", F.size("errors").cast("bigint").alias("n_errors"),
+    return v.select("doc_id", "position", "email", "phone", "is_valid", F.size("errors").cast("bigint").alias("n_errors"),
                     F.array_join("errors", "; ").alias("error_text"))
 
 
 @query("split_valid", f"""
 WITH {_CONTACTS_SQL}
-SELECT doc_id, email, phone, array_to_string(errors, '; ') AS error_text FROM checked WHERE len(errors) > 0
+SELECT doc_id, position, email, phone, CASE WHEN len(errors) = 0 THEN 'good' ELSE 'rejected' END AS side,
+       array_to_string(errors, '; ') AS error_text
+FROM checked
 """)
 def q_split_valid(spark, sf_dir):
-    """The quarantine side of the split (the good side is the complement)."""
-    _, bad = Q.split_valid(_validated(spark, sf_dir))
-    return bad.select("doc_id", "email", "phone", F.array_join("errors", "; ").alias("error_text"))
+    """Both sides of the split, each row marked with its side."""
+    good, bad = Q.split_valid(_validated(spark, sf_dir))
+    cols = ["doc_id", "position", "email", "phone"]
+    return (good.select(*cols, F.lit("good").alias("side"), F.lit("").alias("error_text"))
+            .unionByName(bad.select(*cols, F.lit("rejected").alias("side"),
+                                    F.array_join("errors", "; ").alias("error_text"))))
 
 
 @query("quality_report", f"""
@@ -210,22 +221,24 @@ def q_canonical_urls(spark, sf_dir):
 SELECT page_id,
        regexp_extract(url, '^([^?#]*)', 1) || '?' ||
        array_to_string(list_concat(
-         list_filter(q, lambda x: split_part(x, '=', 1) NOT IN ('ref', 'page')),
-         ['page=1']), '&') || regexp_extract(url, '(#.*)$', 1) AS new_url
-FROM (SELECT page_id, url, list_filter(string_split(regexp_extract(url, '\\?([^#]*)', 1), '&'),
-                                       lambda x: x <> '') AS q FROM pages)
-WHERE list_position(list_transform(q, lambda x: split_part(x, '=', 1)), 'page') IS NULL
+         list_transform(
+           list_filter(q, lambda x, i: split_part(x, '=', 1) <> 'ref'
+                                       AND (split_part(x, '=', 1) <> 'page' OR list_position(k, 'page') = i)),
+           lambda x: CASE WHEN split_part(x, '=', 1) = 'page' THEN 'page=1' ELSE x END),
+         CASE WHEN list_contains(k, 'page') THEN [] ELSE ['page=1'] END), '&')
+       || regexp_extract(url, '(#.*)$', 1) AS new_url
+FROM (SELECT *, list_transform(q, lambda x: split_part(x, '=', 1)) AS k
+      FROM (SELECT page_id, url, list_filter(string_split(regexp_extract(url, '\\?([^#]*)', 1), '&'),
+                                             lambda x: x <> '') AS q FROM pages))
 """)
 def q_set_url_params(spark, sf_dir):
-    """Reset paging on every page URL: set page=1, drop ref (URLs without a page parameter)."""
+    """Reset paging on every page URL: page=1 in place of the first page parameter, or appended; ref dropped."""
     p = Academy(spark, sf_dir).raw("pages")
-    keys = F.transform(C.url_param_pairs("url"), lambda x: x["k"])
-    return (p.filter(~F.array_contains(keys, "page"))
-            .select("page_id", C.set_url_params("url", {"page": 1, "ref": None}).alias("new_url")))
+    return p.select("page_id", C.set_url_params("url", {"page": 1, "ref": None}).alias("new_url"))
 
 
 @query("admission_code", """
-SELECT c_custkey AS id, 'STU' || lpad(CAST(c_custkey AS VARCHAR), 6, '0') AS code,
+SELECT c_custkey AS id, 'STU' || lpad(CAST(c_custkey AS VARCHAR), CAST(greatest(length(CAST(c_custkey AS VARCHAR)), 6) AS INTEGER), '0') AS code,
        upper(substring(lower(c_mktsegment), 1, 1)) || lower(substring(lower(c_mktsegment), 2)) AS segment
 FROM customer
 """)
@@ -236,16 +249,16 @@ def q_admission_code(spark, sf_dir):
 
 
 @query("sanitize_emails", f"""
-SELECT doc_id, email,
+SELECT doc_id, position, email,
        CASE WHEN regexp_matches(e, '^[^@]+@[^@]+\\.[^@]+$') THEN e ELSE '' END AS email_clean
-FROM (SELECT doc_id, regexp_extract(text, '{_EMAIL_RUN}', 0) AS email,
-             regexp_replace(lower(trim(regexp_extract(text, '{_EMAIL_RUN}', 0))),
-                            '[^a-z0-9.!#$%&''*+/=?^_`{{|}}~@-]', '', 'g') AS e
-      FROM documents)
+FROM (SELECT doc_id, i AS position, emails[i] AS email,
+             regexp_replace(lower(trim(emails[i])), '[^a-z0-9.!#$%&''*+/=?^_`{{|}}~@-]', '', 'g') AS e
+      FROM (SELECT *, unnest(range(1, len(emails) + 1)) AS i FROM (
+              SELECT doc_id, regexp_extract_all(text, '{_EMAIL_RUN}') AS emails FROM documents)))
 """)
 def q_sanitize_emails(spark, sf_dir):
-    c = _contacts(spark, sf_dir)
-    return c.select("doc_id", "email", C.sanitize_email("email").alias("email_clean"))
+    c = _contacts(spark, sf_dir).filter(F.col("email").isNotNull())
+    return c.select("doc_id", "position", "email", C.sanitize_email("email").alias("email_clean"))
 
 
 @query("search_documents", """

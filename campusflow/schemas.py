@@ -51,4 +51,4 @@ BY_NAME = {
 }
 
 # Sums of money are cast to this type so every engine returns the same type.
-MONEY_SUM = T.DecimalType(18, 2)
+MONEY_SUM = T.DecimalType(38, 2)

@@ -2,14 +2,11 @@
 
 On a cluster the session already exists and carries its own settings; the
 helper only fills in what is unset.  ``spark.checkpoint.dir`` must name a
-shared folder there; a local fallback is created only when the caller asks
-for it (tests, bench).
+shared folder there.
 """
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import SparkSession
 
 # Settings every job relies on; applied only where the session leaves them unset.
@@ -26,7 +23,6 @@ _DEFAULTS = {
 
 def get_session(master: str | None = None, app: str = "campusflow",
                 shuffle_partitions: int | None = None,
-                local_checkpoint_fallback: bool = False,
                 extra: dict | None = None) -> SparkSession:
     builder = SparkSession.builder.appName(app)
     if master:
@@ -41,29 +37,24 @@ def get_session(master: str | None = None, app: str = "campusflow",
     # a pre-existing session ignores builder configs for static keys; pin the SQL ones
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.sparkContext.setLogLevel("ERROR")
-    if local_checkpoint_fallback:
-        checkpoint_dir(spark, allow_local=True)
     return spark
 
 
-def checkpoint_dir(spark: SparkSession, allow_local: bool = False) -> str:
-    """The shared folder for checkpoints and intermediate tables.
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The shared folder for checkpoints and intermediate tables: ``spark.checkpoint.dir``.
 
-    Read from ``spark.checkpoint.dir``; only when it is unset *and* the caller
-    allows it (tests) is a private temporary folder created and registered.
+    Where it is unset, a session on one machine uses a folder of its warehouse;
+    on a cluster the setting is required, as a local folder would differ from
+    machine to machine.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    if not d:
+        d = context.getCheckpointDir()
     if not d:
-        try:
-            d = spark.sparkContext.getCheckpointDir()
-        except Exception:  # no SparkContext on this client (Spark Connect): the server decides
-            d = None
-    if d:
-        return d
-    if not allow_local:
-        raise RuntimeError("spark.checkpoint.dir is not set; configure a shared folder")
-    d = tempfile.mkdtemp(prefix="campusflow-ckpt-")
-    # spark.checkpoint.dir is a core setting (read-only at run time); register the folder
-    # with the context instead, which is what checkpoint() uses
-    spark.sparkContext.setCheckpointDir(d)
-    return spark.sparkContext.getCheckpointDir() or d
+        if not (context.master == "local" or context.master.startswith("local[")):
+            raise RuntimeError("spark.checkpoint.dir is not set; configure a folder that all executors share")
+        d = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(d)
+    return d

@@ -66,7 +66,7 @@ class Academy:
 def students_from_customer(customer: DataFrame) -> DataFrame:
     return customer.selectExpr(
         "c_custkey AS id",
-        "concat('STU', lpad(CAST(c_custkey AS STRING), 6, '0')) AS student_id",
+        "concat('STU', lpad(CAST(c_custkey AS STRING), greatest(length(CAST(c_custkey AS STRING)), 6), '0')) AS student_id",
         "c_name AS name",
         "concat(lower(replace(c_name, '#', '.')), '@example.edu') AS email",
         "concat('+1 555 ', lpad(CAST(c_custkey % 10000000 AS STRING), 7, '0')) AS phone",

@@ -14,6 +14,10 @@ from campusflow.functions import columns as C
 from campusflow.operators.quality import validate_rows
 
 
+#: Holds a line whose fields do not fit the schema, and what is said of it.
+LINE, MSG_FIELDS = "_line", "wrong number of fields"
+
+
 def export_csv(df: DataFrame, path: str, header: bool = True, null_value: str | None = None,
                mode: str = "errorifexists") -> None:
     """Every value double-quoted, embedded quotes doubled (``a"b`` -> ``"a""b"``).
@@ -35,14 +39,16 @@ def import_csv(spark: SparkSession, path: str, schema: T.StructType, header: boo
 
     Every field is read as text and converted with ``try_cast``, so a value
     that does not fit its type is reported by name (``n_chars: not bigint``)
-    instead of vanishing; CSV column pruning cannot skip the check.  The
-    typed rows then go through ``validate_rows``.  ``multi_line`` reads quoted
+    instead of vanishing; CSV column pruning cannot skip the check.  A line with
+    more or fewer fields than the schema is rejected whole, with the line as
+    read in ``line``.  The typed rows then go through ``validate_rows``.  ``multi_line`` reads quoted
     values that contain line breaks; it makes every file a single split, so it
     is off unless the data needs it.
     """
-    text_schema = T.StructType([T.StructField(f.name, T.StringType(), True) for f in schema.fields])
+    text_schema = T.StructType([T.StructField(f.name, T.StringType(), True) for f in schema.fields]
+                               + [T.StructField(LINE, T.StringType(), True)])
     r = (spark.read.schema(text_schema).option("header", header).option("mode", "PERMISSIVE")
-         .option("escape", '"').option("multiLine", multi_line))
+         .option("columnNameOfCorruptRecord", LINE).option("escape", '"').option("multiLine", multi_line))
     if null_value is not None:
         r = r.option("nullValue", null_value)
     raw = r.csv(path)
@@ -56,15 +62,15 @@ def import_csv(spark: SparkSession, path: str, schema: T.StructType, header: boo
         typed.append(conv.alias(f.name))
         bad_type.append(F.when(c.isNotNull() & conv.isNull(),
                                F.lit(f"{f.name}: not {f.dataType.simpleString()}")))
-    conv_errors = F.array_compact(F.array(*bad_type)) if bad_type else F.array().cast("array<string>")
+    conv_errors = F.array_compact(F.array(F.when(F.col(LINE).isNotNull(), F.lit(MSG_FIELDS)), *bad_type))
     staged = raw.select(*[F.col(f.name).alias("_raw_" + f.name) for f in schema.fields],
-                        *typed, conv_errors.alias("_conv_errors"))
+                        *typed, conv_errors.alias("_conv_errors"), F.col(LINE))
     checked = validate_rows(staged, required=required, email=email, phone=phone)
     checked = (checked.withColumn("errors", F.concat("_conv_errors", "errors"))
                .withColumn("is_valid", F.size("errors") == 0))
     good = checked.filter(F.col("is_valid")).select(*[f.name for f in schema.fields])
     rejected = checked.filter(~F.col("is_valid")).select(
-        *[F.col("_raw_" + f.name).alias(f.name) for f in schema.fields], "errors")
+        *[F.col("_raw_" + f.name).alias(f.name) for f in schema.fields], "errors", F.col(LINE).alias("line"))
     return good, rejected
 
 

@@ -22,15 +22,21 @@ def with_month(df: DataFrame, date_col: str) -> DataFrame:
 
 
 def write_by_month(df: DataFrame, path: str, date_col: str, mode: str = "errorifexists") -> None:
-    """Write ``df`` partitioned by the month of ``date_col`` (one directory per month)."""
+    """Write ``df`` partitioned by the month of ``date_col`` (one directory per month).
+
+    The rows are rebalanced by month: AQE writes a small month from one task
+    and splits a large one over as many as the advisory partition size asks for.
+    """
     month = MONTH_COLUMNS[date_col]
-    (with_month(df, date_col).repartition(month).write.mode(mode).partitionBy(month).parquet(path))
+    (with_month(df, date_col).hint("rebalance", month).write.mode(mode).partitionBy(month).parquet(path))
 
 
-def write_bucketed(df: DataFrame, table: str, path: str, key: str, buckets: int,
+def write_bucketed(df: DataFrame, table: str, key: str, buckets: int, path: str | None = None,
                    mode: str = "errorifexists") -> DataFrame:
-    """Save ``df`` as table ``table`` at ``path``, bucketed and sorted on ``key``."""
-    (df.write.mode(mode).bucketBy(buckets, key).sortBy(key).option("path", path).saveAsTable(table))
+    """Save ``df`` as table ``table``, bucketed and sorted on ``key``: in the warehouse, where dropping
+    the table removes its files, or at ``path``."""
+    w = df.write.mode(mode).bucketBy(buckets, key).sortBy(key)
+    (w.option("path", path) if path else w).saveAsTable(table)
     return df.sparkSession.table(table)
 
 

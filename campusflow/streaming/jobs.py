@@ -8,14 +8,15 @@ versions are keyed by batch id and overwritten, never appended twice).
 
 from __future__ import annotations
 
-import uuid
+import hashlib
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from campusflow.operators import changes as Ch
-from campusflow.schemas import ENROLLMENTS, SETTINGS, STUDENTS
+from campusflow.operators.stats import payment_figures
+from campusflow.schemas import ENROLLMENTS, MONEY_SUM, SETTINGS, STUDENTS
 
 
 def file_stream(spark: SparkSession, path: str, schema, fmt: str = "parquet", glob: str | None = None,
@@ -28,47 +29,51 @@ def file_stream(spark: SparkSession, path: str, schema, fmt: str = "parquet", gl
     return r.load(path)
 
 
-def run_to_memory(df: DataFrame, checkpoint: str, mode: str = "append") -> DataFrame:
-    """Drain a bounded stream (``availableNow``) into a memory table and return it."""
-    name = "cf_" + uuid.uuid4().hex
-    q = (df.writeStream.format("memory").queryName(name).outputMode(mode)
+def run_to_table(df: DataFrame, path: str, checkpoint: str) -> DataFrame:
+    """Drain a bounded stream (``availableNow``) in append mode into Parquet at ``path`` and read it back.
+
+    Aggregates need a watermark and give their closed groups; the state of these is freed.
+    """
+    q = (df.writeStream.format("parquet").option("path", path).outputMode("append")
          .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     q.awaitTermination()
-    return df.sparkSession.table(name)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 # ---- admissions -------------------------------------------------------------------------
 
-def init_table(spark: SparkSession, path: str, schema, partition_by: str | None = None) -> None:
+def init_table(spark: SparkSession, path: str, schema, partition_by=None) -> None:
     """Create an empty table at ``path`` unless one exists (``mode('ignore')``)."""
     w = spark.createDataFrame([], schema).write.mode("ignore")
     if partition_by:
-        w = w.partitionBy(partition_by)
+        w = w.partitionBy(*([partition_by] if isinstance(partition_by, str) else partition_by))
     w.parquet(path)
 
 
-def _read_or_empty(spark: SparkSession, path: str, schema) -> DataFrame:
-    try:
-        return spark.read.schema(schema).parquet(path)
-    except Exception:  # table not created: treat as empty
-        return spark.createDataFrame([], schema)
+#: A student row as stored by the stream: which micro-batch admitted it.
+_ADMITTED = T.StructType(STUDENTS.fields + [T.StructField("admitted_in", T.LongType())])
 
 
 def admit_batch(spark: SparkSession, batch: DataFrame, students_path: str, enrollments_path: str,
-                as_of) -> None:
-    """One micro-batch of admission forms -> appended students, then their enrollments.
-
-    Enrollments are derived from the *committed* students of this batch's
-    codes that have none yet, so a replay after a crash between the two
-    appends completes the enrollments instead of skipping them.
+                as_of, batch_id: int = 0, rejected_path: str | None = None) -> None:
+    """One micro-batch of admission forms -> appended students, their enrollments, and the rejects.
+
+    Students carry the batch that admitted them, and enrollments are derived
+    from the *committed* students of this batch that have none yet: a replay
+    after a crash between the two appends completes the enrollments, and
+    students of other batches are never touched.  The rejects of a batch
+    are a folder of their own, which a replay rewrites.
     """
-    students = _read_or_empty(spark, students_path, STUDENTS)
+    init_table(spark, students_path, STUDENTS)
+    init_table(spark, enrollments_path, ENROLLMENTS)
+    students = spark.read.schema(_ADMITTED).parquet(students_path)
     out = Ch.admit_students(students, batch, as_of)
-    out["students"].write.mode("append").parquet(students_path)
-    codes = batch.select(F.trim("student_id").alias("_code")).distinct()
-    committed = spark.read.schema(STUDENTS).parquet(students_path)
-    mine = committed.join(codes, committed.student_id == codes._code, "left_semi")
-    have = _read_or_empty(spark, enrollments_path, ENROLLMENTS).select(F.col("student_id").alias("_sid"))
+    (out["students"].withColumn("admitted_in", F.lit(batch_id).cast("bigint"))
+     .write.mode("append").parquet(students_path))
+    if rejected_path:
+        out["rejected"].drop("is_valid").write.mode("overwrite").parquet(f"{rejected_path}/batch={batch_id}")
+    mine = spark.read.schema(_ADMITTED).parquet(students_path).filter(F.col("admitted_in") == batch_id)
+    have = spark.read.schema(ENROLLMENTS).parquet(enrollments_path).select(F.col("student_id").alias("_sid"))
     missing = mine.join(have, mine.id == have._sid, "left_anti")
     missing.select(
         F.col("id").alias("id"), F.col("id").alias("student_id"), "course_id",
@@ -79,60 +84,89 @@ def admit_batch(spark: SparkSession, batch: DataFrame, students_path: str, enrol
 
 
 def stream_admissions(forms: DataFrame, students_path: str, enrollments_path: str, checkpoint: str,
-                      as_of, watermark: str | None = None, event_time: str | None = None):
+                      as_of, watermark: str | None = None, event_time: str | None = None,
+                      rejected_path: str | None = None):
     """Start the admissions stream; duplicate codes inside the watermark are dropped first."""
     df = forms
     if watermark and event_time:
         df = df.withWatermark(event_time, watermark).dropDuplicatesWithinWatermark(["student_id"])
     spark = forms.sparkSession
-    init_table(spark, students_path, STUDENTS)
-    init_table(spark, enrollments_path, ENROLLMENTS)
     return (df.writeStream.option("checkpointLocation", checkpoint)
-            .foreachBatch(lambda b, _id: admit_batch(spark, b, students_path, enrollments_path, as_of))
+            .foreachBatch(lambda b, bid: admit_batch(spark, b, students_path, enrollments_path, as_of, bid,
+                                                     rejected_path))
             .trigger(availableNow=True).start())
 
 
+# ---- live dashboard ---------------------------------------------------------------------
+
+_FIGURES = ["total_payments", "total_revenue", "pending_fees", "overdue_fees"]
+
+
+def figures_batch(batch: DataFrame, root: str, batch_id: int) -> None:
+    """One row with the figures of a micro-batch of payments; a replay rewrites it."""
+    payment_figures(batch).write.mode("overwrite").parquet(f"{root}/batch={batch_id}")
+
+
+def stream_figures(payments: DataFrame, root: str, checkpoint: str):
+    """Keep the dashboard's payment figures up to date as payments arrive."""
+    return (payments.writeStream.option("checkpointLocation", checkpoint)
+            .foreachBatch(lambda b, bid: figures_batch(b, root, bid)).trigger(availableNow=True).start())
+
+
+def live_figures(spark: SparkSession, root: str) -> DataFrame:
+    """The figures over all batches so far: one row, 0 where nothing came."""
+    parts = spark.read.parquet(root)
+    return parts.agg(*[F.coalesce(F.sum(c), F.lit(0)).cast("bigint" if c == "total_payments" else MONEY_SUM).alias(c)
+                       for c in _FIGURES])
+
+
 # ---- settings upserts -------------------------------------------------------------------
 
-_VERSIONED = T.StructType(SETTINGS.fields + [T.StructField("version", T.LongType())])
-
-
-def _latest_version(spark: SparkSession, settings_root: str, below: int | None = None):
-    """Newest version number present (below ``below``), or None; one number to the driver."""
-    try:
-        v = spark.read.schema(_VERSIONED).parquet(settings_root).select("version")
-    except Exception:  # nothing written yet
-        return None
-    if below is not None:
-        v = v.filter(F.col("version") < below)
-    return v.agg(F.max("version")).first()[0]
-
-
-def upsert_batch(spark: SparkSession, batch: DataFrame, settings_root: str, batch_id: int) -> None:
-    """Apply one batch of changes on top of the newest version below ``batch_id`` and write
-    version ``batch_id`` (dynamic partition overwrite: a replay rewrites the same version).
-    Only the previous version's directory is read (partition pruning on a literal)."""
-    prev = _latest_version(spark, settings_root, below=batch_id)
-    if prev is None:
-        current = spark.createDataFrame([], SETTINGS)
-    else:
-        current = spark.read.parquet(settings_root).filter(F.col("version") == F.lit(prev)).drop("version")
+_VERSIONED = T.StructType(SETTINGS.fields + [T.StructField("version", T.LongType()),
+                                             T.StructField("stream", T.StringType()),
+                                             T.StructField("batch", T.LongType())])
+_VERSION_DIRS = ["version", "stream", "batch"]
+
+
+def _versions(spark: SparkSession, settings_root: str) -> list:
+    """(version, stream, batch) of the stored versions, newest first: directory names, one per trigger."""
+    found = spark.read.schema(_VERSIONED).parquet(settings_root).select(*_VERSION_DIRS).distinct().collect()
+    return sorted(found, reverse=True)
+
+
+def upsert_batch(spark: SparkSession, batch: DataFrame, settings_root: str, batch_id: int,
+                 stream: str = "stream") -> None:
+    """Apply one batch of changes on top of the version before it and write the next version.
+
+    A version belongs to a batch of a stream, so a replay rewrites the same
+    version, and a stream with a fresh checkpoint continues after the newest one.
+    """
+    init_table(spark, settings_root, _VERSIONED, partition_by=_VERSION_DIRS)
+    known = _versions(spark, settings_root)
+    own = next((v["version"] for v in known if (v["stream"], v["batch"]) == (stream, batch_id)), None)
+    version = own if own is not None else (known[0]["version"] + 1 if known else 0)
+    before = next((v["version"] for v in known if v["version"] < version), None)
+    current = spark.read.schema(_VERSIONED).parquet(settings_root).filter(
+        F.lit(False) if before is None else F.col("version") == F.lit(before))
     new = Ch.upsert_settings(current.select(*SETTINGS.fieldNames()), batch)
-    (new.withColumn("version", F.lit(batch_id).cast("bigint"))
+    (new.withColumns({"version": F.lit(version).cast("bigint"), "stream": F.lit(stream),
+                      "batch": F.lit(batch_id).cast("bigint")})
      .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("version").parquet(settings_root))
+     .partitionBy(*_VERSION_DIRS).parquet(settings_root))
 
 
 def latest_settings(spark: SparkSession, settings_root: str) -> DataFrame:
-    v = _latest_version(spark, settings_root)
-    return spark.read.parquet(settings_root).filter(F.col("version") == F.lit(v)).drop("version")
+    known = _versions(spark, settings_root)
+    stored = spark.read.schema(_VERSIONED).parquet(settings_root)
+    newest = F.col("version") == F.lit(known[0]["version"]) if known else F.lit(False)
+    return stored.filter(newest).select(*SETTINGS.fieldNames())
 
 
 def stream_upsert(changes: DataFrame, settings_root: str, checkpoint: str):
-    spark = changes.sparkSession
-    init_table(spark, settings_root, _VERSIONED, partition_by="version")
+    """Apply setting changes as they arrive; the checkpoint's path names the stream."""
+    spark, name = changes.sparkSession, hashlib.md5(checkpoint.encode()).hexdigest()
     return (changes.writeStream.option("checkpointLocation", checkpoint)
-            .foreachBatch(lambda b, bid: upsert_batch(spark, b, settings_root, bid))
+            .foreachBatch(lambda b, bid: upsert_batch(spark, b, settings_root, bid, name))
             .trigger(availableNow=True).start())
 
 

@@ -59,7 +59,7 @@ def live_stats(events: DataFrame, ts: str = "ts", every: str = "1 day", by=("eve
     e = _maybe_watermark(event_time(events, ts), ts, watermark)
     g = (e.groupBy(F.window(F.col(ts), every).alias("w"), *[F.col(b) for b in by])
          .agg(F.count(F.lit(1)).alias("events"),
-              F.sum(F.col(value).cast("decimal(18,2)")).cast("decimal(18,2)").alias("value_sum")))
+              F.sum(F.col(value).cast("decimal(18,2)")).cast("decimal(38,2)").alias("value_sum")))
     return g.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), *by,
                     "events", "value_sum")
 

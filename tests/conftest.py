@@ -12,8 +12,7 @@ SF_SMALL = "/root/testdata/sf0.001"
 @pytest.fixture(scope="session")
 def spark():
     from campusflow.session import get_session
-    s = get_session("local[4]", app="campusflow-tests", shuffle_partitions=8,
-                    local_checkpoint_fallback=True)
+    s = get_session("local[4]", app="campusflow-tests", shuffle_partitions=8)
     yield s
     s.stop()
 
