@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql.utils import is_remote
 
 from campusflow.session import checkpoint_dir
 
@@ -15,11 +16,10 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     many splits already have enough partitions and this is a no-op.  The
     partition count comes from the plan, no job runs.
     """
-    try:
-        target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-        current = df.rdd.getNumPartitions()
-    except Exception:  # no RDD access (e.g. a Spark Connect session): leave it to the planner
+    if is_remote():  # a Spark Connect client sees no partitions: leave it to the planner
         return df
+    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    current = df.rdd.getNumPartitions()
     if current >= target:
         return df
     return df.repartition(target)

@@ -10,9 +10,13 @@ SF_SMALL = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="session")
-def spark():
-    from campusflow.session import get_session
-    s = get_session("local[4]", app="campusflow-tests", shuffle_partitions=8)
+def spark(tmp_path_factory):
+    from campusflow.session import checkpoint_dir, get_session
+    shared = str(tmp_path_factory.mktemp("shared"))
+    s = get_session("local[4]", app="campusflow-tests", shuffle_partitions=8,
+                    extra={"spark.sql.warehouse.dir": shared,
+                           "spark.cleaner.referenceTracking.cleanCheckpoints": "true"})
+    checkpoint_dir(s)
     yield s
     s.stop()
 

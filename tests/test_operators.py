@@ -4,10 +4,13 @@ import datetime as dt
 from decimal import Decimal
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from campusflow import schemas
+from campusflow.functions import columns as C
 from campusflow.operators import changes as Ch
 from campusflow.operators import listings as Lst
+from campusflow.operators import quality as Q
 from campusflow.operators import stats
 from campusflow.sources import files as Fs
 
@@ -185,3 +188,60 @@ def test_admissions_into_an_empty_academy(spark, sf_small):
     assert [r.id for r in rows] == list(range(1, len(rows) + 1))
     assert len(rows) + rejected == 150 and rejected > 0
     assert out["enrollments"].count() == len(rows)
+
+
+def test_import_csv_rejects_lines_of_other_width(spark, tmp_path):
+    (tmp_path / "in.csv").write_text("id,name\n1,x\n2,y,LOST\n3\nq,z\n4,ok\n")
+    good, bad = Fs.import_csv(spark, str(tmp_path / "in.csv"), T.StructType(
+        [T.StructField("id", T.LongType()), T.StructField("name", T.StringType())]))
+    assert sorted(map(tuple, good.collect())) == [(1, "x"), (4, "ok")]
+    got = {r.id: (r.errors, r.line) for r in bad.collect()}
+    assert got == {"2": (["wrong number of fields"], "2,y,LOST"), "3": (["wrong number of fields"], "3"),
+                   "q": (["id: not bigint"], None)}
+
+
+def test_update_rows_applies_one_change_per_key(spark):
+    df = spark.createDataFrame([(1, "a", 1), (2, "b", 2)], "id long, name string, n int")
+    ch = spark.createDataFrame([(1, "x", 5), (1, "y", 6), (1, None, 7)], "id long, name string, seq int")
+    assert sorted(map(tuple, Ch.update_rows(df, ch, order_by="seq").collect())) == [(1, "a", 1), (2, "b", 2)]
+    assert Ch.update_rows(df, ch.drop("seq")).count() == 2
+
+
+def test_totals_beyond_eighteen_digits(spark):
+    from campusflow.operators import stats
+    pay = spark.range(0, 2_000_000, numPartitions=4).selectExpr(
+        "CAST(9999999999.99 AS DECIMAL(12,2)) AS amount", "'pending' AS payment_status")
+    total = stats.pending_fees(pay).first()[0]
+    assert total == Decimal("9999999999.99") * 2_000_000 and total > 10 ** 16
+
+
+def test_admission_codes_of_long_ids_stay_distinct(spark):
+    ids = spark.range(1_000_000, 1_000_100)
+    codes = [r[0] for r in ids.select(C.admission_code("id")).collect()]
+    assert len(set(codes)) == 100 and "STU1000000" in codes
+    assert spark.range(7, 8).select(C.admission_code("id")).first()[0] == "STU000007"
+
+
+def test_numbers_follow_the_order_of_the_rows(spark):
+    df = spark.range(0, 500, numPartitions=7).selectExpr("id", "id % 13 AS k")
+    got = Ch.number_rows(df.orderBy(F.col("k").desc(), "id")).orderBy("position").collect()
+    assert [r.position for r in got] == list(range(1, 501))
+    assert [(r.k, r.id) for r in got] == sorted(((i % 13, i) for i in range(500)), key=lambda x: (-x[0], x[1]))
+
+
+def test_screenshot_review_reads_its_own_schema(spark):
+    from campusflow import schemas
+    from campusflow.operators import reports as R
+    row = (1, 2, "face", "p", dt.datetime(2024, 1, 1), "pending", None)
+    out = R.screenshot_review(spark.createDataFrame([row], schemas.SCREENSHOTS), "2024-02-01 00:00:00").first()
+    assert (out.files, out.total_bytes, out.max_age_days) == (1, 0, 31)
+
+
+def test_required_fields_are_trimmed_of_all_white_space(spark):
+    df = spark.createDataFrame([("\t\n",), (" x\n",)], "name string")
+    assert [r.is_valid for r in Q.validate_rows(df, required=["name"]).collect()] == [False, True]
+
+
+def test_format_currency_of_text_that_is_no_number(spark):
+    df = spark.createDataFrame([("abc",), ("12.5",), (None,)], "v string")
+    assert [r[0] for r in df.select(C.format_currency("v")).collect()] == ["$0.00", "$12.50", "$0.00"]
