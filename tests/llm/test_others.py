@@ -272,3 +272,14 @@ def test_pipeline(spark, sf_small):
     check_packing(inputs[-1].collect(), texts[4])
     assert all(r.n_chars == len(r.text) for r in inputs[4].collect())
     assert corpus_pipeline.run(spark, sf_small).count() == inputs[-1].count()
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_queries_equal_their_sql(spark, sf_small, name):
+    import duckdb
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{sf_small}/pages.parquet')")
+    cursor = con.execute(queries.ORACLES[name])
+    columns = [d[0] for d in cursor.description]
+    want = sorted(map(repr, cursor.fetchall()))
+    assert sorted(repr(tuple(r[c] for c in columns)) for r in queries.QUERIES[name](spark, sf_small).collect()) == want
