@@ -32,9 +32,15 @@ def _names(courses: DataFrame) -> DataFrame:
 
 
 def students_with_course(students: DataFrame, courses: DataFrame) -> DataFrame:
-    """Students plus ``course_name`` ('N/A' when the course is missing)."""
-    c = _names(courses)
-    j = students.join(c, students.course_id == c._course_key, "left")
+    """Students plus ``course_name`` ('N/A' when the course is missing).
+
+    Students without a course match nothing; a second join key spreads them over
+    all partitions instead of hashing every NULL to the same one.
+    """
+    c = _names(courses).withColumn("_one", F.lit(0).cast("bigint"))
+    spread = F.when(F.col("course_id").isNull(), F.col("id")).otherwise(F.lit(0).cast("bigint"))
+    s = students.withColumn("_spread", spread)
+    j = s.join(c, (s.course_id == c._course_key) & (s._spread == c._one), "left")
     return j.select(*[x for x in students.columns],
                     C.default_value("_course_name", C.NOT_AVAILABLE).alias("course_name"))
 

@@ -8,11 +8,11 @@ import pytest
 sys.path.insert(0, os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "tools"))
 
 import __spark_entry__ as entry  # noqa: E402
+from campusflow import plans  # noqa: E402
 from oracle_check import compare, duck  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
-QUERIES = entry.queries()
-ORACLES = entry.oracle_sql()
+QUERIES, ORACLES = plans.QUERIES, plans.ORACLES
 
 
 @pytest.fixture(scope="module")
@@ -21,7 +21,7 @@ def con():
 
 
 def test_every_query_has_an_oracle_or_a_reason():
-    assert set(ORACLES) <= set(QUERIES)
+    assert set(ORACLES) <= set(QUERIES) <= set(entry.queries())
     # the file catalogue lists files, not table rows: checked in test_catalogue_files
     assert set(QUERIES) - set(ORACLES) == {"catalogue_files"}
 

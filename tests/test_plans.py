@@ -2,16 +2,17 @@
 
 import pytest
 
-import __spark_entry__ as entry
+from campusflow.operators import layout, listings
+from campusflow.plans import QUERIES
 
 SF = "/root/testdata/sf0.001"
-QUERIES = entry.queries()
 # queries whose builder runs a stream or a write before returning: their plan is a scan of the result
 SIDE_EFFECT = {"debounce_stream", "live_stats_stream", "throttle_events", "stream_audit", "stream_upsert",
                "stream_admissions", "export_import_csv", "import_csv_rejects", "export_json",
                "export_snapshot", "throttle_batch", "upsert_settings", "admit_students",
                "admit_students_enrollments", "monthly_revenue_pruned", "student_stats_bucketed",
-               "debounce_events", "debounce_first"}
+               "debounce_events", "debounce_first", "stream_admissions_enrollments",
+               "stream_admissions_rejected", "live_dashboard", "import_admissions"}
 
 
 def plan(df):
@@ -51,11 +52,29 @@ def test_top_k_is_take_ordered(spark, name):
     assert "TakeOrderedAndProject" in plan(QUERIES[name](spark, SF))
 
 
-def test_recent_admissions_reads_enrollments_once(spark):
-    """The top-5 is cached: all three consumers read the cache; the lookups are semi joins."""
+def captured(monkeypatch, module):
+    """The plans of the frames that a query materialises on its way."""
+    plans, original = [], layout.materialize
+    monkeypatch.setattr(module, "materialize", lambda df: plans.append(plan(df)) or original(df))
+    return plans
+
+
+def test_recent_admissions_cuts_before_any_join(spark, monkeypatch):
+    """The top 5 is taken from the enrollments alone; what belongs to it comes by semi joins."""
+    plans = captured(monkeypatch, listings)
     p = plan(QUERIES["recent_admissions"](spark, SF))
-    assert p.count("InMemoryTableScan") == 3
-    assert p.count("LeftSemi") == 2
+    assert "TakeOrderedAndProject" in plans[0] and "Join" not in plans[0]
+    assert p.count("LeftSemi") == 2 and "lineitem" not in p
+
+
+def test_unique_rows_limits_before_the_shuffle(spark):
+    p = plan(QUERIES["unique_rows"](spark, SF))
+    assert "WindowGroupLimit" in p and "SortAggregate" not in p
+
+
+def test_orphan_check_reduces_before_it_joins(spark):
+    p = plan(QUERIES["orphan_check"](spark, SF))
+    assert "Generate" not in p and p.count("LeftAnti") == 5
 
 
 def test_keep_last_n_limits_before_shuffle(spark):
@@ -67,7 +86,8 @@ def test_month_partitions_are_pruned(spark):
     assert "PartitionFilters: [isnotnull(payment_month" in p and "(payment_month" in p.split("PartitionFilters")[1]
 
 
-def test_bucketed_aggregates_skip_the_exchange(spark):
-    p = plan(QUERIES["student_stats_bucketed"](spark, SF))
-    assert p.count("Bucketed: true") == 2
-    assert "Exchange hashpartitioning(student_id" not in p
+def test_bucketed_aggregates_skip_the_exchange(spark, monkeypatch):
+    p = captured(monkeypatch, layout)
+    QUERIES["student_stats_bucketed"](spark, SF)
+    assert p[0].count("Bucketed: true") >= 2 and "Exchange hashpartitioning(student_id" not in p[0]
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("cf_")]  # nothing stays behind
