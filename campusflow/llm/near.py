@@ -195,29 +195,6 @@ def list_column(rows: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(rows.reshape(-1)))
 
 
-def sorted_groups(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
-    """The runs of equal keys of a partition sorted by them; a run that crosses batches is joined."""
-    held: list[pa.RecordBatch] = []
-    previous = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        columns = [batch.column(k).to_numpy(zero_copy_only=False) for k in keys]
-        new = np.zeros(batch.num_rows, bool)
-        for c in columns:
-            new[1:] |= c[1:] != c[:-1]
-        cuts = [0, *np.flatnonzero(new).tolist(), batch.num_rows]
-        for low, high in zip(cuts, cuts[1:]):
-            key = tuple(c[low] for c in columns)
-            if key != previous and held:
-                yield pa.Table.from_batches(held)
-                held = []
-            held.append(batch.slice(low, high - low))
-            previous = key
-    if held:
-        yield pa.Table.from_batches(held)
-
-
 def _forest(linked: np.ndarray) -> np.ndarray:
     """The smallest row of each row's component in a symmetric boolean matrix."""
     labels = np.arange(len(linked))
@@ -229,23 +206,46 @@ def _forest(linked: np.ndarray) -> np.ndarray:
         labels = lower
 
 
+def _runs(keys: np.ndarray) -> np.ndarray:
+    """Where each run of equal keys begins, and the end."""
+    return np.concatenate([[0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)]])
+
+
 def _bucket_edges(least: float) -> Callable:
+    """Spanning edges of each bucket's similar sketches, for partitions sorted by key with distinct members."""
+    def within(keys, nodes, sketches):
+        cuts = _runs(keys)
+        limit, sizes = least * sketches.shape[1], np.diff(cuts)
+        first = cuts[:-1][sizes == 2]  # most buckets are pairs: all at once
+        alike = first[(sketches[first] == sketches[first + 1]).sum(axis=1) >= limit]
+        out = [np.column_stack([nodes[alike], nodes[alike + 1]])]
+        for low, size in zip(cuts[:-1][sizes > 2].tolist(), sizes[sizes > 2].tolist()):
+            own, same = sketches[low: low + size], np.empty((size, size), bool)
+            for i in range(size):
+                same[i] = (own == own[i]).sum(axis=1) >= limit
+            root = _forest(same)
+            moved = np.flatnonzero(root != np.arange(size))
+            out.append(np.column_stack([nodes[low + moved], nodes[low + root[moved]]]))
+        pairs = np.concatenate(out)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+
     def edges(batches):
-        for group in sorted_groups(batches, ["key"]):
-            nodes = group["node"].to_numpy()
-            nodes, first = np.unique(nodes, return_index=True)
-            if len(nodes) < 2:
+        held = None  # the last bucket of a batch may go on in the next
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            blob = group["sketch"].combine_chunks()
-            sketch = np.frombuffer(b"".join(blob.take(pa.array(first)).to_pylist()), np.uint8).reshape(len(nodes), -1)
-            limit = least * sketch.shape[1]
-            same = np.empty((len(nodes), len(nodes)), bool)
-            for i in range(len(nodes)):
-                same[i] = (sketch == sketch[i]).sum(axis=1) >= limit
-            root = _forest(same)
-            keep = root != np.arange(len(nodes))
-            if keep.any():
-                yield pa.RecordBatch.from_arrays([pa.array(nodes[keep]), pa.array(nodes[root[keep]])], ["a", "b"])
+            blob = batch.column("sketch")
+            offsets = np.frombuffer(blob.buffers()[1], np.int32)[blob.offset: blob.offset + len(blob) + 1]
+            sketches = np.frombuffer(blob.buffers()[2], np.uint8)[offsets[0]: offsets[-1]].reshape(len(blob), -1)
+            now = (batch.column("key").to_numpy(), batch.column("node").to_numpy(), sketches)
+            if held is not None:
+                now = tuple(np.concatenate(pair) for pair in zip(held, now))
+            last = _runs(now[0])[-2]
+            if last:
+                yield within(*(x[:last] for x in now))
+            held = tuple(x[last:].copy() for x in now)
+        if held is not None:
+            yield within(*held)
     return edges
 
 
@@ -296,45 +296,65 @@ def _intersections(sets: list[np.ndarray]) -> np.ndarray:
 
 def _verify(shingler: Callable[[pa.Array], tuple[np.ndarray, np.ndarray]], threshold: float,
             identify: Callable | None) -> Callable:
+    """Links within sorted runs of (component, lo, hi): rows of one block (lo = hi) or of two."""
+    def linked_rows(sets):
+        sizes = np.array([len(s) for s in sets])
+        if len(sets) == 2:
+            both = np.array([[0, len(np.intersect1d(*sets, assume_unique=True))]] * 2)
+            both[1] = both[0][::-1]
+        else:
+            both = _intersections(sets)
+        linked = both >= threshold * (sizes[:, None] + sizes[None, :] - both) - 1e-9
+        np.fill_diagonal(linked, False)
+        return linked
+
+    def judge(rows, two_blocks, out):
+        rows = list({r[0]: r for r in reversed(rows)}.values())
+        if len(rows) < 2:
+            return
+        linked = linked_rows([r[1] for r in rows])
+        if two_blocks:  # pairs within a block belong to that block's own group
+            block = np.array([r[2] for r in rows])
+            linked &= block[:, None] != block[None, :]
+        if not linked.any():
+            return
+        n_links = linked @ np.array([r[3] for r in rows])
+        root = _forest(linked)
+        for i, r in enumerate(rows):
+            if n_links[i]:
+                out.append((r[0], None, int(n_links[i])))
+            if root[i] != i:
+                out.append((r[0], rows[root[i]][0], 0))
+
+    def emitted(out):
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(
+            zip(*out), (pa.binary(), pa.binary(), pa.int64()))], ["id", "other", "links"])
+
     def links(batches):
-        for group in sorted_groups(batches, ["component", "lo", "hi"]):
-            texts = group["payload"].combine_chunks()
-            texts = texts if isinstance(texts, pa.Array) else pa.chunked_array(texts).combine_chunks()
+        key, held, out = None, [], []
+        for batch in pieces(batches, "payload"):
+            texts = batch.column("payload")
             hashes, counts = shingler(texts)
             keys = identify(texts) if identify else set_ids(hashes, counts)
-            ids = [k.tobytes() for k in keys]
-            expected = group["id"].to_pylist()
-            row = {}
-            for i, (own, wanted) in enumerate(zip(ids, expected)):
+            ends = np.cumsum(counts).tolist()
+            for i, (own, wanted, group) in enumerate(zip(
+                    keys, batch.column("id").to_pylist(),
+                    zip(*(batch.column(n).to_pylist() for n in ("component", "lo", "hi"))))):
+                if group != key:
+                    if held:
+                        judge(held, key[1] != key[2], out)
+                    key, held = group, []
+                own = own.tobytes()
                 if own == wanted:  # else a row that merely repeats the document's number
-                    row.setdefault(own, i)
-            if len(row) < 2:
-                continue
-            keep = list(row.values())
-            ends = np.cumsum(counts)
-            sets = [np.unique(hashes[ends[i] - counts[i]: ends[i]]) for i in keep]
-            size = np.array([len(s) for s in sets])
-            both = _intersections(sets)
-            linked = both >= threshold * (size[:, None] + size[None, :] - both) - 1e-9
-            np.fill_diagonal(linked, False)
-            block = group["block"].to_numpy()[keep]
-            lo, hi = group["lo"][0].as_py(), group["hi"][0].as_py()
-            if lo != hi:  # pairs within a block belong to that block's own group
-                linked &= block[:, None] != block[None, :]
-            weight = group["weight"].to_numpy()[keep]
-            n_links = linked @ weight
-            names = [ids[i] for i in keep]
-            root = _forest(linked)
-            out_id, out_other, out_links = [], [], []
-            for i, name in enumerate(names):
-                if n_links[i]:
-                    out_id.append(name), out_other.append(None), out_links.append(int(n_links[i]))
-                if root[i] != i:
-                    out_id.append(name), out_other.append(names[root[i]]), out_links.append(0)
-            if out_id:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(out_id, pa.binary()), pa.array(out_other, pa.binary()), pa.array(out_links, pa.int64())],
-                    ["id", "other", "links"])
+                    held.append((own, np.unique(hashes[ends[i] - counts[i]: ends[i]]), batch.column("block")[i].as_py(),
+                                 batch.column("weight")[i].as_py()))
+            if len(out) > 10_000:
+                yield emitted(out)
+                out = []
+        if held:
+            judge(held, key[1] != key[2], out)
+        if out:
+            yield emitted(out)
     return links
 
 
