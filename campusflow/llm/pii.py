@@ -144,19 +144,19 @@ def confident_patterns(items: DataFrame) -> DataFrame:
 def _with_spans(docs: DataFrame, text: Column, keep: list[str]) -> tuple[DataFrame, str, str]:
     """``keep`` of ``docs`` with two more columns, whose names come second and third: the base spans (a struct
     with an array per kind) and the spans that the patterns find; null texts count as empty."""
-    row, base, items, found = (free_name(docs, n) for n in ("row", "base", "items", "found"))
+    row, base, items, found, of = (free_name(docs, n) for n in ("row", "base", "items", "found", "of_row"))
     marked = persisted(docs.select(*keep, F.coalesce(text, F.lit("")).alias(found))
                        .withColumn(base, base_spans(F.col(found)))
                        .withColumn(items, _items(F.col(found), F.col(base))).drop(found)
                        .withColumn(row, F.monotonically_increasing_id()))
     candidates = F.filter(items, lambda x: ~x["seed"])
     learned = confident_patterns(marked.select(F.explode(items).alias("x")).select("x.pattern", "x.v", "x.seed"))
-    extra = (marked.select(F.col(row).alias("r"), F.explode(candidates).alias("x"))
+    extra = (marked.select(F.col(row).alias(of), F.explode(candidates).alias("x"))
              .join(learned, F.col("x.pattern") == F.col("pattern"))
-             .groupBy("r").agg(F.sort_array(F.collect_set(F.struct("x.s", "x.e"))).alias(found)))
+             .groupBy(of).agg(F.sort_array(F.collect_set(F.struct("x.s", "x.e"))).alias(found)))
     none = F.array().cast("array<struct<s:bigint,e:bigint>>")
     some = F.size(candidates) > 0
-    joined = (marked.filter(some).join(extra, F.col(row) == F.col("r"), "left")
+    joined = (marked.filter(some).join(extra, F.col(row) == F.col(of), "left")
               .select(*keep, base, F.coalesce(found, none).alias(found)))
     rest = marked.filter(~some).select(*keep, base, none.alias(found))
     return joined.unionByName(rest), base, found

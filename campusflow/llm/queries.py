@@ -30,12 +30,47 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-@query("op8_host_rules")
+@query("op8_host_rules", r"""
+    WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source, coalesce(text, '') AS t FROM documents),
+    w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS words,
+                 list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
+    g AS (SELECT rid, i, list_slice(words, i, i + 7) AS win
+          FROM (SELECT rid, words, unnest(range(1, len(words) - 6)) AS i FROM w)),
+    rep AS (SELECT rid, i FROM (SELECT *, count(*) OVER (PARTITION BY rid, win) AS n FROM g) WHERE n > 1),
+    cov AS (SELECT rid, sum(least(8, i - p))::BIGINT AS r FROM (
+              SELECT rid, i, coalesce(lag(i) OVER (PARTITION BY rid ORDER BY i), i - 8) AS p FROM rep) GROUP BY rid),
+    stats AS (SELECT doc_id, source, len(words)::BIGINT AS n_words, length(array_to_string(words, ''))::BIGINT AS word_chars,
+                     length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+                     (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
+                     coalesce(r, 0) AS n_repeat_words,
+                     len(words) < 20 OR 100 * coalesce(r, 0) > 30 * len(words) AS base_failed
+              FROM w LEFT JOIN cov USING (rid)),
+    h AS (SELECT source, count(*) AS n, sum(base_failed::INT) AS f FROM stats WHERE source IS NOT NULL GROUP BY source),
+    total AS (SELECT sum(n) AS n, sum(f) AS f, count(*) AS hosts, sum(1.0::DOUBLE / n) AS inv, var_pop(f / n) AS v FROM h),
+    m AS (SELECT *, least(greatest(f / n, 0.5 / (n + 1)), 1 - 0.5 / (n + 1)) AS mean FROM total),
+    prior AS (SELECT mean, least(greatest(CASE WHEN v - mean * (1 - mean) * inv / hosts > 0
+                  THEN mean * (1 - mean) / (v - mean * (1 - mean) * inv / hosts) - 1 ELSE 1e300 END, 1), n) AS strength FROM m)
+    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+           NOT base_failed AND coalesce((f + mean * strength) / (n + strength) <= 0.5, true) AS kept
+    FROM stats LEFT JOIN h USING (source), prior""")
 def op8(spark, sf_dir):
     return host_rules.judge(table(spark, sf_dir, "documents"))
 
 
-@query("op9_ngram_jaccard_join")
+@query("op9_ngram_jaccard_join", r"""
+    WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+    s AS (SELECT DISTINCT doc_id, list_slice(ws, i, i + 4) AS g FROM (
+            SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 4, least(len(ws), 1)) + 1)) AS i FROM w)),
+    n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+    p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+    e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE c >= 0.8 * (x.n + y.n - c) - 1e-9),
+    link AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+    reach(doc_id, root) AS (SELECT DISTINCT a, a FROM link UNION
+                            SELECT link.b, root FROM reach JOIN link ON reach.doc_id = link.a),
+    class AS (SELECT doc_id, min(root) AS class_id FROM reach GROUP BY doc_id),
+    linked AS (SELECT a AS doc_id, count(*) AS n_links FROM link GROUP BY a)
+    SELECT doc_id, coalesce(class_id, doc_id) AS class_id, coalesce(n_links, 0) AS n_links
+    FROM w LEFT JOIN class USING (doc_id) LEFT JOIN linked USING (doc_id)""")
 def op9(spark, sf_dir):
     return ngram_join.similar_classes(table(spark, sf_dir, "documents"))
 

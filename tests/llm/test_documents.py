@@ -26,7 +26,8 @@ def frame(spark, rows):
     """Documents with columns that clash with the operators' own names."""
     df = spark.createDataFrame(rows, "doc_id long, text string")
     return df.select("doc_id", "text", F.lit("src").alias("source"), F.lit(1).alias("base"), F.lit("x").alias("id"),
-                     F.lit(2).alias("n_words"), F.lit(0.5).alias("component"), F.lit("k").alias("kept"))
+                     F.lit(2).alias("n_words"), F.lit(0.5).alias("component"), F.lit("k").alias("kept"), F.lit(1).alias("r"), F.lit(1).alias("dropped"),
+                     F.lit(1).alias("row"), F.lit(1).alias("found"), F.lit(1).alias("failed"), F.lit("p").alias("pattern"))
 
 
 def similar(n, seed=1, size=120):

@@ -278,7 +278,8 @@ def test_pipeline(spark, sf_small):
 def test_queries_equal_their_sql(spark, sf_small, name):
     import duckdb
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{sf_small}/pages.parquet')")
+    for name_ in ("pages", "documents"):
+        con.execute(f"CREATE VIEW {name_} AS SELECT * FROM read_parquet('{sf_small}/{name_}.parquet')")
     cursor = con.execute(queries.ORACLES[name])
     columns = [d[0] for d in cursor.description]
     want = sorted(map(repr, cursor.fetchall()))
