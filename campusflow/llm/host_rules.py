@@ -4,8 +4,8 @@ Base rules judge each document from its text.  Their failures are then counted p
 failure rates are shrunk by a beta prior fitted to all hosts (empirical Bayes, method of moments), and
 the documents of a host whose shrunk rate is above ``max_host_rate`` are rejected as well.
 
-Only built-in functions.  Texts are read once; the verdicts are checkpointed between the two passes, and
-the only shuffle is one row per host and task.
+Only built-in functions.  Judging checkpoints the verdicts between its two passes; filtering reads the texts
+twice instead of storing them.  The only shuffle is one row per host and task.
 """
 
 from __future__ import annotations
@@ -23,6 +23,8 @@ SYMBOLS = "#*$%&|<>"
 WINDOW = 8
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
+#: Bad hosts up to which the list of them is broadcast.
+BROADCAST_HOSTS = 10_000
 
 
 def without(text: Column, characters: str) -> Column:
@@ -151,9 +153,11 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_
 def keep_documents(docs: DataFrame, text_col: str = "text", host_col: str = "source",
                    max_host_rate: float = 0.5) -> DataFrame:
     """The rows of ``docs`` that ``judge`` keeps, with all their columns."""
-    mark, host = free_name(docs, "failed"), F.col(host_col)
-    marked = persisted(docs.withColumn(mark, failed_text(F.col(text_col))))
-    hosts = failing_hosts(marked, host_col, mark, max_host_rate)
-    kept = marked.filter(~F.col(mark)).drop(mark)
-    return kept.join(hosts.select(F.col("bad_host").alias(mark)), host == F.col(mark), "left_anti")
-
+    failed = failed_text(F.col(text_col))
+    hosts = failing_hosts(docs.select(F.col(host_col).alias("h"), failed.alias("failed")), "h", "failed", max_host_rate)
+    name = free_name(docs, "bad_host")
+    hosts = hosts.select(F.col("bad_host").alias(name))
+    # few bad hosts go to every task; beyond that many both sides are shuffled by host
+    if hosts.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS:
+        hosts = F.broadcast(hosts)
+    return docs.filter(~failed).join(hosts, F.col(host_col) == F.col(name), "left_anti")
