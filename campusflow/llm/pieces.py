@@ -28,7 +28,7 @@ from campusflow.llm import near
 
 MARK = "▁"
 #: Bytes of text encoded at a time, and neighbour verdicts that a worker remembers.
-BATCH_BYTES, REMEMBERED = 8 << 20, 2_000_000
+BATCH_BYTES, REMEMBERED = 4 << 20, 1_000_000
 #: What an unknown character scores below the lowest piece in a unigram model.
 UNKNOWN_PENALTY = 10.0
 _UNKNOWN = -1
@@ -120,7 +120,7 @@ class Vocabulary:
                 return True
 
     def step(self, word: str, end: int, states: list) -> tuple:
-        """The state (piece, start, score) of the path to ``end``, from the states of all shorter prefixes."""
+        """The state (piece, start, score) of the best path to ``end``, from the states of all shorter prefixes."""
         best = None
         tails, tail = self.tails, word[end - 3 if end > 3 else 0: end]
         for length in tails.get(tail) or tails.get(tail[-2:]) or tails.get(tail[-1:], ()):
@@ -130,12 +130,9 @@ class Vocabulary:
             piece = self.usable.get(word[start:end])
             if piece is None:
                 continue
-            if self.kind == "unigram":
-                score = states[start][2] + self.score[piece]
-                if best is None or score > best[2]:
-                    best = (piece, start, score)
-            elif start == 0 or self.follows(states[start][0], piece):
-                return (piece, start, 0.0)
+            score = states[start][2] + self.score[piece]
+            if best is None or score > best[2]:
+                best = (piece, start, score)
         if best is None or word[end - 1] not in self.id_of:
             lone = (_UNKNOWN, end - 1, states[end - 1][2] + self.lowest - UNKNOWN_PENALTY)
             if best is None or lone[2] > best[2]:
@@ -159,6 +156,8 @@ class Vocabulary:
 
     def encode_sorted(self, words: list[str]) -> list[list[int]]:
         """The ids of sorted distinct words: a depth-first walk of their trie."""
+        if self.kind == "bpe":
+            return self._merged_sorted(words)
         out, states, before = [], [(_UNKNOWN, 0, 0.0)], ""
         for word in words:
             shared, limit = 0, min(len(before), len(word))
@@ -171,6 +170,47 @@ class Vocabulary:
             before = word
         return out
 
+    def _merged_sorted(self, words: list[str]) -> list[list[int]]:
+        """The same walk for byte-pair models, where a state is the last piece and its start."""
+        usable, tails, known, follows, base = self.usable, self.tails, self._follows, self.follows, len(self.piece)
+        as_bytes, unknown = self.byte_id, self.unknown_id
+        last, begin, before, out = [_UNKNOWN], [0], "", []
+        for word in words:
+            shared, limit = 0, min(len(before), len(word))
+            while shared < limit and word[shared] == before[shared]:
+                shared += 1
+            del last[shared + 1:], begin[shared + 1:]
+            for end in range(shared + 1, len(word) + 1):
+                tail = word[end - 3 if end > 3 else 0: end]
+                for length in tails.get(tail) or tails.get(tail[-2:]) or tails.get(tail[-1:], ()):
+                    if length <= end:
+                        start = end - length
+                        piece = usable.get(word[start:end])
+                        if piece is not None:
+                            left = last[start]
+                            if left < 0:  # the word's begin, or a character that merges with nothing
+                                break
+                            fits = known.get(left * base + piece)
+                            if fits if fits is not None else follows(left, piece):
+                                break
+                else:
+                    piece, start = _UNKNOWN, end - 1
+                last.append(piece)
+                begin.append(start)
+            ids, end = [], len(word)
+            while end:
+                piece, start = last[end], begin[end]
+                if piece >= 0:
+                    ids.append(piece)
+                elif as_bytes:
+                    ids.extend([as_bytes[b] for b in reversed(word[start:end].encode())])
+                else:
+                    ids.append(unknown)
+                end = start
+            out.append(ids[::-1])
+            before = word
+        return out
+
     def encode_marks(self, n: int) -> list[int]:
         """A run of marks by itself: all merges of it are of equal score, so the leftmost comes first."""
         run: list[int] = []
@@ -271,6 +311,20 @@ def _encoder(path: str, kind: str):
     return encode
 
 
+def _round_tripper(path: str):
+    def both(batches):
+        vocabulary = load(path)
+        for batch in near.pieces(batches, "text", BATCH_BYTES):
+            ids, counts = encode_texts(batch.column("text"), vocabulary)
+            offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+            texts = pc.fill_null(batch.column("text"), "").to_pylist()
+            same = [a == b for a, b in zip(decode_ids(ids, counts, vocabulary), texts)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), pa.array(counts), pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids)),
+                 pa.array(same, pa.bool_())], ["doc_id", "n_ids", "ids", "round_trip"])
+    return both
+
+
 def _decoder(path: str):
     def decode(batches):
         vocabulary = load(path)
@@ -305,8 +359,6 @@ def decode(encoded: DataFrame, model_path: str, id_col: str = "doc_id", ids_col:
 
 
 def round_trip(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_ids, ids and whether decoding gives the text back (null counts as empty)."""
-    encoded = encode(docs, model_path, id_col, text_col)
-    both = encoded.mapInArrow(_decoder(model_path), "doc_id long, ids array<int>, text string, decoded string")
-    return both.select("doc_id", F.size("ids").cast("long").alias("n_ids"), "ids",
-                       (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))
+    """doc_id, n_ids, ids and whether decoding gives the text back (null counts as empty), in one pass."""
+    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return d.mapInArrow(_round_tripper(model_path), "doc_id long, n_ids long, ids array<int>, round_trip boolean")
