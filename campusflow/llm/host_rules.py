@@ -123,11 +123,11 @@ def beta_prior(rates: DataFrame) -> tuple[float, float]:
 
 def failing_hosts(verdicts: DataFrame, host: str, failed: str, max_host_rate: float) -> DataFrame:
     """(bad_host, host_rate): hosts whose shrunk failure rate is above the limit; null is no host."""
-    rates = (verdicts.filter(F.col(host).isNotNull()).groupBy(F.col(host).alias("bad_host"))
-             .agg(F.count("*").alias("n"), F.sum(F.col(failed).cast("long")).alias("failed")))
+    rates = persisted(verdicts.filter(F.col(host).isNotNull()).groupBy(F.col(host).alias("bad_host"))
+                      .agg(F.count("*").alias("n"), F.sum(F.col(failed).cast("long")).alias("failed")))
     alpha, beta = beta_prior(rates)
     rate = (F.col("failed") + F.lit(alpha)) / (F.col("n") + F.lit(alpha + beta))
-    return persisted(rates.select("bad_host", rate.alias("host_rate")).filter(F.col("host_rate") > max_host_rate))
+    return rates.select("bad_host", rate.alias("host_rate")).filter(F.col("host_rate") > max_host_rate)
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source",
