@@ -169,6 +169,8 @@ class _Reader(DataSourceReader):
                 for i in infos for low in range(0, i.size, self.split)]
 
     def read(self, partition):
+        if partition is None:  # no archives, no ranges
+            return
         files, _ = _filesystem(self.root)
         with files.open_input_file(partition.path) as raw:
             yield from read_range(io.BufferedReader(raw, 1 << 20), partition.start, partition.end)
