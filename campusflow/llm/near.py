@@ -97,16 +97,24 @@ def word_shingles(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
 def char_shingles(texts: pa.Array, n: int, kind=np.uint64) -> tuple[np.ndarray, np.ndarray]:
     """(hashes, counts): the hashed n-byte windows of each text's UTF-8; a shorter text is one shingle, an empty one none.
 
-    ``n`` is a power of two: windows double in length.  Signatures do with ``np.uint32`` hashes, which are cheaper.
+    Windows double in length, and those of the binary digits of ``n`` are joined.  Signatures do with ``np.uint32``
+    hashes, which are cheaper.
     """
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
     offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset: texts.offset + len(texts) + 1]
     data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0]: offsets[-1]]
     offsets, sizes = offsets - offsets[0], np.diff(offsets)
     counts = np.where(sizes >= n, sizes - n + 1, np.minimum(sizes, 1))
-    rolled, width = np.concatenate([data, np.zeros(n, np.uint8)]).astype(kind), 1
-    while width < n:
-        rolled[:-width] = rolled[:-width] * kind(pow(0x01000193, width, 1 << 32)) + rolled[width:]
+    part, width = np.concatenate([data, np.zeros(n, np.uint8)]).astype(kind), 1
+    rolled, done = None, 0
+    while width <= n:
+        factor = kind(pow(0x01000193, width, 1 << 32))
+        if n & width and rolled is None:
+            rolled, done = part.copy(), width
+        elif n & width:
+            rolled[:-done] = rolled[:-done] * factor + part[done:]
+            done += width
+        part[:-width] = part[:-width] * factor + part[width:]
         width *= 2
     valid = np.ones(len(data), bool)
     for back in range(1, n):  # starts too close to their text's end

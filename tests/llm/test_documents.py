@@ -143,6 +143,32 @@ def test_line_dedup_edges(spark):
                            (6, "é😀\nsho"), (7, "")]), got
 
 
+def test_char_windows_of_any_length():
+    texts = ["abcdefgh", "xbcdefgy", "", "abc", "é😀é"]
+    for n in (3, 5, 7, 8):
+        for kind in (np.uint32, np.uint64):
+            hashes, counts = near.char_shingles(pa.array(texts), n, kind)
+            windows = []
+            for t in texts:
+                raw = t.encode()
+                windows += [raw[k:k + n] for k in range(len(raw) - n + 1)] or ([raw] if raw else [])
+            assert len(windows) == counts.sum() and len(set(zip(windows, hashes.tolist()))) == len(set(windows)) == len(set(hashes.tolist()))
+
+
+@pytest.mark.parametrize("old, new", [
+    ("meet me at the station at noon", "meet me at the stadion at noon"),  # 30 bytes, a letter
+    ("invoice number 4471 of the year", "invoice number 4481 of the year"),  # 31 bytes, a digit
+    ("all rights reserved by the authors of this page 2019", "all rights reserved by the authors of this page 2020"),
+    ("please read the terms of use before you send this form to us", "please read the terms of use before you print this form to us"),
+    ("subscribe to our weekly letter to hear of the newest offers and events in your own city",
+     "subscribe to our weekly letter to hear of the newest prices and events in your own city")])
+def test_line_dedup_short_lines_with_one_edit(spark, old, new):
+    other = "nothing of this is like any of the rest, whatever the measure"
+    rows = [(1, old), (2, new + "\n" + other), (3, other[::-1])]
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(frame(spark, rows)).collect()}
+    assert got == {1: old, 2: other, 3: other[::-1]}
+
+
 # --- personal data
 
 def test_pii_query(spark, sf_small, docs):
