@@ -169,6 +169,16 @@ def test_line_dedup_short_lines_with_one_edit(spark, old, new):
     assert got == {1: old, 2: other, 3: other[::-1]}
 
 
+def test_line_dedup_tells_rows_of_one_id_apart(spark):
+    common, own = "a line that stands in many of the rows", "nothing else has what is written here"
+    rows = [(1, common), (5, own), (5, common), (7, "seven\n" + common), (7, "eleven"), (9, "twice"), (9, "twice\nthree times"),
+            (9, "twice")]
+    got = Counter((r.doc_id, r.text) for r in line_dedup.dedup_lines(frame(spark, rows)).collect())
+    nine = [Counter([(9, "twice"), (9, "twice"), (9, "three times")]), Counter([(9, ""), (9, ""), (9, "twice\nthree times")])]
+    rest = Counter([(1, common), (5, own), (5, ""), (7, "seven"), (7, "eleven")])
+    assert got in [rest + n for n in nine], got
+
+
 # --- personal data
 
 def test_pii_query(spark, sf_small, docs):
