@@ -29,8 +29,8 @@ KINDS = ("email", "ip", "card", "phone")
 #: Kind of the spans that the patterns add.
 FOUND = "found"
 
-#: Rounds of confidence, the least confidence of a pattern, its least number of different seeds, and the
-#: weight of the doubt that every pattern starts with.
+#: Rounds of confidence, the least confidence of a pattern, its least number of different seeds or instances of
+#: that trust, and the weight of the doubt that every pattern starts with.
 ROUNDS, CONFIDENCE, MIN_SEEDS, DOUBT = 4, 0.8, 3, 1.0
 #: Characters before a match in which its lexical context is sought.
 CONTEXT = 80
@@ -115,27 +115,28 @@ def _items(text: Column, base: Column) -> Column:
 def confident_patterns(items: DataFrame) -> DataFrame:
     """(pattern, confidence): the patterns that mark identifiers; ``items`` has pattern, v and seed.
 
-    The graph is aggregated to one row per pattern and instance before anything is joined.
+    The graph is aggregated to one row per pattern and instance before anything is joined, and stays whole: in each
+    round the patterns of MIN_SEEDS or more different seeds or trusted instances take part, so that a pattern may
+    be learned from what others have found.
     """
     edges = persisted(items.groupBy("pattern", F.xxhash64("v").alias("instance"))
                       .agg(F.count("*").alias("n"), F.max("seed").alias("seed")))
-    # only patterns of a seed and what they lead to can gain confidence
-    seeded = edges.groupBy("pattern").agg(F.sum(F.col("seed").cast("int")).alias("seeds"), F.sum("n").alias("total"))
-    seeded = persisted(seeded.filter(F.col("seeds") >= MIN_SEEDS).withColumnRenamed("pattern", "p"))
-    edges = persisted(edges.join(seeded, F.col("pattern") == F.col("p")).drop("p"))
     edges = edges.withColumn("trust", F.col("seed").cast("double"))
     for k in range(ROUNDS):
-        patterns = persisted(edges.groupBy("pattern").agg(
-            (F.sum(F.col("n") * F.col("trust")) / (F.first("total") + F.lit(DOUBT))).alias("confidence")))
+        patterns = edges.groupBy("pattern").agg(
+            (F.sum(F.col("n") * F.col("trust")) / (F.sum("n") + F.lit(DOUBT))).alias("confidence"),
+            F.sum((F.col("trust") >= CONFIDENCE).cast("int")).alias("trusted"))
+        patterns = persisted(patterns.filter(F.col("trusted") >= MIN_SEEDS).drop("trusted"))
         if k + 1 == ROUNDS:
             break
         led = persisted(edges.drop("trust").join(patterns.withColumnRenamed("pattern", "q"),
-                                                 F.col("pattern") == F.col("q")).drop("q"))
-        vouched = persisted(led.groupBy(F.col("instance").alias("i")).agg(
+                                                 F.col("pattern") == F.col("q"), "left").drop("q"))
+        vouched = persisted(led.filter("confidence is not null").groupBy(F.col("instance").alias("i")).agg(
             F.sum(F.col("n") * F.col("confidence")).alias("weight"), F.sum("n").alias("times")))
-        # an instance is trusted by its other patterns: none vouches for itself
-        other = (F.col("weight") - F.col("n") * F.col("confidence")) / F.nullif(F.col("times") - F.col("n"), F.lit(0))
-        edges = led.join(vouched, F.col("instance") == F.col("i")).withColumn(
+        # an instance is trusted by its other patterns that take part: none vouches for itself
+        own = F.when(F.col("confidence").isNull(), F.lit(0)).otherwise(F.col("n"))
+        other = (F.col("weight") - own * F.coalesce("confidence", F.lit(0.0))) / F.nullif(F.col("times") - own, F.lit(0))
+        edges = led.join(vouched, F.col("instance") == F.col("i"), "left").withColumn(
             "trust", F.when(F.col("seed"), 1.0).otherwise(F.coalesce(other, F.lit(0.0)))).drop(
             "i", "weight", "times", "confidence")
     return persisted(patterns.filter(F.col("confidence") >= CONFIDENCE))

@@ -212,6 +212,14 @@ def test_pii_patterns_find_unknown_identifiers(spark):
     assert pii.find_spans(frame(spark, [])).count() == 0 and pii.mask_spans(frame(spark, [])).count() == 0
 
 
+def test_pii_patterns_learned_from_other_patterns(spark):
+    rows = [(i, f"contact a{i}@x.de or contact b{i}@x.de") for i in range(100)]
+    rows += [(100 + i, f"contact K{i}77 then customer K{i}77") for i in range(20)]  # customer never precedes a seed
+    rows += [(200, "customer Z9000"), (201, "unheard Z9001")]
+    spans = {r.doc_id: r.spans for r in pii.find_spans(frame(spark, rows)).collect()}
+    assert (spans[200], spans[201]) == ("found:9:14", "")
+
+
 # --- packing
 
 def test_tokenizer_equals_the_library():
