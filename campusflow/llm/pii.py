@@ -1,7 +1,8 @@
 """Personal data by bootstrapped contextual extraction.
 
 Base rules find e-mail addresses, IP addresses, card and phone numbers.  These are the seeds: the word before
-a seed is a lexical pattern, and so a bipartite graph of patterns and instances (words with a digit) arises.
+a seed, with punctuation that stands alone after it, is a lexical pattern, and so a bipartite graph of patterns and
+instances (words with a digit, and the groups of digits that go on with them) arises.
 Confidence flows over it for a few rounds: a pattern is as trusted as the instances that follow it, an instance
 as the other patterns that lead to it, seeds stay certain.  Patterns above a limit then mark instances that no base
 rule knows.
@@ -26,6 +27,11 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 #: A word with a digit.
 TOKEN = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*+"
 KINDS = ("email", "ip", "card", "phone")
+#: A word of digits, perhaps with closing punctuation, which goes on with the instance before it.
+GROUP = r"^[0-9]++(?:[-./][0-9]++)*+[\)\]\}>\"'.,;:!?]*+\z"
+#: The last word of a context with a letter or digit, and the words of punctuation only that end it.
+WORD = r"(?<![^\x20\x09-\x0D])([^\x20\x09-\x0D]++)[\x20\x09-\x0D]*+(?:[^\p{L}\p{N}\x20\x09-\x0D]++(?:[\x20\x09-\x0D]++|\z))*+\z"
+MARKS = r"(?:(?<![^\x20\x09-\x0D])[^\p{L}\p{N}\x20\x09-\x0D]++(?:[\x20\x09-\x0D]++|\z))++\z"
 #: Kind of the spans that the patterns add.
 FOUND = "found"
 
@@ -40,9 +46,14 @@ def _matches(text: Column, pattern: str) -> Column:
     """array<struct<s, e, v, left>>: leftmost non-overlapping matches with their offsets and what precedes them."""
     def located(parts, found):
         steps = F.transform(found, lambda v, i: F.char_length(F.get(parts, i)) + F.char_length(v))
-        return let(running_sums(steps), lambda ends: F.transform(found, lambda v, i: F.struct(
+        tail = lambda x: F.right(x, F.lit(CONTEXT))
+        ends_of = F.transform(found, lambda v, i: F.concat(tail(F.get(parts, i)), tail(v)))
+        # matches have two characters or a blank between them: CONTEXT characters hold no more than half as many
+        before = lambda pieces, i: F.array_join(F.slice(
+            pieces, F.greatest(i - CONTEXT // 2, F.lit(0)) + 1, F.least(i, F.lit(CONTEXT // 2))), "")
+        return let(ends_of, lambda pieces: let(running_sums(steps), lambda ends: F.transform(found, lambda v, i: F.struct(
             (F.get(ends, i) - F.char_length(v)).alias("s"), F.get(ends, i).alias("e"), v.alias("v"),
-            F.right(F.get(parts, i), F.lit(CONTEXT)).alias("left"))))
+            tail(F.concat(before(pieces, i), tail(F.get(parts, i)))).alias("left")))))
 
     return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda found: F.when(
         F.size(found) > 0, let(F.split(text, pattern, -1), lambda parts: located(parts, found))).otherwise(_none()))
@@ -84,10 +95,34 @@ def base_spans(text: Column) -> Column:
 
 
 def _left_word(left: Column) -> Column:
-    """The word before a match in lower case, letters and digits only; empty where there is none."""
-    word = F.regexp_extract(F.rtrim(left, F.lit(SPACES)), r"(?<![^\x20\x09-\x0D])([^\x20\x09-\x0D]++)$", 1)
-    apart = F.rtrim(left, F.lit(SPACES)) != left
-    return F.when(apart, F.lower(F.regexp_replace(word, r"[^\p{L}\p{N}]", ""))).otherwise(F.lit(""))
+    """The last word with a letter or digit before a match, in lower case, letters and digits only, and the words of
+    punctuation only that follow it; empty where there is none.  Opening marks at the match itself do not count."""
+    def pattern(known):
+        word = F.lower(F.regexp_replace(F.regexp_extract(known, WORD, 1), r"[^\p{L}\p{N}]", ""))
+        marks = F.regexp_replace(F.regexp_extract(known, MARKS, 0), r"[\x20\x09-\x0D]++", " ")
+        return F.when(marks == "", word).otherwise(F.concat_ws(" ", F.nullif(word, F.lit("")), marks))
+
+    return let(F.regexp_replace(left, r"[\(\[\{<\"']++\z", ""), lambda near: let(
+        F.rtrim(near, F.lit(SPACES)), lambda known: F.when(known != near, pattern(known)).otherwise(F.lit(""))))
+
+
+def _whole(tokens: Column) -> Column:
+    """The matches with each word of digits that follows a digit and one blank joined to the match before."""
+    def joins(t, i):
+        last = F.get(tokens, i - 1)
+        return (i > 0) & (F.get(tokens, i)["s"] == last["e"] + 1) & t["left"].endswith(" ") & \
+            t["v"].rlike(GROUP) & last["v"].rlike(r"[0-9]\z")
+
+    def runs(firsts):
+        def run(at, k):
+            size = F.coalesce(F.get(firsts, k + 1), F.size(tokens)) - at
+            return let(F.get(tokens, at), lambda t: F.struct(
+                t["s"].alias("s"), F.get(tokens, at + size - 1)["e"].alias("e"), F.array_join(F.transform(
+                    F.slice(tokens, at + 1, size), lambda x: x["v"]), " ").alias("v"), t["left"].alias("left")))
+        return F.transform(firsts, run)
+
+    starts = F.transform(tokens, lambda t, i: F.when(~joins(t, i), i))
+    return let(F.filter(starts, lambda x: x.isNotNull()), runs)
 
 
 def _items(text: Column, base: Column) -> Column:
@@ -96,9 +131,9 @@ def _items(text: Column, base: Column) -> Column:
     trimmed = r"^[\(\[\{<\"']*+(.*?)[\)\]\}>\"'.,;:!?]*$"
 
     def others(known):
-        tokens = F.filter(_matches(text, TOKEN), lambda t: ~F.exists(
+        free = F.filter(_matches(text, TOKEN), lambda t: ~F.exists(
             known, lambda b: (b["s"] < t["e"]) & (b["e"] > t["s"])))
-        core = F.transform(tokens, lambda t: let(F.regexp_extract(t["v"], trimmed, 1), lambda v: let(
+        core = F.transform(let(free, _whole), lambda t: let(F.regexp_extract(t["v"], trimmed, 1), lambda v: let(
             t["s"] + F.instr(t["v"], v) - 1, lambda s: F.struct(
                 s.alias("s"), (s + F.char_length(v)).alias("e"), v.alias("v"), _left_word(t["left"]).alias("pattern"),
                 F.lit(False).alias("seed")))))

@@ -220,6 +220,18 @@ def test_pii_patterns_learned_from_other_patterns(spark):
     assert (spans[200], spans[201]) == ("found:9:14", "")
 
 
+def test_pii_context_over_punctuation_and_digit_groups(spark):
+    rows = [(i, f"contact a{i}@x.de or token = \"b{i}@x.de\" and cell | 10.0.0.{i} | contact {i}@x.de") for i in range(40)]
+    rows += [(100, 'token = "04dbeb"'), (101, "cell | A77 |"), (102, "contact 123 45 6789."), (103, "contact A1, 22 33"),
+             (104, "contact 7\n8"), (105, "x1 contact\n 55 a@b.de"), (106, "= 12"), (107, "token 12")]
+    spans = {r.doc_id: r.spans for r in pii.find_spans(frame(spark, rows)).collect()}
+    assert [spans[i] for i in range(100, 108)] == [
+        "found:9:15", "found:7:10", "found:8:19", "found:8:10", "found:8:9",
+        "email:15:21,found:12:14", "", ""], [spans[i] for i in range(100, 108)]
+    masked = {r.doc_id: r.text for r in pii.mask_spans(frame(spark, rows)).collect()}
+    assert masked[102] == "contact [FOUND]." and masked[100] == 'token = "[FOUND]"'
+
+
 # --- packing
 
 def test_tokenizer_equals_the_library():
