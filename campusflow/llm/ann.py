@@ -9,7 +9,7 @@ probes that finds the wanted share of their true neighbours is taken.  Candidate
 their exact inner product.
 
 Buckets are cut into blocks of bounded size on both sides, so a hot bucket is many groups; of equal vectors
-only as many as a result can hold are indexed, those with the smallest ids.
+only as many as a result can hold are indexed, those with the smallest different ids.
 """
 
 from __future__ import annotations
@@ -129,6 +129,18 @@ def _probe(functions: int, probes: int):
     return probe
 
 
+def _kth_id(scores: np.ndarray, ids: np.ndarray, q_id: int, k: int) -> float:
+    """The score of the k-th best different id other than the query's; no bound where there are fewer."""
+    wanted = k + 1
+    while wanted < len(scores):
+        bound = np.partition(scores, len(scores) - wanted)[len(scores) - wanted]
+        others = ids[(scores >= bound) & (ids != q_id)]
+        if len(others) >= k and len(np.unique(others)) >= k:
+            return bound
+        wanted *= 4  # rows that repeat an id took the places
+    return -np.inf
+
+
 def _exact(best: dict, k: int, queries: tuple[np.ndarray, np.ndarray], vectors: tuple[np.ndarray, np.ndarray]) -> None:
     """Merge the vectors' best k for each query into ``best``: query id -> (scores, ids), best first."""
     q_ids, q = queries
@@ -143,9 +155,8 @@ def _exact(best: dict, k: int, queries: tuple[np.ndarray, np.ndarray], vectors:
             continue
         scores = rough[i]
         if len(scores) > k + 1:
-            floor = max(floor, np.partition(scores, len(scores) - k - 1)[len(scores) - k - 1])
-        rows = np.flatnonzero(scores >= floor - slack)
-        rows = rows[v_ids[rows] != q_id]
+            floor = max(floor, _kth_id(scores, v_ids, q_id, k))
+        rows = np.flatnonzero((scores >= floor - slack) & (v_ids != q_id))
         score = (v[rows] * q[i]).sum(axis=1)  # the same for equal vectors wherever they stand
         ids = v_ids[rows]
         if held is not None:
@@ -274,7 +285,7 @@ def search(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_
     valid = persisted(vectors.filter(F.col(id_col).isNotNull()).select(
         F.col(id_col).cast("long").alias("id"), x.alias("x"), is_query.alias("asks")).filter(usable(F.col("x"))))
     copies = Window.partitionBy("x").orderBy("id")
-    index = persisted(valid.select("id", "x").withColumn("copy", F.row_number().over(copies))
+    index = persisted(valid.select("id", "x").distinct().withColumn("copy", F.row_number().over(copies))
                       .filter(F.col("copy") <= k + 1).drop("copy"))
     queries = valid.filter("asks").select("id", "x")
     size = index.agg(F.count("*").alias("n"), F.max(F.aggregate(

@@ -92,6 +92,31 @@ def test_search_ties_and_unusable_vectors(spark, monkeypatch):
     assert ann.search(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_search_ids_repeated_more_often_than_a_result_is_long(spark):
+    rows = [(3, [1.0, 2.0, 0.0])] * 30 + [(20, [1.0, 2.0, 0.0])] * 30 + [(i, [1.0, 2.0, 0.0]) for i in range(30, 55)]
+    rows += [(40, [0.0, 1.0, 5.0])] * 30 + [(1000 + i, [3.0, 1.0, i / 9]) for i in range(7)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.search(df, F.col("vec_id") == 20).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id))
+    best = {}
+    for i, v in rows:
+        best[i] = max(best.get(i, -math.inf), v[0] + 2 * v[1])
+    want = sorted((i for i in best if i != 20), key=lambda i: (-best[i], i))[:20]
+    assert [v for _, v in sorted(got[20])] == want and set(got) == {20}
+
+
+def test_exact_cut_counts_different_ids():
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((400, 4))
+    ids = np.concatenate([np.full(150, 7), np.full(150, 8), np.arange(100, 200)])
+    x[:300] = x[0] * 9
+    best = {}
+    ann._exact(best, 20, (np.array([7]), x[:1]), (ids, x))
+    scores = {i: max(float(v @ x[0]) for j, v in zip(ids, x) if j == i) for i in set(ids.tolist()) - {7}}
+    assert best[7][1].tolist() == sorted(scores, key=lambda i: (-scores[i], i))[:20]
+
+
 # --- pieces
 
 def test_pieces_equal_the_library():
