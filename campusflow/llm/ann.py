@@ -272,6 +272,30 @@ def calibrate(vectors: DataFrame, queries: DataFrame, k: int, norm: float, funct
     return 0, 1
 
 
+def _reranked(stored: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """(query_id, vec_id, score): the best of the vectors that share a table's bucket with a query."""
+    key = ["tbl", "bucket"]
+    blocks = (stored.groupBy(*key).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("v_blocks"))
+              .join(asked.groupBy(*key).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("q_blocks")), key)
+              .select(F.col("tbl").alias("t"), F.col("bucket").alias("b"), "v_blocks", "q_blocks"))
+    blocks = persisted(blocks)
+
+    def placed(rows, side, own, other):
+        at = rows.join(blocks, (F.col("tbl") == F.col("t")) & (F.col("bucket") == F.col("b")))
+        return at.select(*key, F.pmod(F.xxhash64("id"), F.col(f"{own}s").cast("long")).cast("int").alias(own),
+                         F.explode(F.sequence(F.lit(0), F.col(f"{other}s") - 1)).alias(other),
+                         F.lit(side).alias("side"), "id", "x")
+
+    group = [*key, "v_block", "q_block"]
+    both = placed(stored, 0, "v_block", "q_block").unionByName(placed(asked, 1, "q_block", "v_block"))
+    return both.repartition(*group).sortWithinPartitions(*group, "side").mapInArrow(
+        _rerank(k), "query_id long, vec_id long, score double")
+
+
+def _best(found: DataFrame) -> DataFrame:
+    return found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+
+
 def search(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20,
            recall: float = RECALL) -> DataFrame:
     """query_id, rank (from 1), vec_id and score: each query's ``k`` candidates of largest inner product found.
@@ -296,21 +320,16 @@ def search(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_
     functions, probes = calibrate(index, queries, k, norm, min(max(functions, FUNCTIONS[0]), FUNCTIONS[1]), recall)
     stored = persisted(index.mapInArrow(_index(functions, norm), ROW))
     asked = persisted(queries.mapInArrow(_probe(functions, probes), ROW))
-    key = ["tbl", "bucket"]
-    blocks = (stored.groupBy(*key).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("v_blocks"))
-              .join(asked.groupBy(*key).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("q_blocks")), key)
-              .select(F.col("tbl").alias("t"), F.col("bucket").alias("b"), "v_blocks", "q_blocks"))
-    blocks = persisted(blocks)
-
-    def placed(rows, side, own, other):
-        at = rows.join(blocks, (F.col("tbl") == F.col("t")) & (F.col("bucket") == F.col("b")))
-        return at.select(*key, F.pmod(F.xxhash64("id"), F.col(f"{own}s").cast("long")).cast("int").alias(own),
-                         F.explode(F.sequence(F.lit(0), F.col(f"{other}s") - 1)).alias(other),
-                         F.lit(side).alias("side"), "id", "x")
-
-    group = [*key, "v_block", "q_block"]
-    both = placed(stored, 0, "v_block", "q_block").unionByName(placed(asked, 1, "q_block", "v_block"))
-    found = both.repartition(*group).sortWithinPartitions(*group, "side").mapInArrow(
-        _rerank(k), "query_id long, vec_id long, score double")
-    merged = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    merged = persisted(_best(_reranked(stored, asked, k)))
+    # queries whose buckets held too few are searched against all vectors of their length
+    each = index.groupBy(F.size("x").alias("length")).agg((F.count_distinct("id") - 1).alias("others"))
+    wanted = (queries.select("id", F.size("x").alias("length")).distinct().join(each, "length")
+              .groupBy("id").agg(F.least(F.sum("others"), F.lit(k)).alias("wanted")))
+    counts = merged.groupBy(F.col("query_id").alias("q")).agg(F.count("*").alias("n"))
+    short = persisted(wanted.join(counts, F.col("id") == F.col("q"), "left")
+                      .filter(F.coalesce("n", F.lit(0)) < F.col("wanted")).select(F.col("id").alias("s")))
+    if not short.isEmpty():
+        place = [F.lit(-1).alias("tbl"), F.size("x").cast("long").alias("bucket"), "id", "x"]
+        again = queries.join(short, F.col("id") == F.col("s"), "left_semi").select(*place)
+        merged = _best(merged.unionByName(_reranked(index.select(*place), again, k)))
     return _top(merged, k).select("query_id", "rank", "vec_id", "score")

@@ -3,6 +3,7 @@
 import io
 import math
 import random
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -106,6 +107,16 @@ def test_search_ids_repeated_more_often_than_a_result_is_long(spark):
     assert [v for _, v in sorted(got[20])] == want and set(got) == {20}
 
 
+def test_search_refills_queries_of_a_rare_class(spark):
+    rng = np.random.default_rng(3)
+    main = np.eye(12)[0] * 5 + rng.standard_normal((1500, 12)) / 50
+    rows = [(i, v.tolist()) for i, v in enumerate(main)]
+    rows += [(2000 + i, (v * 5).tolist()) for i, v in enumerate(np.concatenate([np.eye(12)[1:], -np.eye(12)]))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = Counter(r.query_id for r in ann.search(df, (F.col("vec_id") % 20 == 0) | (F.col("vec_id") >= 2000)).collect())
+    assert len(found) == 75 + 23 and set(found.values()) == {20}
+
+
 def test_exact_cut_counts_different_ids():
     rng = np.random.default_rng(5)
     x = rng.standard_normal((400, 4))
