@@ -9,7 +9,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from campusflow.llm import ann, host_rules, line_dedup, ngram_join, packing, pieces, pii, quality_classifier, url_filter, warc
+from campusflow.llm import (ann, centroids, host_rules, line_dedup, ngram_join, packing, pieces, pii, quality_classifier,
+                            url_filter, vector_codes, warc)
 from campusflow.llm.shared import persisted
 from campusflow.session import checkpoint_dir
 
@@ -178,3 +179,67 @@ def op1(spark, sf_dir):
 @query("op2_shared_prefix_viterbi")
 def op2(spark, sf_dir):
     return pieces.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+# integers of the vectors that hold finite components only
+_INTEGERS = """list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS a FROM embeddings
+      WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"""
+_APART = "list_sum(list_transform(list_zip(p.a, c.a), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT"
+_FLOOR_MEAN = "((sum(x) - ((sum(x) % count(*)) + count(*)) % count(*)) / count(*))"
+
+
+def _code_rounds() -> str:
+    out = []
+    for r in range(vector_codes.ROUNDS + 1):
+        out.append(f"""d{r} AS MATERIALIZED (SELECT p.rid, p.part, arg_min(entry, d * 256 + entry) AS entry, min(d) AS d
+            FROM (SELECT p.rid, p.part, c.entry, {_APART} AS d FROM p JOIN c{r} c USING (part)) p GROUP BY p.rid, p.part)""")
+        if r < vector_codes.ROUNDS:
+            out.append(f"""m{r} AS (SELECT part, entry, list(v ORDER BY i) AS a FROM (
+                SELECT part, entry, i, CAST({_FLOOR_MEAN} AS BIGINT) AS v FROM (
+                    SELECT part, entry, unnest(a) AS x, unnest(range(len(a))) AS i FROM p JOIN d{r} USING (rid, part))
+                GROUP BY part, entry, i) GROUP BY part, entry),
+            c{r + 1} AS MATERIALIZED (SELECT part, entry, coalesce(m.a, c.a) AS a FROM c{r} c LEFT JOIN m{r} m USING (part, entry))""")
+    return ",\n".join(out)
+
+
+@query("op11_orchard_codes", f"""
+    WITH v AS (SELECT row_number() OVER () AS rid, vec_id, label, {_INTEGERS} AND len(embedding) % {vector_codes.PARTS} = 0),
+    p AS MATERIALIZED (SELECT rid, part, list_slice(a, part * w + 1, (part + 1) * w) AS a
+          FROM (SELECT rid, a, len(a) // {vector_codes.PARTS} AS w FROM v), range({vector_codes.PARTS}) AS t(part)),
+    c0 AS MATERIALIZED (SELECT part, n - 1 AS entry, a FROM p JOIN (SELECT rid, row_number() OVER (ORDER BY vec_id) AS n FROM v) USING (rid)
+           WHERE n <= {vector_codes.ENTRIES}),
+    {_code_rounds()},
+    coded AS (SELECT rid, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, sum(d)::BIGINT AS error
+              FROM d{vector_codes.ROUNDS} GROUP BY rid),
+    book AS (SELECT sha256(string_agg(array_to_string(a, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM c{vector_codes.ROUNDS})
+    SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, codebooks_sha256
+    FROM v JOIN coded USING (rid), book""")
+def op11(spark, sf_dir):
+    return vector_codes.compress(table(spark, sf_dir, "embeddings"))
+
+
+def _cluster_rounds() -> str:
+    out = []
+    for r in range(centroids.ROUNDS + 1):
+        out.append(f"""d{r} AS MATERIALIZED (SELECT rid, arg_min(entry, d * 256 + entry) AS entry, min(d) AS d
+            FROM (SELECT p.rid, c.entry, {_APART} AS d FROM p, c{r} c) GROUP BY rid)""")
+        if r < centroids.ROUNDS:
+            out.append(f"""m{r} AS (SELECT entry, list(v ORDER BY i) AS a FROM (
+                SELECT entry, i, CAST({_FLOOR_MEAN} AS BIGINT) AS v FROM (
+                    SELECT entry, unnest(a) AS x, unnest(range(len(a))) AS i FROM p JOIN d{r} USING (rid))
+                GROUP BY entry, i) GROUP BY entry),
+            c{r + 1} AS MATERIALIZED (SELECT entry, coalesce(m.a, c.a) AS a FROM c{r} c LEFT JOIN m{r} m USING (entry))""")
+    return ",\n".join(out)
+
+
+@query("op13_bitplane_clusters", f"""
+    WITH p AS MATERIALIZED (SELECT row_number() OVER () AS rid, vec_id, {_INTEGERS} AND len(embedding) = {centroids.DIMS}),
+    c0 AS MATERIALIZED (SELECT n - 1 AS entry, a FROM (SELECT a, row_number() OVER (ORDER BY sha256('2:' || vec_id)) AS n FROM p)
+           WHERE n <= {centroids.CENTROIDS}),
+    {_cluster_rounds()},
+    inertias AS (SELECT entry, sum(d)::BIGINT AS cluster_inertia FROM d{centroids.ROUNDS} GROUP BY entry)
+    SELECT vec_id, entry::INT AS cluster, d AS distance, cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia,
+           sha256(array_to_string(c.a, ',')) AS centroid_sha256
+    FROM p JOIN d{centroids.ROUNDS} USING (rid) JOIN c{centroids.ROUNDS} c USING (entry) JOIN inertias USING (entry)""")
+def op13(spark, sf_dir):
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))
