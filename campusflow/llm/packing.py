@@ -196,6 +196,8 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
 
     Every row is a document of its own, whatever its id (null and repeated ones included); its ids are the
     tokenizer's and then END, so null and empty texts are one token.  Long documents are cut at sequence ends.
+    Which pieces share a sequence depends on how the input is cut into tasks, and each task ends with sequences of
+    up to twelve powers of two; the ids of a document do not.
     Other columns are ignored; an empty table gives no rows.  ``tokenizer_path`` must exist on every executor.
     """
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))

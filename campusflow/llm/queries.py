@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from campusflow.llm import (ann, centroids, host_rules, line_dedup, ngram_join, packing, pieces, pii, quality_classifier,
+from campusflow.llm import (ann, centroids, host_rules, line_dedup, ngram_join, packing, pieces, pii, quality_classifier, token_files,
                             url_filter, vector_codes, warc)
 from campusflow.llm.shared import persisted
 from campusflow.session import checkpoint_dir
@@ -243,3 +243,13 @@ def _cluster_rounds() -> str:
     FROM p JOIN d{centroids.ROUNDS} USING (rid) JOIN c{centroids.ROUNDS} c USING (entry) JOIN inertias USING (entry)""")
 def op13(spark, sf_dir):
     return centroids.cluster(table(spark, sf_dir, "embeddings"))
+
+
+@query("op12_wavelet_token_files")
+def op12(spark, sf_dir):
+    path = f"{checkpoint_dir(spark)}/tokens-{uuid.uuid4().hex}"
+    token_files.write_tokens(token_files.sorted_tokens(
+        table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")), path)
+    out = persisted(token_files.read_digests(spark, path))
+    token_files.delete_files(path)  # what the query returns is held by the checkpoint
+    return out
