@@ -248,8 +248,7 @@ def op13(spark, sf_dir):
 @query("op12_wavelet_token_files")
 def op12(spark, sf_dir):
     path = f"{checkpoint_dir(spark)}/tokens-{uuid.uuid4().hex}"
-    token_files.write_tokens(token_files.sorted_tokens(
-        table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")), path)
+    token_files.write_texts(table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"))
     out = persisted(token_files.read_digests(spark, path))
     token_files.delete_files(path)  # what the query returns is held by the checkpoint
     return out

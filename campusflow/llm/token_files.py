@@ -29,16 +29,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
-from tokenizers import Tokenizer
 
+from campusflow.llm import packing
 from campusflow.llm.near import pieces
 from campusflow.llm.warc import _filesystem
 
 END = 1
 #: Ids after which a task ends a shard, bits of a block, and ids of a batch that the reader returns.
-SHARD_TOKENS, BLOCK_BITS, BATCH_TOKENS = 1 << 23, 1 << 15, 1 << 20
-#: Bytes of text tokenised at a time, and distinct words whose ids a task remembers.
-BATCH_BYTES, MEMO_WORDS = 8 << 20, 200_000
+SHARD_TOKENS, BLOCK_BITS, BATCH_TOKENS = 1 << 22, 1 << 15, 1 << 20
+#: Bytes of text tokenised at a time.
+BATCH_BYTES = 2 << 20
 MAGIC, MANIFEST = b"WMTOKEN1", "manifest.json"
 SCHEMAS = {"documents": "doc_id long, start long, ids array<int>",
            "digests": "doc_id long, start long, n_tokens long, ids_crc32 long",
@@ -268,6 +268,19 @@ class _Written(WriterCommitMessage):
 class _Writer(DataSourceArrowWriter):
     def __init__(self, options):
         self.root, self.limit = options["path"], int(options.get("shardtokens", SHARD_TOKENS))
+        self.tokenizer, self.end = options.get("tokenizer"), int(options.get("end", END))
+
+    def _ids(self, batches):
+        """(document ids, token ids one after the other, how many each document has) per slice of the input."""
+        if not self.tokenizer:
+            for batch in batches:
+                column = batch.column("ids")
+                sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+                yield batch.column("doc_id"), column.flatten().to_numpy().astype(np.uint32), sizes.astype(np.int64)
+            return
+        for batch in pieces(batches, "text", BATCH_BYTES):
+            ids, sizes = packing.tokenize(batch.column("text"), self.tokenizer)
+            yield batch.column("doc_id"), np.insert(ids, np.cumsum(sizes), self.end).astype(np.uint32), sizes + 1
 
     def write(self, iterator):
         files, root = _filesystem(self.root)
@@ -281,12 +294,10 @@ class _Writer(DataSourceArrowWriter):
                 out.write(build(np.concatenate(held), ids, known, np.cumsum(sizes)))
             written.append((name, tokens))
 
-        for batch in iterator:
-            column = batch.column("ids")
-            sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-            flat, ends = column.flatten().to_numpy().astype(np.uint32), np.cumsum(sizes)
-            names = pc.fill_null(batch.column("doc_id"), 0).to_numpy()
-            known = batch.column("doc_id").is_valid().to_numpy(zero_copy_only=False)
+        for doc_ids, flat, sizes in self._ids(iterator):
+            ends = np.cumsum(sizes)
+            names = pc.fill_null(doc_ids, 0).to_numpy()
+            known = doc_ids.is_valid().to_numpy(zero_copy_only=False)
             low = 0
             while low < len(sizes):  # whole documents until the shard has its ids
                 room = self.limit - tokens + int(ends[low] - sizes[low])
@@ -318,7 +329,8 @@ class _Writer(DataSourceArrowWriter):
 
 
 class TokenFileSource(DataSource):
-    """Options: path (folder), what (a key of SCHEMAS) and tokens (comma-joined) for reading, shardtokens for writing."""
+    """Options: path (folder), what (a key of SCHEMAS) and tokens (comma-joined) for reading,
+    shardtokens for writing ids, and tokenizer and end as well for writing texts."""
 
     @classmethod
     def name(cls):
@@ -336,72 +348,40 @@ class TokenFileSource(DataSource):
 
 # --- the operators
 
-class WordEncoder:
-    """The tokenizers library over distinct words: no token of the vocabulary spans white space, so the ids of a text
-    are those of its words, and a word is encoded once as long as it is remembered."""
-
-    def __init__(self, path: str):
-        self.tokenizer, self.memo = Tokenizer.from_file(path), {}
-
-    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of the texts one after the other, how many each has), without special tokens; null counts as empty."""
-        lists = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(pc.fill_null(texts.cast(pa.large_string()), "")))
-        offsets = lists.offsets.to_numpy()
-        words = lists.values.slice(offsets[0], offsets[-1] - offsets[0]).dictionary_encode()
-        distinct = words.dictionary.to_pylist()
-        if len(self.memo) > MEMO_WORDS:
-            self.memo = {}
-        fresh = [w for w in distinct if w not in self.memo]
-        for word, found in zip(fresh, self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)):
-            self.memo[word] = np.array(found.ids, np.uint32)
-        each = [self.memo[w] for w in distinct]
-        sizes = np.array([len(e) for e in each], np.int64)
-        flat = np.concatenate([np.zeros(0, np.uint32), *each])
-        index = words.indices.to_numpy()
-        per_word = sizes[index] if len(index) else np.zeros(0, np.int64)
-        done = np.concatenate([[0], np.cumsum(per_word)])
-        starts = (np.cumsum(sizes) - sizes)[index] if len(index) else per_word
-        ids = flat[np.repeat(starts - done[:-1], per_word) + np.arange(done[-1])]
-        return ids, np.diff(done[offsets - offsets[0]])
-
-
-def _tokenizer(path: str, end: int):
-    def tokens(batches):
-        encoder = WordEncoder(path)
-        for batch in pieces(batches, "text", BATCH_BYTES):
-            ids, counts = encoder.encode(batch.column("text"))
-            ends = np.cumsum(counts)
-            offsets = np.concatenate([[0], np.cumsum(counts + 1)])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.ListArray.from_arrays(
-                    pa.array(offsets.astype(np.int32)), pa.array(np.insert(ids, ends, end).astype(np.int32)))],
-                ["doc_id", "ids"])
-    return tokens
-
-
-def sorted_tokens(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text",
-                  end: int = END) -> DataFrame:
-    """doc_id and ids (with ``end`` after the last) of every row, in ascending order of id over all partitions.
-
-    Null texts count as empty and have the end id only; rows that repeat an id are documents each, in the order of a
-    hash of their text; rows without an id come last.  Other columns are ignored.
+def ordered_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id and text of every row, in ascending order of id over all partitions.
+
+    Rows that repeat an id come in the order of a hash of their text; rows without an id come last.
     """
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     # repeated rows may be many: the row number lets them fall into several ranges
     place = [F.col("doc_id").asc_nulls_last(), "hash", "row"]
     d = d.withColumns({"hash": F.xxhash64("text"), "row": F.monotonically_increasing_id()})
-    ordered = d.repartitionByRange(*place).sortWithinPartitions(*place).select("doc_id", "text")
-    return ordered.mapInArrow(_tokenizer(tokenizer_path, end), "doc_id long, ids array<int>")
+    return d.repartitionByRange(*place).sortWithinPartitions(*place).select("doc_id", "text")
 
 
-def write_tokens(tokens: DataFrame, path: str, shard_tokens: int = SHARD_TOKENS) -> None:
-    """Write ``tokens`` (doc_id, ids; rows in order) to the folder ``path``, which must have no manifest yet."""
+def _write(rows: DataFrame, path: str, **options) -> None:
     files, root = _filesystem(path)
     if files.get_file_info(f"{root}/{MANIFEST}").type != pafs.FileType.NotFound:
         raise FileExistsError(f"{path} already holds token files")
-    tokens.sparkSession.dataSource.register(TokenFileSource)
-    tokens.select("doc_id", "ids").write.format("token_file").mode("append").option(
-        "shardtokens", shard_tokens).save(path)
+    rows.sparkSession.dataSource.register(TokenFileSource)
+    rows.write.format("token_file").mode("append").options(**options).save(path)
+
+
+def write_texts(docs: DataFrame, path: str, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text",
+                end: int = END, shard_tokens: int = SHARD_TOKENS) -> None:
+    """Write every row's ids, with ``end`` after the last, to the folder ``path`` in the order of ``ordered_texts``.
+
+    The folder must have no manifest yet.  The tasks that write tokenise, so ids are not moved between processes.
+    Null and empty texts have the end id only; repeated rows are documents each; other columns are ignored; an empty
+    table gives an empty manifest.  ``tokenizer_path`` must exist on every executor.
+    """
+    _write(ordered_texts(docs, id_col, text_col), path, tokenizer=tokenizer_path, end=end, shardtokens=shard_tokens)
+
+
+def write_tokens(tokens: DataFrame, path: str, shard_tokens: int = SHARD_TOKENS) -> None:
+    """Write ``tokens`` (doc_id, ids array<int>; null counts as none) as they are, in the order of their partitions."""
+    _write(tokens.select("doc_id", "ids"), path, shardtokens=shard_tokens)
 
 
 def _read(spark: SparkSession, path: str, what: str, **options) -> DataFrame:

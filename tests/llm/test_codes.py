@@ -4,6 +4,7 @@ import hashlib
 import io
 import math
 import random
+import uuid
 import zlib
 from collections import Counter
 
@@ -215,14 +216,6 @@ def texts_of_kinds(n=300, seed=4):
         for _ in range(n)]
 
 
-def test_word_encoder_equals_the_library():
-    texts = texts_of_kinds()
-    library = Tokenizer.from_file(WORD_BPE)
-    ids, counts = token_files.WordEncoder(WORD_BPE).encode(pa.array(texts))
-    assert ids.tolist() == [i for t in texts for i in library.encode(t or "", add_special_tokens=False).ids]
-    assert counts.sum() == len(ids)
-
-
 def test_token_files(spark, monkeypatch):
     monkeypatch.setattr(token_files, "BATCH_TOKENS", 500)
     rng = random.Random(9)
@@ -231,8 +224,8 @@ def test_token_files(spark, monkeypatch):
     rng.shuffle(rows)
     docs = spark.createDataFrame(rows, "doc_id long, text string").select(
         "*", F.lit(1).alias("hash"), F.lit(2).alias("row"), F.lit(3).alias("ids"))
-    path = f"{checkpoint_dir(spark)}/token-test"
-    token_files.write_tokens(token_files.sorted_tokens(docs.repartition(4), WORD_BPE), path, 2000)
+    path = f"{checkpoint_dir(spark)}/token-test-{uuid.uuid4().hex}"
+    token_files.write_texts(docs.repartition(4), path, WORD_BPE, shard_tokens=2000)
     library = Tokenizer.from_file(WORD_BPE)
     want = Counter((i, tuple(library.encode(t or "", add_special_tokens=False).ids) + (1,)) for i, t in rows)
     back = sorted(token_files.read_tokens(spark, path).collect(), key=lambda r: r.start)
@@ -248,13 +241,21 @@ def test_token_files(spark, monkeypatch):
     places = Counter((r.doc_id, t, p) for r in back for p, t in enumerate(r.ids) if t in asked)
     assert Counter(map(tuple, token_files.find_tokens(spark, path, asked).collect())) == places
     with pytest.raises(FileExistsError):
-        token_files.write_tokens(token_files.sorted_tokens(docs, WORD_BPE), path)
+        token_files.write_texts(docs, path, WORD_BPE)
+
+
+def test_ids_of_any_frame_are_written_as_they_are(spark):
+    path = f"{checkpoint_dir(spark)}/token-ids-{uuid.uuid4().hex}"
+    rows = [(1, [5, 70_000, 5]), (2, []), (3, None), (4, [0])]
+    token_files.write_tokens(spark.createDataFrame(rows, "doc_id long, ids array<int>").coalesce(1), path)
+    assert [(r.doc_id, r.start, r.ids) for r in token_files.read_tokens(spark, path).collect()] == [
+        (1, 0, [5, 70_000, 5]), (2, 3, []), (3, 3, []), (4, 3, [0])]
 
 
 def test_files_outside_the_manifest_are_not_read(spark):
-    path = f"{checkpoint_dir(spark)}/token-stray"
+    path = f"{checkpoint_dir(spark)}/token-stray-{uuid.uuid4().hex}"
     docs = spark.createDataFrame([(1, "one two"), (2, "three")], "doc_id long, text string")
-    token_files.write_tokens(token_files.sorted_tokens(docs, WORD_BPE), path)
+    token_files.write_texts(docs, path, WORD_BPE)
     files, root = token_files._filesystem(path)
     with files.open_output_stream(f"{root}/half.wm") as out:  # what a lost task leaves
         out.write(b"WMTOK")
@@ -262,9 +263,9 @@ def test_files_outside_the_manifest_are_not_read(spark):
 
 
 def test_token_files_of_an_empty_table(spark):
-    path = f"{checkpoint_dir(spark)}/token-none"
+    path = f"{checkpoint_dir(spark)}/token-none-{uuid.uuid4().hex}"
     docs = spark.createDataFrame([], "doc_id long, text string")
-    token_files.write_tokens(token_files.sorted_tokens(docs, WORD_BPE), path)
+    token_files.write_texts(docs, path, WORD_BPE)
     assert token_files.read_tokens(spark, path).count() == 0
     assert token_files.count_tokens(spark, path, [1]).count() == 0
 
