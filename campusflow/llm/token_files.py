@@ -38,7 +38,7 @@ END = 1
 #: Ids after which a task ends a shard, bits of a block, and ids of a batch that the reader returns.
 SHARD_TOKENS, BLOCK_BITS, BATCH_TOKENS = 1 << 22, 1 << 15, 1 << 20
 #: Bytes of text tokenised at a time.
-BATCH_BYTES = 2 << 20
+BATCH_BYTES = 8 << 20
 MAGIC, MANIFEST = b"WMTOKEN1", "manifest.json"
 SCHEMAS = {"documents": "doc_id long, start long, ids array<int>",
            "digests": "doc_id long, start long, n_tokens long, ids_crc32 long",
@@ -50,7 +50,7 @@ SCHEMAS = {"documents": "doc_id long, start long, ids array<int>",
 
 def build(ids: np.ndarray, doc_ids: np.ndarray, known: np.ndarray, ends: np.ndarray) -> bytes:
     """A shard file: ids (uint32), and per document its id, whether it has one, and the ids up to its end."""
-    packer = zstandard.ZstdCompressor(level=3)
+    packer = zstandard.ZstdCompressor(level=1)
     bits = max(1, int(ids.max(initial=0)).bit_length())
     body, size, directory, zeros = [], 0, [], []
     for level in range(bits):
