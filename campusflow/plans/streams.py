@@ -102,7 +102,7 @@ def q_throttle_batch(spark, sf_dir):
     """Per user, an event then silence for 6 hours: the skew-proof batch job."""
     checkpoint_dir(spark)
     ev = Academy(spark, sf_dir).raw("events")
-    out = throttle_batch(ev, "user_id", limit_seconds=6 * 3600)
+    out = throttle_batch(ev, "user_id", limit_seconds=6 * 3600, payload=["event_type"])
     return out.select("user_id", F.col("ts").cast("timestamp_ntz").alias("ts"), "event_id", "event_type")
 
 

@@ -5,8 +5,10 @@ chains cross partition boundaries."""
 import datetime as dt
 import random
 
+import numpy as np
 import pytest
 
+from campusflow.operators import throttle
 from campusflow.operators.bursts import debounce_batch
 from campusflow.operators.throttle import throttle_batch
 
@@ -47,6 +49,48 @@ def test_throttle_random(spark, seed, limit, parts):
     assert got == brute_throttle(rows, limit)
 
 
+@pytest.mark.parametrize("limit,parts", [(1, 40), (13, 40), (700, 40), (2500, 30), (100_000, 12)])
+def test_throttle_of_one_hot_key_over_many_partitions(spark, limit, parts):
+    """Chains enter dozens of partitions, with limits from far less than a partition's span to more than all of it."""
+    rnd = random.Random(limit)
+    rows = [(i, "hot", BASE + dt.timedelta(seconds=rnd.randint(0, 9000))) for i in range(1500)]
+    rows += [(5000 + i, f"k{i % 7}", BASE + dt.timedelta(seconds=rnd.randint(0, 9000))) for i in range(200)]
+    df = spark.createDataFrame(rows, "event_id long, user string, ts timestamp")
+    got = throttle_batch(df, "user", limit_seconds=limit, num_partitions=parts, payload=[])
+    assert got.columns == ["user", "ts", "event_id"]
+    assert sorted(r.event_id for r in got.collect()) == brute_throttle(rows, limit)
+
+
+@pytest.mark.parametrize("limit", [1, 5, 40, 300])
+def test_composed_entry_maps_equal_a_walk(spark, limit):
+    """Maps of runs of partitions, composed by doubling, against walking from every possible entry."""
+    rnd = random.Random(limit)
+    times = np.sort([rnd.randint(0, 400) for _ in range(120)])
+    cuts = np.unique([0, *[rnd.randint(1, 119) for _ in range(11)], 120])
+    parts = [times[a:b] for a, b in zip(cuts, cuts[1:])]
+
+    def walk(part, ready):
+        for t in part.tolist():
+            ready = t + limit if t >= ready else ready
+        return ready
+    maps = [throttle.entry_map(p, limit) for p in parts]
+    rows = [(n, int(u), int(x)) for n, (upper, leaves) in enumerate(maps) for u, x in zip(upper, leaves)]
+    frame, step = spark.createDataFrame(rows, "at int, upper long, leaves long"), 1
+    while step < len(parts):
+        for n in range(len(parts) - step + 1):
+            entries = sorted({int(parts[n][0]) + d for d in range(-2, limit + 1)})
+            got = throttle._applied(frame, spark.createDataFrame([(n, e) for e in entries[::7]], "at int, ready long"))
+            want = []
+            for e in entries[::7]:
+                for p in parts[n: n + step]:
+                    e = walk(p, e)
+                want.append(e)
+            if n in (0, len(parts) // 2, len(parts) - step):
+                assert sorted(r.ready for r in got.collect()) == sorted(want)
+        frame = throttle._composed(frame, step).checkpoint(eager=True)
+        step *= 2
+
+
 @pytest.mark.parametrize("seed,wait,parts", [(4, 5, 17), (5, 30, 7), (6, 1, 31)])
 def test_debounce_random(spark, seed, wait, parts):
     rows = random_events(seed)
