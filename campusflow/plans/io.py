@@ -61,6 +61,34 @@ def q_import_csv_rejects(spark, sf_dir):
                            F.array_join("errors", "; ").alias("error_text"))
 
 
+_DOCUMENT = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("source", T.StringType()),
+                          T.StructField("n_chars", T.LongType()), T.StructField("text", T.StringType())])
+
+
+@query("import_csv_multi_line", """
+WITH d AS (SELECT doc_id, CASE WHEN n_chars % 5 > 0 THEN source END AS source, n_chars, text,
+                  concat_ws('; ', CASE WHEN n_chars < 1000 THEN 'n_chars: not bigint' END,
+                            CASE WHEN coalesce(CASE WHEN n_chars % 5 > 0 THEN source END, '') = '' THEN 'source is required' END)
+                      AS error_text FROM documents)
+SELECT doc_id, source, CASE WHEN n_chars < 1000 THEN concat('short:', n_chars) ELSE CAST(n_chars AS VARCHAR) END AS n_chars,
+       md5(text) AS text_md5, error_text FROM d
+""")
+def q_import_csv_multi_line(spark, sf_dir):
+    """Whole documents as CSV, their line breaks inside quotes, imported from many splits: the typed rows and the
+    rejected ones (a number that is none, a missing source, or both)."""
+    d = Academy(spark, sf_dir).raw("documents")
+    raw = d.select("doc_id", F.when(F.col("n_chars") % 5 > 0, F.col("source")).alias("source"),
+                   F.when(F.col("n_chars") < 1000, F.concat(F.lit("short:"), F.col("n_chars")))
+                   .otherwise(F.col("n_chars").cast("string")).alias("n_chars"), "text")
+    path = _scratch(spark, "texts-csv")
+    Fs.export_csv(raw, path, null_value="\\N")
+    good, rejected = Fs.import_csv(spark, path, _DOCUMENT, null_value="\\N", required=["source"], multi_line=True)
+    columns = [*[F.col(c).cast("string").alias(c) for c in ("doc_id", "source", "n_chars")], F.md5("text").alias("text_md5")]
+    sides = good.select(*columns, F.lit("").alias("error_text")).unionByName(
+        rejected.select(*columns, F.array_join("errors", "; ").alias("error_text")))
+    return sides.withColumn("doc_id", F.col("doc_id").cast("bigint"))
+
+
 @query("export_json", """
 SELECT id, course_code, course_name, description, price, start_date FROM courses
 """)

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from campusflow.functions import columns as C
 from campusflow.operators.quality import validate_rows
+from campusflow.sources.csv_records import csv_records
 
 
 #: Holds a line whose fields do not fit the schema, and what is said of it.
@@ -25,8 +26,8 @@ def export_csv(df: DataFrame, path: str, header: bool = True, null_value: str |
     With ``quoteAll`` NULL and '' both read back as NULL; pass ``null_value``
     (a marker such as ``\\N``) to keep them apart on a round trip.
     """
-    w = (df.write.mode(mode).option("header", header).option("quoteAll", True)
-         .option("escape", '"'))
+    w = (df.write.mode(mode).option("header", header).option("quoteAll", True).option("escape", '"')
+         .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False))
     if null_value is not None:
         w = w.option("nullValue", null_value)
     w.csv(path)
@@ -42,16 +43,19 @@ def import_csv(spark: SparkSession, path: str, schema: T.StructType, header: boo
     instead of vanishing; CSV column pruning cannot skip the check.  A line with
     more or fewer fields than the schema is rejected whole, with the line as
     read in ``line``.  The typed rows then go through ``validate_rows``.  ``multi_line`` reads quoted
-    values that contain line breaks; it makes every file a single split, so it
-    is off unless the data needs it.
+    values that contain line breaks; files stay splittable (see ``csv_records``), at
+    the price of further scans, so it is off unless the data needs it.
     """
     text_schema = T.StructType([T.StructField(f.name, T.StringType(), True) for f in schema.fields]
                                + [T.StructField(LINE, T.StringType(), True)])
-    r = (spark.read.schema(text_schema).option("header", header).option("mode", "PERMISSIVE")
-         .option("columnNameOfCorruptRecord", LINE).option("escape", '"').option("multiLine", multi_line))
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": LINE, "escape": '"'}
     if null_value is not None:
-        r = r.option("nullValue", null_value)
-    raw = r.csv(path)
+        options["nullValue"] = null_value
+    if multi_line:
+        record = F.from_csv("value", text_schema.toDDL(), {**options, "multiLine": "true"})
+        raw = csv_records(spark, path, header).select(record.alias("_record")).select("_record.*")
+    else:
+        raw = spark.read.schema(text_schema).options(header=header, **options).csv(path)
     typed, bad_type = [], []
     for f in schema.fields:
         c = F.col(f.name)

@@ -1,8 +1,10 @@
 """Operator edge cases on hand-made rows (FIXTURES.md section 3) and properties."""
 
 import datetime as dt
+import random
 from decimal import Decimal
 
+import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -13,6 +15,7 @@ from campusflow.operators import listings as Lst
 from campusflow.operators import quality as Q
 from campusflow.operators import stats
 from campusflow.sources import files as Fs
+from campusflow.sources.csv_records import csv_records
 
 
 def test_empty_payments_give_zero(spark):
@@ -190,6 +193,46 @@ def test_admissions_into_an_empty_academy(spark, sf_small):
     assert out["enrollments"].count() == len(rows)
 
 
+@pytest.fixture
+def split_bytes(spark):
+    """Sets the size at which Spark cuts files."""
+    key = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(key)
+    yield lambda size: spark.conf.set(key, size)
+    spark.conf.set(key, before)
+
+
+@pytest.mark.parametrize("size", [31, 500, 10_000_000])
+def test_multi_line_csv_from_many_splits(spark, tmp_path, split_bytes, size):
+    """Quoted line breaks at any place of the splits, equal to what was written and to a reader of whole files."""
+    rnd = random.Random(size)
+    rows = [(i, "".join(rnd.choice(["a", '"', "\n", ",", "\r\n", "é", " ", '"\n"']) for _ in range(rnd.choice([1, 4, 20, 90]))),
+             i * 2) for i in range(60 if size < 64 else 300)]
+    df = spark.createDataFrame(rows, "id long, note string, n long")
+    Fs.export_csv(df.coalesce(2), str(tmp_path / "o"))
+    split_bytes(size)
+    records = csv_records(spark, str(tmp_path / "o"))
+    assert size > 500 or records.rdd.getNumPartitions() > 20
+    good, bad = Fs.import_csv(spark, str(tmp_path / "o"), df.schema, multi_line=True)
+    whole = spark.read.schema(df.schema).options(header=True, escape='"', multiLine=True).csv(str(tmp_path / "o"))
+    assert sorted(map(tuple, good.collect())) == sorted(map(tuple, whole.collect())) == rows and bad.count() == 0
+
+
+@pytest.mark.parametrize("size", [5, 1000])
+def test_multi_line_csv_keeps_good_and_bad_records(spark, tmp_path, split_bytes, size):
+    (tmp_path / "a.csv").write_text('id,name\r\n1,"x\ny"\r\n2,y,LOST\r\n\r\n3\r\nq,"z\r\n""z"""\r\n4,ok')
+    (tmp_path / "b.csv").write_text('id,name\n5,"never\nclosed\n')
+    (tmp_path / "c.csv").write_text("")
+    split_bytes(size)
+    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("name", T.StringType())])
+    good, bad = Fs.import_csv(spark, str(tmp_path), schema, multi_line=True)
+    assert sorted(map(tuple, good.collect()))[:2] == [(1, "x\ny"), (4, "ok")]
+    assert {(r.id, tuple(r.errors)) for r in bad.collect()} >= {
+        ("2", ("wrong number of fields",)), ("3", ("wrong number of fields",)), ("q", ("id: not bigint",))}
+    assert good.count() + bad.count() == 6
+    assert csv_records(spark, str(tmp_path / "a.csv"), header=False).first().value == "id,name"
+
+
 def test_import_csv_rejects_lines_of_other_width(spark, tmp_path):
     (tmp_path / "in.csv").write_text("id,name\n1,x\n2,y,LOST\n3\nq,z\n4,ok\n")
     good, bad = Fs.import_csv(spark, str(tmp_path / "in.csv"), T.StructType(
