@@ -7,7 +7,7 @@ version of the table as a DataFrame; the caller writes it to a *new* path
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from campusflow.functions import columns as C
@@ -170,14 +170,8 @@ def update_rows(df: DataFrame, changes: DataFrame, key: str = "id", order_by=Non
                       if c in cols else F.col(c) for c in df.columns])
 
 
-def purge_by_key_pattern(df: DataFrame, col: str, pattern: str, mode: str = "prefix",
-                         except_pattern: str | None = None) -> DataFrame:
-    """Survivors after deleting rows whose ``col`` matches ``pattern``.
-
-    ``mode='prefix'`` treats ``pattern`` (minus a trailing ``%``) as a literal
-    prefix; ``mode='like'`` is SQL LIKE, where ``_`` is a wildcard.  NULL keys
-    survive.  Rows matching ``except_pattern`` (same mode) survive too.
-    """
+def purged(col: str, pattern: str, mode: str = "prefix", except_pattern: str | None = None) -> Column:
+    """Whether ``purge_by_key_pattern`` deletes a row; never NULL."""
     def match(p):
         if mode == "prefix":
             return F.col(col).startswith(p[:-1] if p.endswith("%") else p)
@@ -188,7 +182,18 @@ def purge_by_key_pattern(df: DataFrame, col: str, pattern: str, mode: str = "pre
     pred = match(pattern)
     if except_pattern is not None:
         pred = pred & ~F.coalesce(match(except_pattern), F.lit(False))
-    return df.filter(~F.coalesce(pred, F.lit(False)))
+    return F.coalesce(pred, F.lit(False))
+
+
+def purge_by_key_pattern(df: DataFrame, col: str, pattern: str, mode: str = "prefix",
+                         except_pattern: str | None = None) -> DataFrame:
+    """Survivors after deleting rows whose ``col`` matches ``pattern``.
+
+    ``mode='prefix'`` treats ``pattern`` (minus a trailing ``%``) as a literal
+    prefix; ``mode='like'`` is SQL LIKE, where ``_`` is a wildcard.  NULL keys
+    survive.  Rows matching ``except_pattern`` (same mode) survive too.
+    """
+    return df.filter(~purged(col, pattern, mode, except_pattern))
 
 
 def keep_last_n(df: DataFrame, keys, ts: str, tiebreak: str, n: int = 10) -> DataFrame:

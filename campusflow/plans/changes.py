@@ -10,6 +10,7 @@ from campusflow.operators import changes as Ch
 from campusflow.plans.registry import query
 from campusflow.session import checkpoint_dir
 from campusflow.sources import files as Fs
+from campusflow.sources import filewise as Ft
 from campusflow.sources.adapters import Academy
 
 _SPLIT_TS = "2024-01-15 00:00:00"
@@ -19,6 +20,10 @@ def _ntz(*cols):
     return [F.col(c).cast("timestamp_ntz").alias(c) for c in cols]
 
 
+def _scratch(spark, name):
+    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def _last_change_sql(src):
     return f"""(SELECT setting_key, setting_value AS v, changed_at AS t FROM (
       SELECT *, row_number() OVER (PARTITION BY setting_key ORDER BY changed_at DESC, seq DESC) AS rn
@@ -98,6 +103,47 @@ def q_update_rows(spark, sf_dir):
     return Ch.update_rows(courses.drop("duration_weeks"), changes, "id")
 
 
+@query("update_rows_filewise", """
+SELECT id, student_id, course_id,
+       CASE WHEN id BETWEEN 1000 AND 1300 THEN CAST(round(amount * 2, 2) AS DECIMAL(12,2)) ELSE amount END AS amount
+FROM payments
+""")
+def q_update_rows_filewise(spark, sf_dir):
+    """Corrections of neighbouring payments in a table of files: only the files that hold one are rewritten."""
+    p = Academy(spark, sf_dir).payments.select("id", "student_id", "course_id", "amount")
+    root = _scratch(spark, "payments-files")
+    Ft.create_table(p, root, "id", 16)
+    changes = p.filter(F.col("id").between(1000, 1300)).select(
+        "id", F.round(F.col("amount") * 2, 2).cast("decimal(12,2)").alias("amount"))
+    Ft.update_table(spark, root, changes)
+    return Ft.read_table(spark, root)
+
+
+@query("delete_by_ids_filewise", """
+SELECT id, amount, payment_status FROM payments p WHERE NOT EXISTS (
+  SELECT 1 FROM orders o WHERE o.o_orderkey = p.id AND o.o_orderstatus = 'F' AND o.o_orderkey < 2000)
+""")
+def q_delete_by_ids_filewise(spark, sf_dir):
+    """The oldest settled payments deleted from a table of files."""
+    a = Academy(spark, sf_dir)
+    root = _scratch(spark, "payments-files")
+    Ft.create_table(a.payments.select("id", "amount", "payment_status"), root, "id", 16)
+    gone = a.raw("orders").filter("o_orderstatus = 'F' and o_orderkey < 2000").select(F.col("o_orderkey").alias("id"))
+    Ft.delete_from_table(spark, root, gone)
+    return Ft.read_table(spark, root)
+
+
+@query("purge_filewise", """
+SELECT setting_key, seq FROM setting_changes WHERE NOT coalesce(starts_with(setting_key, '4'), false)
+""")
+def q_purge_filewise(spark, sf_dir):
+    """Settings under a prefix purged from a table of files laid out by their key."""
+    root = _scratch(spark, "settings-files")
+    Ft.create_table(Academy(spark, sf_dir).setting_changes.select("setting_key", "seq"), root, "setting_key", 16)
+    Ft.purge_table(spark, root, "setting_key", "4%", key="setting_key")
+    return Ft.read_table(spark, root)
+
+
 _FORM_SQL = """
 form AS (
   SELECT 'STU' || lpad(CAST(c_custkey AS VARCHAR), CAST(greatest(length(CAST(c_custkey AS VARCHAR)), 6) AS INTEGER), '0') AS student_id,

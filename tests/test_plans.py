@@ -8,7 +8,8 @@ from campusflow.plans import QUERIES
 SF = "/root/testdata/sf0.001"
 # queries whose builder runs a stream or a write before returning: their plan is a scan of the result
 SIDE_EFFECT = {"debounce_stream", "live_stats_stream", "throttle_events", "stream_audit", "stream_upsert",
-               "stream_admissions", "export_import_csv", "import_csv_rejects", "import_csv_multi_line", "export_json",
+               "stream_admissions", "export_import_csv", "import_csv_rejects", "import_csv_multi_line",
+               "update_rows_filewise", "delete_by_ids_filewise", "purge_filewise", "export_json",
                "export_snapshot", "throttle_batch", "upsert_settings", "admit_students",
                "admit_students_enrollments", "monthly_revenue_pruned", "student_stats_bucketed",
                "debounce_events", "debounce_first", "stream_admissions_enrollments",
