@@ -115,13 +115,14 @@ def empty_students(spark: SparkSession) -> DataFrame:
 
 # ---- settings upsert ----------------------------------------------------------------
 
-def upsert_settings(current: DataFrame, changes: DataFrame) -> DataFrame:
+def upsert_settings(current: DataFrame, changes: DataFrame, last_id: int | None = None) -> DataFrame:
     """Apply (setting_key, setting_value, changed_at, seq) changes to a settings table.
 
     Per key the last change by (changed_at, seq) wins.  Present keys get the
     new value and ``updated_at``, keeping ``created_at``; new keys get both
     stamps and fresh ids; keys without a change are unchanged.  NULL is a key
-    like any other.
+    like any other.  ``last_id`` is the last id in use where ``current`` is but a
+    part of the table.
     """
     newest = Window.partitionBy("setting_key").orderBy(F.col("changed_at").desc_nulls_last(),
                                                        F.col("seq").desc_nulls_last())
@@ -142,8 +143,8 @@ def upsert_settings(current: DataFrame, changes: DataFrame) -> DataFrame:
     checkpoint_dir(current.sparkSession)
     merged = merged.checkpoint(eager=True)
     kept = merged.filter(F.col("_id").isNotNull()).withColumnRenamed("_id", "id")
-    new = assign_ids(merged.filter(F.col("_id").isNull()).drop("_id"), ["setting_key"],
-                     base=current.select("id"))
+    base = current.select("id") if last_id is None else current.sparkSession.createDataFrame([(last_id,)], "id long")
+    new = assign_ids(merged.filter(F.col("_id").isNull()).drop("_id"), ["setting_key"], base=base)
     return kept.unionByName(new.select(*kept.columns))
 
 

@@ -62,3 +62,22 @@ def retire(spark: SparkSession, root: str, keep: int, path_col: str = "path") ->
         delete_path(spark, f"{root}/{r[path_col]}")
     for v in old:
         delete_path(spark, f"{root}/manifest/version={v}")
+
+
+def publish(df: DataFrame, path: str, name: str) -> None:
+    """Add ``df`` to the flat table at ``path`` as files that begin with ``name``, in place of an earlier run's.
+
+    The files are written aside and then renamed one by one, as a job's commit does.
+    """
+    spark = df.sparkSession
+    staged = f"{path}/_staged/{name}"
+    df.write.mode("overwrite").parquet(staged)
+    files, target = _folder(spark, path)
+    fresh = [e.getPath() for e in files.listStatus(_folder(spark, staged)[1]) if e.getPath().getName().endswith(".parquet")]
+    for entry in files.listStatus(target):
+        if entry.getPath().getName().startswith(f"{name}-part-"):
+            files.delete(entry.getPath(), False)
+    for number, source in enumerate(sorted(fresh, key=str)):
+        if not files.rename(source, _folder(spark, f"{path}/{name}-part-{number:05d}.parquet")[1]):
+            raise OSError(f"could not move {source}")
+    delete_path(spark, staged)

@@ -1,14 +1,15 @@
 """Structured Streaming jobs: arrival-driven admissions, settings upserts, the audit log.
 
 Sinks are made safe for replays: a micro-batch may run twice after a
-failure, so every ``foreachBatch`` body is idempotent by construction
-(admissions skip known codes and complete missing enrollments; settings
-versions are keyed by batch id and overwritten, never appended twice).
+failure, so every ``foreachBatch`` body is idempotent by construction: what a
+batch writes is named after the stream and the batch and written over, and a
+replay starts from the state before the batch.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +18,9 @@ from pyspark.sql import types as T
 from campusflow.operators import changes as Ch
 from campusflow.operators.stats import payment_figures
 from campusflow.schemas import ENROLLMENTS, MONEY_SUM, SETTINGS, STUDENTS
+from campusflow.session import checkpoint_dir
+from campusflow.sources import code_index as Ci
+from campusflow.sources import manifest as Mf
 
 
 def file_stream(spark: SparkSession, path: str, schema, fmt: str = "parquet", glob: str | None = None,
@@ -54,46 +58,76 @@ def init_table(spark: SparkSession, path: str, schema, partition_by=None) -> Non
 _ADMITTED = T.StructType(STUDENTS.fields + [T.StructField("admitted_in", T.LongType())])
 
 
+def _state(spark: SparkSession, root: str, writer: str) -> tuple[int | None, int]:
+    """(the version that a writer builds on, the version it makes): a replay makes its own version again."""
+    known = Mf.versions(spark, root)
+    if not known:
+        return None, 0
+    first = Mf.manifest(spark, root, known[-1]).select("writer").first()
+    if first is not None and first["writer"] == writer:
+        return (known[-2] if len(known) > 1 else None), known[-1]
+    return known[-1], known[-1] + 1
+
+
 def admit_batch(spark: SparkSession, batch: DataFrame, students_path: str, enrollments_path: str,
-                as_of, batch_id: int = 0, rejected_path: str | None = None) -> None:
-    """One micro-batch of admission forms -> appended students, their enrollments, and the rejects.
-
-    Students carry the batch that admitted them, and enrollments are derived
-    from the *committed* students of this batch that have none yet: a replay
-    after a crash between the two appends completes the enrollments, and
-    students of other batches are never touched.  The rejects of a batch
-    are a folder of their own, which a replay rewrites.
+                as_of, batch_id: int = 0, rejected_path: str | None = None, stream: str = "stream") -> None:
+    """One micro-batch of admission forms -> added students, their enrollments, and the rejects.
+
+    Which codes are known is asked of the code index below the students' folder (built from the students on first
+    use), so a batch without a known code reads no student, and one with some reads the codes of their buckets.  Students
+    admitted in another way must be followed by ``rebuild_code_index``.
+
+    Everything a batch writes is named after the stream and the batch and written over by a replay, which starts
+    from the index as it was before the batch: a crash between any two writes leaves nothing double.
     """
     init_table(spark, students_path, STUDENTS)
     init_table(spark, enrollments_path, ENROLLMENTS)
-    students = spark.read.schema(_ADMITTED).parquet(students_path)
-    out = Ch.admit_students(students, batch, as_of)
-    (out["students"].withColumn("admitted_in", F.lit(batch_id).cast("bigint"))
-     .write.mode("append").parquet(students_path))
+    index, name = f"{students_path}/_codes", f"{stream}-{batch_id}"
+    if not Mf.versions(spark, index):
+        rebuild_code_index(spark, students_path)
+    before, version = _state(spark, index, name)
+    found = Ci.entries(spark, index, before)
+    codes = Ch.clean_admissions(batch).select(F.col("student_id").alias("code")).filter("code is not null")
+    hit = Ci.hit_buckets(spark, index, found, codes, Ci.BUCKETS)
+    known = Ci.codes_of(spark, index, found, hit).select(F.col("code").alias("student_id"), "id")
+    last = spark.createDataFrame([(None, Ci.last_id(found))], "student_id string, id long")
+    out = Ch.admit_students(known.unionByName(last), batch, as_of)
+    admitted = out["students"].withColumn("admitted_in", F.lit(batch_id).cast("bigint"))
+    Mf.publish(admitted, students_path, name)
     if rejected_path:
         out["rejected"].drop("is_valid").write.mode("overwrite").parquet(f"{rejected_path}/batch={batch_id}")
-    mine = spark.read.schema(_ADMITTED).parquet(students_path).filter(F.col("admitted_in") == batch_id)
-    have = spark.read.schema(ENROLLMENTS).parquet(enrollments_path).select(F.col("student_id").alias("_sid"))
-    missing = mine.join(have, mine.id == have._sid, "left_anti")
-    missing.select(
+    Mf.publish(out["students"].select(
         F.col("id").alias("id"), F.col("id").alias("student_id"), "course_id",
         F.col("admission_date").alias("enrollment_date"), F.lit(None).cast("date").alias("completion_date"),
         F.lit("active").alias("status"), F.lit(None).cast("decimal(5,2)").alias("progress"),
         F.lit(None).cast("string").alias("grade"), F.lit(None).cast("string").alias("certificate_url"),
-    ).write.mode("append").parquet(enrollments_path)
+    ), enrollments_path, name)
+    Ci.add_codes(spark, index, found, out["students"].select(F.col("student_id").alias("code"), "id"), version, name)
+
+
+def rebuild_code_index(spark: SparkSession, students_path: str) -> None:
+    """Make the code index anew from all students; also how an existing table gets one."""
+    students = spark.read.schema(STUDENTS).parquet(students_path)
+    index = f"{students_path}/_codes"
+    known = Mf.versions(spark, index)
+    version = known[-1] + 1 if known else 0
+    Ci.add_codes(spark, index, [], students.select(F.col("student_id").alias("code"), "id").filter("code is not null"),
+                 version, f"rebuilt-{uuid.uuid4().hex}")
 
 
 def stream_admissions(forms: DataFrame, students_path: str, enrollments_path: str, checkpoint: str,
                       as_of, watermark: str | None = None, event_time: str | None = None,
                       rejected_path: str | None = None):
-    """Start the admissions stream; duplicate codes inside the watermark are dropped first."""
+    """Start the admissions stream; duplicate codes inside the watermark are dropped first.
+
+    The checkpoint's path names the stream."""
     df = forms
     if watermark and event_time:
         df = df.withWatermark(event_time, watermark).dropDuplicatesWithinWatermark(["student_id"])
-    spark = forms.sparkSession
+    spark, name = forms.sparkSession, hashlib.md5(checkpoint.encode()).hexdigest()
     return (df.writeStream.option("checkpointLocation", checkpoint)
             .foreachBatch(lambda b, bid: admit_batch(spark, b, students_path, enrollments_path, as_of, bid,
-                                                     rejected_path))
+                                                     rejected_path, name))
             .trigger(availableNow=True).start())
 
 
@@ -122,44 +156,51 @@ def live_figures(spark: SparkSession, root: str) -> DataFrame:
 
 # ---- settings upserts -------------------------------------------------------------------
 
-_VERSIONED = T.StructType(SETTINGS.fields + [T.StructField("version", T.LongType()),
-                                             T.StructField("stream", T.StringType()),
-                                             T.StructField("batch", T.LongType())])
-_VERSION_DIRS = ["version", "stream", "batch"]
-
-
-def _versions(spark: SparkSession, settings_root: str) -> list:
-    """(version, stream, batch) of the stored versions, newest first: directory names, one per trigger."""
-    found = spark.read.schema(_VERSIONED).parquet(settings_root).select(*_VERSION_DIRS).distinct().collect()
-    return sorted(found, reverse=True)
+SETTING_BUCKETS = 32
+#: Versions that are kept: the newest and the one before, from which a replay starts.
+KEEP_VERSIONS = 2
+_BUCKET_ENTRY = "bucket int, path string, n long, max_id long, writer string"
 
 
 def upsert_batch(spark: SparkSession, batch: DataFrame, settings_root: str, batch_id: int,
                  stream: str = "stream") -> None:
-    """Apply one batch of changes on top of the version before it and write the next version.
+    """Apply one batch of changes on top of the version before it and make the next version.
 
-    A version belongs to a batch of a stream, so a replay rewrites the same
-    version, and a stream with a fresh checkpoint continues after the newest one.
+    Settings lie in buckets by a hash of their key.  Only the buckets that the batch touches are read, merged and
+    written, into a folder of the batch; the manifest of the new version names the others as they are, and versions
+    before the last are removed with what only they name.  A version belongs to a batch of a stream, so a replay makes
+    the same version again, and a stream with a fresh checkpoint continues after the newest one.
     """
-    init_table(spark, settings_root, _VERSIONED, partition_by=_VERSION_DIRS)
-    known = _versions(spark, settings_root)
-    own = next((v["version"] for v in known if (v["stream"], v["batch"]) == (stream, batch_id)), None)
-    version = own if own is not None else (known[0]["version"] + 1 if known else 0)
-    before = next((v["version"] for v in known if v["version"] < version), None)
-    current = spark.read.schema(_VERSIONED).parquet(settings_root).filter(
-        F.lit(False) if before is None else F.col("version") == F.lit(before))
-    new = Ch.upsert_settings(current.select(*SETTINGS.fieldNames()), batch)
-    (new.withColumns({"version": F.lit(version).cast("bigint"), "stream": F.lit(stream),
-                      "batch": F.lit(batch_id).cast("bigint")})
-     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy(*_VERSION_DIRS).parquet(settings_root))
+    checkpoint_dir(spark)
+    name = f"{stream}-{batch_id}"
+    before, version = _state(spark, settings_root, name)
+    found = Mf.manifest(spark, settings_root, before).collect() if before is not None else []  # one row per bucket
+    bucket = F.pmod(F.xxhash64("setting_key"), F.lit(SETTING_BUCKETS)).cast("int")
+    touched = {r["bucket"] for r in batch.select(bucket.alias("bucket")).distinct().collect()}
+    if not touched:
+        return
+    current = _settings(spark, settings_root, [e for e in found if e["bucket"] in touched])
+    new = Ch.upsert_settings(current, batch, max((e["max_id"] for e in found), default=0))
+    folder = f"data/{name}"
+    (new.withColumn("bucket", bucket).repartition("bucket").write.mode("overwrite").partitionBy("bucket")
+     .parquet(f"{settings_root}/{folder}"))
+    facts = spark.read.parquet(f"{settings_root}/{folder}").groupBy("bucket").agg(
+        F.count(F.lit(1)).alias("n"), F.max("id").alias("max_id")).collect()
+    entries = [(e["bucket"], e["path"], e["n"], e["max_id"], name) for e in found if e["bucket"] not in touched]
+    entries += [(f["bucket"], f"{folder}/bucket={f['bucket']}", f["n"], f["max_id"], name) for f in facts]
+    Mf.commit(spark.createDataFrame(entries, _BUCKET_ENTRY), settings_root, version)
+    Mf.retire(spark, settings_root, KEEP_VERSIONS)
+
+
+def _settings(spark: SparkSession, root: str, entries: list) -> DataFrame:
+    if not entries:
+        return Ch.empty_settings(spark)
+    return spark.read.schema(SETTINGS).parquet(*[f"{root}/{e['path']}" for e in entries])
 
 
 def latest_settings(spark: SparkSession, settings_root: str) -> DataFrame:
-    known = _versions(spark, settings_root)
-    stored = spark.read.schema(_VERSIONED).parquet(settings_root)
-    newest = F.col("version") == F.lit(known[0]["version"]) if known else F.lit(False)
-    return stored.filter(newest).select(*SETTINGS.fieldNames())
+    known = Mf.versions(spark, settings_root)
+    return _settings(spark, settings_root, Mf.manifest(spark, settings_root, known[-1]).collect() if known else [])
 
 
 def stream_upsert(changes: DataFrame, settings_root: str, checkpoint: str):

@@ -9,6 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from campusflow.session import checkpoint_dir
+from campusflow.sources import code_index as Ci
+from campusflow.sources import manifest as Mf
 from campusflow.streaming import jobs as J
 from campusflow.streaming import operators as S
 
@@ -152,7 +154,7 @@ def test_stream_upsert_over_several_micro_batches(spark, sf_small, tmp_path):
     stream = spark.readStream.schema(ch.schema).option("maxFilesPerTrigger", 1).parquet(src)
     root = _scratch(spark, "settings")
     J.stream_upsert(stream, root, _scratch(spark, "ck")).awaitTermination()
-    assert spark.read.parquet(root).select("version").distinct().count() == 3
+    assert Mf.versions(spark, root) == [1, 2]  # of three versions the last two are kept
     got = {r.setting_key: (r.setting_value, r.updated_at) for r in J.latest_settings(spark, root).collect()}
     want = {r.setting_key: (r.setting_value, r.updated_at)
             for r in Ch.upsert_settings(Ch.empty_settings(spark), ch).collect()}
@@ -204,7 +206,7 @@ def test_settings_batch_replay_rewrites_the_same_version(spark, sf_small):
     once = sorted(map(tuple, J.latest_settings(spark, root).collect()))
     J.upsert_batch(spark, ch, root, 0)  # the same micro-batch replayed after a failure
     assert sorted(map(tuple, J.latest_settings(spark, root).collect())) == once
-    assert spark.read.parquet(root).count() == len(once)
+    assert Mf.versions(spark, root) == [0] and sum(e.n for e in Mf.manifest(spark, root, 0).collect()) == len(once)
 
 
 def test_settings_of_a_fresh_checkpoint_follow_the_stored_ones(spark):
@@ -218,6 +220,74 @@ def test_settings_of_a_fresh_checkpoint_follow_the_stored_ones(spark):
     assert [g[:2] for g in got] == [("", "m"), ("k", "3")] and len({g[2] for g in got}) == 2
 
 
+def test_a_settings_batch_touches_its_buckets_only(spark):
+    schema = "setting_key string, setting_value string, changed_at timestamp, seq long"
+    day, root = dt.datetime(2024, 1, 1), _scratch(spark, "settings")
+    J.upsert_batch(spark, spark.createDataFrame([(f"k{i}", "0", day, i) for i in range(500)], schema), root, 0)
+    first = {e.bucket: e for e in Mf.manifest(spark, root, 0).collect()}
+    assert len(first) == J.SETTING_BUCKETS
+    J.upsert_batch(spark, spark.createDataFrame([("k7", "1", day, 900), ("new", "1", day, 901)], schema), root, 1)
+    second = {e.bucket: e for e in Mf.manifest(spark, root, 1).collect()}
+    moved = {b for b in first if first[b].path != second[b].path}
+    assert 1 <= len(moved) <= 2  # the buckets of k7 and of the new key
+    assert sum(second[b].n for b in moved) == sum(first[b].n for b in moved) + 1
+    got = {r.setting_key: (r.id, r.setting_value) for r in J.latest_settings(spark, root).collect()}
+    assert len(got) == 501 and got["k7"][1] == "1" and got["new"] == (501, "1") and len({i for i, _ in got.values()}) == 501
+    J.upsert_batch(spark, spark.createDataFrame([], schema), root, 2)
+    assert Mf.versions(spark, root) == [0, 1]
+    # a replay of the last batch makes its version again, from the one before
+    J.upsert_batch(spark, spark.createDataFrame([("k7", "1", day, 900), ("new", "1", day, 901)], schema), root, 1)
+    assert {r.setting_key: (r.id, r.setting_value) for r in J.latest_settings(spark, root).collect()} == got
+
+
+def test_old_settings_are_removed_after_the_bound(spark):
+    schema = "setting_key string, setting_value string, changed_at timestamp, seq long"
+    root = _scratch(spark, "settings")
+    for i in range(5):
+        J.upsert_batch(spark, spark.createDataFrame([("k", str(i), dt.datetime(2024, 1, 1 + i), i)], schema), root, i)
+    assert Mf.versions(spark, root) == [3, 4]
+    stored = spark.read.option("recursiveFileLookup", True).schema("id long").parquet(f"{root}/data")
+    assert stored.count() == 2 and J.latest_settings(spark, root).first().setting_value == "4"
+
+
+def _codes(spark, *codes):
+    return spark.createDataFrame([(c,) for c in codes], "code string")
+
+
+def test_code_index_hits_and_false_hits(spark, monkeypatch):
+    monkeypatch.setattr(Ci, "LEAST_BITS", 64)
+    monkeypatch.setattr(Ci, "BITS_PER_CODE", 1)  # filters so small that they often err
+    root = _scratch(spark, "codes")
+    Ci.add_codes(spark, root, [], spark.range(300).selectExpr("concat('c', id) AS code", "id"), 0, "a", 4)
+    found = Ci.entries(spark, root, 0)
+    assert Ci.last_id(found) == 299
+    absent = [f"x{i}" for i in range(200)]
+    false = [c for c in absent[:40] if Ci.hit_buckets(spark, root, found, _codes(spark, c), 4)]
+    assert false  # and yet the exact answer holds
+    hit = Ci.hit_buckets(spark, root, found, _codes(spark, *absent, "c7"), 4)
+    known = {r.code for r in Ci.codes_of(spark, root, found, hit).collect()}
+    assert "c7" in known and not known & set(absent)
+    assert Ci.hit_buckets(spark, root, [], _codes(spark, "c7"), 4) == []
+
+
+def test_code_index_never_misses_and_compacts(spark, monkeypatch):
+    monkeypatch.setattr(Ci, "MAX_FILES", 3)
+    root, version = _scratch(spark, "codes"), 0
+    found = []
+    for version in range(8):
+        new = spark.range(version * 20, version * 20 + 20).selectExpr("concat('c', id) AS code", "id")
+        Ci.add_codes(spark, root, found, new, version, f"w-{version}", 2)
+        found = Ci.entries(spark, root, version)
+    assert max(sum(e.bucket == b and e.kind == "codes" for e in found) for b in (0, 1)) <= 4
+    assert Mf.versions(spark, root) == [6, 7]
+    assert Ci.codes_of(spark, root, found, [0, 1]).count() == 160
+    for c in ("c0", "c77", "c159"):
+        hit = Ci.hit_buckets(spark, root, found, _codes(spark, c), 2)
+        assert c in {r.code for r in Ci.codes_of(spark, root, found, hit).collect()}
+    absent = sum(bool(Ci.hit_buckets(spark, root, found, _codes(spark, f"x{i}"), 2)) for i in range(10))
+    assert absent <= 2  # filters are sized for their codes
+
+
 FORM = "student_id string, name string, email string, phone string, address string, course_id string, admission_date string"
 
 
@@ -273,3 +343,37 @@ def test_events_without_time_or_key(spark):
     assert bursts == [(0, 3000), (1, 1), (1, 1), (1, 1), (1, 1)]
     stream = sorted((r.user or 0, r.events) for r in S.debounce_events(df, "user", wait="2 seconds").collect())
     assert stream == bursts
+
+
+def test_admissions_read_no_codes_without_a_repeat(spark, monkeypatch):
+    sp, ep = _scratch(spark, "st"), _scratch(spark, "en")
+    J.admit_batch(spark, _forms(spark, *[(f"S{i}", "5551234") for i in range(50)]), sp, ep, "2024-07-01", 0)
+    read = []
+    codes_of = Ci.codes_of
+    monkeypatch.setattr(Ci, "codes_of", lambda *a: read.append(a[-1]) or codes_of(*a))
+    J.admit_batch(spark, _forms(spark, ("T1", "5551234"), ("T2", "5551234")), sp, ep, "2024-07-01", 1)
+    J.admit_batch(spark, _forms(spark, ("S7", "5551234"), ("T3", "5551234")), sp, ep, "2024-07-01", 2)
+    assert read[0] == [] and len(read[1]) == 1  # no bucket, then that of S7
+    students = spark.read.parquet(sp).collect()
+    assert len(students) == 53 and {r.id for r in students} == set(range(1, 54))
+    assert sorted(r.student_id for r in spark.read.parquet(ep).collect()) == list(range(1, 54))
+
+
+def test_admissions_replayed_at_any_point_admit_once(spark, monkeypatch):
+    """A crash before the index is written, and one after, replayed with the same batch number."""
+    sp, ep = _scratch(spark, "st"), _scratch(spark, "en")
+    J.admit_batch(spark, _forms(spark, ("S1", "5551234")), sp, ep, "2024-07-01", 0, stream="a")
+    batch = _forms(spark, ("S1", "5551234"), ("S2", "5551234"), ("S3", "5551234"))
+
+    def crash(*_):
+        raise RuntimeError("lost")
+    with monkeypatch.context() as m:
+        m.setattr(Ci, "add_codes", crash)
+        with pytest.raises(RuntimeError):
+            J.admit_batch(spark, batch, sp, ep, "2024-07-01", 1, stream="a")
+    for _ in range(2):
+        J.admit_batch(spark, batch, sp, ep, "2024-07-01", 1, stream="a")
+    J.admit_batch(spark, _forms(spark, ("S3", "5551234"), ("S4", "5551234")), sp, ep, "2024-07-01", 0, stream="b")
+    assert sorted((r.id, r.student_id) for r in spark.read.parquet(sp).collect()) == [
+        (1, "S1"), (2, "S2"), (3, "S3"), (4, "S4")]
+    assert sorted(r.student_id for r in spark.read.parquet(ep).collect()) == [1, 2, 3, 4]
