@@ -28,6 +28,20 @@ def _events_stream(spark, sf_dir):
     return J.file_stream(spark, sf_dir, ev.schema, glob="events.parquet", max_files_per_trigger=1)
 
 
+def _arriving_events(spark, sf_dir, slices=4):
+    """The events as a source that brings them in time order, a slice per micro-batch: what a key can bring to a task
+    at once is bounded by a slice.  Slices are written one after the other, as the source goes by the files' age."""
+    ev = Academy(spark, sf_dir).raw("events")
+    path = _scratch(spark, "events")
+    cuts = ev.agg(F.percentile_approx(F.unix_micros(F.col("ts").cast("timestamp")),
+                                      [i / slices for i in range(1, slices)]).alias("c")).first()["c"]
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    for low, high in zip([None, *cuts], [*cuts, None]):
+        part = ev.filter(F.lit(True) if low is None else at >= low).filter(F.lit(True) if high is None else at < high)
+        part.coalesce(1).write.mode("append").parquet(path)
+    return J.file_stream(spark, path, ev.schema, max_files_per_trigger=1)
+
+
 def _ntz(*cols):
     return [F.col(c).cast("timestamp_ntz").alias(c) for c in cols]
 
@@ -109,12 +123,22 @@ def q_throttle_batch(spark, sf_dir):
 @query("throttle_events", _THROTTLE_SQL)
 def q_throttle_events(spark, sf_dir):
     """Per user, an event then silence for 6 hours (greedy), from the event stream."""
-    out = S.throttle_events(_events_stream(spark, sf_dir), "user_id", limit_seconds=6 * 3600,
+    out = S.throttle_events(_arriving_events(spark, sf_dir), "user_id", limit_seconds=6 * 3600,
                             payload=("event_type",))
     t = J.run_to_table(out, _scratch(spark, "throttle"), _scratch(spark, "ck-throttle"))
     return t.select("user_id", *_ntz("ts"), "event_id", "event_type")
 
 
+@query("throttle_event_time", f"""SELECT * FROM ({_THROTTLE_SQL})
+WHERE ts <= (SELECT max(ts) FROM events) - INTERVAL 2 DAY""")
+def q_throttle_event_time(spark, sf_dir):
+    """The same decided in event time: what the watermark has passed, with state over micro-batches."""
+    out = S.throttle_in_event_time(_arriving_events(spark, sf_dir), "user_id", "2 days", limit_seconds=6 * 3600,
+                                   payload=("event_type",))
+    t = J.run_to_table(out, _scratch(spark, "throttle"), _scratch(spark, "ck-throttle"))
+    return t.select("user_id", *_ntz("ts"), "event_id", "event_type")
+
+
 @query("stream_audit", """
 SELECT id, "timestamp", user_id, action, plugin, version FROM audit_log
 """)

@@ -6,6 +6,8 @@
 * ``live_stats``      - tumbling-window counts and sums (``window``).
 * ``throttle_events`` - greedy "emit, then ignore the key for ``limit``":
   ``applyInPandasWithState`` with the last emitted time as the key's state.
+* ``throttle_in_event_time`` - the same in event time whatever the order of arrival:
+  events wait in the key's state until the watermark has passed them.
 
 Event time must be TIMESTAMP (not TIMESTAMP_NTZ) for ``withWatermark``;
 ``event_time`` casts it (session zone is UTC).
@@ -102,3 +104,55 @@ def throttle_events(events: DataFrame, key: str, ts: str = "ts", limit_seconds:
     fn = _throttle_fn(key, ts, tiebreak, int(limit_seconds * 1_000_000), out_cols)
     return e.groupBy(key).applyInPandasWithState(fn, out_schema, _THROTTLE_STATE, "append",
                                                   GroupStateTimeout.NoTimeout)
+
+
+def _event_time_throttle_fn(key_col: str, ts_col: str, others: list[str], limit_us: int):
+    def fn(key, pdfs, state):
+        last, times, *columns = state.get if state.exists else (None, [], *[[] for _ in others])
+        times, columns = list(times), [list(c) for c in columns]
+        for pdf in pdfs if not state.hasTimedOut else ():
+            times += pdf[ts_col].to_numpy(dtype="datetime64[us]").astype(np.int64).tolist()
+            for values, name in zip(columns, others):
+                values += [None if v is None or v != v else v for v in pdf[name].tolist()]
+        passed = state.getCurrentWatermarkMs() * 1000
+        order = sorted(range(len(times)), key=lambda i: (times[i], columns[0][i]))
+        emitted, waiting = [], []
+        for i in order:
+            if last is not None and times[i] < last + limit_us:
+                continue  # within the silence of an event that is final: never emitted
+            if times[i] <= passed:  # nothing earlier can still arrive
+                emitted.append(i)
+                last = times[i]
+            else:
+                waiting.append(i)
+        if emitted:
+            stamps = pd.to_datetime(pd.Series([times[i] for i in emitted], dtype="int64"), unit="us", utc=True)
+            yield pd.DataFrame({key_col: [key[0]] * len(emitted), ts_col: stamps.dt.tz_localize(None),
+                                **{n: pd.Series([c[i] for i in emitted], dtype=object) for n, c in zip(others, columns)}})
+        if not waiting and (last is None or last + limit_us <= passed):
+            if state.exists:
+                state.remove()  # a silent key: whatever comes next is emitted anyway
+            return
+        state.update((last, [times[i] for i in waiting], *[[c[i] for i in waiting] for c in columns]))
+        next_us = times[waiting[0]] if waiting else last + limit_us
+        state.setTimeoutTimestamp(max(next_us // 1000, passed // 1000) + 1)
+    return fn
+
+
+def throttle_in_event_time(events: DataFrame, key: str, watermark: str, ts: str = "ts", limit_seconds: float = 5.0,
+                           tiebreak: str = "event_id", payload=()) -> DataFrame:
+    """Events let through by a per-key throttle, decided in event-time order over all micro-batches (ties by ``tiebreak``).
+
+    An event waits in its key's state until the watermark has passed it, so events that arrive out of order within
+    ``watermark`` give what a batch over all of them gives; later ones are dropped, as in any stateful operator.  Events
+    that fall into the silence of a final one are not kept.  Timers in event time emit what waits and free the state of
+    silent keys, so state holds the keys of the last ``watermark`` + ``limit_seconds`` only.  Events without a time are
+    left out; those without a key share one key.
+    """
+    e = event_time(events, ts).select(key, ts, tiebreak, *payload).filter(F.col(ts).isNotNull()).withWatermark(ts, watermark)
+    others = [tiebreak, *payload]
+    out_schema = T.StructType([T.StructField(c, e.schema[c].dataType) for c in [key, ts, *others]])
+    kept = T.StructType([T.StructField("last_us", T.LongType()), T.StructField("times", T.ArrayType(T.LongType()))]
+                        + [T.StructField(f"c{i}", T.ArrayType(e.schema[c].dataType)) for i, c in enumerate(others)])
+    fn = _event_time_throttle_fn(key, ts, others, int(limit_seconds * 1_000_000))
+    return e.groupBy(key).applyInPandasWithState(fn, out_schema, kept, "append", GroupStateTimeout.EventTimeTimeout)

@@ -76,6 +76,40 @@ def test_throttle_across_micro_batches(spark, tmp_path):
     assert sorted(r.event_id for r in spark.read.parquet(sink).collect()) == [0, 3]
 
 
+def _run_slices(spark, make, slices, schema):
+    """A stream over ``slices``, one per micro-batch; (rows emitted, state rows after the last)."""
+    src, sink, ck = (_scratch(spark, n) for n in ("ev", "out", "ck"))
+    state = 0
+    for rows in slices:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
+        q = (make(stream).writeStream.format("parquet").option("path", sink).option("checkpointLocation", ck)
+             .trigger(availableNow=True).start())
+        q.awaitTermination()
+        state = q.lastProgress["stateOperators"][0]["numRowsTotal"]
+    return spark.read.parquet(sink).collect(), state
+
+
+def test_event_time_throttle_with_events_out_of_order(spark):
+    """Events shuffled over micro-batches within the watermark give the batch result, and silent keys leave the state."""
+    import random
+    rnd, base = random.Random(4), dt.datetime(2024, 1, 1)
+    rows = [(i, rnd.choice(["a", "b", None, "hot", "hot"]), base + dt.timedelta(seconds=rnd.randint(0, 1000)), None if i % 5 else f"p{i}")
+            for i in range(160)]
+    arrival = sorted(rows, key=lambda r: (r[2] - base).total_seconds() + rnd.uniform(0, 200))
+    end = [(1000, "end", base + dt.timedelta(seconds=5000), "x")]  # its watermark passes all the others
+    slices = [arrival[:60], arrival[60:110], arrival[110:], end]
+    schema = "event_id long, user string, ts timestamp, note string"
+    got, state = _run_slices(spark, lambda s: S.throttle_in_event_time(
+        s, "user", "300 seconds", limit_seconds=30, payload=("note",)), slices, schema)
+    want = _brute_throttle([(i, u or "", t) for i, u, t, _ in rows], 30)
+    assert sorted(r.event_id for r in got) == want
+    by_id = {r[0]: r for r in rows}
+    assert all((r.user, r.ts, r.note) == by_id[r.event_id][1:] for r in got)
+    assert state == 1  # only the last event's key is left
+    assert sorted(slices[1], key=lambda r: r[2])[0][2] < max(r[2] for r in slices[0])
+
+
 def test_stream_admissions_equal_batch_and_replay_is_idempotent(spark, sf_small):
     import __spark_entry__ as entry
     q = entry.queries()
