@@ -11,10 +11,11 @@ from pyspark.sql import functions as F
 from campusflow.operators.bursts import debounce_batch
 from campusflow.operators.throttle import throttle_batch
 from campusflow.plans.changes import ADMIT_ENROLLMENTS_SQL, ADMIT_REJECTED_SQL, ADMIT_SQL, _form
-from campusflow.plans.registry import query
+from campusflow.plans.registry import AS_OF_SALES, query
 from campusflow.session import checkpoint_dir
 from campusflow.sources.adapters import Academy
 from campusflow.streaming import jobs as J
+from campusflow.streaming import kept as K
 from campusflow.streaming import operators as S
 
 
@@ -205,22 +206,74 @@ def q_stream_admissions_rejected(spark, sf_dir):
                                                F.array_join("errors", "; ").alias("error_text"))
 
 
-@query("live_dashboard", """
-SELECT count(*) AS total_payments, CAST(coalesce(sum(amount), 0) AS DECIMAL(38,2)) AS total_revenue,
+def _overlapping(spark, df, key, name):
+    """``df`` as a source of two micro-batches that share rows, as changed rows come again."""
+    path = _scratch(spark, name)
+    low, high = df.agg(F.percentile_approx(key, [0.4, 0.6]).alias("p")).first()["p"]
+    df.filter(F.col(key) <= high).coalesce(1).write.mode("append").parquet(path)
+    df.filter(F.col(key) > low).coalesce(1).write.mode("append").parquet(path)
+    return J.file_stream(spark, path, df.schema, max_files_per_trigger=1)
+
+
+@query("live_dashboard", f"""
+SELECT (SELECT count(*) FROM students) AS total_students, (SELECT count(*) FROM courses) AS total_courses,
+       count(*) AS total_payments, CAST(coalesce(sum(amount), 0) AS DECIMAL(38,2)) AS total_revenue,
        CAST(coalesce(sum(amount) FILTER (WHERE payment_status = 'pending'), 0) AS DECIMAL(38,2)) AS pending_fees,
-       CAST(coalesce(sum(amount) FILTER (WHERE payment_status = 'overdue'), 0) AS DECIMAL(38,2)) AS overdue_fees
+       CAST(coalesce(sum(amount) FILTER (WHERE payment_status = 'overdue'), 0) AS DECIMAL(38,2)) AS overdue_fees,
+       CAST(coalesce(sum(amount) FILTER (WHERE date_trunc('month', payment_date)
+            = date_trunc('month', DATE '{AS_OF_SALES[:10]}')), 0) AS DECIMAL(38,2)) AS monthly_revenue
 FROM payments
 """)
 def q_live_dashboard(spark, sf_dir):
-    """The dashboard's payment figures, kept by a stream of payments."""
-    orders = Academy(spark, sf_dir).raw("orders")
+    """All figures of the dashboard, kept by streams of students, courses (rows come again) and payments."""
+    a = Academy(spark, sf_dir)
+    orders = a.raw("orders")
     stream = J.file_stream(spark, sf_dir, orders.schema, glob="orders.parquet", max_files_per_trigger=1)
     payments = stream.selectExpr(
-        "CAST(o_totalprice AS DECIMAL(12,2)) AS amount",
+        "CAST(o_totalprice AS DECIMAL(12,2)) AS amount", "CAST(o_orderdate AS DATE) AS payment_date",
         "CASE o_orderstatus WHEN 'F' THEN 'paid' WHEN 'O' THEN 'pending' ELSE 'overdue' END AS payment_status")
     root = _scratch(spark, "figures")
-    J.stream_figures(payments, root, _scratch(spark, "ck-figures")).awaitTermination()
-    return J.live_figures(spark, root)
+    for q in K.stream_dashboard(_overlapping(spark, a.students.select("id", "name"), "id", "students"),
+                                _overlapping(spark, a.courses.select("id", "course_name"), "id", "courses"),
+                                payments, root, _scratch(spark, "ck-figures")):
+        q.awaitTermination()
+    return K.live_dashboard(spark, root, AS_OF_SALES)
+
+
+_FINAL_ACTIVITY = """
+WITH e AS (SELECT enrollment_date AS d FROM enrollments),
+p AS (SELECT payment_date AS d, CASE WHEN payment_method = '1-URGENT' THEN amount + 1 ELSE amount END AS amount
+      FROM payments WHERE payment_status != 'overdue')
+SELECT {period} AS {name}, CAST(sum(en) AS BIGINT) AS enrollments, CAST(sum(pn) AS BIGINT) AS payments,
+       CAST(sum(rev) AS DECIMAL(38,2)) AS revenue
+FROM (SELECT d, 1 AS en, 0 AS pn, CAST(0 AS DECIMAL(12,2)) AS rev FROM e WHERE d IS NOT NULL
+      UNION ALL SELECT d, 0, 1, amount FROM p WHERE d IS NOT NULL) GROUP BY 1
+"""
+
+
+def _kept_activity(spark, sf_dir):
+    """Old rows, then late and new ones, then corrected amounts and withdrawn payments, merged one after the other."""
+    a = Academy(spark, sf_dir)
+    root = _scratch(spark, "activity")
+    e, p = a.enrollments.select("enrollment_date"), a.payments.select("payment_date", "amount", "payment_method", "payment_status")
+    new = F.lit(1).cast("bigint").alias("sign")
+    old_e, old_p = F.col("enrollment_date") < "1998-01-01", F.col("payment_date") < "1998-01-01"
+    K.apply_activity(spark, root, "load-0", e.filter(old_e).select("*", new), p.filter(old_p).select("*", new))
+    K.apply_activity(spark, root, "late-1", e.filter(~old_e).select("*", new), p.filter(~old_p).select("*", new))
+    fixed = (p.filter("payment_status != 'overdue'").withColumn("amount", F.when(
+        F.col("payment_method") == "1-URGENT", F.col("amount") + 1).otherwise(F.col("amount")).cast("decimal(12,2)")))
+    K.apply_activity(spark, root, "corrections-2", payments=K.signed_changes(p, fixed))
+    return root
+
+
+@query("daily_stats_kept", _FINAL_ACTIVITY.format(period="d", name="day"))
+def q_daily_stats_kept(spark, sf_dir):
+    return K.kept_daily_stats(spark, _kept_activity(spark, sf_dir))
+
+
+@query("monthly_summary_kept", _FINAL_ACTIVITY.format(period="CAST(date_trunc('month', d) AS DATE)", name="month"))
+def q_monthly_summary_kept(spark, sf_dir):
+    return K.kept_monthly_summary(spark, _kept_activity(spark, sf_dir))
 
 
 @query("debounce_first", """

@@ -10,6 +10,7 @@ from __future__ import annotations
 import functools
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def _folder(spark: SparkSession, path: str):
@@ -41,13 +42,29 @@ def manifest(spark: SparkSession, root: str, version: int) -> DataFrame:
     return spark.read.parquet(f"{root}/manifest/version={version}")
 
 
+def base_of(spark: SparkSession, root: str, writer: str) -> tuple[int | None, int]:
+    """(the version that ``writer`` builds on, or none, and the version it makes); ``writer`` names a batch of a stream.
+
+    A writer whose version is the newest is a replay: it makes its own version again from the one before.
+    """
+    known = versions(spark, root)
+    if not known:
+        return None, 0
+    first = manifest(spark, root, known[-1]).select("writer").first()
+    if first is not None and first["writer"] == writer:
+        return (known[-2] if len(known) > 1 else None), known[-1]
+    return known[-1], known[-1] + 1
+
+
 def commit(entries: DataFrame, root: str, version: int) -> None:
     """Make ``entries`` (one row per file, or per group of files) the manifest of ``version``, as one file."""
     entries.coalesce(1).write.mode("overwrite").parquet(f"{root}/manifest/version={version}")
 
 
 def retire(spark: SparkSession, root: str, keep: int, path_col: str = "path") -> None:
-    """Remove all but the newest ``keep`` versions, and the files that only they name (relative to ``root``)."""
+    """Remove all but the newest ``keep`` versions, and the files that only they name (relative to ``root``).
+
+    A blank path names no file: a manifest without files has such a row, which says who wrote it."""
     known = versions(spark, root)
     old, kept = known[:-keep], known[-keep:]
     if not old:
@@ -55,7 +72,7 @@ def retire(spark: SparkSession, root: str, keep: int, path_col: str = "path") ->
 
     def named(numbers):
         frames = [manifest(spark, root, v).select(path_col) for v in numbers]
-        return functools.reduce(DataFrame.unionByName, frames).distinct()
+        return functools.reduce(DataFrame.unionByName, frames).filter(F.col(path_col) != "").distinct()
 
     # the manifests go last, so that a run that fails here is made up for by the next
     for r in named(old).join(named(kept), path_col, "left_anti").toLocalIterator():

@@ -16,8 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from campusflow.operators import changes as Ch
-from campusflow.operators.stats import payment_figures
-from campusflow.schemas import ENROLLMENTS, MONEY_SUM, SETTINGS, STUDENTS
+from campusflow.schemas import ENROLLMENTS, SETTINGS, STUDENTS
 from campusflow.session import checkpoint_dir
 from campusflow.sources import code_index as Ci
 from campusflow.sources import manifest as Mf
@@ -58,17 +57,6 @@ def init_table(spark: SparkSession, path: str, schema, partition_by=None) -> Non
 _ADMITTED = T.StructType(STUDENTS.fields + [T.StructField("admitted_in", T.LongType())])
 
 
-def _state(spark: SparkSession, root: str, writer: str) -> tuple[int | None, int]:
-    """(the version that a writer builds on, the version it makes): a replay makes its own version again."""
-    known = Mf.versions(spark, root)
-    if not known:
-        return None, 0
-    first = Mf.manifest(spark, root, known[-1]).select("writer").first()
-    if first is not None and first["writer"] == writer:
-        return (known[-2] if len(known) > 1 else None), known[-1]
-    return known[-1], known[-1] + 1
-
-
 def admit_batch(spark: SparkSession, batch: DataFrame, students_path: str, enrollments_path: str,
                 as_of, batch_id: int = 0, rejected_path: str | None = None, stream: str = "stream") -> None:
     """One micro-batch of admission forms -> added students, their enrollments, and the rejects.
@@ -85,7 +73,7 @@ def admit_batch(spark: SparkSession, batch: DataFrame, students_path: str, enrol
     index, name = f"{students_path}/_codes", f"{stream}-{batch_id}"
     if not Mf.versions(spark, index):
         rebuild_code_index(spark, students_path)
-    before, version = _state(spark, index, name)
+    before, version = Mf.base_of(spark, index, name)
     found = Ci.entries(spark, index, before)
     codes = Ch.clean_admissions(batch).select(F.col("student_id").alias("code")).filter("code is not null")
     hit = Ci.hit_buckets(spark, index, found, codes, Ci.BUCKETS)
@@ -131,29 +119,6 @@ def stream_admissions(forms: DataFrame, students_path: str, enrollments_path: st
             .trigger(availableNow=True).start())
 
 
-# ---- live dashboard ---------------------------------------------------------------------
-
-_FIGURES = ["total_payments", "total_revenue", "pending_fees", "overdue_fees"]
-
-
-def figures_batch(batch: DataFrame, root: str, batch_id: int) -> None:
-    """One row with the figures of a micro-batch of payments; a replay rewrites it."""
-    payment_figures(batch).write.mode("overwrite").parquet(f"{root}/batch={batch_id}")
-
-
-def stream_figures(payments: DataFrame, root: str, checkpoint: str):
-    """Keep the dashboard's payment figures up to date as payments arrive."""
-    return (payments.writeStream.option("checkpointLocation", checkpoint)
-            .foreachBatch(lambda b, bid: figures_batch(b, root, bid)).trigger(availableNow=True).start())
-
-
-def live_figures(spark: SparkSession, root: str) -> DataFrame:
-    """The figures over all batches so far: one row, 0 where nothing came."""
-    parts = spark.read.parquet(root)
-    return parts.agg(*[F.coalesce(F.sum(c), F.lit(0)).cast("bigint" if c == "total_payments" else MONEY_SUM).alias(c)
-                       for c in _FIGURES])
-
-
 # ---- settings upserts -------------------------------------------------------------------
 
 SETTING_BUCKETS = 32
@@ -173,7 +138,7 @@ def upsert_batch(spark: SparkSession, batch: DataFrame, settings_root: str, batc
     """
     checkpoint_dir(spark)
     name = f"{stream}-{batch_id}"
-    before, version = _state(spark, settings_root, name)
+    before, version = Mf.base_of(spark, settings_root, name)
     found = Mf.manifest(spark, settings_root, before).collect() if before is not None else []  # one row per bucket
     bucket = F.pmod(F.xxhash64("setting_key"), F.lit(SETTING_BUCKETS)).cast("int")
     touched = {r["bucket"] for r in batch.select(bucket.alias("bucket")).distinct().collect()}

@@ -2,7 +2,6 @@
 
 import datetime as dt
 import uuid
-from decimal import Decimal
 
 import pytest
 
@@ -353,16 +352,6 @@ def test_admissions_fail_on_an_unreadable_table(spark, tmp_path):
         J.admit_batch(spark, _forms(spark, ("S1", "5551234")), str(tmp_path / "st"), str(tmp_path / "en"), "2024-07-01")
 
 
-def test_live_figures_add_up_over_batches_and_replays(spark):
-    schema = "amount decimal(12,2), payment_status string"
-    root = _scratch(spark, "figures")
-    one = spark.createDataFrame([(Decimal("10.50"), "paid"), (Decimal("1.00"), "pending")], schema)
-    two = spark.createDataFrame([(Decimal("2.25"), "overdue")], schema)
-    for batch, df in [(0, one), (1, two), (1, two)]:
-        J.figures_batch(df, root, batch)
-    assert tuple(J.live_figures(spark, root).first()) == (3, Decimal("13.75"), Decimal("1.00"), Decimal("2.25"))
-
-
 def test_events_without_time_or_key(spark):
     """Events without a time are left out by batch and stream alike; a NULL key is one key."""
     from campusflow.operators.bursts import debounce_batch
