@@ -6,7 +6,7 @@ comparable ones (status, date range, id) into the Parquet scan.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from campusflow.functions import columns as C
@@ -20,9 +20,12 @@ def search_rows(df: DataFrame, term: str, cols=None) -> DataFrame:
     """
     if not term:
         return df
-    cols = cols or df.columns
-    text = F.lower(F.concat_ws("\n", *[F.col(c).cast("string") for c in cols]))
-    return df.filter(text.contains(F.lit(term.lower())))
+    return df.filter(search_text(cols or df.columns).contains(F.lit(term.lower())))
+
+
+def search_text(cols) -> Column:
+    """What a search looks into: the cells' text in lower case."""
+    return F.lower(F.concat_ws("\n", *[F.col(c).cast("string") for c in cols]))
 
 
 def search_students(listing: DataFrame, term: str) -> DataFrame:

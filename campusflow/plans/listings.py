@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from campusflow.functions import columns as C
@@ -9,6 +11,9 @@ from campusflow.operators import listings as Lst
 from campusflow.operators import search as S
 from campusflow.operators.changes import number_rows
 from campusflow.plans.registry import AS_OF_COURSES, query
+from campusflow.session import checkpoint_dir
+from campusflow.sources import ranked as Rk
+from campusflow.sources import trigrams as Tg
 from campusflow.sources.adapters import Academy
 
 _STUDENT_LISTING_SQL = """
@@ -110,6 +115,45 @@ def q_payments_page_keyset(spark, sf_dir):
     return Lst.page_after(p, "payment_date", "id", "2000-01-01", 0, per_page=25)
 
 
+@query("payments_page_deep", """
+SELECT * FROM (SELECT id, amount, payment_date, payment_status,
+                      row_number() OVER (ORDER BY payment_date DESC NULLS LAST, id) AS row_no FROM payments)
+WHERE row_no > 24975 AND row_no <= 25000 OR row_no > 12475 AND row_no <= 12500
+""")
+def q_payments_page_deep(spark, sf_dir):
+    """Pages 1000 and 500 of the payments, 25 rows each, by their numbers: each from the files that hold it."""
+    p = Academy(spark, sf_dir).payments.select("id", "amount", "payment_date", "payment_status")
+    root = f"{checkpoint_dir(spark).rstrip('/')}/payments-ranked-{uuid.uuid4().hex}"
+    Rk.write_ranked(p, root, "-payment_date,id")
+    return Rk.ranked_page(spark, root, 1000, 25).unionByName(Rk.ranked_page(spark, root, 500, 25))
+
+
+@query("search_payments_indexed", """
+SELECT p.id, coalesce(nullif(s.name, ''), 'N/A') AS student_name, p.amount, p.reference_number
+FROM payments p LEFT JOIN students s ON p.student_id = s.id
+WHERE contains(lower(concat_ws(chr(10), coalesce(nullif(s.name, ''), 'N/A'), CAST(p.amount AS VARCHAR), p.reference_number)),
+               'ref123')
+""")
+def q_search_payments_indexed(spark, sf_dir):
+    """Payments by a reference number's begin, through an index of trigrams."""
+    a = Academy(spark, sf_dir)
+    listing = Lst.payments_with_names(a.payments, a.students, a.courses).select("id", "student_name", "amount", "reference_number")
+    root = f"{checkpoint_dir(spark).rstrip('/')}/payments-grams-{uuid.uuid4().hex}"
+    Tg.write_indexed(listing, root, ["student_name", "amount", "reference_number"])
+    return Tg.search_indexed(spark, root, "REF123")
+
+
+@query("search_documents_indexed", """
+SELECT doc_id, n_chars FROM documents WHERE contains(lower(concat_ws(chr(10), text, source)), 'token = ')
+""")
+def q_search_documents_indexed(spark, sf_dir):
+    """Whole documents that contain a term, through an index of trigrams."""
+    root = f"{checkpoint_dir(spark).rstrip('/')}/documents-grams-{uuid.uuid4().hex}"
+    docs = Academy(spark, sf_dir).raw("documents").select("doc_id", "text", "source", "n_chars")
+    Tg.write_indexed(docs, root, ["text", "source"])
+    return Tg.search_indexed(spark, root, "Token = ").select("doc_id", "n_chars")
+
+
 @query("recent_admissions", """
 WITH top AS (
   SELECT id, student_id, course_id, enrollment_date, status FROM enrollments

@@ -6,12 +6,16 @@ parallel, committed atomically per job); readers take explicit schemas.
 
 from __future__ import annotations
 
+import functools
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from campusflow.functions import columns as C
 from campusflow.operators.quality import validate_rows
+from campusflow.sources import manifest as Mf
 from campusflow.sources.csv_records import csv_records
 
 
@@ -88,23 +92,38 @@ def import_json(spark: SparkSession, path: str, schema: T.StructType) -> DataFra
 
 
 def export_snapshot(tables: dict[str, DataFrame], root: str, as_of, fmt: str = "parquet") -> DataFrame:
-    """Write each table under ``root/<name>`` stamped with ``export_date``; return the
-    manifest ``(table_name, row_count, export_date)`` counted from the written files."""
-    stamp = C._ts_lit(as_of)
-    spark = None
+    """Write the tables stamped with ``export_date`` as one snapshot; return (table_name, row_count, export_date).
+
+    Every table goes to a new folder, and the manifest that lists them all with their files' row counts is put in place
+    last: if a table fails, there is no snapshot, and one from before stays the newest.
+    """
+    stamp, folder = C._ts_lit(as_of), f"files/{uuid.uuid4().hex}"
+    spark = next(iter(tables.values())).sparkSession
     for name, df in tables.items():
-        spark = df.sparkSession
-        df.withColumn("export_date", stamp).write.mode("errorifexists").format(fmt).save(f"{root}/{name}")
+        df.withColumn("export_date", stamp).write.mode("errorifexists").format(fmt).save(f"{root}/{folder}/{name}")
     parts = []
     for name in tables:
-        written = spark.read.format(fmt).load(f"{root}/{name}")
-        parts.append(written.agg(F.count(F.lit(1)).alias("row_count"),
-                                 F.max("export_date").alias("export_date"))
-                     .select(F.lit(name).alias("table_name"), "row_count", "export_date"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+        written = spark.read.format(fmt).load(f"{root}/{folder}/{name}")
+        parts.append(written.agg(F.count(F.lit(1)).alias("row_count")).select(
+            F.lit(name).alias("table_name"), "row_count", stamp.alias("export_date"),
+            F.lit(f"{folder}/{name}").alias("path"), F.lit(fmt).alias("format")))
+    known = Mf.versions(spark, root)
+    version = known[-1] + 1 if known else 0
+    Mf.commit(functools.reduce(DataFrame.unionByName, parts), root, version)
+    return snapshot_tables(spark, root, version).select("table_name", "row_count", "export_date")
+
+
+def snapshot_tables(spark: SparkSession, root: str, version: int | None = None) -> DataFrame:
+    """The manifest of a snapshot (default: the newest whole one)."""
+    return Mf.manifest(spark, root, Mf.versions(spark, root)[-1] if version is None else version)
+
+
+def read_snapshot(spark: SparkSession, root: str, name: str, version: int | None = None) -> DataFrame:
+    """A table as the snapshot has it."""
+    entry = snapshot_tables(spark, root, version).filter(F.col("table_name") == name).first()
+    if entry is None:
+        raise KeyError(f"the snapshot has no table {name!r}")
+    return spark.read.format(entry["format"]).load(f"{root}/{entry['path']}")
 
 
 def catalogue_files(spark: SparkSession, path: str, glob: str | None = None,
