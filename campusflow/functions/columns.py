@@ -19,6 +19,10 @@ EMAIL_PATTERN = r"^[^\s@]+@[^\s@]+\.[^\s@]+$"
 PHONE_PATTERN = r"^[\+]?[1-9][\d]{0,15}$"
 PHONE_STRIP = r"[\s\-\(\)]"
 BLANK_ENDS = r"^\s+|\s+$"
+# Slugs: what is dropped, what becomes a dash, which dashes go.
+SLUG_DROPPED, SLUG_DASHES, SLUG_ENDS = r"[^\w\s-]", r"[\s-]+", r"^-+|-+$"
+# Numbers in display text: what is dropped before reading one.
+NOT_NUMERIC = r"[^\d.-]"
 # Validation messages.
 MSG_REQUIRED = " is required"
 MSG_EMAIL = "Invalid email address"
@@ -100,9 +104,9 @@ def to_int(col) -> Column:
 # ---- text ---------------------------------------------------------------------------
 
 def slugify(col) -> Column:
-    s = F.regexp_replace(F.lower(_c(col)), r"[^\w\s-]", "")
-    s = F.regexp_replace(s, r"[\s-]+", "-")
-    return F.regexp_replace(s, r"^-+|-+$", "")
+    s = F.regexp_replace(F.lower(_c(col)), SLUG_DROPPED, "")
+    s = F.regexp_replace(s, SLUG_DASHES, "-")
+    return F.regexp_replace(s, SLUG_ENDS, "")
 
 
 def truncate(col, length: int = 50, suffix: str = "...") -> Column:
@@ -147,7 +151,7 @@ def sanitize_text(col, keep_newlines: bool = False) -> Column:
     ``keep_newlines`` is the textarea flavour: line breaks survive, other runs
     of blanks collapse to one space per line.
     """
-    s = F.regexp_replace(_c(col), r"<[^>]*>", "")
+    s = F.regexp_replace(F.regexp_replace(_c(col), r"<[^>]*>", ""), r"[\x00-\x08\x0E-\x1F\x7F]", "")
     if keep_newlines:
         s = F.regexp_replace(s, r"[\t\f\x0B ]+", " ")
         s = F.regexp_replace(s, r" *(\r\n|\r|\n) *", "\n")
@@ -165,7 +169,7 @@ def sanitize_email(col) -> Column:
 
 def mixed_sort_key(col) -> Column:
     """Numeric key of a display string (``$1,234.50`` -> 1234.5); NULL if not numeric."""
-    cleaned = F.regexp_replace(_c(col), r"[^\d.-]", "")
+    cleaned = F.regexp_replace(_c(col), NOT_NUMERIC, "")
     lead = F.regexp_extract(cleaned, r"^(-?(?:\d+\.?\d*|\.\d+))", 1)
     return F.nullif(lead, F.lit("")).try_cast("double")
 

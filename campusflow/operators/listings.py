@@ -8,7 +8,7 @@ The one explicit ``broadcast`` is of the keys of a top-k result, bounded by ``n`
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from campusflow.functions import columns as C
@@ -31,6 +31,11 @@ def _names(courses: DataFrame) -> DataFrame:
     return courses.select(F.col("id").alias("_course_key"), F.col("course_name").alias("_course_name"))
 
 
+def _spread(key: str) -> Column:
+    """A second join key: rows without ``key`` match nothing and are spread by their id over all partitions."""
+    return F.when(F.col(key).isNull(), F.col("id")).otherwise(F.lit(0).cast("bigint"))
+
+
 def students_with_course(students: DataFrame, courses: DataFrame) -> DataFrame:
     """Students plus ``course_name`` ('N/A' when the course is missing).
 
@@ -38,18 +43,20 @@ def students_with_course(students: DataFrame, courses: DataFrame) -> DataFrame:
     all partitions instead of hashing every NULL to the same one.
     """
     c = _names(courses).withColumn("_one", F.lit(0).cast("bigint"))
-    spread = F.when(F.col("course_id").isNull(), F.col("id")).otherwise(F.lit(0).cast("bigint"))
-    s = students.withColumn("_spread", spread)
+    s = students.withColumn("_spread", _spread("course_id"))
     j = s.join(c, (s.course_id == c._course_key) & (s._spread == c._one), "left")
     return j.select(*[x for x in students.columns],
                     C.default_value("_course_name", C.NOT_AVAILABLE).alias("course_name"))
 
 
 def payments_with_names(payments: DataFrame, students: DataFrame, courses: DataFrame) -> DataFrame:
-    s = students.select(F.col("id").alias("_student_key"), F.col("name").alias("_student_name"))
-    c = _names(courses)
-    j = (payments.join(s, payments.student_id == s._student_key, "left")
-         .join(c, payments.course_id == c._course_key, "left"))
+    """Payments plus student and course names; those without a student or course are spread as above."""
+    zero = F.lit(0).cast("bigint")
+    s = students.select(F.col("id").alias("_student_key"), F.col("name").alias("_student_name"), zero.alias("_one"))
+    c = _names(courses).withColumn("_naught", zero)
+    p = payments.withColumns({"_s": _spread("student_id"), "_c": _spread("course_id")})
+    j = (p.join(s, (p.student_id == s._student_key) & (p._s == s._one), "left")
+         .join(c, (p.course_id == c._course_key) & (p._c == c._naught), "left"))
     return j.select(*payments.columns,
                     C.default_value("_student_name", C.NOT_AVAILABLE).alias("student_name"),
                     C.default_value("_course_name", C.NOT_AVAILABLE).alias("course_name"),

@@ -143,10 +143,10 @@ def recent_activity(audit_log: DataFrame, n: int = 10) -> DataFrame:
 def screenshot_review(screenshots: DataFrame, as_of) -> DataFrame:
     """Files awaiting verification per type: count, total size, oldest upload, max age in days.
 
-    The stored table has no size; where no ``file_size`` was joined in, the total is 0.
+    The stored table has no size; where no ``file_size`` was joined in, the total is unknown (NULL).
     """
     if "file_size" not in screenshots.columns:
-        screenshots = screenshots.withColumn("file_size", F.lit(0).cast("bigint"))
+        screenshots = screenshots.withColumn("file_size", F.lit(None).cast("bigint"))
     pend = screenshots.filter(F.col("verification_status") == "pending")
     ts = C._ts_lit(as_of)
     return (pend.groupBy("screenshot_type")

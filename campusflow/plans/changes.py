@@ -12,6 +12,7 @@ from campusflow.session import checkpoint_dir
 from campusflow.sources import files as Fs
 from campusflow.sources import filewise as Ft
 from campusflow.sources.adapters import Academy
+from campusflow.streaming import jobs as J
 
 _SPLIT_TS = "2024-01-15 00:00:00"
 
@@ -259,6 +260,20 @@ def q_append_keep_last_n(spark, sf_dir):
     return out.select("id", "user_id", *_ntz("timestamp"), "action")
 
 
+@query("append_log_stored", """
+SELECT id, user_id, "timestamp", action FROM (
+  SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY "timestamp" DESC, id DESC) AS rn
+  FROM audit_log) WHERE rn <= 10
+""")
+def q_append_log_stored(spark, sf_dir):
+    """The written log, appended to and trimmed in two versions."""
+    log = Academy(spark, sf_dir).audit_log.select("id", "user_id", "timestamp", "action")
+    split, root = F.to_timestamp(F.lit(_SPLIT_TS)), _scratch(spark, "log")
+    for number, part in enumerate((F.col("timestamp") < split, F.col("timestamp") >= split)):
+        J.append_log(log.filter(part), root, "user_id", "timestamp", "id", f"log-{number}", 10)
+    return J.read_log(spark, root).select("id", "user_id", *_ntz("timestamp"), "action")
+
+
 @query("import_admissions", ADMIT_SQL)
 def q_import_admissions(spark, sf_dir):
     """The same forms uploaded as CSV: read as text, rows that do not fit the columns set aside, the

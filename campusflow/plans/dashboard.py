@@ -5,6 +5,8 @@ from __future__ import annotations
 from campusflow.operators import stats
 from campusflow.plans.registry import AS_OF_SALES, query
 from campusflow.sources.adapters import Academy
+from campusflow.sources.store import stored_once, write_by_month
+from campusflow.sources.tables import scan_table
 
 
 @query("dashboard_stats", f"""
@@ -52,12 +54,7 @@ WHERE payment_date >= date_trunc('month', DATE '{AS_OF_SALES[:10]}')
   AND payment_date < date_trunc('month', DATE '{AS_OF_SALES[:10]}') + INTERVAL 1 MONTH
 """)
 def q_monthly_revenue_pruned(spark, sf_dir):
-    """Monthly revenue over payments stored partitioned by month: one directory is read."""
-    import uuid
-
-    from campusflow.session import checkpoint_dir
-    from campusflow.sources.store import write_by_month
-    from campusflow.sources.tables import scan_table
-    path = f"{checkpoint_dir(spark).rstrip('/')}/payments-by-month-{uuid.uuid4().hex}"
-    write_by_month(Academy(spark, sf_dir).payments, path, "payment_date")
+    """Monthly revenue over payments stored partitioned by month (written once per source): one directory is read."""
+    payments = Academy(spark, sf_dir).payments
+    path = stored_once(payments, "payments-by-month", lambda p: write_by_month(payments, p, "payment_date"))
     return stats.monthly_revenue(scan_table(spark, path), AS_OF_SALES)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from campusflow.operators import reports as R
 from campusflow.plans.registry import AS_OF_SALES, query
 from campusflow.sources.adapters import Academy
+from campusflow.sources.store import bucketed_once
 
 _D = AS_OF_SALES[:10]
 
@@ -155,19 +156,10 @@ LEFT JOIN (SELECT student_id, sum(amount) FILTER (WHERE payment_status = 'paid')
            FROM payments GROUP BY student_id) p ON s.id = p.student_id
 """)
 def q_student_stats_bucketed(spark, sf_dir):
-    """student_stats over tables bucketed on the student key: no exchange before the joins."""
-    import uuid
-
-    from campusflow.operators.layout import materialize
-    from campusflow.sources.store import write_bucketed
+    """student_stats over tables bucketed on the student key (written once per source): no exchange before the joins."""
     a = Academy(spark, sf_dir)
-    tag = uuid.uuid4().hex[:12]
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    names = {t: f"cf_{t}_{tag}" for t in ("students", "enrollments", "payments")}
-    s = write_bucketed(a.students, names["students"], "id", buckets)
-    e = write_bucketed(a.enrollments, names["enrollments"], "student_id", buckets)
-    p = write_bucketed(a.payments, names["payments"], "student_id", buckets)
-    out = materialize(R.student_stats(s, e, p))
-    for name in names.values():
-        spark.sql(f"DROP TABLE {name}")
-    return out
+    s = bucketed_once(a.students, "students", "id", buckets)
+    e = bucketed_once(a.enrollments, "enrollments", "student_id", buckets)
+    p = bucketed_once(a.payments, "payments", "student_id", buckets)
+    return R.student_stats(s, e, p)

@@ -11,9 +11,15 @@
 
 from __future__ import annotations
 
+import hashlib
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from campusflow.session import checkpoint_dir
+from campusflow.sources import manifest as Mf
+
 MONTH_COLUMNS = {"payment_date": "payment_month", "enrollment_date": "enrollment_month"}
 
 
@@ -48,3 +54,40 @@ def month_filter(df: DataFrame, date_col: str, lo, hi) -> DataFrame:
     if month and month in df.columns:
         out = out.filter((F.col(month) >= F.trunc(lo, "MM")) & (F.col(month) < hi))
     return out
+
+
+def stored_once(source: DataFrame, name: str, write) -> str:
+    """The folder of a layout of ``source``, written by ``write(path)`` unless one of the same files is there.
+
+    The folder's name has a hash of the source's files with their sizes and times, so a changed source gets a layout of
+    its own; a layout counts once its manifest is in place, so one that was not finished is written again.
+    """
+    spark = source.sparkSession
+    facts = []
+    for path in sorted(source.inputFiles()):
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        status = target.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(target)
+        facts.append((path, status.getLen(), status.getModificationTime()))
+    root = f"{checkpoint_dir(spark).rstrip('/')}/layout-{name}-{hashlib.md5(repr(facts).encode()).hexdigest()}"
+    if not Mf.versions(spark, root):
+        Mf.delete_path(spark, f"{root}/data")
+        write(f"{root}/data")
+        Mf.commit(spark.createDataFrame([("data",)], "path string"), root, 0)
+    return f"{root}/data"
+
+
+def bucketed_once(source: DataFrame, table: str, key: str, buckets: int) -> DataFrame:
+    """``source`` as an external table bucketed on ``key``, written once (see ``stored_once``) and registered if need be."""
+    spark = source.sparkSession
+    scratch = f"cf_write_{uuid.uuid4().hex[:12]}"
+
+    def write(path):
+        write_bucketed(source, scratch, key, buckets, path)
+        spark.sql(f"DROP TABLE {scratch}")  # external: the files stay
+    path = stored_once(source, f"{table}-{key}-{buckets}", write)
+    name = f"cf_{table}_{hashlib.md5(path.encode()).hexdigest()[:12]}"
+    if not spark.catalog.tableExists(name):
+        columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields)
+        spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({columns}) USING parquet "
+                  f"CLUSTERED BY (`{key}`) SORTED BY (`{key}`) INTO {buckets} BUCKETS LOCATION '{path}'")
+    return spark.table(name)

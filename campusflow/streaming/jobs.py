@@ -185,3 +185,26 @@ def stream_audit(events: DataFrame, sink: str, checkpoint: str):
                         F.lit("academy").alias("plugin"), F.lit("1.0.0").alias("version"))
     return (log.writeStream.format("parquet").option("path", sink)
             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+
+
+def append_log(new: DataFrame, root: str, keys, ts: str, tiebreak: str, writer: str, n: int = 10) -> None:
+    """Append rows to the stored log at ``root`` and trim it to the newest ``n`` per key, as one version.
+
+    ``writer`` names the batch: a replay makes its version again from the one before.  The log is small by its bound, so
+    it is written whole; versions before the last are removed.
+    """
+    spark = new.sparkSession
+    before, version = Mf.base_of(spark, root, writer)
+    if before is not None:
+        entry = Mf.manifest(spark, root, before).first()
+        log = Ch.append_keep_last_n(spark.read.parquet(f"{root}/{entry['path']}"), new, keys, ts, tiebreak, n)
+    else:
+        log = Ch.keep_last_n(new, keys, ts, tiebreak, n)
+    log.write.mode("overwrite").parquet(f"{root}/data/{writer}")
+    Mf.commit(spark.createDataFrame([(f"data/{writer}", writer)], "path string, writer string"), root, version)
+    Mf.retire(spark, root, KEEP_VERSIONS)
+
+
+def read_log(spark: SparkSession, root: str) -> DataFrame:
+    entry = Mf.manifest(spark, root, Mf.versions(spark, root)[-1]).first()
+    return spark.read.parquet(f"{root}/{entry['path']}")

@@ -102,6 +102,7 @@ def test_mixed_sort(spark):
 
 def test_sanitize_and_intval(spark):
     assert one_col(spark, ["  <b>Ann</b>\n  Lee  "], C.sanitize_text) == ["Ann Lee"]
+    assert one_col(spark, ["A\x00n\x1bn\x7f\tL\x0bee"], C.sanitize_text) == ["Ann L ee"]
     assert one_col(spark, [" Ann@Example.COM "], C.sanitize_email) == ["ann@example.com"]
     assert one_col(spark, ["not mail"], C.sanitize_email) == [""]
     assert one_col(spark, ["12abc", " 7 ", "x", None], C.to_int) == [12, 7, 0, 0]

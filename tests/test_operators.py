@@ -277,7 +277,23 @@ def test_screenshot_review_reads_its_own_schema(spark):
     from campusflow.operators import reports as R
     row = (1, 2, "face", "p", dt.datetime(2024, 1, 1), "pending", None)
     out = R.screenshot_review(spark.createDataFrame([row], schemas.SCREENSHOTS), "2024-02-01 00:00:00").first()
-    assert (out.files, out.total_bytes, out.max_age_days) == (1, 0, 31)
+    assert (out.files, out.total_bytes, out.total_size, out.max_age_days) == (1, None, None, 31)
+
+
+def test_payments_without_student_or_course_are_spread(spark):
+    rows = [(i, 1 if i % 3 else None, 5 if i % 2 else None, None) for i in range(300)]
+    payments = spark.createDataFrame(rows, "id long, student_id long, course_id long, reference_number string")
+    students = spark.createDataFrame([(1, "Ann")], "id long, name string")
+    courses = spark.createDataFrame([(5, "Maths")], "id long, course_name string")
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, -1)
+    try:
+        out = Lst.payments_with_names(payments, students, courses)
+        got = {r.id: (r.student_name, r.course_name) for r in out.collect()}
+    finally:
+        spark.conf.set(key, before)
+    assert got == {i: ("Ann" if s else "N/A", "Maths" if c else "N/A") for i, s, c, _ in rows}
 
 
 def test_required_fields_are_trimmed_of_all_white_space(spark):

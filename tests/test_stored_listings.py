@@ -122,3 +122,42 @@ def test_snapshots_are_read_by_version(spark):
     assert Fs.read_snapshot(spark, root, "students", 0).first().export_date.day == 3
     with pytest.raises(KeyError):
         Fs.read_snapshot(spark, root, "payments")
+
+
+# --- layouts written once, logs that are trimmed
+
+def test_a_layout_is_written_once_per_source(spark, tmp_path):
+    from campusflow.sources import store
+    source = str(tmp_path / "rows")
+    spark.range(100).selectExpr("id", "id % 7 AS student_id").write.parquet(source)
+    written = []
+
+    def frame():
+        return spark.read.parquet(source)
+
+    def write(path):
+        written.append(path)
+        frame().write.parquet(path)
+    first = store.stored_once(frame(), "rows", write)
+    assert store.stored_once(frame(), "rows", write) == first and len(written) == 1
+    tables = [store.bucketed_once(frame(), "rows", "student_id", 4) for _ in range(2)]
+    assert sorted(r.id for r in tables[1].collect()) == list(range(100))
+    plan = tables[0].groupBy("student_id").count()._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+    spark.range(100, 105).selectExpr("id", "id % 7 AS student_id").write.mode("append").parquet(source)
+    assert store.stored_once(frame(), "rows", write) != first and len(written) == 2
+    assert store.bucketed_once(frame(), "rows", "student_id", 4).count() == 105
+
+
+def test_a_stored_log_keeps_the_last_rows_of_each_key(spark):
+    from campusflow.operators import changes as Ch
+    from campusflow.streaming import jobs as J
+    root, rnd = _scratch(spark, "log"), random.Random(5)
+    rows = [(i, rnd.choice(["a", "b", None]), rnd.randint(0, 50)) for i in range(120)]
+    frame = lambda part: spark.createDataFrame(part, "id long, user string, at int")
+    for step, low in enumerate(range(0, 120, 40)):
+        for _ in range(2):  # the second is a replay
+            J.append_log(frame(rows[low: low + 40]), root, "user", "at", "id", f"log-{step}", n=10)
+    want = Ch.keep_last_n(frame(rows), "user", "at", "id", 10)
+    assert sorted(J.read_log(spark, root).collect(), key=lambda r: r.id) == sorted(want.collect(), key=lambda r: r.id)
+    assert len(Mf.versions(spark, root)) == 2
