@@ -1,8 +1,11 @@
 """Quality rules with host-level verdicts.
 
-Base rules judge each document from its text.  Their failures are then counted per host, the hosts'
-failure rates are shrunk by a beta prior fitted to all hosts (empirical Bayes, method of moments), and
-the documents of a host whose shrunk rate is above ``max_host_rate`` are rejected as well.
+Rules judge each document from its text: the two base rules (too few words, repeated words), by which a document
+fails, and two that tell of a host only (symbols, repeated lines).  Each rule's failures are counted per host.  To
+each rule a beta prior is fitted over the hosts' rates (empirical Bayes, by the method of moments, every host the same
+weight, so that a hot one cannot shift it), and the hosts' rates are shrunk by it.  A host is bad when for some rule
+even the lower end of its rate (the posterior mean less two standard deviations) is more than ``factor`` times the
+prior mean; its documents are rejected as well.
 
 Only built-in functions.  Judging checkpoints the verdicts between its two passes; filtering reads the texts
 twice instead of storing them.  The only shuffle is one row per host and task.
@@ -23,6 +26,11 @@ SYMBOLS = "#*$%&|<>"
 WINDOW = 8
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
+#: The rules that tell of a host only: more symbols than these per 100 words, more repeated lines than these.
+MAX_SYMBOL_PERCENT, MAX_LINE_PERCENT = 10, 3
+RULES = ("short", "repeated", "symbols", "lines")
+#: How many times the prior mean a host's rate must surely be, and the deviations that are taken off to be sure.
+FACTOR, DEVIATIONS = 3.0, 2.0
 #: Bad hosts up to which the list of them is broadcast.
 BROADCAST_HOSTS = 10_000
 
@@ -92,8 +100,16 @@ def base_columns(text: Column) -> dict[str, Column]:
     }
 
 
+def failures(n_words: Column, n_symbols: Column, n_dup_lines: Column, n_repeat_words: Column) -> dict[str, Column]:
+    """Whether a text fails each of RULES."""
+    return dict(zip(RULES, (n_words < MIN_WORDS, 100 * n_repeat_words > MAX_REPEAT_PERCENT * n_words,
+                            100 * n_symbols > MAX_SYMBOL_PERCENT * n_words, 100 * n_dup_lines > MAX_LINE_PERCENT * n_words)))
+
+
 def base_failed(n_words: Column, n_repeat_words: Column) -> Column:
-    return (n_words < MIN_WORDS) | (100 * n_repeat_words > MAX_REPEAT_PERCENT * n_words)
+    zero = F.lit(0)
+    rules = failures(n_words, zero, zero, n_repeat_words)
+    return rules["short"] | rules["repeated"]
 
 
 def failed_text(text: Column) -> Column:
@@ -101,60 +117,76 @@ def failed_text(text: Column) -> Column:
     return let(words_of(text), lambda w: base_failed(F.size(w), F.coalesce(repeat_words(w), F.lit(0))))
 
 
-def beta_prior(rates: DataFrame) -> tuple[float, float]:
-    """(alpha, beta) of the hosts' failure rates by moments; ``rates`` has n and failed per host.
+def beta_priors(rates: DataFrame) -> dict[str, tuple[float, float]]:
+    """{rule: (mean, strength)} of the hosts' failure rates by moments; ``rates`` has n and the failures per host.
 
     The spread between hosts is the variance of the rates less what drawing n documents explains;
     without such spread the prior is worth as much as all documents together.
     """
-    p = F.col("failed") / F.col("n")
-    row = rates.agg(F.sum("n").alias("n"), F.sum("failed").alias("f"), F.count("*").alias("hosts"),
-                    F.sum(1 / F.col("n")).alias("inverse"), F.avg(p).alias("mean"),
-                    F.var_pop(p).alias("var")).first()
-    if not row["n"]:
-        return 1.0, 1.0
-    mean = min(max(row["f"] / row["n"], 0.5 / (row["n"] + 1)), 1 - 0.5 / (row["n"] + 1))
-    noise = mean * (1 - mean) * row["inverse"] / row["hosts"]
-    between = row["var"] - noise
-    strength = mean * (1 - mean) / between - 1 if between > 0 else math.inf
-    strength = min(max(strength, 1.0), float(row["n"]))
-    return mean * strength, (1 - mean) * strength
-
-
-def failing_hosts(verdicts: DataFrame, host: str, failed: str, max_host_rate: float) -> DataFrame:
-    """(bad_host, host_rate): hosts whose shrunk failure rate is above the limit; null is no host."""
+    p = {r: F.col(r) / F.col("n") for r in RULES}
+    row = rates.agg(F.sum("n").alias("n"), F.count("*").alias("hosts"), F.sum(1 / F.col("n")).alias("inverse"),
+                    *[F.avg(x).alias(f"{r}_mean") for r, x in p.items()],
+                    *[F.var_pop(x).alias(f"{r}_var") for r, x in p.items()]).first()
+    out = {}
+    for r in RULES if row["n"] else ():
+        mean = min(max(row[f"{r}_mean"], 0.5 / (row["n"] + 1)), 1 - 0.5 / (row["n"] + 1))
+        between = row[f"{r}_var"] - mean * (1 - mean) * row["inverse"] / row["hosts"]
+        strength = mean * (1 - mean) / between - 1 if between > 0 else math.inf
+        out[r] = mean, min(max(strength, 1.0), float(row["n"]))
+    return out
+
+
+def failing_hosts(verdicts: DataFrame, host: str, factor: float = FACTOR) -> DataFrame:
+    """(bad_host, bad_rule): hosts that some rule finds bad, with the first such rule; null is no host.
+
+    ``verdicts`` has a boolean column per rule.
+    """
     rates = persisted(verdicts.filter(F.col(host).isNotNull()).groupBy(F.col(host).alias("bad_host"))
-                      .agg(F.count("*").alias("n"), F.sum(F.col(failed).cast("long")).alias("failed")))
-    alpha, beta = beta_prior(rates)
-    rate = (F.col("failed") + F.lit(alpha)) / (F.col("n") + F.lit(alpha + beta))
-    return rates.select("bad_host", rate.alias("host_rate")).filter(F.col("host_rate") > max_host_rate)
+                      .agg(F.count("*").alias("n"), *[F.sum(F.col(r).cast("long")).alias(r) for r in RULES]))
+    rule = F.lit(None).cast("string")
+    for r, (mean, strength) in reversed(beta_priors(rates).items()):
+        rate = (F.col(r) + F.lit(mean * strength)) / (F.col("n") + F.lit(strength))
+        least = rate - DEVIATIONS * F.sqrt(rate * (1 - rate) / (F.col("n") + F.lit(strength + 1)))
+        rule = F.when(least > F.lit(factor * mean), F.lit(r)).otherwise(rule)
+    return rates.select("bad_host", rule.alias("bad_rule")).filter("bad_rule is not null")
+
+
+def _statistics(docs: DataFrame, text: str, *keep: Column) -> DataFrame:
+    cols = base_columns(F.col(text))
+    words = cols.pop("_words")
+    d = docs.select(*keep, words.alias("w"), *[c.alias(n) for n, c in cols.items()])
+    return d.select(*[c for c in d.columns if c not in ("w", *cols)], F.col("w.n").alias("n_words"), *cols,
+                    F.col("w.r").alias("n_repeat_words"))
+
+
+def _with_rules(stats: DataFrame) -> DataFrame:
+    return stats.withColumns(failures(*[F.col(c) for c in ("n_words", "n_symbols", "n_dup_lines", "n_repeat_words")]))
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source",
-          max_host_rate: float = 0.5) -> DataFrame:
-    """One row per input row: the id, the base statistics, ``base_failed`` and ``kept``.
+          factor: float = FACTOR) -> DataFrame:
+    """One row per input row: the id, the base statistics, ``base_failed``, ``kept`` and ``host_rule`` (the rule by
+    which the row's host is bad, else null).
 
     Null texts count as empty (and fail), rows without a host are judged by the base rules alone,
     repeated rows are judged each, columns besides the three are ignored, an empty table gives no rows.
     """
     d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("t"), F.col(host_col).alias("h"))
-    cols = base_columns(F.col("t"))
-    words = cols.pop("_words")
-    stats = d.select("doc_id", "h", words.alias("w"), *[c.alias(n) for n, c in cols.items()]).select(
-        "doc_id", "h", F.col("w.n").alias("n_words"), *cols, F.col("w.r").alias("n_repeat_words"))
-    stats = stats.withColumn("base_failed", base_failed(F.col("n_words"), F.col("n_repeat_words")))
-    stats = persisted(stats)
-    hosts = failing_hosts(stats, "h", "base_failed", max_host_rate)
+    stats = _statistics(d, "t", F.col("doc_id"), F.col("h"))
+    stats = persisted(stats.withColumn("base_failed", base_failed(F.col("n_words"), F.col("n_repeat_words"))))
+    hosts = failing_hosts(_with_rules(stats), "h", factor)
     out = stats.join(hosts, F.col("h") == F.col("bad_host"), "left")
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
-                      (~F.col("base_failed") & F.col("host_rate").isNull()).alias("kept"))
+                      (~F.col("base_failed") & F.col("bad_rule").isNull()).alias("kept"),
+                      F.col("bad_rule").alias("host_rule"))
 
 
 def keep_documents(docs: DataFrame, text_col: str = "text", host_col: str = "source",
-                   max_host_rate: float = 0.5) -> DataFrame:
+                   factor: float = FACTOR) -> DataFrame:
     """The rows of ``docs`` that ``judge`` keeps, with all their columns."""
     failed = failed_text(F.col(text_col))
-    hosts = failing_hosts(docs.select(F.col(host_col).alias("h"), failed.alias("failed")), "h", "failed", max_host_rate)
+    d = docs.select(F.col(text_col).alias("t"), F.col(host_col).alias("h"))
+    hosts = failing_hosts(_with_rules(_statistics(d, "t", F.col("h"))), "h", factor)
     name = free_name(docs, "bad_host")
     hosts = hosts.select(F.col("bad_host").alias(name))
     # few bad hosts go to every task; beyond that many both sides are shuffled by host

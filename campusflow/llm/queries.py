@@ -46,14 +46,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
                      coalesce(r, 0) AS n_repeat_words,
                      len(words) < 20 OR 100 * coalesce(r, 0) > 30 * len(words) AS base_failed
               FROM w LEFT JOIN cov USING (rid)),
-    h AS (SELECT source, count(*) AS n, sum(base_failed::INT) AS f FROM stats WHERE source IS NOT NULL GROUP BY source),
-    total AS (SELECT sum(n) AS n, sum(f) AS f, count(*) AS hosts, sum(1.0::DOUBLE / n) AS inv, var_pop(f / n) AS v FROM h),
-    m AS (SELECT *, least(greatest(f / n, 0.5 / (n + 1)), 1 - 0.5 / (n + 1)) AS mean FROM total),
-    prior AS (SELECT mean, least(greatest(CASE WHEN v - mean * (1 - mean) * inv / hosts > 0
-                  THEN mean * (1 - mean) / (v - mean * (1 - mean) * inv / hosts) - 1 ELSE 1e300 END, 1), n) AS strength FROM m)
+    h AS (SELECT source, count(*) AS n, sum((n_words < 20)::INT) AS f1, sum((100 * n_repeat_words > 30 * n_words)::INT) AS f2,
+                 sum((100 * n_symbols > 10 * n_words)::INT) AS f3, sum((100 * n_dup_lines > 3 * n_words)::INT) AS f4
+          FROM stats WHERE source IS NOT NULL GROUP BY source),
+    each AS (SELECT source, n, r, CASE r WHEN 1 THEN f1 WHEN 2 THEN f2 WHEN 3 THEN f3 ELSE f4 END AS f FROM h, range(1, 5) AS t(r)),
+    total AS (SELECT r, sum(n) AS n, count(*) AS hosts, sum(1.0::DOUBLE / n) AS inv, avg(f / n) AS a, var_pop(f / n) AS v
+              FROM each GROUP BY r),
+    m AS (SELECT *, least(greatest(a, 0.5 / (n + 1)), 1 - 0.5 / (n + 1)) AS mean FROM total),
+    prior AS (SELECT r, mean, least(greatest(CASE WHEN v - mean * (1 - mean) * inv / hosts > 0
+                  THEN mean * (1 - mean) / (v - mean * (1 - mean) * inv / hosts) - 1 ELSE 1e300 END, 1), n) AS strength FROM m),
+    shrunk AS (SELECT source, r, mean, n + strength AS worth, (f + mean * strength) / (n + strength) AS rate FROM each JOIN
+               (SELECT r, mean, strength FROM prior) USING (r)),
+    bad AS (SELECT source, min(r) AS r FROM shrunk WHERE rate - 2 * sqrt(rate * (1 - rate) / (worth + 1)) > 3 * mean GROUP BY source)
     SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-           NOT base_failed AND coalesce((f + mean * strength) / (n + strength) <= 0.5, true) AS kept
-    FROM stats LEFT JOIN h USING (source), prior""")
+           NOT base_failed AND r IS NULL AS kept,
+           CASE r WHEN 1 THEN 'short' WHEN 2 THEN 'repeated' WHEN 3 THEN 'symbols' WHEN 4 THEN 'lines' END AS host_rule
+    FROM stats LEFT JOIN bad USING (source)""")
 def op8(spark, sf_dir):
     return host_rules.judge(table(spark, sf_dir, "documents"))
 
