@@ -33,11 +33,11 @@ def _signatures(words: int, rows: int, bands: int):
             hashes, counts = word_shingles(texts, words)
             keys, minima = set_ids(hashes, counts), min_hashes(hashes, counts, max(rows * bands, SKETCH))
             yield pa.RecordBatch.from_arrays(
-                [ids, pc.if_else(pa.array(counts == 0), pa.scalar(None, pa.binary()), binary_column(keys)), pa.array(np.ascontiguousarray(keys[:, 0]).view(np.int64)),
+                [ids, batch.column("version"), pc.if_else(pa.array(counts == 0), pa.scalar(None, pa.binary()), binary_column(keys)), pa.array(np.ascontiguousarray(keys[:, 0]).view(np.int64)),
                  pa.array(counts.astype(np.int64)),
                  list_column(band_keys(minima, rows, bands)),
                  binary_column(minima[:, :SKETCH].astype(np.uint8))],
-                ["doc_id", "id", "node", "size", "bands", "sketch"])
+                ["doc_id", "version", "id", "node", "size", "bands", "sketch"])
     return sign
 
 
@@ -53,21 +53,29 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     rows, bands = choose_bands(threshold, recall, MAX_HASHES)
     number = F.col(id_col).cast("long")
-    d = docs.select(number.alias("doc_id"), F.when(number.isNotNull(), F.col(text_col)).alias("text"))
-    signed = persisted(d.mapInArrow(_signatures(words, rows, bands), "doc_id long, id binary, node long, size long, "
+    # rows that repeat an id are told apart by a hash of the text
+    d = docs.select(number.alias("doc_id"), F.xxhash64(F.col(text_col)).alias("version"),
+                    F.when(number.isNotNull(), F.col(text_col)).alias("text"))
+    signed = persisted(d.mapInArrow(_signatures(words, rows, bands), "doc_id long, version long, id binary, node long, size long, "
                                     "bands array<long>, sketch binary"))
     filled = signed.filter(F.col("id").isNotNull())
-    classes = persisted(filled.groupBy("id").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")))
-    # one row per class: that of its first document (further rows of its number are recognised when verified)
-    firsts = (filled.join(classes.select(F.col("rep").alias("r"), F.col("id").alias("i")),
-                          (F.col("doc_id") == F.col("r")) & (F.col("id") == F.col("i")), "left_semi"))
+    classes = persisted(filled.groupBy("id").agg(F.min("doc_id").alias("rep"), F.min(F.struct("doc_id", "version")).alias("place"),
+                                                 F.count("*").alias("copies")))
+    # one row per class: that of its first document and text
+    firsts = (filled.join(classes.select(F.col("place").alias("r"), F.col("id").alias("i")),
+                          (F.struct("doc_id", "version") == F.col("r")) & (F.col("id") == F.col("i")), "left_semi")
+              .groupBy("id").agg(*[F.first(c).alias(c) for c in ("doc_id", "version", "node", "size", "bands", "sketch")]))
     components = persisted(candidate_components(firsts.select("node", "bands", "sketch"), threshold, SKETCH))
-    members = (firsts.select("id", "node", F.col("doc_id").alias("rep"), "size")
+    members = (firsts.select("id", "node", F.struct("doc_id", "version").alias("place"), "size")
                .join(components.withColumnRenamed("node", "n"), F.col("node") == F.col("n"))
                .join(classes.select(F.col("id").alias("i"), F.col("copies").alias("weight")), F.col("id") == F.col("i"))
-               .select("component", "id", "rep", "weight", (F.col("size") * 8).alias("size")).distinct())
-    texts = d.select(F.col("doc_id").alias("rep"), F.col("text").alias("payload")).filter("rep is not null")
-    links = verified_links(members, texts, "rep", partial(word_shingles, n=words), threshold)
+               .select("component", "id", "place", "weight", (F.col("size") * 8).alias("size")))
+    members = persisted(members)
+    # each wanted text once, however many rows repeat its id and text
+    wanted = members.select(F.col("place").alias("w")).distinct()
+    texts = (d.filter("doc_id is not null").select(F.struct("doc_id", "version").alias("place"), F.col("text").alias("payload"))
+             .join(wanted, F.col("place") == F.col("w"), "left_semi").groupBy("place").agg(F.first("payload").alias("payload")))
+    links = verified_links(members, texts, "place", partial(word_shingles, n=words), threshold)
     counts = links.filter("other is null").groupBy("id").agg(F.sum("links").alias("links"))
     groups = connected_components(links.filter("other is not null"), "id", "other")
     grouped = persisted(groups.withColumnRenamed("node", "g").join(
