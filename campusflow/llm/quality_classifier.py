@@ -115,15 +115,22 @@ def held_out(doc_id: Column) -> Column:
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
           label_col: str = "quality", sample: int = SAMPLE) -> Model:
-    """A model from at most ``sample`` labelled documents that are not held out."""
+    """A model from at most ``sample`` labelled documents that are not held out.
+
+    Rows that repeat an id and its text are one document; of documents that repeat an id with many texts, as many take
+    part as the bound leaves.  Labels that are null or neither 0 nor 1 do not count.
+    """
     known = (labels.select(F.col(id_col).cast("long").alias("labelled"), F.col(label_col).cast("double").alias("label"))
              .filter("labelled is not null and label in (0, 1)").filter(~held_out(F.col("labelled")))
              .orderBy(F.xxhash64("labelled"), "labelled", "label").limit(sample))
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    rows = d.join(F.broadcast(known), F.col("doc_id") == F.col("labelled"))  # at most ``sample`` rows
+    rows = d.join(F.broadcast(known), F.col("doc_id") == F.col("labelled"))  # ``known`` is bounded by ``sample``
+    version = F.xxhash64("text").alias("version")
+    rows = rows.select("doc_id", "label", version, statistics(F.col("text")).alias("stats")).groupBy(
+        "doc_id", "label", "version").agg(F.first("stats").alias("stats"))
+    rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "label", "version").limit(sample)
     # one bounded, ordered partition: the fit does not depend on how the table is cut
-    rows = rows.select("doc_id", "label", statistics(F.col("text")).alias("stats"))
-    return fit(persisted(rows.repartition(1).sortWithinPartitions("doc_id", "label").select("label", "stats")))
+    return fit(persisted(rows.repartition(1).sortWithinPartitions("doc_id", "label", "version").select("label", "stats")))
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
