@@ -1,6 +1,7 @@
 """WARC archives as a Spark data source: ``spark.read.format("warc")`` and ``df.write.format("warc")``.
 
-Archives are ``*.warc.gz`` files with one gzip member per record.  The reader cuts files into byte ranges; a
+Archives are ``*.warc.gz`` files with a gzip member per record (or for a few); uncompressed ``*.warc`` files and
+damaged records are errors, other files are not read.  The reader cuts files into byte ranges; a
 task looks for gzip magic from the start of its range, takes a member as real once it decodes to a WARC header,
 and owns the records that start inside its range (the last may end beyond it).  The writer's tasks write under
 ``_temporary`` and only the files of tasks that the job committed are moved into place, so that lost executors
@@ -86,7 +87,10 @@ def decode_record(raw: bytes) -> tuple:
     if not cut or not head.startswith(b"WARC/"):
         raise ValueError("not a WARC record")
     fields = _fields(head)
-    block = rest[: int(fields.get("content-length", 0))]
+    length = int(fields.get("content-length", 0))
+    block = rest[:length]
+    if len(block) < length:
+        raise ValueError(f"record {fields.get('warc-record-id')} is shorter than it says")
     uri, kind = fields.get("warc-target-uri"), fields.get("warc-type")
     uri = re.sub(r"%([01][0-9A-F]|20|25|7F)", lambda m: chr(int(m.group(1), 16)), uri) if uri is not None else None
     stated = fields.get("warc-payload-digest", "").removeprefix("sha1:")
@@ -104,26 +108,45 @@ def decode_record(raw: bytes) -> tuple:
             stated, size, payload)
 
 
+def _after(raw: bytes) -> bytes:
+    """What follows the first record of a decompressed member, if that is another one."""
+    head, _, rest = raw.partition(b"\r\n\r\n")
+    return rest[int(_fields(head).get("content-length", 0)):].lstrip(b"\r\n")
+
+
 def _member(file, offset: int, least: bytes = b"") -> tuple[bytes, int] | None:
-    """(content, end) of the gzip member at ``offset``; None if none is there or it does not begin with ``least``."""
+    """(content, end) of the gzip member at ``offset``; None if none is there or it does not begin with ``least``.
+
+    A member that begins with ``least`` and then breaks off or does not decode is damaged: that is an error.
+    """
     file.seek(offset)
-    unpacker, out, read = zlib.decompressobj(31), [], 0
+    unpacker, out, read, found = zlib.decompressobj(31), b"", 0, not least
+    parts = []
     try:
         while not unpacker.eof:
             chunk = file.read(READ_BYTES)
             if not chunk:
-                return None
+                break
             read += len(chunk)
-            out.append(unpacker.decompress(chunk))
-            if least:
-                begun = b"".join(out)
-                if not begun.startswith(least[: len(begun)]):
+            while not found and not unpacker.eof:  # a few bytes at a time, so that what comes before a fault is seen
+                step = unpacker.decompress(chunk, len(least) - len(out))
+                out, chunk = out + step, unpacker.unconsumed_tail
+                if not least.startswith(out):
                     return None
-                if len(begun) >= len(least):
-                    least = b""
-        return b"".join(out), offset + read - len(unpacker.unused_data)
-    except zlib.error:
+                found = out == least
+                if not step and not chunk:
+                    break
+            if found and not unpacker.eof:
+                parts.append(unpacker.decompress(chunk))
+    except zlib.error as fault:
+        if found and least:
+            raise ValueError(f"damaged record at {offset}: {fault}") from fault
+        return None
+    if not unpacker.eof:
+        if found and least:
+            raise ValueError(f"damaged record at {offset}: the member breaks off")
         return None
+    return (out + b"".join(parts), offset + read - len(unpacker.unused_data)) if found else None
 
 
 def _next_magic(file, offset: int, end: int) -> int | None:
@@ -149,7 +172,9 @@ def read_range(file, start: int, end: int):
             offset += 1
             continue
         content, offset = found
-        yield decode_record(content)
+        while content:  # a member may hold several records
+            yield decode_record(content)
+            content = _after(content)
 
 
 class _Range(InputPartition):
@@ -164,6 +189,9 @@ class _Reader(DataSourceReader):
     def partitions(self):
         files, root = _filesystem(self.root)
         infos = files.get_file_info(pafs.FileSelector(root))
+        plain = [i.path for i in infos if i.is_file and i.path.endswith(".warc")]
+        if plain:
+            raise ValueError(f"only archives with a gzip member per record are read: {plain[0]}")
         infos = sorted((i for i in infos if i.is_file and i.path.endswith(".warc.gz")), key=lambda i: i.path)
         return [_Range(i.path, low, min(low + self.split, i.size))
                 for i in infos for low in range(0, i.size, self.split)]
