@@ -85,6 +85,28 @@ def test_host_rules_empty_and_clashing(spark):
     assert out.columns == frame(spark, []).columns and [r.doc_id for r in out.collect()] == [1]
 
 
+def test_host_rules_of_each_kind_and_repeated_rows(spark):
+    """A bad host of each rule among good ones; a host that has a third of all rows and does not stand out stays."""
+    words = " ".join(f"w{i}" for i in range(60))
+    symbols, lines = words + " " + "# " * 9, words + "\nsame line" * 4
+    texts = {"short": "short", "repeated": "a b c d e f g h " * 9, "symbols": symbols, "lines": lines}
+    rows = [(1000 * h + i, texts[list(texts)[i % 4]] if i < 4 else words, f"h{h}") for h in range(12) for i in range(60)]
+    rows += [(100_000 + i, "short" if i < 25 else words, "hot") for i in range(360)]
+    rows += [(200_000 + 1000 * k + i, bad if i < 45 else words, f"bad {name}")
+             for k, (name, bad) in enumerate(texts.items()) for i in range(60)]
+    rows += [(7, words, "bad symbols")] * 5 + [(8, words, None), (9, "short", "single"), (10, words, "h1")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = host_rules.judge(df).collect()
+    assert len(got) == len(rows)
+    found = {}
+    for (i, text, host), r in zip(sorted(rows, key=lambda r: r[0]), sorted(got, key=lambda r: r.doc_id)):
+        found.setdefault(host, set()).add(r.host_rule)
+        assert r.kept == (not r.base_failed and r.host_rule is None)
+    assert {h: f for h, f in found.items() if f != {None}} == {f"bad {n}": {n} for n in texts}
+    kept = Counter(r.doc_id for r in got if r.kept)
+    assert Counter(r.doc_id for r in host_rules.keep_documents(df).collect()) == kept
+
+
 # --- n-gram join
 
 def test_ngram_join_query(spark, sf_small, docs):
@@ -117,6 +139,16 @@ def test_ngram_join_edges(spark):
     assert sorted((r.doc_id or 0) for r in kept.collect()) == [0, 0, 1, 3]
 
 
+def test_ngram_join_one_id_on_many_texts(spark):
+    """Every row has the same id: rows are told apart by their texts, and their texts are compared once each."""
+    rows = [(5, t) for _, t in similar(60, seed=8)[:60]] + [(5, similar(60, seed=8)[0][1])] * 20
+    alone = [(i, t) for i, (_, t) in enumerate(rows)]
+    want = brute.similar_classes(alone)
+    got = sorted(r.n_links for r in ngram_join.similar_classes(frame(spark, rows)).collect())
+    assert got == sorted(n for _, n in want.values())
+    assert {r.class_id for r in ngram_join.similar_classes(frame(spark, rows)).collect()} == {5}
+
+
 def test_choose_bands():
     rows, bands = near.choose_bands(0.8, 0.9999, 192)
     assert rows * bands <= 192 and 1 - (1 - 0.8 ** rows) ** bands >= 0.9999

@@ -227,6 +227,46 @@ def test_reader_skips_magic_inside_records():
         assert found == [f"urn:page:{n}" for n in range(5)]
 
 
+def _records(n, size=40_000):
+    rng = random.Random(n)
+    rows = []
+    for i in range(n):
+        payload = bytes(rng.randrange(256) for _ in range(size))
+        rows.append(warc.encode_record({
+            "record_type": "response", "payload": payload, "payload_bytes": size, "refers_to": None, "record_id": f"urn:page:{i}",
+            "payload_digest": warc.base32_sha1(payload), "target_uri": None}, "1970-01-01T00:00:00Z"))
+    return rows
+
+
+def test_damaged_records_are_errors():
+    members = _records(3)
+    broken = bytearray(members[1])
+    broken[len(broken) // 2] ^= 0xFF
+    for data in (members[0] + bytes(broken) + members[2], members[0] + members[1][:-20_000], members[0] + members[1][:-3]):
+        for size in (30_000, len(data)):
+            with pytest.raises(ValueError, match="damaged|does not match"):
+                [r for low in range(0, len(data), size) for r in warc.read_range(io.BytesIO(data), low, min(low + size, len(data)))]
+
+
+def test_several_records_in_a_member():
+    import gzip
+    plain = [gzip.decompress(m) for m in _records(3, 100)]
+    data = gzip.compress(plain[0] + plain[1]) + gzip.compress(plain[2])
+    assert [r[0] for r in warc.read_range(io.BytesIO(data), 0, len(data))] == [f"urn:page:{i}" for i in range(3)]
+    with pytest.raises(ValueError, match="shorter"):
+        list(warc.read_range(io.BytesIO(gzip.compress(plain[0][:-50])), 0, 10_000))
+
+
+def test_plain_archives_are_refused(spark):
+    path = f"{checkpoint_dir(spark)}/plain-warc-{random.getrandbits(60)}"
+    files, root = warc._filesystem(path)
+    files.create_dir(root, recursive=True)
+    with files.open_output_stream(f"{root}/a.warc") as out:
+        out.write(b"WARC/1.1\r\n")
+    with pytest.raises(Exception, match="gzip member per record"):
+        warc.read_warc(spark, path).collect()
+
+
 # --- urls
 
 def test_url_parts_and_rules(spark):
@@ -277,6 +317,23 @@ def test_classifier_edges(spark):
     assert quality_classifier.score(df.limit(0), quality_classifier.Model(0.0, ())).count() == 0
 
 
+def test_classifier_with_a_hot_labelled_id(spark, monkeypatch):
+    """Rows that repeat a labelled id and text count once; many texts of an id are cut by the bound."""
+    seen = []
+    fit = quality_classifier.fit
+    monkeypatch.setattr(quality_classifier, "fit", lambda rows, **k: seen.append(rows.count()) or fit(rows, **k))
+    good = " ".join(f"word{i}" for i in range(200))
+    rows = [(1, good)] * 300 + [(3, f"{i} # {i} #") for i in range(50)] + [(4, good + " more"), (5, "a a a a")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    labels = spark.createDataFrame([(1, 1), (3, 0), (4, 1), (5, 0), (1, 1)], "doc_id long, quality int")
+    model = quality_classifier.train(df, labels, sample=40)
+    known = [i for i in (1, 3, 4, 5) if spark.range(1).select(~quality_classifier.held_out(F.lit(i))).first()[0]]
+    assert seen == [min(40, sum({1: 1, 3: 50, 4: 1, 5: 1}[i] for i in known))]
+    assert quality_classifier.score(df, model).count() == len(rows)
+    empty = quality_classifier.train(df.limit(0), labels)
+    assert {r.score for r in quality_classifier.score(df, empty).collect()} == {0.5}
+
+
 def test_tree_rules():
     text = "\n".join(["Tree", "  If (feature 0 <= 0.5)", "   If (feature 1 <= 2.0)", "    Predict: 0.0",
                       "   Else (feature 1 > 2.0)", "    Predict: 1.0", "  Else (feature 0 > 0.5)", "   Predict: 1.0"])
