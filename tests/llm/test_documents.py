@@ -231,11 +231,15 @@ def test_pii_random_texts(spark):
     assert got == Counter((i, *brute.pii_digest(t)) for i, t in rows)
 
 
+def spans_of(spark, rows):
+    return {r.doc_id: r.spans for r in pii.find_spans(frame(spark, rows)).collect()}
+
+
 def test_pii_patterns_find_unknown_identifiers(spark):
     rows = [(i, f"write to contact a{i}@x.de or contact b{i}@x.de") for i in range(40)]
     rows += [(100, "😀 contact (AB-7712)."), (101, "no 12 contact  88"), (102, "the 99 or 4")]
-    spans = {r.doc_id: r.spans for r in pii.find_spans(frame(spark, rows)).collect()}
-    assert (spans[100], spans[101], spans[102]) == ("found:11:18", "found:15:17", "")
+    spans = spans_of(spark, rows)
+    assert (spans[100], spans[101], spans[102]) == ("found:11:18", "", "")
     masked = pii.mask_spans(frame(spark, rows + [(None, None), (103, "1.2.3.4")]))
     texts = {r.doc_id: r.text for r in masked.collect()}
     assert masked.columns == frame(spark, []).columns
@@ -244,26 +248,89 @@ def test_pii_patterns_find_unknown_identifiers(spark):
     assert pii.find_spans(frame(spark, [])).count() == 0 and pii.mask_spans(frame(spark, [])).count() == 0
 
 
+def test_pii_leaves_ordinary_numbers(spark):
+    rows = [(i, f"mail of a{i}@x.de and of b{i}@y.de to c{i}@z.de") for i in range(30)]
+    winter = "the winter of 1999 was cold, out of 3 cars 2 went from 7 to 12"
+    rows += [(100, winter), (101, "one of 12,000 or of 3.5% to 2024-01-01")]
+    assert spans_of(spark, rows)[100] == spans_of(spark, rows)[101] == ""
+    assert {r.doc_id: r.text for r in pii.mask_spans(frame(spark, rows)).collect()}[100] == winter
+
+
+def test_pii_words_before_ordinary_ones_are_no_patterns(spark):
+    rows = [(i, f"mail of a{i}@x.de and of b{i}@y.de") for i in range(30)]
+    rows += [(100 + i, "a cup of tea and of milk or of rum") for i in range(20)] + [(200, "kind of B2B or of MP3")]
+    assert spans_of(spark, rows)[200] == ""
+
+
+def test_pii_identifiers_before_seeds(spark):
+    rows = [(i, f"customer number AB-{1000 + i} and mail u{i}@x.de") for i in range(60)]
+    rows += [(100, "then customer number CD-7 called"), (101, "call us and mail z@x.de"), (102, "customer number 12")]
+    spans = spans_of(spark, rows)
+    assert spans[5] == "email:33:40,found:16:23" and spans[100] == "found:21:25"
+    assert (spans[101], spans[102]) == ("email:17:23", "")
+
+
+def test_pii_secrets_that_hold_a_seed_by_chance(spark):
+    rng = random.Random(6)
+    card = "4111111111111111"
+    secret = lambda hit: "".join(rng.choices("0123456789abcdef", k=12)) + (f"f{card}a" if hit else "cafe") + "beef"
+    rows = [(i, f'some words then token = "{secret(i < 6)}" and more') for i in range(60)]
+    rows += [(100, "under the License, Version 2.0, or CC BY-NC 4.0.")]
+    spans = spans_of(spark, rows)
+    assert all(f"found:25:{25 + 20 + (14 if i < 6 else 0)}" in spans[i] for i in range(60)) and spans[100] == ""
+
+
+def test_pii_plain_numbers_need_their_shape(spark):
+    rows = [(i, f"contact a{i}@x.de then account a{i}@x.de") for i in range(30)]
+    rows += [(50 + i, f"contact 1{i:04d} or account 1{i:04d}") for i in range(10)] + [(100, "account 99999 and page 99999")]
+    assert spans_of(spark, rows) == brute.pii_spans(rows)
+
+
 def test_pii_patterns_learned_from_other_patterns(spark):
     rows = [(i, f"contact a{i}@x.de or contact b{i}@x.de") for i in range(100)]
     rows += [(100 + i, f"contact K{i}77 then customer K{i}77") for i in range(20)]  # customer never precedes a seed
     rows += [(200, "customer Z9000"), (201, "unheard Z9001")]
-    spans = {r.doc_id: r.spans for r in pii.find_spans(frame(spark, rows)).collect()}
+    spans = spans_of(spark, rows)
     assert (spans[200], spans[201]) == ("found:9:14", "")
 
 
 def test_pii_context_over_punctuation_and_digit_groups(spark):
     rows = [(i, f"contact a{i}@x.de or token = \"b{i}@x.de\" and cell | 10.0.0.{i} | contact {i}@x.de") for i in range(40)]
     rows += [(100, 'token = "04dbeb"'), (101, "cell | A77 |"), (102, "contact 123 45 6789."), (103, "contact A1, 22 33"),
-             (104, "contact 7\n8"), (105, "x1 contact\n 55 a@b.de"), (106, "= 12"), (107, "token 12")]
-    spans = {r.doc_id: r.spans for r in pii.find_spans(frame(spark, rows)).collect()}
+             (104, "contact 7\n8"), (105, "x1 contact\n A55 a@b.de"), (106, "odd = 12"), (107, "token 12")]
+    spans = spans_of(spark, rows)
     assert [spans[i] for i in range(100, 108)] == [
-        "found:9:15", "found:7:10", "found:8:19", "found:8:10", "found:8:9",
-        "email:15:21,found:12:14", "", ""], [spans[i] for i in range(100, 108)]
+        "found:9:15", "found:7:10", "found:8:19", "found:8:10", "",
+        "email:16:22,found:12:15", "", ""], [spans[i] for i in range(100, 108)]
     masked = {r.doc_id: r.text for r in pii.mask_spans(frame(spark, rows)).collect()}
     assert masked[102] == "contact [FOUND]." and masked[100] == 'token = "[FOUND]"'
 
 
+@pytest.mark.parametrize("seed", [1, 3])
+def test_pii_spans_equal_plain_python(spark, seed):
+    rng = random.Random(seed)
+    words = ["contact", "of", "and", "the", "token", "=", "|", "Mail", "(id)", "é", "user:", "no."]
+    values = [lambda: f"a{rng.randrange(30)}@x.de", lambda: f"10.0.0.{rng.randrange(30)}", lambda: f"AB-{rng.randrange(40)}",
+              lambda: str(rng.randrange(300)), lambda: "4111 1111 1111 1111", lambda: f"(K{rng.randrange(20)}),",
+              lambda: "+49 (30) 1234567", lambda: f"{rng.randrange(9)} {rng.randrange(9)}{rng.randrange(9)}"]
+    rows = []
+    for i in range(120):
+        parts = []
+        for _ in range(rng.randint(0, 14)):
+            w = rng.choice(words)
+            parts.append(w)
+            if w in ("contact", "=", "Mail") and rng.random() < 0.97:
+                parts.append(rng.choice(values[:2] * 2 + [values[2], values[5]])())
+            elif rng.random() < 0.15:
+                parts.append(rng.choice(values)())
+        text = "".join(p + rng.choice([" ", " ", " ", "  ", "\n"]) for p in parts)
+        rows.append((i, text if i % 17 else None))
+    rows += [(500, "contact " + "w" * 100 + " K5 and contact " + "v " * 60 + "K6"), (501, "contact K7")]
+    got, want = spans_of(spark, rows), brute.pii_spans(rows)
+    assert any("found" in w for w in want.values())
+    assert got == want
+
+
 # --- packing
 
 def test_tokenizer_equals_the_library():
