@@ -217,20 +217,22 @@ def _items(text: Column, base: Column) -> Column:
 
 
 def ordinary_counts(texts: DataFrame, text: str, wanted: DataFrame) -> DataFrame:
-    """(context, ordinary): how often each context of ``wanted`` (context) stands before an ordinary word."""
-    words = texts.select(_words(F.col(text)).alias("w")).filter(F.size("w") > 1)
-
-    def around(w):
-        def contexts(i):
-            back = lambda n: F.when(i > n, F.get(w, i - 1 - n))
-            return F.when(F.get(w, i) != "0", F.array(*_contexts(back, F.get(w, i + 1))))
-        return F.flatten(F.array_compact(F.transform(F.sequence(F.lit(1), F.size(w) - 1), contexts)))
-
-    each = words.select(F.explode(around(F.col("w"))).alias("c")).filter("c is not null")
+    """(context, ordinary): how often each context of ``wanted`` stands before an ordinary word; ``wanted``: context,
+    near (the context of its nearest word alone)."""
+    # each word in one row with its neighbours; most go by their nearest word before any other context is made
+    padded = F.concat(F.lit([None] * 3).cast("array<string>"), _words(F.col(text)), F.lit([None]).cast("array<string>"))
+    names = ["w3", "w2", "w1", "word", "next"]
+    rows = texts.select(padded.alias("p")).select(F.explode(F.arrays_zip(*[
+        (F.slice("p", i + 1, F.size("p")) if i else F.col("p")).alias(n) for i, n in enumerate(names)])).alias("x"))
+    rows = rows.select("x.*").filter("word != '0' and w1 is not null")
+    near = wanted.select(F.col("near").alias("wanted_near")).distinct()
+    wanted = wanted.select(F.col("context").alias("wanted_context"))
     if wanted.limit(BROADCAST_CONTEXTS + 1).count() <= BROADCAST_CONTEXTS:
-        wanted = F.broadcast(wanted)
-    return each.join(wanted, F.col("c") == F.col("context"), "left_semi").groupBy(F.col("c").alias("context")).agg(
-        F.count("*").alias("ordinary"))
+        near, wanted = F.broadcast(near), F.broadcast(wanted)
+    rows = rows.join(near, F.xxhash64(F.lit(1), "w1") == F.col("wanted_near"), "left_semi")
+    each = rows.select(F.explode(F.array(*_contexts(lambda n: F.col(f"w{n + 1}"), F.col("next")))).alias("context"))
+    return each.filter("context is not null").join(wanted, F.col("context") == F.col("wanted_context"), "left_semi").groupBy(
+        "context").agg(F.count("*").alias("ordinary"))
 
 
 def confident_frames(items: DataFrame) -> DataFrame:
@@ -253,8 +255,10 @@ def confident_patterns(items: DataFrame, texts: DataFrame, text: str) -> DataFra
     """
     frames = persisted(confident_frames(items))
     edges = persisted(items.select(F.explode("x.contexts").alias("context"), F.col("x.kind").alias("kind"),
-                                   F.xxhash64("x.v").alias("instance"), F.col("x.seed").alias("seed"))
-                      .groupBy("context", "kind", "instance").agg(F.count("*").alias("n"), F.max("seed").alias("seed")))
+                                   F.xxhash64("x.v").alias("instance"), F.col("x.seed").alias("seed"),
+                                   F.get("x.contexts", F.lit(0)).alias("near"))
+                      .groupBy("context", "kind", "instance").agg(F.count("*").alias("n"), F.max("seed").alias("seed"),
+                                                                  F.min("near").alias("near")))
     filled = items.select(F.explode("x.frames").alias("f"), F.col("x.kind").alias("k"), F.xxhash64("x.v").alias("i"))
     fillers = persisted(filled.join(frames, (F.col("f") == F.col("context")) & (F.col("k") == F.col("kind")))
                         .groupBy("i").agg(F.max("confidence").alias("framed")))
@@ -262,11 +266,11 @@ def confident_patterns(items: DataFrame, texts: DataFrame, text: str) -> DataFra
         "sure", F.when(F.col("seed"), 1.0).otherwise(F.coalesce("framed", F.lit(0.0)))).drop("seed", "framed"))
     # contexts with enough instances for a pattern, and what counts against them
     often = persisted(edges.groupBy("context").agg(
-        F.count("*").alias("instances"), F.sum(F.when(F.col("kind") != "x", F.col("n")).otherwise(0)).alias("numbers")).filter(
+        F.count("*").alias("instances"), F.min("near").alias("near"), F.sum(F.when(F.col("kind") != "x", F.col("n")).otherwise(0)).alias("numbers")).filter(
         F.col("instances") >= MIN_SEEDS))
-    against = persisted(often.join(ordinary_counts(texts, text, often.select("context")), "context", "left").select(
+    against = persisted(often.join(ordinary_counts(texts, text, often.select("context", "near")), "context", "left").select(
         F.col("context").alias("c"), F.coalesce("ordinary", F.lit(0)).alias("ordinary"), "numbers"))
-    edges = edges.withColumn("trust", F.col("sure"))
+    edges = edges.drop("near").withColumn("trust", F.col("sure"))
     for k in range(ROUNDS):
         patterns = edges.groupBy("context", "kind").agg(
             F.sum(F.col("n") * F.col("trust")).alias("good"), F.sum("n").alias("all"),
