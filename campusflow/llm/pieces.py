@@ -29,6 +29,8 @@ from campusflow.llm import near
 MARK = "▁"
 #: Bytes of text encoded at a time, and neighbour verdicts that a worker remembers.
 BATCH_BYTES, REMEMBERED = 4 << 20, 1_000_000
+#: Distinct words whose ids are kept from batch to batch.
+MEMO_WORDS = 500_000
 #: What an unknown character scores below the lowest piece in a unigram model.
 UNKNOWN_PENALTY = 10.0
 _UNKNOWN = -1
@@ -50,6 +52,7 @@ class Vocabulary:
                     else p.replace(MARK, " ").encode() for p, _, t in pieces]
         self._parts: dict[int, tuple[int, int] | None] = {}
         self._follows: dict[int, bool] = {}
+        self.memo: dict[str, list[int]] = {}
         # pieces that a path can hold, and by the last (up to three) characters the lengths of those that end so
         self.usable = {p: i for p, i in self.id_of.items() if kind == "unigram" or self.parts(i) is not None}
         by_tail: dict[str, set[int]] = {}
@@ -228,8 +231,12 @@ class Vocabulary:
             return [f for _, f in sorted(zip(order, found))]
         # runs of marks merge after everything else: the word with its last mark comes first
         cores = [w[len(w) - len(w.lstrip(MARK)) - 1:] if w.startswith(MARK * 2) else w for w in words]
-        distinct = sorted({c for c in cores if c != MARK})
-        known = dict(zip(distinct, self.encode_sorted(distinct)))
+        distinct = {c for c in cores if c != MARK}
+        if len(self.memo) + len(distinct) > MEMO_WORDS:
+            self.memo = {}
+        fresh = sorted(distinct.difference(self.memo))  # what a batch before has met is not walked again
+        self.memo.update(zip(fresh, self.encode_sorted(fresh)))
+        known = self.memo
         mark, out = self.id_of.get(MARK), []
         for word, core in zip(words, cores):
             ids = known.get(core, [mark])
