@@ -177,6 +177,19 @@ def test_pieces_edges(spark):
     assert [r.decoded for r in back.orderBy("doc_id").collect()] == [None, "", "a"]
 
 
+def test_words_kept_from_batch_to_batch_change_nothing(monkeypatch):
+    model = SentencePieceProcessor(model_file=PIECES)
+    rng = random.Random(12)
+    batches = [[" ".join(rng.choices(["the", "their", "theta", "é", "x" * 40, "  ", "12"], k=20)) for _ in range(30)]
+               + ["".join(rng.choices("abcdefgh ", k=200)) for _ in range(20)] for _ in range(6)]
+    for bound in (60, 10_000):
+        monkeypatch.setattr(pieces, "MEMO_WORDS", bound)
+        vocabulary = pieces.load.__wrapped__(PIECES)
+        for texts in batches:
+            ids, counts = pieces.encode_texts(pa.array(texts), vocabulary)
+            assert ids.tolist() == [i for t in texts for i in model.encode(t)] and counts.sum() == len(ids)
+
+
 # --- archives
 
 def rows_of(spark, pages, split, **options):
