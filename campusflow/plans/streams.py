@@ -29,7 +29,7 @@ def _events_stream(spark, sf_dir):
     return J.file_stream(spark, sf_dir, ev.schema, glob="events.parquet", max_files_per_trigger=1)
 
 
-def _arriving_events(spark, sf_dir, slices=4):
+def _arriving_events(spark, sf_dir, slices=2):
     """The events as a source that brings them in time order, a slice per micro-batch: what a key can bring to a task
     at once is bounded by a slice.  Slices are written one after the other, as the source goes by the files' age."""
     ev = Academy(spark, sf_dir).raw("events")
