@@ -3,7 +3,8 @@
 1. ``min_hashes``/``band_keys``: signatures of shingle sets, computed batch-wise in numpy inside tasks.
 2. ``candidate_components``: nodes that share a band are candidates.  A bucket's members are compared by
    their sketches (one byte per hash), which removes chance collisions, and only a spanning forest of what
-   remains leaves the bucket; buckets over ``BUCKET_LIMIT`` members are linked whole, so nothing is lost.
+   remains leaves the bucket; a bucket is cut into blocks of about ``BUCKET_BLOCK`` members, and every pair of
+   blocks is compared on its own.
 3. ``verified_links``: each candidate component is cut into blocks of bounded size, every pair of blocks is
    one group, and all pairs of its rows are verified on their full shingle sets there.  Only link counts and
    a spanning forest leave the group, never the pairs.
@@ -23,8 +24,8 @@ from pyspark.sql import functions as F
 
 from campusflow.llm.shared import connected_components, persisted
 
-#: Members up to which a bucket is pruned by sketches; larger ones are linked whole.
-BUCKET_LIMIT = 4096
+#: Members of a block of a bucket.
+BUCKET_BLOCK = 2048
 #: Rows and shingles (estimated by payload characters) of a verification block.
 BLOCK_ROWS, BLOCK_CHARS = 512, 4_000_000
 #: Elements hashed at a time, and columns of the incidence matrix.
@@ -219,8 +220,9 @@ def _runs(keys: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)]])
 
 
-def _bucket_edges(least: float) -> Callable:
-    """Spanning edges of each bucket's similar sketches, for partitions sorted by key with distinct members."""
+def _bucket_edges(least: float, halves: bool = False) -> Callable:
+    """Spanning edges of each bucket's similar sketches, for partitions sorted by key with distinct members;
+    ``halves``: a sketch has two hashes to the byte."""
     def within(keys, nodes, sketches):
         cuts = _runs(keys)
         limit, sizes = least * sketches.shape[1], np.diff(cuts)
@@ -245,6 +247,8 @@ def _bucket_edges(least: float) -> Callable:
             blob = batch.column("sketch")
             offsets = np.frombuffer(blob.buffers()[1], np.int32)[blob.offset: blob.offset + len(blob) + 1]
             sketches = np.frombuffer(blob.buffers()[2], np.uint8)[offsets[0]: offsets[-1]].reshape(len(blob), -1)
+            if halves:
+                sketches = np.concatenate([sketches & 15, sketches >> 4], axis=1)
             now = (batch.column("key").to_numpy(), batch.column("node").to_numpy(), sketches)
             if held is not None:
                 now = tuple(np.concatenate(pair) for pair in zip(held, now))
@@ -270,16 +274,28 @@ def candidate_components(signatures: DataFrame, threshold: float, sketch_size: i
     entries = signatures.select("node", F.explode("bands").alias("key"))
     shared = persisted(entries.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"),
                                                   F.count("*").alias("n")).filter("low != high")
-                       .select(F.col("key").alias("k"), "low", "n"))
-    members = persisted(entries.join(shared, F.col("key") == F.col("k")).select("key", "node", "low", "n").distinct())
-    large = members.filter(F.col("n") > BUCKET_LIMIT).select(F.col("node").alias("a"), F.col("low").alias("b"))
+                       .select(F.col("key").alias("k"), "n"))
+    members = persisted(entries.join(shared, F.col("key") == F.col("k")).select("key", "node", "n").distinct())
     wanted = members.select(F.col("node").alias("w")).distinct()
     sketches = (signatures.select(F.col("node").alias("s"), "sketch").join(wanted, F.col("s") == F.col("w"), "left_semi")
                 .groupBy("s").agg(F.min("sketch").alias("sketch")))
-    small = (members.filter(F.col("n") <= BUCKET_LIMIT).join(sketches, F.col("node") == F.col("s"))
-             .select("key", "node", "sketch").repartition("key").sortWithinPartitions("key"))
-    edges = small.mapInArrow(_bucket_edges(sketch_limit(threshold, sketch_size)), "a long, b long")
-    return connected_components(edges.unionByName(large))
+    return connected_components(bucket_edges(members.join(sketches, F.col("node") == F.col("s")), threshold, sketch_size))
+
+
+def bucket_edges(members: DataFrame, threshold: float, sketch_size: int, halves: bool = False) -> DataFrame:
+    """(a, b): spanning edges of the similar sketches among the members of each bucket.
+
+    ``members``: key, node, n (rows of the bucket, at least its members) and sketch.  A bucket of one block is one
+    group; of a larger one each pair of blocks is, so that no group grows with the bucket.
+    """
+    blocks = F.ceil(F.col("n") / BUCKET_BLOCK).cast("int")
+    placed = members.select("key", "node", "sketch", blocks.alias("blocks")).withColumn(
+        "block", F.pmod(F.xxhash64("node"), F.col("blocks").cast("long")).cast("int"))
+    partner = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    pairs = placed.withColumn("partner", partner).withColumn("key", F.when(F.col("blocks") == 1, F.col("key")).otherwise(
+        F.xxhash64("key", F.least("block", "partner"), F.greatest("block", "partner"))))
+    return (pairs.select("key", "node", "sketch").repartition("key").sortWithinPartitions("key")
+            .mapInArrow(_bucket_edges(sketch_limit(threshold, sketch_size), halves), "a long, b long"))
 
 
 def _intersections(sets: list[np.ndarray]) -> np.ndarray:

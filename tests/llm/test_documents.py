@@ -121,8 +121,8 @@ def test_ngram_join_near_copies_over_blocks(spark, monkeypatch):
     assert got == brute.similar_classes(rows)
 
 
-def test_ngram_join_large_buckets_are_linked_whole(spark, monkeypatch):
-    monkeypatch.setattr(near, "BUCKET_LIMIT", 4)
+def test_ngram_join_large_buckets_are_compared_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(near, "BUCKET_BLOCK", 4)
     rows = similar(40, seed=5)
     got = {r.doc_id: (r.class_id, r.n_links) for r in ngram_join.similar_classes(frame(spark, rows)).collect()}
     assert got == brute.similar_classes(rows)
@@ -211,6 +211,32 @@ def test_line_dedup_tells_rows_of_one_id_apart(spark):
     assert got in [rest + n for n in nine], got
 
 
+def near_lines(n, seed):
+    """Random lines with many near copies, equal ones, and documents of several lines."""
+    rng = random.Random(seed)
+    lines = [" ".join(rng.choice(["river", "stone", "lamp", "seven", "cold", "orbit", "glass", "fern"]) + str(rng.randrange(40))
+                      for _ in range(rng.randrange(3, 14))) for _ in range(n)]
+    for _ in range(n):
+        words = rng.choice(lines).split(" ")
+        words[rng.randrange(len(words))] = rng.choice(["moss", "dune"]) + str(rng.randrange(9))
+        lines.append(" ".join(words))
+    lines += rng.choices(lines, k=n)
+    rng.shuffle(lines)
+    return [(i, "\n".join(lines[3 * i: 3 * i + 3])) for i in range(n)]
+
+
+def test_line_dedup_in_rounds_slots_and_blocks(spark, monkeypatch):
+    """Entries flushed often, few bands to a round and tiny blocks give what brute force gives."""
+    from campusflow.llm import band_rounds
+    rows = near_lines(60, 11)
+    want = brute.dedup_lines(rows, line_dedup.CHARS, line_dedup.THRESHOLD)
+    monkeypatch.setattr(band_rounds, "FLUSH", 16)
+    monkeypatch.setattr(band_rounds, "ROUND", 15)
+    monkeypatch.setattr(near, "BUCKET_BLOCK", 2)
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(frame(spark, rows).repartition(5)).collect()}
+    assert got == want
+
+
 # --- personal data
 
 def test_pii_query(spark, sf_small, docs):
