@@ -26,6 +26,8 @@ from campusflow.llm.shared import connected_components, persisted
 
 #: Members of a block of a bucket.
 BUCKET_BLOCK = 2048
+#: Members up to which the buckets of one size are compared at once.
+SMALL_BUCKET = 16
 #: Rows and shingles (estimated by payload characters) of a verification block.
 BLOCK_ROWS, BLOCK_CHARS = 512, 4_000_000
 #: Elements hashed at a time, and columns of the incidence matrix.
@@ -215,6 +217,18 @@ def _forest(linked: np.ndarray) -> np.ndarray:
         labels = lower
 
 
+def _forests(linked: np.ndarray) -> np.ndarray:
+    """``_forest`` of many matrices of one size."""
+    n = linked.shape[1]
+    labels = np.broadcast_to(np.arange(n), linked.shape[:2])
+    while True:
+        lower = np.minimum(labels, np.where(linked, labels[:, None, :], n).min(axis=2))
+        lower = np.take_along_axis(lower, lower, 1)
+        if (lower == labels).all():
+            return labels
+        labels = lower
+
+
 def _runs(keys: np.ndarray) -> np.ndarray:
     """Where each run of equal keys begins, and the end."""
     return np.concatenate([[0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)]])
@@ -229,7 +243,16 @@ def _bucket_edges(least: float, halves: bool = False) -> Callable:
         first = cuts[:-1][sizes == 2]  # most buckets are pairs: all at once
         alike = first[(sketches[first] == sketches[first + 1]).sum(axis=1) >= limit]
         out = [np.column_stack([nodes[alike], nodes[alike + 1]])]
-        for low, size in zip(cuts[:-1][sizes > 2].tolist(), sizes[sizes > 2].tolist()):
+        for size in range(3, SMALL_BUCKET + 1):  # and nearly all others are small: those of one size at once
+            starts = cuts[:-1][sizes == size]
+            step = max(1, (1 << 22) // (size * size * sketches.shape[1]))
+            for some in (starts[i: i + step] for i in range(0, len(starts), step)):
+                rows = some[:, None] + np.arange(size)
+                own = sketches[rows]
+                root = _forests((own[:, :, None, :] == own[:, None, :, :]).sum(axis=3) >= limit)
+                moved = root != np.arange(size)
+                out.append(np.column_stack([nodes[rows[moved]], nodes[np.take_along_axis(rows, root, 1)[moved]]]))
+        for low, size in zip(cuts[:-1][sizes > SMALL_BUCKET].tolist(), sizes[sizes > SMALL_BUCKET].tolist()):
             own, same = sketches[low: low + size], np.empty((size, size), bool)
             for i in range(size):
                 same[i] = (own == own[i]).sum(axis=1) >= limit
