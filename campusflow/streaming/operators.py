@@ -66,6 +66,9 @@ def live_stats(events: DataFrame, ts: str = "ts", every: str = "1 day", by=("eve
                     "events", "value_sum")
 
 
+#: Groups of keys that share state.
+KEY_BUCKETS = 2048
+
 _THROTTLE_STATE = T.StructType([T.StructField("last_us", T.LongType())])
 
 
@@ -106,41 +109,49 @@ def throttle_events(events: DataFrame, key: str, ts: str = "ts", limit_seconds:
                                                   GroupStateTimeout.NoTimeout)
 
 
-def _event_time_throttle_fn(key_col: str, ts_col: str, others: list[str], limit_us: int):
-    def fn(key, pdfs, state):
-        last, times, *columns = state.get if state.exists else (None, [], *[[] for _ in others])
-        times, columns = list(times), [list(c) for c in columns]
+def _event_time_throttle_fn(key_col: str, ts_col: str, others: list[str], limit_us: int, bucketed: bool):
+    """For the keys of a bucket, or for one key each; state: the last event per key, and the events that wait."""
+    def fn(group, pdfs, state):
+        keys, lasts, owners, times, *columns = ([*c] for c in (state.get if state.exists else [()] * (4 + len(others))))
+        last = dict(zip(keys, lasts))
         for pdf in pdfs if not state.hasTimedOut else ():
+            owners += pdf[key_col].tolist() if bucketed and not group[1] else [None] * len(pdf)
             times += pdf[ts_col].to_numpy(dtype="datetime64[us]").astype(np.int64).tolist()
             for values, name in zip(columns, others):
                 values += [None if v is None or v != v else v for v in pdf[name].tolist()]
         passed = state.getCurrentWatermarkMs() * 1000
-        order = sorted(range(len(times)), key=lambda i: (times[i], columns[0][i]))
+        order = sorted(range(len(times)), key=lambda i: (times[i], columns[0][i] is None, columns[0][i]))
         emitted, waiting = [], []
         for i in order:
-            if last is not None and times[i] < last + limit_us:
+            before = last.get(owners[i])
+            if before is not None and times[i] < before + limit_us:
                 continue  # within the silence of an event that is final: never emitted
             if times[i] <= passed:  # nothing earlier can still arrive
                 emitted.append(i)
-                last = times[i]
+                last[owners[i]] = times[i]
             else:
                 waiting.append(i)
         if emitted:
             stamps = pd.to_datetime(pd.Series([times[i] for i in emitted], dtype="int64"), unit="us", utc=True)
-            yield pd.DataFrame({key_col: [key[0]] * len(emitted), ts_col: stamps.dt.tz_localize(None),
+            names = [owners[i] for i in emitted] if bucketed else [group[0]] * len(emitted)
+            yield pd.DataFrame({key_col: pd.Series(names, dtype=object), ts_col: stamps.dt.tz_localize(None),
                                 **{n: pd.Series([c[i] for i in emitted], dtype=object) for n, c in zip(others, columns)}})
-        if not waiting and (last is None or last + limit_us <= passed):
+        held = {owners[i] for i in waiting}
+        # a silent key goes: whatever comes next is emitted anyway
+        last = {k: t for k, t in last.items() if t + limit_us > passed or k in held}
+        if not waiting and not last:
             if state.exists:
-                state.remove()  # a silent key: whatever comes next is emitted anyway
+                state.remove()
             return
-        state.update((last, [times[i] for i in waiting], *[[c[i] for i in waiting] for c in columns]))
-        next_us = times[waiting[0]] if waiting else last + limit_us
+        state.update((list(last), list(last.values()), [owners[i] for i in waiting], [times[i] for i in waiting],
+                      *[[c[i] for i in waiting] for c in columns]))
+        next_us = min([times[i] for i in waiting[:1]] + [t + limit_us for k, t in last.items() if k not in held])
         state.setTimeoutTimestamp(max(next_us // 1000, passed // 1000) + 1)
     return fn
 
 
 def throttle_in_event_time(events: DataFrame, key: str, watermark: str, ts: str = "ts", limit_seconds: float = 5.0,
-                           tiebreak: str = "event_id", payload=()) -> DataFrame:
+                           tiebreak: str = "event_id", payload=(), buckets: int = KEY_BUCKETS) -> DataFrame:
     """Events let through by a per-key throttle, decided in event-time order over all micro-batches (ties by ``tiebreak``).
 
     An event waits in its key's state until the watermark has passed it, so events that arrive out of order within
@@ -148,11 +159,23 @@ def throttle_in_event_time(events: DataFrame, key: str, watermark: str, ts: str
     that fall into the silence of a final one are not kept.  Timers in event time emit what waits and free the state of
     silent keys, so state holds the keys of the last ``watermark`` + ``limit_seconds`` only.  Events without a time are
     left out; those without a key share one key.
+
+    Whole-number, text and boolean keys share state by a hash, ``buckets`` of them, so that a micro-batch costs a pandas
+    call per bucket, not per key; ``buckets`` must stay the same as long as a checkpoint does.
     """
     e = event_time(events, ts).select(key, ts, tiebreak, *payload).filter(F.col(ts).isNotNull()).withWatermark(ts, watermark)
     others = [tiebreak, *payload]
     out_schema = T.StructType([T.StructField(c, e.schema[c].dataType) for c in [key, ts, *others]])
-    kept = T.StructType([T.StructField("last_us", T.LongType()), T.StructField("times", T.ArrayType(T.LongType()))]
+    key_type = e.schema[key].dataType
+    bucketed = isinstance(key_type, (T.IntegralType, T.StringType, T.BooleanType))
+    by = [key]
+    if bucketed:
+        by = [max(e.columns) + suffix for suffix in ("_bucket", "_keyless")]  # names that no column has
+        # the key itself goes without NULL, next to which pandas would turn numbers into floats
+        e = e.select("*", F.pmod(F.xxhash64(key), F.lit(buckets)).alias(by[0]), F.col(key).isNull().alias(by[1])).withColumn(
+            key, F.coalesce(F.col(key), F.lit(0).cast(key_type)))
+    kept = T.StructType([T.StructField("keys", T.ArrayType(key_type)), T.StructField("last_us", T.ArrayType(T.LongType())),
+                         T.StructField("owners", T.ArrayType(key_type)), T.StructField("times", T.ArrayType(T.LongType()))]
                         + [T.StructField(f"c{i}", T.ArrayType(e.schema[c].dataType)) for i, c in enumerate(others)])
-    fn = _event_time_throttle_fn(key, ts, others, int(limit_seconds * 1_000_000))
-    return e.groupBy(key).applyInPandasWithState(fn, out_schema, kept, "append", GroupStateTimeout.EventTimeTimeout)
+    fn = _event_time_throttle_fn(key, ts, others, int(limit_seconds * 1_000_000), bucketed)
+    return e.groupBy(*by).applyInPandasWithState(fn, out_schema, kept, "append", GroupStateTimeout.EventTimeTimeout)

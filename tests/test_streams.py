@@ -109,6 +109,27 @@ def test_event_time_throttle_with_events_out_of_order(spark):
     assert sorted(slices[1], key=lambda r: r[2])[0][2] < max(r[2] for r in slices[0])
 
 
+@pytest.mark.parametrize("key_type", ["long", "double"])
+def test_event_time_throttle_shares_state_between_keys(spark, key_type):
+    """State and pandas calls go by bucket, not by key; large and missing whole numbers stay as they are."""
+    import random
+    rnd, base = random.Random(6), dt.datetime(2024, 1, 1)
+    users = [None, 0, 2 ** 60 + 1, *range(1, 30)] if key_type == "long" else [None, 0.5, 1.5]
+    rows = [(i, rnd.choice(users), base + dt.timedelta(seconds=rnd.randint(0, 1000))) for i in range(400)]
+    arrival = sorted(rows, key=lambda r: (r[2] - base).total_seconds() + rnd.uniform(0, 200))
+    slices = [arrival[:200], arrival[200:], [(1000, users[1], base + dt.timedelta(seconds=5000))]]
+    schema = f"event_id long, user {key_type}, ts timestamp"
+    waiting = _run_slices(spark, lambda s: S.throttle_in_event_time(
+        s, "user", "300 seconds", limit_seconds=30, buckets=2), slices[:2], schema)[1]
+    assert waiting <= 3  # two buckets and that of the rows without a key
+    got, state = _run_slices(spark, lambda s: S.throttle_in_event_time(
+        s, "user", "300 seconds", limit_seconds=30, buckets=2), slices, schema)
+    want = _brute_throttle([(i, -1 if u is None else u, t) for i, u, t in rows], 30)
+    by_id = {r[0]: r for r in rows}
+    assert sorted(r.event_id for r in got) == want and state == 1
+    assert all((r.user, r.ts) == by_id[r.event_id][1:] for r in got)
+
+
 def test_stream_admissions_equal_batch_and_replay_is_idempotent(spark, sf_small):
     import __spark_entry__ as entry
     q = entry.queries()
