@@ -237,6 +237,33 @@ def test_line_dedup_in_rounds_slots_and_blocks(spark, monkeypatch):
     assert got == want
 
 
+def test_line_dedup_slots_go_by_entries(spark, monkeypatch):
+    """However many tasks and shuffle partitions there are, few lines leave a task as few blobs."""
+    from campusflow.llm import band_rounds
+    made, pack = [], band_rounds._pack
+
+    def spied(*args):
+        made.append(pack(*args))
+        return made[-1]
+
+    monkeypatch.setattr(band_rounds, "_pack", spied)
+    rows = near_lines(60, 12)
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(frame(spark, rows).repartition(20)).collect()}
+    assert got == brute.dedup_lines(rows, line_dedup.CHARS, line_dedup.THRESHOLD)
+    nodes = np.arange(2000, dtype=np.int64)
+    signatures = np.random.default_rng(1).integers(0, 256, (2000, 120), np.uint8)
+    blob = band_rounds.packed_signatures(nodes, signatures)
+    batch = pa.RecordBatch.from_arrays([pa.array([blob], pa.binary())], ["packed"])
+    assert [sum(b.num_rows for b in p(iter([batch]))) for p in made] == [1] * len(made) and len(made) == 6
+
+
+def test_packed_sketches_compare_two_bits_a_hash():
+    rows = np.random.default_rng(2).integers(0, 256, (50, 120), np.uint8)
+    sketches = near.quarters(rows, 96)
+    want = ((rows[:, None, :96] & 3) == (rows[None, :, :96] & 3)).sum(axis=2)
+    assert (near.equal_quarters(sketches[:, None], sketches[None]) == want).all()
+
+
 # --- personal data
 
 def test_pii_query(spark, sf_small, docs):
