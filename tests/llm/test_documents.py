@@ -1,6 +1,7 @@
 """Operators over documents against brute force, and their edge cases."""
 
 import random
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -442,3 +443,21 @@ def test_balance_fills_and_balances():
         filled[s] += length
         cost[s] += packing.cost(length)
     assert set(filled.values()) == {4096} and max(cost.values()) < 2 * min(cost.values())
+
+
+def test_persisted_leaves_no_shuffle_files(spark):
+    from campusflow.llm import shared
+
+    def files():
+        found = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {found.apply(i).getName() for i in range(found.size()) if found.apply(i).getName().startswith("shuffle_")}
+
+    before = files()
+    held = spark.range(1000).repartition(7, "id")  # referred to, so that no collection frees it
+    out = shared.persisted(held)
+    for _ in range(50):
+        if not files() - before:
+            break
+        time.sleep(0.1)
+    assert not files() - before
+    assert out.count() == 1000 and held.count() == 1000
