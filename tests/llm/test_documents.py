@@ -445,6 +445,65 @@ def test_balance_fills_and_balances():
     assert set(filled.values()) == {4096} and max(cost.values()) < 2 * min(cost.values())
 
 
+def test_spread_min_hashes_are_equal_as_often_as_sets_are_similar():
+    rng = np.random.default_rng(5)
+    for n, shared in ((1, 1), (24, 19), (90, 70), (900, 300)):
+        times = 40_000 // n
+        x = rng.integers(0, 1 << 32, (times, 2 * n - shared), np.uint64).astype(np.uint32)
+        counts = np.full(times, n)
+        a, b = (near.spread_min_hashes(np.ascontiguousarray(s).ravel(), counts, 120) for s in (x[:, :n], x[:, n - shared:]))
+        plain = near.min_hashes(x[:, :n].ravel(), counts, 120) == near.min_hashes(x[:, n - shared:].ravel(), counts, 120)
+        want = shared / (2 * n - shared)
+        assert abs((a == b).mean() - want) < 0.02 and (a == b).sum(1).std() <= plain.sum(1).std() + 0.5
+    # the order of shingles, repeats and other texts beside it do not matter
+    some, mixed = rng.integers(0, 1 << 32, 50, np.uint64).astype(np.uint32), np.uint32([1, 2, 3])
+    alone = near.spread_min_hashes(some, np.array([50]), 120)
+    three = near.spread_min_hashes(np.concatenate([mixed, some[::-1], some]), np.array([0, 3, 100, 0]), 120)
+    assert (three[2] == alone[0]).all() and (three[[0, 3]] == 0xFFFFFFFF).all() and near.spread_min_hashes(some[:0], np.zeros(0, int), 120).shape == (0, 120)
+
+
+def test_lines_leave_the_first_pass_many_in_a_row(monkeypatch):
+    """2000 lines of 200 texts are few rows, each line signed once."""
+    rows = [(i, i, "\n".join(f"line {(i + k) % 500} of the text" for k in range(10))) for i in range(200)]
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], ["doc_id", "version", "text"])
+    for most in (1 << 14, 64):
+        monkeypatch.setattr(line_dedup, "ROW_LINES", most)
+        out = pa.Table.from_batches(line_dedup._signatures(120)(iter([batch])))
+        lines = [x for row in out.column("lines").to_pylist() for x in row]
+        assert out.num_rows == -(-2000 // most) and len(lines) == 2000
+        assert sum(x["fresh"] for x in lines) == len({x["id"] for x in lines}) == sum(
+            len(b) // 128 for b in out.column("packed").to_pylist() if b)
+        assert [(x["doc_id"], x["line_no"]) for x in lines] == [(i, k) for i in range(200) for k in range(10)]
+
+
+def test_components_of_few_edges_take_no_rounds(spark, monkeypatch):
+    from campusflow.llm import shared
+    rounds, star = [], shared._is_star_forest
+    monkeypatch.setattr(shared, "_is_star_forest", lambda e: rounds.append(1) or star(e))
+    rng = random.Random(3)
+    pairs = [(rng.randrange(120), rng.randrange(120)) for _ in range(70)] + [(200 + i, 201 + i) for i in range(30)] + [(None, 1)]
+    parent = {}
+
+    def find(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in pairs:
+        if a is not None and a != b:
+            a, b = sorted((find(a), find(b)))
+            parent[b] = a
+    want = {x: find(x) for x in parent}
+    for share in (1 << 18, 10):
+        monkeypatch.setattr(shared, "SHARE", share)
+        for name, kind in ((lambda x: x, "long"), (lambda x: None if x is None else x.to_bytes(2, "big"), "binary")):
+            rounds.clear()
+            edges = spark.createDataFrame([(name(a), name(b)) for a, b in pairs], f"a {kind}, b {kind}")
+            got = {bytes(r.node) if kind == "binary" else r.node: r.component for r in shared.connected_components(edges).collect()}
+            assert got == {name(k): name(v) for k, v in want.items()}
+            assert bool(rounds) == (share == 10)
+
+
 def test_persisted_leaves_no_shuffle_files(spark):
     from campusflow.llm import shared
 
