@@ -258,6 +258,33 @@ def test_line_dedup_slots_go_by_entries(spark, monkeypatch):
     assert [sum(b.num_rows for b in p(iter([batch]))) for p in made] == [1] * len(made) and len(made) == 6
 
 
+def test_members_of_a_bucket_are_compared_many_at_a_time():
+    rng = np.random.default_rng(31)
+    sketches = rng.integers(0, 1 << 62, (12, 3)).astype(np.uint64)[np.arange(90) % 12]
+    sketches[80:, 0] ^= np.uint64(3)  # one hash differs
+    calls, equal = [], near.equal_quarters
+    edges = near.spanning_edges(np.array([0, 90]), np.arange(90), sketches, 90,
+                                lambda a, b: calls.append(1) or equal(a, b))
+    assert len(calls) < 10
+    assert sorted(map(tuple, edges.tolist())) == [(i, i % 12) for i in range(12, 90)]
+
+
+def test_sets_and_their_intersections(monkeypatch):
+    rng = np.random.default_rng(32)
+    counts = rng.integers(0, 40, 70)
+    shingles = rng.integers(0, 1 << 63, 300).astype(np.uint64)[rng.integers(0, 300, counts.sum())]
+    ends = np.cumsum(counts)
+    want = [set((shingles[e - n:e] >> np.uint64(64 - near.SHINGLE_BITS)).tolist()) for n, e in zip(counts, ends)]
+    common = np.array([[len(a & b) for b in want] for a in want])
+    others = ~np.eye(70, dtype=bool)
+    for most in (1 << 12, 16):  # the numbers of the texts fit below a shingle, or not
+        monkeypatch.setattr(near, "MOST_OWNERS", most)
+        sets = near._sets(shingles, counts)
+        assert [s.tolist() for s in sets] == [sorted(w) for w in want]
+        assert (near._intersections(sets) == common)[others].all()
+    assert near._sets(shingles[:0], counts[:0]) == []
+
+
 def test_packed_sketches_compare_two_bits_a_hash():
     rows = np.random.default_rng(2).integers(0, 256, (50, 120), np.uint8)
     sketches = near.quarters(rows, 96)
