@@ -3,7 +3,8 @@
 A text is marked as the library does (a mark for every space and one in front) and cut into marked words where
 a mark follows another character; no piece spans such a place.  A task sorts the distinct words of a batch,
 which lays them out as the depth-first order of their trie, and keeps one forward state per character of the
-current path: a word starts from the states of the prefix that it shares with the word before.
+current path: a word starts from the states of the prefix that it shares with the word before.  For byte-pair models
+short words walk that trie level by level instead, all nodes of a level at once (see ``piece_levels``).
 
 Forward states.  ``unigram`` models: the best sum of scores that ends there, as in Viterbi.  ``bpe`` models: a
 sum of scores would not give the library's pieces, so a path's weight is whether byte-pair merging yields it.
@@ -25,12 +26,15 @@ from pyspark.sql import functions as F
 from sentencepiece import SentencePieceProcessor
 
 from campusflow.llm import near
+from campusflow.llm.piece_levels import Levels
 
 MARK = "▁"
 #: Bytes of text encoded at a time, and neighbour verdicts that a worker remembers.
 BATCH_BYTES, REMEMBERED = 4 << 20, 1_000_000
 #: Distinct words whose ids are kept from batch to batch.
 MEMO_WORDS = 500_000
+#: Characters of a byte-pair model's words that are walked by levels; few words are longer.
+LEVELS = 64
 #: What an unknown character scores below the lowest piece in a unigram model.
 UNKNOWN_PENALTY = 10.0
 _UNKNOWN = -1
@@ -52,7 +56,8 @@ class Vocabulary:
                     else p.replace(MARK, " ").encode() for p, _, t in pieces]
         self._parts: dict[int, tuple[int, int] | None] = {}
         self._follows: dict[int, bool] = {}
-        self.memo: dict[str, list[int]] = {}
+        self._forget()
+        self.levels: Levels | None = None
         # pieces that a path can hold, and by the last (up to three) characters the lengths of those that end so
         self.usable = {p: i for p, i in self.id_of.items() if kind == "unigram" or self.parts(i) is not None}
         by_tail: dict[str, set[int]] = {}
@@ -225,26 +230,60 @@ class Vocabulary:
 
     def encode_words(self, words: list[str]) -> list[list[int]]:
         """The ids of distinct marked words in any order."""
+        flat, starts, counts = self.encode_flat(words)
+        return [flat[a: a + n].tolist() for a, n in zip(starts.tolist(), counts.tolist())]
+
+    def encode_flat(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, where each word's begin, how many it has) of distinct marked words in any order."""
         if self.kind == "unigram":
             order = sorted(range(len(words)), key=words.__getitem__)
             found = self.encode_sorted([words[i] for i in order])
-            return [f for _, f in sorted(zip(order, found))]
+            flat, counts = _flat([f for _, f in sorted(zip(order, found))])
+            return flat, np.cumsum(counts) - counts, counts
         # runs of marks merge after everything else: the word with its last mark comes first
-        cores = [w[len(w) - len(w.lstrip(MARK)) - 1:] if w.startswith(MARK * 2) else w for w in words]
-        distinct = {c for c in cores if c != MARK}
+        runs = [i for i, w in enumerate(words) if w[1:2] == MARK or w == MARK]
+        cores = words.copy()
+        for i in runs:
+            cores[i] = MARK + words[i].lstrip(MARK)
+        distinct = set(cores)
+        distinct.discard(MARK)
         if len(self.memo) + len(distinct) > MEMO_WORDS:
-            self.memo = {}
+            self._forget()
         fresh = sorted(distinct.difference(self.memo))  # what a batch before has met is not walked again
-        self.memo.update(zip(fresh, self.encode_sorted(fresh)))
-        known = self.memo
-        mark, out = self.id_of.get(MARK), []
-        for word, core in zip(words, cores):
-            ids = known.get(core, [mark])
-            if len(word) > len(core) or core == MARK:
-                more = len(word) - len(core)
-                ids = self.encode_marks(more + 1) + ids[1:] if ids[0] == mark else self.encode_marks(more) + ids
-            out.append(ids)
-        return out
+        self._remember(fresh)
+        place = np.fromiter(map(self.memo.get, cores, itertools.repeat(0)), np.int64, len(cores))
+        flat, starts, counts = self.memo_ids, self.memo_starts[place], self.memo_counts[place]
+        mark, marked = self.id_of.get(MARK), []
+        for i in runs:
+            ids = [mark] if cores[i] == MARK else flat[starts[i]: starts[i] + counts[i]].tolist()
+            more = len(words[i]) - len(cores[i])
+            marked.append(self.encode_marks(more + 1) + ids[1:] if ids[0] == mark else self.encode_marks(more) + ids)
+        if runs:
+            more, each = _flat(marked)
+            starts[runs], counts[runs] = len(flat) + np.cumsum(each) - each, each
+            flat = np.concatenate([flat, more])
+        return flat, starts, counts
+
+    def _forget(self) -> None:
+        self.memo, self.memo_ids = {}, np.zeros(0, np.int32)
+        self.memo_starts = self.memo_counts = np.zeros(0, np.int64)
+
+    def _remember(self, fresh: list[str]) -> None:
+        """Encodes sorted words: depth-first or, where they are short, by levels."""
+        if self.levels is None:
+            self.levels = Levels(self)
+        short, long = [w for w in fresh if len(w) <= LEVELS], [w for w in fresh if len(w) > LEVELS]
+        found = [self.levels.encode_sorted(short), _flat(self.encode_sorted(long))]
+        self.memo.update(zip(short + long, range(len(self.memo), len(self.memo) + len(fresh))))
+        self.memo_ids = np.concatenate([self.memo_ids, *[ids for ids, _ in found]])
+        self.memo_counts = np.concatenate([self.memo_counts, *[counts for _, counts in found]])
+        self.memo_starts = np.cumsum(self.memo_counts) - self.memo_counts
+
+
+def _flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """(the numbers of the lists one after the other, how many each has)."""
+    counts = np.fromiter(map(len, lists), np.int64, len(lists))
+    return np.fromiter(itertools.chain.from_iterable(lists), np.int32, int(counts.sum())), counts
 
 
 @functools.lru_cache(maxsize=2)
@@ -283,9 +322,7 @@ def encode_texts(texts: pa.Array, vocabulary: Vocabulary) -> tuple[np.ndarray, n
         others.extend([index.setdefault(w, len(index)) for w in found])
         sizes[row] = len(found)
     spots = np.concatenate([*spots, np.array(others, np.int64)])
-    ids = vocabulary.encode_words(list(index))
-    counts = np.fromiter(map(len, ids), np.int64, len(ids))
-    flat = np.fromiter(itertools.chain.from_iterable(ids), np.int32, counts.sum())
+    flat, begins, counts = vocabulary.encode_flat(list(index))
     # spots has the plain texts first: bring the texts' words into the order of the texts
     order = np.concatenate([np.flatnonzero(plain), np.flatnonzero(~plain)])
     first = np.empty(len(texts), np.int64)
@@ -294,7 +331,7 @@ def encode_texts(texts: pa.Array, vocabulary: Vocabulary) -> tuple[np.ndarray, n
     at = spots[np.repeat(first - (ends - sizes), sizes) + np.arange(sizes.sum())]
     per_word = counts[at]
     total = np.concatenate([[0], np.cumsum(per_word)])
-    out = flat[np.repeat((np.cumsum(counts) - counts)[at] - total[:-1], per_word) + np.arange(total[-1])]
+    out = flat[np.repeat(begins[at] - total[:-1], per_word) + np.arange(total[-1])]
     return out, np.diff(total[np.concatenate([[0], ends])])
 
 

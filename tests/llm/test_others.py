@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from sentencepiece import SentencePieceProcessor
 
 from campusflow.llm import ann, pieces, quality_classifier, queries, url_filter, warc
+from campusflow.llm.piece_levels import Levels
 from campusflow.llm.shared import connected_components, running_sums
 from campusflow.session import checkpoint_dir
 
@@ -190,6 +191,28 @@ def test_words_kept_from_batch_to_batch_change_nothing(monkeypatch):
             assert ids.tolist() == [i for t in texts for i in model.encode(t)] and counts.sum() == len(ids)
 
 
+def test_levels_equal_the_walk_word_by_word():
+    vocabulary = pieces.load.__wrapped__(PIECES)
+    levels, rng = Levels(vocabulary), random.Random(21)
+    words = {"▁" + "".join(rng.choices("abe\u0301é👍中\n1İzß=/", k=rng.randint(1, 30))) for _ in range(3000)}
+    words |= {"▁" + "".join(rng.choices([p.strip("▁") for p in vocabulary.piece], k=3)) for _ in range(3000)}
+    words = sorted(w for w in words if len(w) > 1)
+    ids, counts = levels.encode_sorted(words)
+    ends = np.cumsum(counts).tolist()
+    assert [ids[a:b].tolist() for a, b in zip([0, *ends], ends)] == vocabulary.encode_sorted(words)
+    assert [len(x) for x in levels.encode_sorted([])] == [0, 0]
+
+
+def test_short_words_are_not_walked_one_by_one(monkeypatch):
+    model, walked = SentencePieceProcessor(model_file=PIECES), []
+    vocabulary = pieces.load.__wrapped__(PIECES)
+    walk = vocabulary.encode_sorted
+    monkeypatch.setattr(vocabulary, "encode_sorted", lambda words: walked.extend(words) or walk(words))
+    texts = ["two words", "  " + "x" * 100 + " words", "▁", "a" * 63 + " " + "b" * 64]
+    ids, counts = pieces.encode_texts(pa.array(texts), vocabulary)
+    assert ids.tolist() == [i for t in texts for i in model.encode(t)] and walked == ["▁" + "b" * 64, "▁" + "x" * 100]
+
+
 # --- archives
 
 def rows_of(spark, pages, split, **options):
