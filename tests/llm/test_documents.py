@@ -238,6 +238,33 @@ def test_line_dedup_in_rounds_slots_and_blocks(spark, monkeypatch):
     assert got == want
 
 
+def test_lines_of_several_tasks_are_banded_once():
+    """Of equal lines of several tasks one signature is left, texts of one node stay apart, and repeated ids are told."""
+    from campusflow.llm import band_rounds
+    rng = np.random.default_rng(5)
+    ids = rng.integers(-2 ** 62, 2 ** 62, (300, 2))
+    ids[1, 0] = ids[0, 0]
+    signatures = rng.integers(0, 256, (300, 8), np.uint8)
+
+    def task(some, again):
+        return pa.RecordBatch.from_arrays(
+            [pa.array([band_rounds.packed_signatures(ids[some, 0], signatures[some]) if len(some) else None], pa.binary()),
+             pa.array([ids[some, 1].tobytes()], pa.binary()), pa.array([ids[again].tobytes()], pa.binary())], ["packed", "rest", "again"])
+
+    tasks = [task(np.arange(200), np.array([7, 7, 9])), task(np.arange(150, 300), np.array([], int)), task(np.array([0, 1]), np.array([1])),
+             task(np.array([], int), np.array([12]))]
+    dealt = [b for t in tasks for b in band_rounds._deal(8, 3)(iter([t]))]
+    assert len(set(b for x in dealt for b in x.column("slot").to_pylist())) == 3
+    out = list(band_rounds._distinct(8)(iter(dealt)))
+    got = Counter()
+    for blob in (b for x in out for b in x.column("packed").to_pylist()):
+        m = len(blob) // 16
+        got.update(zip(np.frombuffer(blob, np.int64, m).tolist(), map(bytes, np.frombuffer(blob, np.uint8, offset=8 * m).reshape(m, 8))))
+    assert got == Counter((i, bytes(s)) for i, s in zip(ids[:, 0].tolist(), signatures))
+    repeated = [r for x in out for some in x.column("repeated").to_pylist() if some for r in some]
+    assert sorted(repeated) == sorted(ids[i].tobytes() for i in {0, 1, 7, 9, 12, *range(150, 200)})
+
+
 def test_line_dedup_slots_go_by_entries(spark, monkeypatch):
     """However many tasks and shuffle partitions there are, few lines leave a task as few blobs."""
     from campusflow.llm import band_rounds
