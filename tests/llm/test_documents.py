@@ -574,3 +574,45 @@ def test_persisted_leaves_no_shuffle_files(spark):
         time.sleep(0.1)
     assert not files() - before
     assert out.count() == 1000 and held.count() == 1000
+
+
+def test_pairs_of_blocks_come_in_passes(spark, monkeypatch):
+    """No computation places a text as often as its component has blocks, and all links are found."""
+    monkeypatch.setattr(near, "BLOCK_ROWS", 8)
+    monkeypatch.setattr(near, "PASS_CHARS", 1, raising=False)
+    placed, verify = [], near._verify
+
+    def counted(*args):
+        rows, links = spark.sparkContext.accumulator(0), verify(*args)
+        placed.append(rows)
+
+        def of(batches):
+            def seen():
+                for batch in batches:
+                    rows.add(batch.num_rows)
+                    yield batch
+            return links(seen())
+        return of
+
+    monkeypatch.setattr(near, "_verify", counted)
+    rows = similar(80, seed=8)
+    got = {r.doc_id: (r.class_id, r.n_links) for r in ngram_join.similar_classes(frame(spark, rows)).collect()}
+    assert got == brute.similar_classes(rows)
+    n, most = sum(links > 0 for _, links in got.values()), max(r.value for r in placed)
+    assert n > 40 and most <= 2 * 80, [r.value for r in placed]
+
+    placed.clear()
+    lines = [(i, f"{i % 10} " + text) for i, (_, text) in enumerate(rows)]
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(frame(spark, lines)).collect()}
+    assert got == brute.dedup_lines(lines, line_dedup.CHARS, line_dedup.THRESHOLD)
+    assert len(placed) > 2 and max(r.value for r in placed) <= 2 * 80
+
+
+def test_intersections_of_two_blocks(monkeypatch):
+    rng = np.random.default_rng(7)
+    monkeypatch.setattr(near, "COLUMNS", 16)
+    sets = [np.unique(rng.integers(0, 300, rng.integers(0, 40)).astype(np.uint64)) for _ in range(50)]
+    whole = np.array([[len(np.intersect1d(a, b)) for b in sets] for a in sets])
+    for rows in (1, 20, 49):
+        assert (near._intersections(sets, rows) == whole[:rows, rows:]).all()
+    assert (near._intersections([s + np.uint64(1000 * i) for i, s in enumerate(sets[:4])], 2) == 0).all()
