@@ -616,3 +616,29 @@ def test_intersections_of_two_blocks(monkeypatch):
     for rows in (1, 20, 49):
         assert (near._intersections(sets, rows) == whole[:rows, rows:]).all()
     assert (near._intersections([s + np.uint64(1000 * i) for i, s in enumerate(sets[:4])], 2) == 0).all()
+
+
+def test_line_dedup_lets_go_of_the_signatures(spark, monkeypatch):
+    """While candidates are looked for, what holds the lines holds their signatures no more."""
+    import gc
+    import weakref
+    held, real, states = [], line_dedup.persisted, []
+
+    def persisted(df):
+        out = real(df)
+        if "packed" in out.columns and "lines" in out.columns:
+            held.append(weakref.ref(out))
+        return out
+
+    def components(*args):
+        gc.collect()
+        states.append(held[0]() is None)
+        return similar_components(*args)
+
+    similar_components = line_dedup.similar_components
+    monkeypatch.setattr(line_dedup, "persisted", persisted)
+    monkeypatch.setattr(line_dedup, "similar_components", components)
+    rows = near_lines(10, 3)
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(frame(spark, rows)).collect()}
+    assert got == brute.dedup_lines(rows, line_dedup.CHARS, line_dedup.THRESHOLD)
+    assert states == [True]
